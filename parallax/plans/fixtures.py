@@ -180,3 +180,16 @@ def with_fixtures(sql: str, extra_ctes: list[tuple[str, str]] | None = None,
         return sql
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(ctes) + "\n" + sql
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_regex_chain(expr: str, rules) -> str:
+    """The same ordered (pattern, replacement) chain as DuckDB SQL."""
+    import re
+    for pat, rep in rules:
+        rep = re.sub(r"\$(\d)", r"\\\1", rep)
+        expr = f"regexp_replace({expr}, {sql_str(pat)}, {sql_str(rep)}, 'g')"
+    return expr
