@@ -1 +1,120 @@
-"""placeholder"""
+"""Queries: n-best selection (W1-W3) and run analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import nbest as NB
+from ..operators import runs as R
+from . import fixtures as fx
+from .registry import register
+
+SCAN_SQL = """
+  a AS (SELECT *, row_number() OVER w AS pos,
+               max(bleu) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+        FROM vlog WINDOW w AS (PARTITION BY run, task ORDER BY step)),
+  b AS (SELECT *, greatest(coalesce(prev, 0.0), 0.0) AS best_before,
+               bleu > greatest(coalesce(prev, 0.0), 0.0) AS improved FROM a),
+  c AS (SELECT *, max(CASE WHEN improved THEN pos END)
+                    OVER (PARTITION BY run, task ORDER BY step ROWS UNBOUNDED PRECEDING) AS lst FROM b),
+  st AS (SELECT *, greatest(best_before, bleu) AS best,
+                CAST(CASE WHEN lst IS NULL THEN pos ELSE pos - lst + 1 END AS BIGINT) AS stall FROM c)
+"""
+
+
+@register("top1", sql="SELECT sent_id, text FROM nbest WHERE hyp_idx = 0")
+def q_top1(spark, d):
+    return NB.top1(fx.nbest(spark, d)).select("sent_id", "text")
+
+
+@register("nbest_groups", sql="SELECT sent_id, hyp_idx, text, loss FROM nbest")
+def q_nbest_groups(spark, d):
+    return fx.nbest(spark, d).select("sent_id", "hyp_idx", "text", "loss")
+
+
+@register("rerank", sql="""
+  SELECT sent_id, hyp_idx, text, loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY
+           CASE WHEN isnan(loss) OR loss <= 0 THEN 0.0 ELSE loss END DESC, hyp_idx) AS rk FROM nbest)
+  WHERE rk = 1""")
+def q_rerank(spark, d):
+    return NB.rerank(fx.nbest(spark, d), "loss", "max").select("sent_id", "hyp_idx", "text", "loss")
+
+
+@register("rerank_min", sql="""
+  SELECT sent_id, hyp_idx, text, loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY
+           CASE WHEN isnan(loss) THEN 'Infinity'::DOUBLE ELSE loss END, hyp_idx) AS rk FROM nbest)
+  WHERE rk = 1""")
+def q_rerank_min(spark, d):
+    return NB.rerank(fx.nbest(spark, d), "loss", "min").select("sent_id", "hyp_idx", "text", "loss")
+
+
+@register("running_best", sql=f""", {SCAN_SQL.strip()}
+  SELECT run, task, step, bleu, best_before, improved, best FROM st""", ctes=[("v0", "SELECT 1")])
+def q_running_best(spark, d):
+    return R.running_best(fx.vlog(spark, d)).select("run", "task", "step", "bleu", "best_before",
+                                                    "improved", "best")
+
+
+@register("stall_counter", sql=f""", {SCAN_SQL.strip()}
+  SELECT run, task, step, best, stall FROM st""", ctes=[("v0", "SELECT 1")])
+def q_stall_counter(spark, d):
+    return R.stall_counter(fx.vlog(spark, d)).select("run", "task", "step", "best", "stall")
+
+
+@register("stop_step", sql=f""", {SCAN_SQL.strip()}
+  SELECT run, task, min(CASE WHEN stall = 10 THEN step END) AS stop_step FROM st GROUP BY run, task""",
+          ctes=[("v0", "SELECT 1")])
+def q_stop_step(spark, d):
+    return R.stop_step(fx.vlog(spark, d), patience=10)
+
+
+@register("best_checkpoint", sql="""
+  SELECT run, task, greatest(max(bleu), 0.0) AS best,
+         CASE WHEN max(bleu) > 0.0 THEN arg_min(step, CASE WHEN bleu = mb THEN 0 ELSE 1 END) END AS best_step
+  FROM (SELECT *, max(bleu) OVER (PARTITION BY run, task) AS mb FROM vlog) GROUP BY run, task""")
+def q_best_checkpoint(spark, d):
+    return R.best_checkpoint(fx.vlog(spark, d))
+
+
+@register("resume_state", sql=f""", {SCAN_SQL.strip().replace('FROM vlog WINDOW', 'FROM vlog WHERE step <= 5000 WINDOW')}
+  SELECT run, task, arg_max(best, step) AS best, arg_max(stall, step) AS stalled FROM st GROUP BY run, task""",
+          ctes=[("v0", "SELECT 1")])
+def q_resume_state(spark, d):
+    return R.resume_state(fx.vlog(spark, d), at_step=5000)
+
+
+@register("lm_patience", sql="""
+  , a AS (SELECT *, row_number() OVER w AS pos,
+               max(-loss) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+        FROM vlog WINDOW w AS (PARTITION BY run, task ORDER BY step)),
+  b AS (SELECT *, (prev IS NULL OR -loss > prev) AS imp FROM a),
+  c AS (SELECT *, pos - max(CASE WHEN imp THEN pos END)
+                    OVER (PARTITION BY run, task ORDER BY step ROWS UNBOUNDED PRECEDING) AS counter FROM b)
+  SELECT run, task, min(CASE WHEN counter = 5 THEN step END) AS stop_step FROM c GROUP BY run, task""",
+          ctes=[("v0", "SELECT 1")])
+def q_lm_patience(spark, d):
+    return R.lm_patience(fx.vlog(spark, d), patience=5)
+
+
+@register("running_cost", sql="""
+  SELECT run, task, step,
+         CAST(sum(CAST(round(loss * 10000) AS BIGINT)) OVER w AS DOUBLE) / (count(*) OVER w * 10000.0) AS running_cost
+  FROM vlog WINDOW w AS (PARTITION BY run, task ORDER BY step ROWS UNBOUNDED PRECEDING)""")
+def q_running_cost(spark, d):
+    out = R.running_cost(fx.vlog(spark, d), decimals=4)
+    return out.select("run", "task", "step", "running_cost")
+
+
+@register("keep_last_k", sql="""
+  SELECT run, kind, step, ctime,
+         row_number() OVER (PARTITION BY run, kind ORDER BY ctime DESC, step DESC) <= 2 AS keep FROM ckpt""")
+def q_keep_last_k(spark, d):
+    return R.keep_last_k(fx.ckpt(spark, d), k=2).select("run", "kind", "step", "ctime", "keep")
+
+
+@register("latest_checkpoint", sql="""
+  SELECT run, kind, arg_max(step, ctime) AS latest_step FROM ckpt GROUP BY run, kind""")
+def q_latest_checkpoint(spark, d):
+    return R.latest_checkpoint(fx.ckpt(spark, d))
