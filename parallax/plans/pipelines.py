@@ -1,0 +1,20 @@
+"""Pipelines a user calls (X1-X11): compositions of the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import words
+
+
+def mixture_report(mix: DataFrame) -> DataFrame:
+    """X11: pairs and source/target tokens per tag, and each tag's share of
+    the source tokens (the share is computed over the per-tag rows only)."""
+    per_tag = mix.groupBy("tag").agg(F.count(F.lit(1)).alias("n_pairs"),
+                                     F.sum(F.size(words("source"))).cast("long").alias("src_tokens"),
+                                     F.sum(F.size(words("target"))).cast("long").alias("tgt_tokens"))
+    total = per_tag.agg(F.sum("src_tokens").alias("__total")).withColumn("__one", F.lit(1))
+    out = per_tag.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")  # one-row side
+    return out.select("tag", "n_pairs", "src_tokens", "tgt_tokens",
+                      F.round(F.col("src_tokens") / F.col("__total"), 6).alias("src_share"))
