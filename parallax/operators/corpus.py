@@ -99,11 +99,20 @@ def group_sizes(df: DataFrame, group=("corpus",)) -> DataFrame:
     return df.groupBy(*_cols(group)).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def with_group_size(df: DataFrame, group=("corpus",)) -> DataFrame:
+    """Adds ``__n``, the row count of the row's group (an equi-join with the
+    per-group count table; a constant key when there is no group)."""
+    keys = _cols(group)
+    if not keys:
+        n = df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
+        return df.withColumn("__one", F.lit(1)).join(F.broadcast(n), "__one").drop("__one")  # one row
+    return df.join(group_sizes(df, group), keys)
+
+
 def split_head_percent(df: DataFrame, pct: float = 5.0, group=("corpus",), pos: str = "pos") -> DataFrame:
     """B1: the first ``pct`` % of every group (by position) is validation,
     the rest train.  The cut is round-half-even(n * pct / 100)."""
-    n = group_sizes(df, group)
-    j = df.join(n, _cols(group))
+    j = with_group_size(df, group)
     cut = F.bround(F.col("__n") * F.lit(pct) / 100.0, 0)
     return j.withColumn("split", F.when(F.col(pos) <= cut, F.lit("validation")).otherwise(F.lit("train"))).drop("__n")
 

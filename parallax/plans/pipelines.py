@@ -18,3 +18,60 @@ def mixture_report(mix: DataFrame) -> DataFrame:
     out = per_tag.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")  # one-row side
     return out.select("tag", "n_pairs", "src_tokens", "tgt_tokens",
                       F.round(F.col("src_tokens") / F.col("__total"), 6).alias("src_share"))
+
+
+# ---------------------------------------------------------------------------
+# tokenizer built from corpus statistics (for the subword plug-in, P12)
+# ---------------------------------------------------------------------------
+def build_vocab(df: DataFrame, text: str = "text", size: int = 5000) -> list[str]:
+    """The ``size`` most frequent alphanumeric tokens (a top-k report: only
+    k rows reach the driver)."""
+    from ..operators.metrics import word_counts
+    top = word_counts(df, text).orderBy(F.col("n").desc(), F.col("token")).limit(size)
+    return [r.token for r in top.collect()]
+
+
+def wordlevel_tokenizer_json(vocab: list[str]) -> str:
+    """A ``tokenizers`` WordLevel model over ``vocab`` (id 0 = [UNK])."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    table = {"[UNK]": 0}
+    for w in vocab:
+        table.setdefault(w, len(table))
+    tok = Tokenizer(models.WordLevel(table, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    return tok.to_str()
+
+
+# ---------------------------------------------------------------------------
+# LM dataset
+# ---------------------------------------------------------------------------
+def block_positions(packed: DataFrame, group=()) -> DataFrame:
+    """Position of every packed block in (group_id, block_idx) order."""
+    from ..operators.scan import weighted_offsets
+    keys = [group] if isinstance(group, str) else list(group)
+    per = packed.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("__nb"))
+    per = weighted_offsets(per, keys, F.floor(F.col("group_id") / 4096), ["group_id"], F.col("__nb"), "__off")
+    out = packed.join(per.select(*keys, "group_id", "__off"), [*keys, "group_id"])
+    return out.withColumn("block_pos", F.col("__off") + F.col("block_idx") + 1).drop("__off")
+
+
+def lm_dataset(spark, path: str, block: int = 1024, validation_pct: float = 5.0,
+               max_train_samples: int | None = None, encoder=None, group_rows: int = 1000) -> DataFrame:
+    """Read (S7) -> head split (B1) -> encode (P12) -> pack (B10) ->
+    cap (B2, counted in packed blocks).  Returns the train blocks."""
+    from ..functions.tokens import word_length_ids
+    from ..operators.corpus import limit_head, pack_blocks, split_head_percent
+    from ..sources.text import read_lm
+    df = read_lm(spark, path, keep_linebreaks=True)
+    split = split_head_percent(df, validation_pct, group=(), pos="line_no")
+    train = split.where(F.col("split") == "train")
+    n_val = split.where(F.col("split") == "validation").agg(F.count(F.lit(1)).alias("__v"))
+    train = train.withColumn("__one", F.lit(1)).join(F.broadcast(n_val.withColumn("__one", F.lit(1))), "__one")
+    train = train.withColumn("tpos", F.col("line_no") - F.col("__v"))
+    enc = encoder or word_length_ids
+    train = train.select("tpos", enc("text").alias("ids"))
+    packed = pack_blocks(train, block, group_rows, group=(), pos="tpos", ids="ids")
+    packed = block_positions(packed)
+    if max_train_samples is not None:
+        packed = limit_head(packed, max_train_samples, pos="block_pos")
+    return packed
