@@ -282,6 +282,46 @@ def metrics_by_task(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=("t
                       F.round(chrf_from_stats("c_"), 6).alias("chrf"))
 
 
+def ter(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=()) -> DataFrame:
+    """A10: translation edit rate = sum(edits incl. shifts) / sum(ref words)
+    x 100, per group.  Shift search runs per segment in an Arrow UDF."""
+    from ..functions.ngrams import ter_stats
+    k = _cols(keys)
+    st = seg.select(*k, ter_stats(F.col(hyp), F.col(ref)).alias("__t"))
+    agg = st.groupBy(*k).agg(F.sum(F.col("__t")[0]).cast("long").alias("edits"),
+                             F.sum(F.col("__t")[1]).cast("long").alias("ref_words"))
+    score = F.when(F.col("ref_words") > 0, 100.0 * F.col("edits") / F.col("ref_words")) \
+        .otherwise(F.when(F.col("edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
+    return agg.withColumn("ter", F.round(score, 6))
+
+
+def evaluate(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=("system",)) -> DataFrame:
+    """Accuracy, mean edit distance, WER, BLEU and chrF per group, from
+    one projection of per-segment statistics and one aggregation."""
+    k = _cols(keys)
+    pre = seg.select(*k, (F.col(hyp) == F.col(ref)).cast("long").alias("__eq"),
+                     char_edit_distance(hyp, ref).cast("long").alias("__ed"),
+                     wer_words(hyp).alias("__hw"), wer_words(ref).alias("__rw"),
+                     tokenize_13a(hyp).alias("__h"), tokenize_13a(ref).alias("__r"),
+                     _no_ws(hyp).alias("__hc"), _no_ws(ref).alias("__rc"))
+    pre = with_word_edit_distance(pre, "__hw", "__rw", "__we")
+    barr, bnames = _bleu_udf_stats("__h", "__r")
+    carr, cnames = _chrf_udf_stats("__hc", "__rc")
+    st = pre.select(*k, "__eq", "__ed", "__we", F.size("__rw").cast("long").alias("__nr"),
+                    barr.alias("__b"), carr.alias("__c"))
+    st = st.select(*k, "__eq", "__ed", "__we", "__nr",
+                   *[F.col("__b")[i].alias("b_" + n) for i, n in enumerate(bnames)],
+                   *[F.col("__c")[i].alias("c_" + n) for i, n in enumerate(cnames)])
+    sums = [c for c in st.columns if c not in k]
+    agg = st.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(c) for c in sums])
+    div = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    return agg.select(*k, "n", F.col("__eq").alias("n_correct"), div("__eq", "n").alias("accuracy"),
+                      F.col("__ed").alias("total_distance"), div("__ed", "n").alias("mean_distance"),
+                      F.col("__we").alias("edits"), F.col("__nr").alias("ref_words"), div("__we", "__nr").alias("wer"),
+                      F.col("b_sys_len").alias("sys_len"), F.col("b_ref_len").alias("ref_len"),
+                      F.round(bleu_from_stats("b_"), 6).alias("bleu"), F.round(chrf_from_stats("c_"), 6).alias("chrf"))
+
+
 # ---------------------------------------------------------------------------
 # LM metrics
 # ---------------------------------------------------------------------------
