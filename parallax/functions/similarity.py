@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._col import as_col
-from .text import WS_CLASS, py_strip
+from .text import JAVA_WS_CLASS, py_strip
 
 
 # --------------------------------------------------------------------------
@@ -182,7 +182,7 @@ def char_edit_distance(a, b) -> Column:
 def wer_words(c) -> Column:
     """Words as the usual WER tool splits them: runs of 2+ whitespace become
     one space, both ends stripped, split on ' ', empty items dropped."""
-    s = py_strip(F.regexp_replace(as_col(c), WS_CLASS + "{2,}", " "))
+    s = py_strip(F.regexp_replace(as_col(c), JAVA_WS_CLASS + "{2,}", " "))
     return F.filter(F.split(s, " ", -1), lambda w: w != "")
 
 

@@ -15,9 +15,13 @@ from ._col import as_col
 # str.isspace() is true (29 characters, all in the BMP).
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# The same set as a regex character class usable by both Java regex and RE2.
+# The same set as a regex character class usable by both Java regex and RE2
+# (used for the SQL oracle; slow in Java, which tests each member in turn).
 WS_CLASS = "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in PY_WHITESPACE) + "]"
 
+# The same set for Spark (Java regex): Unicode \s plus U+001C..U+001F.
+JAVA_WS_CLASS = "(?U)[\\s\\x{1c}-\\x{1f}]"
+
 # ASCII whitespace as Perl/Moses sees it in byte mode.
 ASCII_WS_CLASS = "[ \\t\\n\\r\\f\\x0B]"
 
@@ -78,10 +82,16 @@ def language_name_key(c) -> Column:
 
 
 def words(c) -> Column:
-    """Whitespace words, as Python ``s.split()`` gives them."""
-    s = F.regexp_replace(as_col(c), WS_CLASS + "+", " ")
-    s = F.trim(s)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " ", -1))
+    """Whitespace words, as Python ``s.split()`` gives them: every whitespace
+    character becomes ' ' (``translate``, no regex), split on ' ', empty
+    items removed."""
+    spaced = F.translate(as_col(c), PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    return F.array_remove(F.split(spaced, " ", -1), "")
+
+
+def remove_whitespace(c) -> Column:
+    """``''.join(s.split())``: delete every whitespace character."""
+    return F.translate(as_col(c), PY_WHITESPACE, "")
 
 
 def squeeze_spaces(c) -> Column:
@@ -160,12 +170,23 @@ def normalize_punct_rules(lang: str) -> list[tuple[str, str]]:
     return rules
 
 
+_REGEX_META = set(".^$*+?()[]{}|\\")
+
+
+def _apply_rules(out: Column, rules) -> Column:
+    """Apply (pattern, replacement) rules in order; literal patterns use the
+    plain ``replace`` (no regex engine), the rest ``regexp_replace``."""
+    for pat, rep in rules:
+        if not (set(pat) & _REGEX_META) and "$" not in rep and "\\" not in rep:
+            out = F.replace(out, F.lit(pat), F.lit(rep))
+        else:
+            out = F.regexp_replace(out, pat, rep)
+    return out
+
+
 def normalize_punct(c, lang: str = "en") -> Column:
     """P10: Moses-style punctuation normalisation (documented subset)."""
-    out = as_col(c)
-    for pat, rep in normalize_punct_rules(lang):
-        out = F.regexp_replace(out, pat, rep)
-    return out
+    return _apply_rules(as_col(c), normalize_punct_rules(lang))
 
 
 # Fixed values for the word tokenizer subset (Java-regex syntax, in order).
@@ -185,7 +206,4 @@ def word_tokenize(c) -> Column:
     """Moses-style word tokenizer (documented subset): split off
     punctuation and symbols, commas not inside numbers, and the sentence-final
     period; returns the space-joined tokens."""
-    out = as_col(c)
-    for pat, rep in WORD_TOKENIZE_RULES:
-        out = F.regexp_replace(out, pat, rep)
-    return out
+    return _apply_rules(as_col(c), WORD_TOKENIZE_RULES)

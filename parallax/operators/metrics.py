@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import char_edit_distance, wer_words, with_word_edit_distance
-from ..functions.text import PY_WHITESPACE, WS_CLASS, alnum_tokens, words
+from ..functions.text import alnum_tokens, remove_whitespace, words
 
 
 def _cols(x):
@@ -220,7 +220,7 @@ def bleu(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=(), method: st
 
 
 def _no_ws(c: str) -> Column:
-    return F.regexp_replace(F.col(c), WS_CLASS, "")
+    return remove_whitespace(c)
 
 
 def chrf_segment_stats(h_chars: str, r_chars: str) -> list[Column]:
@@ -371,8 +371,9 @@ def paired_randomization(stats: DataFrame, a: str, b: str, seg: str = "seg_id",
     shuffled.  Trial 0 is the observed (unswapped) difference.
     p = (#trials with diff >= observed + 1) / (trials + 1).
     """
+    from ..session import spread
     t = F.explode(F.sequence(F.lit(0), F.lit(trials))).alias("trial")
-    ex = stats.select(F.col(seg), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), t)
+    ex = spread(stats).select(F.col(seg), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), t)
     swap = (F.col("trial") > 0) & swap_coin(seed, F.col(seg), F.col("trial"))
     diff = F.when(swap, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
     per_trial = ex.groupBy("trial").agg(F.abs(F.sum(diff)).alias("d"))

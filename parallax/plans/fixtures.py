@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE, WS_CLASS, py_strip, words
 from ..operators.nbest import group_nbest
+from ..session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """A test table; text tables are spread over the cores when the file is
+    a single split (CPU-bound text work must not run in one task)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------------------
@@ -23,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def lines(spark, d) -> DataFrame:
     """FX1: documents split on newline, position kept; corpus = source."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", ["source", "lang", "doc_id", "text"])
     return (docs.select(F.col("source").alias("corpus"), "lang", "doc_id",
                         F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
             .select("corpus", "lang", "doc_id",

@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import nbest as NB
 from ..operators import runs as R
 from ..operators.filters import clean_pairs, filter_language, filter_similarity
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import sinks as K
 from ..sources import text as S
 from . import fixtures as fx
@@ -116,6 +116,7 @@ def q_translate_rerank(spark, d):
     ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
     hyps = I.translate(ln, I.RotateWordsTranslator, "text", n_best=5, max_input_words=150,
                        keys=["doc_id", "line_no"]).withColumnRenamed("hyp", "text")
+    hyps = materialize(hyps, "nbest")  # inference runs once; three branches read it
     lm = I.train_bigram_lm(ln, "text")
     scored = I.score_loss(hyps, lm, "text", keys=("doc_id", "line_no", "hyp_idx"))
     best = NB.rerank(scored, "loss", "max", keys=("doc_id", "line_no")).select(

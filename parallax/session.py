@@ -64,3 +64,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[5:]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the lineage is cut and an expensive upstream (model inference) is
+    computed exactly once even when several branches read the result.  A
+    lost executor then costs a re-read, not a recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df, factor: int = 2):
+    """Make sure CPU-bound per-row work can use every core.
+
+    When ``df`` arrives in fewer partitions than ``factor`` x the cluster's
+    default parallelism (a small table stored as one Parquet row group), it
+    is round-robin repartitioned; otherwise it is returned unchanged, so on
+    a large input this costs nothing.  Round-robin repartitioning sorts
+    first, so a retried task reproduces the same split."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
