@@ -157,8 +157,9 @@ NORMALIZE_PUNCT_OTHER = [(',"', '",'), (r'(\.+)"(\s*[^<])', '"$1$2')]
 NUMBER_COMMA_LANGS = ("de", "es", "cz", "cs", "fr")
 
 
-def normalize_punct_rules(lang: str) -> list[tuple[str, str]]:
-    rules = list(NORMALIZE_PUNCT_COMMON)
+def normalize_punct_tail(lang: str) -> list[tuple[str, str]]:
+    """The language-dependent rules applied after the common ones."""
+    rules: list[tuple[str, str]] = []
     if lang == "en":
         rules += NORMALIZE_PUNCT_EN
     elif lang not in ("cs", "cz"):
@@ -170,6 +171,10 @@ def normalize_punct_rules(lang: str) -> list[tuple[str, str]]:
     return rules
 
 
+def normalize_punct_rules(lang: str) -> list[tuple[str, str]]:
+    return list(NORMALIZE_PUNCT_COMMON) + normalize_punct_tail(lang)
+
+
 _REGEX_META = set(".^$*+?()[]{}|\\")
 
 
@@ -189,6 +194,18 @@ def normalize_punct(c, lang: str = "en") -> Column:
     return _apply_rules(as_col(c), normalize_punct_rules(lang))
 
 
+def normalize_punct_by(c, lang_col, langs=("en", "es", "fr", "de")) -> Column:
+    """P10 with a per-row language: the common rules once, then only the
+    short language-dependent tail is chosen per row."""
+    common = _apply_rules(as_col(c), NORMALIZE_PUNCT_COMMON)
+    lang = as_col(lang_col)
+    out = None
+    for l in langs:
+        branch = _apply_rules(common, normalize_punct_tail(l))
+        out = F.when(lang == l, branch) if out is None else out.when(lang == l, branch)
+    return out.otherwise(_apply_rules(common, normalize_punct_tail("xx")))
+
+
 # Fixed values for the word tokenizer subset (Java-regex syntax, in order).
 WORD_TOKENIZE_RULES = [
     (r"[\x00-\x1f]", " "),

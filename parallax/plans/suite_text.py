@@ -78,10 +78,7 @@ def _np_sql():
   SELECT doc_id, line_no, md5({_np_sql()}) AS norm_md5 FROM lines""")
 def q_normalize_punct(spark, d):
     ln = fx.lines(spark, d)
-    out = tx.normalize_punct("text", "xx")
-    for lang in ("es", "de", "fr", "en"):
-        out = F.when(F.col("lang") == lang, tx.normalize_punct("text", lang)).otherwise(out)
-    return ln.select("doc_id", "line_no", F.md5(out).alias("norm_md5"))
+    return ln.select("doc_id", "line_no", F.md5(tx.normalize_punct_by("text", "lang")).alias("norm_md5"))
 
 
 @register("word_tokenize", sql=f"""
