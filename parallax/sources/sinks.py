@@ -48,12 +48,20 @@ def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("lin
 
 def append_corpus(df: DataFrame, path: str, corpus_col: str = "corpus", first: bool = False) -> None:
     """K3: add sub-corpora to a running training table, partitioned by
-    corpus.  ``first=True`` overwrites (a rerun must not append twice);
-    later calls append.  Dynamic partition overwrite replaces only the
-    corpora being written."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite" if first else "append").partitionBy(corpus_col).parquet(path)
+    corpus.  ``first=True`` replaces the whole table (a rerun starts from
+    scratch, as the reference deletes its output first); later calls
+    append."""
+    w = df.write.partitionBy(corpus_col)
+    if first:
+        w.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    else:
+        w.mode("append").parquet(path)
+
+
+def replace_corpus(df: DataFrame, path: str, corpus_col: str = "corpus") -> None:
+    """Re-run of single sub-corpora: only the corpora present in ``df`` are
+    replaced (dynamic partition overwrite); the others are kept."""
+    df.write.partitionBy(corpus_col).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, text: str = "text", order_cols=("line_no",),

@@ -80,6 +80,10 @@ def test_append_corpus_rerun_overwrites(spark, tmp_dir):
         K.append_corpus(a, f"{tmp_dir}/train", first=True)
         K.append_corpus(b, f"{tmp_dir}/train")
     assert spark.read.parquet(f"{tmp_dir}/train").count() == 2
+    K.replace_corpus(spark.createDataFrame([("QED", 1, "z"), ("QED", 2, "w")], "corpus string, line_no long, text string"),
+                     f"{tmp_dir}/train")
+    back = spark.read.parquet(f"{tmp_dir}/train")
+    assert back.count() == 3 and back.where("corpus = 'GNOME'").count() == 1
 
 
 def test_predictions_metrics_and_cache(spark, tmp_dir):
