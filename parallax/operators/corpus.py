@@ -101,11 +101,10 @@ def group_sizes(df: DataFrame, group=("corpus",)) -> DataFrame:
 
 def with_group_size(df: DataFrame, group=("corpus",)) -> DataFrame:
     """Adds ``__n``, the row count of the row's group (an equi-join with the
-    per-group count table; a constant key when there is no group)."""
+    per-group count table; a scalar subquery when there is no group)."""
     keys = _cols(group)
     if not keys:
-        n = df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
-        return df.withColumn("__one", F.lit(1)).join(F.broadcast(n), "__one").drop("__one")  # one row
+        return df.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())  # scalar subquery
     return df.join(group_sizes(df, group), keys)
 
 

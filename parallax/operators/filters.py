@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
 from ..functions.text import squeeze_spaces
+from ..session import pin
 
 
 def clean_pairs(df: DataFrame, min_len: int, max_len: int, ratio: float = 9.0,
@@ -23,8 +24,7 @@ def clean_pairs(df: DataFrame, min_len: int, max_len: int, ratio: float = 9.0,
     side may be more than ``ratio`` times longer (in words) than the other.
     The squeezed text is returned.
     """
-    s, t = squeeze_spaces(src), squeeze_spaces(tgt)
-    out = df.withColumn(src, s).withColumn(tgt, t)
+    out = pin(df, **{src: squeeze_spaces(src), tgt: squeeze_spaces(tgt)}).select(*df.columns)
     ns = F.size(F.split(F.col(src), " ", -1))
     nt = F.size(F.split(F.col(tgt), " ", -1))
     cond = ((F.col(src) != "") & (F.col(tgt) != "")

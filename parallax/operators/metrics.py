@@ -354,33 +354,43 @@ def sample_counts(df: DataFrame, cap: int | None, keys=()) -> DataFrame:
 # ---------------------------------------------------------------------------
 # significance
 # ---------------------------------------------------------------------------
-def swap_coin(seed: int, seg: Column, trial: Column) -> Column:
-    """Portable seeded coin: first hex digit of md5('seed-seg-trial') < '8'."""
-    key = F.concat_ws("-", F.lit(str(seed)), seg.cast("string"), trial.cast("string"))
-    return F.substring(F.md5(key), 1, 1) < F.lit("8")
+COIN_BITS = 60  # coins drawn from one md5: its first 15 hex digits
+
+
+def coin_word(seed: int, seg: Column, block: Column) -> Column:
+    """60 portable random bits for (seed, segment, block of 60 trials): the
+    first 15 hex digits of md5('seed-seg-block') as a BIGINT.  Identical in
+    any engine with md5, so the test has an exact SQL oracle."""
+    key = F.concat_ws("-", F.lit(str(seed)), seg.cast("string"), block.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def paired_randomization(stats: DataFrame, a: str, b: str, seg: str = "seg_id",
                          trials: int = 10000, seed: int = 12345) -> DataFrame:
     """Paired approximate randomisation on an additive statistic.
 
-    For each trial every segment's two system scores are swapped when its
-    coin says so; the trial statistic is |sum(A') - sum(B')|.  Trials are
-    generated per segment with ``explode(sequence)`` and folded by a partial
-    aggregate in the same pipeline, so only (tasks x trials) small rows are
-    shuffled.  Trial 0 is the observed (unswapped) difference.
-    p = (#trials with diff >= observed + 1) / (trials + 1).
+    In trial t (1..trials) segment s swaps its two system scores when bit
+    (t-1) mod 60 of coin_word(seed, s, (t-1) div 60) is set; the trial
+    statistic is |sum(A') - sum(B')|, the observed one |sum(A) - sum(B)|.
+    p = (#trials with statistic >= observed + 1) / (trials + 1).
+
+    Trials are generated per segment with ``explode(sequence)`` (one md5 per
+    60 trials) and folded by a partial aggregate in the same pipeline, so
+    only (tasks x trials) small rows are shuffled; no cross join.
     """
     from ..session import spread
-    t = F.explode(F.sequence(F.lit(0), F.lit(trials))).alias("trial")
-    ex = spread(stats).select(F.col(seg), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), t)
-    swap = (F.col("trial") > 0) & swap_coin(seed, F.col(seg), F.col("trial"))
+    blocks = -(-trials // COIN_BITS)
+    base = spread(stats).select(F.col(seg).alias("__s"), F.col(a).cast("double").alias("a"),
+                                F.col(b).cast("double").alias("b"))
+    observed = base.agg(F.abs(F.sum(F.col("a") - F.col("b")))).scalar()  # scalar subquery
+    words = base.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), "__s") \
+        .withColumn("w", coin_word(seed, F.col("__s"), F.col("blk")))
+    ex = words.select("a", "b", "w", "blk", F.explode(F.sequence(F.lit(0), F.lit(COIN_BITS - 1))).alias("bit"))
+    ex = ex.withColumn("trial", F.col("blk") * COIN_BITS + F.col("bit") + 1).where(F.col("trial") <= trials)
+    swap = F.expr("shiftright(w, bit) & 1") == 1
     diff = F.when(swap, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
     per_trial = ex.groupBy("trial").agg(F.abs(F.sum(diff)).alias("d"))
-    observed = per_trial.where(F.col("trial") == 0).select(F.col("d").alias("observed"))
-    rest = per_trial.where(F.col("trial") > 0).withColumn("__one", F.lit(1))
-    # ``observed`` is exactly one row: broadcasting it is bounded by construction
-    j = rest.join(F.broadcast(observed.withColumn("__one", F.lit(1))), "__one")
+    j = per_trial.withColumn("observed", observed)
     return j.agg(F.lit(trials).cast("long").alias("trials"),
                  F.max("observed").alias("observed"),
                  F.sum((F.col("d") >= F.col("observed") - 1e-9).cast("long")).alias("n_extreme")) \

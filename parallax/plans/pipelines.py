@@ -14,10 +14,9 @@ def mixture_report(mix: DataFrame) -> DataFrame:
     per_tag = mix.groupBy("tag").agg(F.count(F.lit(1)).alias("n_pairs"),
                                      F.sum(F.size(words("source"))).cast("long").alias("src_tokens"),
                                      F.sum(F.size(words("target"))).cast("long").alias("tgt_tokens"))
-    total = per_tag.agg(F.sum("src_tokens").alias("__total")).withColumn("__one", F.lit(1))
-    out = per_tag.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")  # one-row side
-    return out.select("tag", "n_pairs", "src_tokens", "tgt_tokens",
-                      F.round(F.col("src_tokens") / F.col("__total"), 6).alias("src_share"))
+    total = per_tag.agg(F.sum("src_tokens")).scalar()  # scalar subquery, no join
+    return per_tag.select("tag", "n_pairs", "src_tokens", "tgt_tokens",
+                          F.round(F.col("src_tokens") / total, 6).alias("src_share"))
 
 
 # ---------------------------------------------------------------------------
@@ -65,9 +64,8 @@ def lm_dataset(spark, path: str, block: int = 1024, validation_pct: float = 5.0,
     df = read_lm(spark, path, keep_linebreaks=True)
     split = split_head_percent(df, validation_pct, group=(), pos="line_no")
     train = split.where(F.col("split") == "train")
-    n_val = split.where(F.col("split") == "validation").agg(F.count(F.lit(1)).alias("__v"))
-    train = train.withColumn("__one", F.lit(1)).join(F.broadcast(n_val.withColumn("__one", F.lit(1))), "__one")
-    train = train.withColumn("tpos", F.col("line_no") - F.col("__v"))
+    n_val = split.where(F.col("split") == "validation").agg(F.count(F.lit(1))).scalar()
+    train = train.withColumn("tpos", F.col("line_no") - n_val)
     enc = encoder or word_length_ids
     train = train.select("tpos", enc("text").alias("ids"))
     packed = pack_blocks(train, block, group_rows, group=(), pos="tpos", ids="ids")

@@ -175,14 +175,16 @@ def q_token_accuracy(spark, d):
 @register("paired_randomization", sql="""
   , st AS (SELECT seg_id, CAST(levenshtein(hyp_a, ref) AS DOUBLE) AS a,
                   CAST(levenshtein(hyp_b, ref) AS DOUBLE) AS b FROM two_systems),
-  pt AS (SELECT t AS trial,
-                abs(sum(CASE WHEN t > 0 AND substr(md5('12345-' || seg_id || '-' || t), 1, 1) < '8'
-                             THEN b - a ELSE a - b END)) AS d
-         FROM st, range(0, 10001) r(t) GROUP BY t)
-  SELECT CAST(10000 AS BIGINT) AS trials, max(o.d) AS observed,
-         CAST(sum(CASE WHEN p.d >= o.d - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS n_extreme,
-         round((sum(CASE WHEN p.d >= o.d - 1e-9 THEN 1 ELSE 0 END) + 1) / 10001.0, 6) AS p_value
-  FROM pt p, (SELECT d FROM pt WHERE trial = 0) o WHERE p.trial > 0""",
+  cw AS (SELECT a, b, blk, ('0x' || substr(md5('12345-' || seg_id || '-' || blk), 1, 15))::BIGINT AS w
+         FROM st, range(0, 167) r(blk)),
+  pt AS (SELECT blk * 60 + bit + 1 AS trial,
+                abs(sum(CASE WHEN (w >> bit) & 1 = 1 THEN b - a ELSE a - b END)) AS d
+         FROM cw, range(0, 60) q(bit) WHERE blk * 60 + bit + 1 <= 10000 GROUP BY blk * 60 + bit + 1),
+  ob AS (SELECT abs(sum(a - b)) AS o FROM st)
+  SELECT CAST(10000 AS BIGINT) AS trials, max(ob.o) AS observed,
+         CAST(sum(CASE WHEN p.d >= ob.o - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS n_extreme,
+         round((sum(CASE WHEN p.d >= ob.o - 1e-9 THEN 1 ELSE 0 END) + 1) / 10001.0, 6) AS p_value
+  FROM pt p, ob""",
           ctes=[("two_sys", "SELECT * FROM two_systems")])
 def q_paired_randomization(spark, d):
     s = fx.two_systems(spark, d)

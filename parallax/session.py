@@ -14,7 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # joins against small derived tables (chunk offsets, per-group totals)
     # become broadcast joins only after AQE has measured the real size
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
@@ -88,3 +88,18 @@ def spread(df, factor: int = 2):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def pin(df, **exprs):
+    """Evaluate expensive column expressions exactly once.
+
+    A filter over computed columns is pushed below the projection with the
+    expressions substituted, so a predicate that mentions a column four
+    times would evaluate its (regex-heavy) definition four more times.
+    Producing the columns through a generator (``inline`` of a one-element
+    array) is a barrier the predicate cannot cross: downstream filters then
+    read the computed values."""
+    from pyspark.sql import functions as F
+    keep = [c for c in df.columns if c not in exprs]
+    packed = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
+    return df.select(*keep, F.inline(packed))
