@@ -56,14 +56,101 @@ def char_ngram_stats_py(h: str, r: str, order: int = 6) -> list[int]:
     return out
 
 
+# ---------------------------------------------------------------------------
+# batch-vectorised statistics: all segments of an Arrow batch at once
+# ---------------------------------------------------------------------------
+import numpy as np
+
+
+def _segment_index(lens: np.ndarray):
+    seg = np.repeat(np.arange(len(lens)), lens)
+    pos = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    return seg, pos
+
+
+def match_counts(h_ids: np.ndarray, h_lens: np.ndarray, r_ids: np.ndarray, r_lens: np.ndarray,
+                 order: int) -> np.ndarray:
+    """Clipped n-gram matches (n = 1..order) for every segment of a batch.
+
+    ``*_ids`` are the concatenated dense symbol ids of all segments.  An
+    n-gram code is built from the (n-1)-gram code and the next symbol and
+    re-densified with a hash factorisation, so codes never overflow; keys
+    (segment, code) are counted per side and the minimum summed per segment.
+    Codes that straddle two segments are computed but masked out."""
+    n = len(h_lens)
+    out = np.zeros((n, order), dtype=np.int64)
+    if n == 0:
+        return out
+    h_seg, h_pos = _segment_index(h_lens)
+    r_seg, r_pos = _segment_index(r_lens)
+    h_ids = h_ids.astype(np.int64)
+    r_ids = r_ids.astype(np.int64)
+    vocab = int(max(h_ids.max(initial=-1), r_ids.max(initial=-1))) + 1
+    bits = max(vocab.bit_length(), 1)
+    # small alphabets: an n-gram code packs into one int64 (with the segment)
+    packed = bits * order + max(n.bit_length(), 1) <= 62
+    ch, cr = h_ids, r_ids
+    for k in range(order):
+        if k and packed:
+            ch = (ch[:-1] << bits) | h_ids[k:]
+            cr = (cr[:-1] << bits) | r_ids[k:]
+        elif k:
+            ch = ch[:-1] * vocab + h_ids[k:]
+            cr = cr[:-1] * vocab + r_ids[k:]
+            codes, _ = pd.factorize(np.concatenate([ch, cr]))
+            ch, cr = codes[:len(ch)].astype(np.int64), codes[len(ch):].astype(np.int64)
+        vh = h_pos[:len(ch)] + k < h_lens[h_seg[:len(ch)]]
+        vr = r_pos[:len(cr)] + k < r_lens[r_seg[:len(cr)]]
+        width = (1 << (bits * order)) if packed else int(max(ch.max(initial=-1), cr.max(initial=-1))) + 1
+        kh = h_seg[:len(ch)][vh] * width + ch[vh]
+        kr = r_seg[:len(cr)][vr] * width + cr[vr]
+        if len(kh) == 0 or len(kr) == 0:
+            continue
+        g, uniq = pd.factorize(np.concatenate([kh, kr]))
+        cnt_h = np.bincount(g[:len(kh)], minlength=len(uniq))
+        cnt_r = np.bincount(g[len(kh):], minlength=len(uniq))
+        both = np.minimum(cnt_h, cnt_r)
+        out[:, k] = np.bincount(uniq // width, weights=both, minlength=n).astype(np.int64)
+    return out
+
+
+def word_ngram_stats_batch(h_lists, r_lists, order: int = 4) -> np.ndarray:
+    h_lens = np.fromiter((len(x) for x in h_lists), dtype=np.int64, count=len(h_lists))
+    r_lens = np.fromiter((len(x) for x in r_lists), dtype=np.int64, count=len(r_lists))
+    parts = [np.asarray(x, dtype=object) for x in h_lists] + [np.asarray(x, dtype=object) for x in r_lists]
+    tokens = np.concatenate(parts) if parts else np.empty(0, dtype=object)
+    codes, _ = pd.factorize(tokens) if len(tokens) else (np.empty(0, dtype=np.int64), None)
+    nh = int(h_lens.sum())
+    m = match_counts(np.asarray(codes[:nh]), h_lens, np.asarray(codes[nh:]), r_lens, order)
+    cols = [h_lens, r_lens]
+    for k in range(order):
+        cols += [np.maximum(h_lens - k, 0), m[:, k]]
+    return np.stack(cols, axis=1)
+
+
+def char_ngram_stats_batch(h_strs, r_strs, order: int = 6) -> np.ndarray:
+    h_lens = np.fromiter((len(x) for x in h_strs), dtype=np.int64, count=len(h_strs))
+    r_lens = np.fromiter((len(x) for x in r_strs), dtype=np.int64, count=len(r_strs))
+    cps = np.frombuffer(("".join(h_strs) + "".join(r_strs)).encode("utf-32-le"), dtype=np.uint32)
+    codes = pd.factorize(cps)[0] if len(cps) else np.empty(0, dtype=np.int64)
+    nh = int(h_lens.sum())
+    m = match_counts(np.asarray(codes[:nh]), h_lens, np.asarray(codes[nh:]), r_lens, order)
+    cols = []
+    for k in range(order):
+        cols += [np.maximum(h_lens - k, 0), np.maximum(r_lens - k, 0), m[:, k]]
+    return np.stack(cols, axis=1)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def word_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([word_ngram_stats_py(a, b) for a, b in zip(h, r)])
+    st = word_ngram_stats_batch([x if x is not None else [] for x in h], [x if x is not None else [] for x in r])
+    return pd.Series(list(st))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def char_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([char_ngram_stats_py(a or "", b or "") for a, b in zip(h, r)])
+    st = char_ngram_stats_batch([x or "" for x in h], [x or "" for x in r])
+    return pd.Series(list(st))
 
 
 # ---------------------------------------------------------------------------

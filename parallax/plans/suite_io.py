@@ -56,7 +56,7 @@ def q_stream_clean(spark, d):
         n = F.size(F.split("text", " ", -1))
         return s.where((F.col("text") != "") & n.between(1, 60))
 
-    return run_available(spark, read_lines_stream(spark, root, max_files_per_trigger=2), clean)
+    return run_available(spark, read_lines_stream(spark, root, max_files_per_trigger=8), clean)
 
 
 @register("lm_dataset", sql=f"""

@@ -78,7 +78,8 @@ MIX_KEY = "md5('42-' || tag || '-' || ord || '-' || corpus || '-' || doc_id || '
 
 
 @register("build_mixture", sql=f"""
-  SELECT tag, CAST(ord AS INTEGER) AS ord, corpus, doc_id, line_no, rank, CAST((rank - 1) // 16 AS BIGINT) AS batch_id,
+  SELECT tag, CAST(ord AS INTEGER) AS ord, corpus, doc_id, line_no, 'spa_Latn' AS src_tag, tag AS tgt_tag,
+         rank, CAST((rank - 1) // 16 AS BIGINT) AS batch_id,
          CAST(least(len({fx.sql_words("'<2' || tag || '> ' || source")}), 100) AS BIGINT) AS n_src,
          CAST(least(len({fx.sql_words("tag || ' ' || target")}), 100) AS BIGINT) AS n_tgt
   FROM (SELECT p.*, m.tag, m.ord, row_number() OVER (ORDER BY {MIX_KEY.replace('corpus', 'p.corpus')}, m.tag, m.ord, p.corpus, p.doc_id, p.line_no) AS rank
@@ -88,13 +89,13 @@ def q_build_mixture(spark, d):
     truncate (P12) -> union (U-ALL, in the join) -> seeded shuffle (B3) ->
     batches (B6)."""
     pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
-    mix = C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON))
-    mix = mix.select("tag", "ord", "corpus", "doc_id", "line_no",
+    mix = C.assign_tags(C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON)), "spa_Latn", F.col("tag"))
+    mix = mix.select("tag", "ord", "corpus", "doc_id", "line_no", "src_tag", "tgt_tag",
                      tk.truncate(tk.word_length_ids(F.concat(F.lit("<2"), "tag", F.lit("> "), "source")), 100).alias("src_ids"),
                      tk.truncate(tk.word_length_ids(tx.tag_target("target", F.col("tag"))), 100).alias("tgt_ids"))
     ranked = C.shuffle_rank(mix, 42, ["tag", "ord", "corpus", "doc_id", "line_no"], group=())
     out = C.assign_batches(ranked, 16, pos="rank")
-    return out.select("tag", "ord", "corpus", "doc_id", "line_no", "rank", "batch_id",
+    return out.select("tag", "ord", "corpus", "doc_id", "line_no", "src_tag", "tgt_tag", "rank", "batch_id",
                       F.size("src_ids").cast("long").alias("n_src"), F.size("tgt_ids").cast("long").alias("n_tgt"))
 
 

@@ -103,3 +103,13 @@ def pin(df, **exprs):
     keep = [c for c in df.columns if c not in exprs]
     packed = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
     return df.select(*keep, F.inline(packed))
+
+
+def broadcast_if_small(df, max_rows: int = 2_000_000):
+    """Broadcast a *materialised* table when its row count (a Parquet
+    metadata read, no scan of the data) is at most ``max_rows``; otherwise
+    return it unchanged so the join stays a shuffle join (with AQE skew
+    handling).  Use only on tables read back from storage."""
+    from pyspark.sql import functions as F
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
