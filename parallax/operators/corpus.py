@@ -91,8 +91,8 @@ def build_mixture(pairs: DataFrame, manifest: DataFrame, corpus_col: str = "corp
 # B1, B2, B6-B9
 # ---------------------------------------------------------------------------
 def with_positions(lines: DataFrame, group=("corpus",), doc_col="doc_id", line_col="line_no",
-                   name: str = "pos") -> DataFrame:
-    return line_positions(lines, list(group), doc_col, line_col, name)
+                   name: str = "pos", dense: bool = False) -> DataFrame:
+    return line_positions(lines, list(group), doc_col, line_col, name, dense=dense)
 
 
 def group_sizes(df: DataFrame, group=("corpus",)) -> DataFrame:

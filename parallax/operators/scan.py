@@ -87,15 +87,19 @@ def weighted_offsets(df: DataFrame, group_cols, chunk: Column, order_cols, weigh
 
 
 def line_positions(lines: DataFrame, group_cols, doc_col: str = "doc_id", line_col: str = "line_no",
-                   name: str = "pos", docs_per_chunk: int = 4096) -> DataFrame:
+                   name: str = "pos", docs_per_chunk: int = 4096, dense: bool = False) -> DataFrame:
     """Position of every line in its group when lines are ordered by
     ``(doc, line)``: an offset per document (two-level scan over one row per
-    document) plus the line number inside the document."""
+    document) plus the rank of the line inside the document.  With
+    ``dense=True`` the line numbers are known to be 1..n in every document
+    (e.g. straight from ``posexplode``) and are used as the rank directly."""
     group_cols = _cols(group_cols)
     per_doc = lines.groupBy(*group_cols, doc_col).agg(F.count(F.lit(1)).alias("__n"))
     per_doc = weighted_offsets(per_doc, group_cols, F.floor(F.col(doc_col) / docs_per_chunk),
                                [doc_col], F.col("__n"), "__doc_off")
     out = lines.join(per_doc.select(*group_cols, doc_col, "__doc_off"), on=[*group_cols, doc_col])
+    if dense:
+        return out.withColumn(name, (F.col("__doc_off") + F.col(line_col)).cast("long")).drop("__doc_off")
     # one window per document: a document is a single input row, so bounded
     inner = F.row_number().over(Window.partitionBy(*group_cols, doc_col).orderBy(line_col))
     return out.withColumn(name, (F.col("__doc_off") + inner).cast("long")).drop("__doc_off")

@@ -74,7 +74,7 @@ def q_similarity_band(spark, d):
 def q_line_index(spark, d):
     from ..operators.scan import line_positions
     ln = fx.lines(spark, d).select("corpus", "doc_id", "line_no", "text")
-    return line_positions(ln, ["corpus"], "doc_id", "line_no", "pos")
+    return line_positions(ln, ["corpus"], "doc_id", "line_no", "pos", dense=True)
 
 
 @register("zip_truncate", sql="""

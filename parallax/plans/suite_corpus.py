@@ -30,11 +30,12 @@ def _arr(c):
 
 
 def _pos_lines(spark, d):
-    return C.with_positions(fx.lines(spark, d))
+    # FX1 line numbers come from posexplode: dense inside every document
+    return C.with_positions(fx.lines(spark, d), dense=True)
 
 
 def _pos_tokens(spark, d):
-    return C.with_positions(fx.tokens(spark, d))
+    return C.with_positions(fx.tokens(spark, d), dense=True)
 
 
 @register("concat_corpora", sql="""

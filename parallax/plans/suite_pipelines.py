@@ -183,14 +183,10 @@ def q_analyze_run(spark, d):
     """Running best (W4) -> stall counter (W5) -> stop step (W6) ->
     best checkpoint (W7), per run and task, in one aggregation."""
     s = R.stall_counter(fx.vlog(spark, d))
-    g = s.groupBy("run", "task").agg(
+    # one aggregation: the best checkpoint is the last improving evaluation
+    return s.groupBy("run", "task").agg(
         F.count(F.lit(1)).alias("n_evals"),
         F.max("best").alias("best"),
-        F.min(F.when(F.col("improved") & (F.col("bleu") == F.col("best")), F.col("step"))).alias("__steps"),
-        F.max_by(F.struct("best", "step"), "step").alias("__last"),
+        F.max(F.when(F.col("improved"), F.col("step"))).alias("best_step"),
         F.min(F.when(F.col("stall") == 10, F.col("step"))).alias("stop_step"),
         F.max_by("stall", "step").alias("final_stall"))
-    # the best checkpoint is the last improving evaluation
-    last_imp = s.where(F.col("improved")).groupBy("run", "task").agg(F.max("step").alias("best_step"))
-    return g.join(last_imp, ["run", "task"], "left").select("run", "task", "n_evals", "best", "best_step",
-                                                           "stop_step", "final_stall")

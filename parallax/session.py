@@ -84,10 +84,12 @@ def spread(df, factor: int = 2):
     is round-robin repartitioned; otherwise it is returned unchanged, so on
     a large input this costs nothing.  Round-robin repartitioning sorts
     first, so a retried task reproduces the same split."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave it to Spark
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def pin(df, **exprs):
