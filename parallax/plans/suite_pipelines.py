@@ -119,7 +119,7 @@ def q_translate_rerank(spark, d):
                        keys=["doc_id", "line_no"]).withColumnRenamed("hyp", "text")
     hyps = materialize(hyps, "nbest")  # inference runs once; three branches read it
     lm = I.train_bigram_lm(ln, "text")
-    scored = I.score_loss(hyps, lm, "text", keys=("doc_id", "line_no", "hyp_idx"))
+    scored = I.score_loss(hyps, lm, "text", keys=("doc_id", "line_no", "hyp_idx"), broadcast_max_rows=2_000_000)
     best = NB.rerank(scored, "loss", "max", keys=("doc_id", "line_no")).select(
         "doc_id", "line_no", F.col("text").alias("best_lm"))
     top = NB.top1(hyps).select("doc_id", "line_no", F.col("text").alias("top1"))

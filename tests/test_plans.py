@@ -34,3 +34,33 @@ def test_oracle_sql_names_every_registered_column():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     assert len(q) >= 80
+
+
+def test_pin_keeps_expensive_columns_out_of_filters(spark):
+    from parallax.functions.text import normalize_punct
+    from parallax.operators.filters import clean_pairs
+    df = spark.createDataFrame([("a , b", "c d")], "source string, target string")
+    norm = df.select(normalize_punct("source", "es").alias("source"), "target")
+    plan = _plan(clean_pairs(norm, 1, 10))
+    # the normalisation chain is evaluated below the generator; no filter repeats it
+    assert "Generate" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+
+
+def test_spread_is_a_no_op_on_wide_inputs(spark):
+    from parallax.session import spread
+    wide = spark.range(0, 1000, numPartitions=64)
+    assert spread(wide) is wide
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() >= 2
+
+
+def test_lm_scoring_has_no_nested_loop_join(spark):
+    from parallax.operators import inference as I
+    corpus = spark.createDataFrame([("el gato come",), ("el perro come",)], "text string")
+    hyp = spark.createDataFrame([(0, 0, "el gato"), (0, 1, "perro el")], "sent_id long, hyp_idx int, text string")
+    out = I.score_loss(hyp, I.train_bigram_lm(corpus), "text")
+    plan = _plan(out)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    losses = {r.hyp_idx: r.loss for r in out.collect()}
+    assert losses[0] < losses[1]  # the seen word order is more fluent
