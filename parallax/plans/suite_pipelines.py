@@ -176,17 +176,18 @@ def q_post_edit_pairs(spark, d):
   SELECT run, task, count(*) AS n_evals, greatest(max(bleu), 0.0) AS best,
          min(CASE WHEN improved AND best = (SELECT max(s2.best) FROM st s2 WHERE s2.run = st.run AND s2.task = st.task)
              THEN step END) AS best_step,
-         min(CASE WHEN stall = 10 THEN step END) AS stop_step,
+         coalesce(min(CASE WHEN stall = 10 THEN step END), -1) AS stop_step,
          arg_max(stall, step) AS final_stall
   FROM st GROUP BY run, task""", ctes=[("v0", "SELECT 1")])
 def q_analyze_run(spark, d):
-    """Running best (W4) -> stall counter (W5) -> stop step (W6) ->
-    best checkpoint (W7), per run and task, in one aggregation."""
+    """Running best (W4) -> stall counter (W5) -> stop step (W6; -1 when
+    patience 10 is never reached) -> best checkpoint (W7), per run and task,
+    in one aggregation."""
     s = R.stall_counter(fx.vlog(spark, d))
     # one aggregation: the best checkpoint is the last improving evaluation
     return s.groupBy("run", "task").agg(
         F.count(F.lit(1)).alias("n_evals"),
         F.max("best").alias("best"),
         F.max(F.when(F.col("improved"), F.col("step"))).alias("best_step"),
-        F.min(F.when(F.col("stall") == 10, F.col("step"))).alias("stop_step"),
+        F.coalesce(F.min(F.when(F.col("stall") == 10, F.col("step"))), F.lit(-1)).alias("stop_step"),
         F.max_by("stall", "step").alias("final_stall"))

@@ -64,10 +64,12 @@ def q_stall_counter(spark, d):
 
 
 @register("stop_step", sql=f""", {SCAN_SQL.strip()}
-  SELECT run, task, min(CASE WHEN stall = 10 THEN step END) AS stop_step FROM st GROUP BY run, task""",
+  SELECT * FROM (SELECT run, task, min(CASE WHEN stall = 10 THEN step END) AS stop_step FROM st GROUP BY run, task)
+  WHERE stop_step IS NOT NULL""",
           ctes=[("v0", "SELECT 1")])
 def q_stop_step(spark, d):
-    return R.stop_step(fx.vlog(spark, d), patience=10)
+    """Stopping points: the runs/tasks that reach patience 10, and where."""
+    return R.stop_step(fx.vlog(spark, d), patience=10).where(F.col("stop_step").isNotNull())
 
 
 @register("best_checkpoint", sql="""
@@ -92,10 +94,11 @@ def q_resume_state(spark, d):
   b AS (SELECT *, (prev IS NULL OR -loss > prev) AS imp FROM a),
   c AS (SELECT *, pos - max(CASE WHEN imp THEN pos END)
                     OVER (PARTITION BY run, task ORDER BY step ROWS UNBOUNDED PRECEDING) AS counter FROM b)
-  SELECT run, task, min(CASE WHEN counter = 5 THEN step END) AS stop_step FROM c GROUP BY run, task""",
+  SELECT * FROM (SELECT run, task, min(CASE WHEN counter = 5 THEN step END) AS stop_step FROM c GROUP BY run, task)
+  WHERE stop_step IS NOT NULL""",
           ctes=[("v0", "SELECT 1")])
 def q_lm_patience(spark, d):
-    return R.lm_patience(fx.vlog(spark, d), patience=5)
+    return R.lm_patience(fx.vlog(spark, d), patience=5).where(F.col("stop_step").isNotNull())
 
 
 @register("running_cost", sql="""
@@ -108,10 +111,10 @@ def q_running_cost(spark, d):
 
 
 @register("keep_last_k", sql="""
-  SELECT run, kind, step, ctime,
+  SELECT run, kind, step,
          row_number() OVER (PARTITION BY run, kind ORDER BY ctime DESC, step DESC) <= 2 AS keep FROM ckpt""")
 def q_keep_last_k(spark, d):
-    return R.keep_last_k(fx.ckpt(spark, d), k=2).select("run", "kind", "step", "ctime", "keep")
+    return R.keep_last_k(fx.ckpt(spark, d), k=2).select("run", "kind", "step", "keep")
 
 
 @register("latest_checkpoint", sql="""
