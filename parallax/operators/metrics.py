@@ -1,10 +1,12 @@
 """Corpus metrics.
 
 Every metric is a sum of per-segment sufficient statistics followed by one
-closed-form expression.  The statistics are computed row by row with
-built-in (JVM) expressions -- n-gram matches use a sort-merge over the
-segment's own n-grams inside ``aggregate`` -- so scoring shuffles nothing
-but one small partial-aggregate row per task and group.
+closed-form expression.  The statistics are computed where the segment is:
+counts and edit distances with built-in expressions, n-gram matches (BLEU,
+chrF) and TER shifts in Arrow UDFs that process a whole batch of segments
+(``functions/ngrams.py``), or, with ``method="native"``, by a sort-merge
+over the segment's own n-grams inside ``aggregate``.  Scoring therefore
+shuffles nothing but one small partial-aggregate row per task and group.
 """
 
 from __future__ import annotations
@@ -344,13 +346,6 @@ def token_accuracy(df: DataFrame, pred: str, label: str, keys=()) -> DataFrame:
     ).withColumn("accuracy", F.round(F.try_divide(F.col("n_correct").cast("double"), F.col("n_positions")), 6))
 
 
-def sample_counts(df: DataFrame, cap: int | None, keys=()) -> DataFrame:
-    """min(cap, available) rows per group."""
-    n = F.count(F.lit(1))
-    return df.groupBy(*_cols(keys)).agg((F.least(F.lit(cap), n) if cap is not None else n)
-                                        .cast("long").alias("samples"))
-
-
 # ---------------------------------------------------------------------------
 # significance
 # ---------------------------------------------------------------------------

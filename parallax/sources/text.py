@@ -1,11 +1,10 @@
 """Line-aligned text sources.
 
 Row identity of a text line is its position, which a partitioned read does
-not keep.  ``read_lines`` rebuilds it without a global sort or an RDD:
-each input split gets its line count (one small row per split), an
-exclusive running sum over the splits of a file gives every split its
-offset, and a window bounded by one split numbers the lines inside it.
-The split's rows are numbered in read order with
+not keep.  ``read_lines`` rebuilds it without a global sort, an RDD or a
+shuffle of the text: each input split gets its line count and first row id
+(one small row per split), an exclusive running sum over the splits gives
+every split its offset, and the line's rank inside its split comes from
 ``monotonically_increasing_id`` taken in the same projection as the scan.
 """
 
@@ -20,15 +19,38 @@ from ..functions.text import py_strip, strip_bom
 from ..operators.align import zip_strict, zip_truncate
 
 
+MAX_BROADCAST_SPLITS = 500_000
+
+
+def _split_bound(raw: DataFrame) -> int | None:
+    """Upper bound of the number of input splits: every split is a whole
+    file or a piece of one partition, so splits <= files + partitions."""
+    try:
+        return len(raw.inputFiles()) + raw.rdd.getNumPartitions()
+    except Exception:  # no file listing available (e.g. a remote session)
+        return None
+
+
 def _numbered(raw: DataFrame, group_cols: list[str]) -> DataFrame:
-    """``raw`` has value, __f (file path), __b (split start), __m (read order)."""
-    per_split = raw.groupBy(*group_cols, "__f", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    """``raw`` has value, __f (file path), __b (split start), __m (read order).
+
+    A split is read in order by one task and ``monotonically_increasing_id``
+    advances by one per row inside a partition, so a line's rank in its
+    split is ``__m - min(__m over the split)``.  One aggregate row per split
+    (count and first id) and a running sum over the splits give the
+    numbering without shuffling the text rows: the split table is joined
+    back by broadcast when its size bound (files + partitions) is small."""
+    per_split = raw.groupBy(*group_cols, "__f", "__b").agg(F.count(F.lit(1)).alias("__n"),
+                                                           F.min("__m").alias("__m0"))
     w = Window.partitionBy(*group_cols).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.select(*group_cols, "__f", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
-    inner = F.row_number().over(Window.partitionBy("__f", "__b").orderBy("__m"))
+    offsets = per_split.select(*group_cols, "__f", "__b", "__m0",
+                               F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
+    bound = _split_bound(raw)
+    if bound is not None and bound <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return (raw.join(offsets, [*group_cols, "__f", "__b"])
-            .withColumn("line_no", (F.col("__o") + inner).cast("long"))
-            .drop("__o", "__m", "__b"))
+            .withColumn("line_no", (F.col("__o") + F.col("__m") - F.col("__m0") + 1).cast("long"))
+            .drop("__o", "__m", "__m0", "__b"))
 
 
 def _raw_text(spark: SparkSession, paths) -> DataFrame:

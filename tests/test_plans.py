@@ -64,3 +64,27 @@ def test_lm_scoring_has_no_nested_loop_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     losses = {r.hyp_idx: r.loss for r in out.collect()}
     assert losses[0] < losses[1]  # the seen word order is more fluent
+
+
+def test_keep_last_k_limits_before_the_shuffle(spark):
+    from parallax.plans import fixtures as fx
+    df = R.keep_last_k(fx.ckpt(spark, SF_SMALL), 2)
+    df.collect()
+    plan = _plan(df)
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_line_numbering_does_not_shuffle_the_text(spark, tmp_path):
+    from parallax.sources.text import read_lines
+    d = tmp_path / "in"
+    d.mkdir()
+    for k in range(3):
+        (d / f"f{k}.txt").write_text("\n".join(f"line {k} {i}" for i in range(100)) + "\n")
+    df = read_lines(spark, str(d))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # the only hash exchange is the per-split aggregate (keyed by file and split)
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "__f" in line and "__b" in line
+    assert [r.line_no for r in df.orderBy("line_no").collect()] == list(range(1, 301))
