@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
 from ..functions.text import normalize_punct
-from ..operators.align import paste, zip_strict, zip_truncate
+from ..operators.align import paste, zip_strict
 from ..operators.filters import (clean_pairs, drop_empty, filter_language, filter_max_tokens,
                                  filter_similarity)
 from ..functions.tokens import encode_words

@@ -9,13 +9,11 @@ numbering, alignment and streaming code paths are what the oracle checks.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import tokens as tk
 from ..functions.text import squeeze_spaces
 from ..operators import corpus as C
 from ..operators import inference as I
-from ..operators import nbest as NB
 from ..session import scratch_path
 from ..sources import sinks as K
 from ..sources import text as S

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import char_edit_distance
-from ..functions.text import WS_CLASS
 from ..operators import metrics as M
 from . import fixtures as fx
 from .registry import register
