@@ -10,11 +10,11 @@ from .registry import register
 
 
 @register("source_prefix", sql="""
-  SELECT conv_id, turn, md5('translate Spanish to Aragonese: ' || source) AS source_md5 FROM pairs_conv""")
+  SELECT conv_id, turn, md5('translate to target: ' || source) AS source_md5 FROM pairs_conv""")
 def q_source_prefix(spark, d):
     p = fx.pairs_conv(spark, d)
     return p.select("conv_id", "turn",
-                    F.md5(tx.add_source_prefix("source", "translate Spanish to Aragonese: ")).alias("source_md5"))
+                    F.md5(tx.add_source_prefix("source", "translate to target: ")).alias("source_md5"))
 
 
 @register("prefix_tag", sql="""

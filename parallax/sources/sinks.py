@@ -85,5 +85,5 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def metrics_json(row: dict) -> str:
-    """The reference's ``all_results.json`` form, e.g. {"eval_bleu": 31.2}."""
+    """A one-line metrics record, e.g. {"eval_bleu": 31.2}."""
     return json.dumps(row)
