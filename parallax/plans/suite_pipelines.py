@@ -68,7 +68,9 @@ def q_prepare_filtered(spark, d):
                       tx.word_tokenize(tx.normalize_punct("source", "es")).alias("source"),
                       tx.word_tokenize(tx.normalize_punct("target", "es")).alias("target"))
     cl = clean_pairs(norm, 1, 80)
-    lang = filter_language(cl, fx.line_labels(spark, d), "__label__es")
+    # published and also filtered further: save it once instead of running
+    # the normalisation chain for both branches of the union
+    lang = materialize(filter_language(cl, fx.line_labels(spark, d), "__label__es"), "filtered")
     sim = filter_similarity(lang, 0.25, 0.99, ratio_col=None)
     return C.concat_corpora({"original": fam.drop("lang"), "filtered": lang, "levenshtein": sim}, "dataset") \
         .select("dataset", "corpus", "doc_id", "line_no")
