@@ -146,3 +146,66 @@ def test_ter_operator(spark):
     df = spark.createDataFrame([("a b c d", "c d a b"), ("A b", "a b")], "hyp string, ref string")
     r = M.ter(df).first()
     assert (r.edits, r.ref_words) == (1, 6)
+
+
+# The public BLEU/chrF tool documents this example with two reference sets:
+# BLEU = 48.53 (82.4/50.0/45.5/37.5, BP = 0.943, hyp_len 17, ref_len 18) and
+# chrF2 = 59.73.  Our formulas, extended to several references the way the
+# tool does it, must reproduce those numbers.
+DOC_HYPS = ["The dog bit the man.", "It wasn't surprising.", "The man had just bitten him."]
+DOC_REFS = [["The dog bit the man.", "It was not unexpected.", "The man bit him first."],
+            ["The dog had bit the man.", "No one was surprised.", "The man had bitten the dog."]]
+
+
+def _multi_ref_bleu(hyps, refsets):
+    from collections import Counter
+    grams = lambda t, n: Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+    corr, tot, sl, rl = [0] * 4, [0] * 4, 0, 0
+    for i, h in enumerate(hyps):
+        ht = py_tok13a(h)
+        rts = [py_tok13a(rs[i]) for rs in refsets]
+        sl += len(ht)
+        rl += min((abs(len(r) - len(ht)), len(r)) for r in rts)[1]
+        for n in range(1, 5):
+            best = {}
+            for r in rts:
+                for g, c in grams(r, n).items():
+                    best[g] = max(best.get(g, 0), c)
+            corr[n - 1] += sum(min(c, best.get(g, 0)) for g, c in grams(ht, n).items())
+            tot[n - 1] += max(len(ht) - n + 1, 0)
+    prec = [100.0 * c / t for c, t in zip(corr, tot)]
+    bp = 1.0 if sl >= rl else math.exp(1 - rl / sl)
+    return bp * math.exp(sum(math.log(p) for p in prec) / 4), prec, bp, sl, rl
+
+
+def test_published_bleu_example(spark):
+    b, prec, bp, sl, rl = _multi_ref_bleu(DOC_HYPS, DOC_REFS)
+    assert round(b, 2) == 48.53 and [round(p, 1) for p in prec] == [82.4, 50.0, 45.5, 37.5]
+    assert round(bp, 3) == 0.943 and (sl, rl) == (17, 18)
+    # the Spark tokenizer gives the same tokens as the Python rules used above
+    sents = DOC_HYPS + DOC_REFS[0] + DOC_REFS[1]
+    df = spark.createDataFrame([(s,) for s in sents], "s string")
+    assert [r.t for r in df.select(M.tokenize_13a("s").alias("t")).collect()] == [py_tok13a(s) for s in sents]
+    # and the engine equals the formula for one reference set
+    one = spark.createDataFrame(list(zip(DOC_HYPS, DOC_REFS[0])), "hyp string, ref string")
+    assert abs(M.bleu(one).first().bleu - _multi_ref_bleu(DOC_HYPS, DOC_REFS[:1])[0]) < 1e-4
+
+
+def test_published_chrf_example(spark):
+    def f(st):
+        p = r = 0.0
+        eff = 0
+        for n in range(6):
+            h, rf, m = st[3 * n:3 * n + 3]
+            if h > 0 and rf > 0:
+                p, r, eff = p + m / h, r + m / rf, eff + 1
+        p, r = (p / eff, r / eff) if eff else (0.0, 0.0)
+        return 100 * 5 * p * r / (4 * p + r) if p + r else 0.0
+
+    tot = [0] * 18
+    for i, h in enumerate(DOC_HYPS):
+        cands = [char_ngram_stats_py("".join(h.split()), "".join(rs[i].split())) for rs in DOC_REFS]
+        tot = [a + b for a, b in zip(tot, max(cands, key=f))]
+    assert round(f(tot), 2) == 59.73
+    one = spark.createDataFrame(list(zip(DOC_HYPS, DOC_REFS[0])), "hyp string, ref string")
+    assert abs(M.chrf(one).first().chrf - py_chrf(DOC_HYPS, DOC_REFS[0])) < 1e-4
