@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None, ctes: list[tuple[str, str]] | No
 
 def load_all() -> None:
     """Import every query suite (each registers itself on import)."""
-    from . import (suite_cleaning, suite_corpus, suite_io, suite_pipelines,  # noqa: F401
+    from . import (suite_cleaning, suite_corpus, suite_io, suite_workflows,  # noqa: F401
                    suite_runs, suite_scoring, suite_text)

@@ -67,7 +67,7 @@ def q_mixture(spark, d):
          round(sum(len({fx.sql_words('p.source')})) / sum(sum(len({fx.sql_words('p.source')}))) OVER (), 6) AS src_share
   FROM pairs_docs p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus GROUP BY tag""")
 def q_mixture_report(spark, d):
-    from ..plans.pipelines import mixture_report
+    from ..plans.workflows import mixture_report
     pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
     return mixture_report(C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON)))
 

@@ -68,7 +68,7 @@ def q_stream_clean(spark, d):
          array_to_string(a[block_idx * 128 + 1 : (block_idx + 1) * 128], ' ') AS input_ids
   FROM bp WHERE bpos <= 200""", ctes=[("v0", "SELECT 1")], bench=True)
 def q_lm_dataset(spark, d):
-    from .pipelines import lm_dataset
+    from .workflows import lm_dataset
     root = scratch_path(spark, "lm") + ".txt"
     K.write_lines(fx.lines(spark, d), root, "text", ["corpus", "doc_id", "line_no"])
     blocks = lm_dataset(spark, root, block=128, validation_pct=5.0, max_train_samples=200)
@@ -83,7 +83,7 @@ def q_encode(spark, d):
     the driver) is shipped to the workers as JSON; encoding runs in an
     iterator Arrow UDF that builds the tokenizer once per task, truncated
     to 100 ids."""
-    from .pipelines import build_vocab, wordlevel_tokenizer_json
+    from .workflows import build_vocab, wordlevel_tokenizer_json
     ln = fx.lines(spark, d)
     vocab_json = wordlevel_tokenizer_json(build_vocab(ln, "text", 5000))
 

@@ -1,4 +1,4 @@
-"""Queries: pipelines (X1-X10) and TER (A10)."""
+"""Queries: workflows composed from the operators (X1-X10) and TER (A10)."""
 
 from __future__ import annotations
 

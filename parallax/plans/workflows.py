@@ -1,4 +1,4 @@
-"""Pipelines a user calls (X1-X11): compositions of the operators."""
+"""Workflows a user calls (X1-X11): compositions of the operators."""
 
 from __future__ import annotations
 
