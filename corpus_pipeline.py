@@ -32,11 +32,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text back."""
-    coder = queries.tokenizer(spark)
-    ids = docs.select("doc_id", "text", coder.encode(F.col("text")).alias("ids"))
+    coded = bpe.recode(docs.select("doc_id", "text"), queries.tokenizer(spark))
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids",
-                      (coder.decode(F.col("ids")) == whole).alias("round_trip"))
+    return coded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == whole).alias("round_trip"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup),

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that ``spark.checkpoint.dir`` names."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from ..session import scratch_path
 
 
 def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` as Parquet in the folder that ``spark.checkpoint.dir`` names and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of these files."""
-    path = shared_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -29,3 +22,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Send texts to Python in batches of at most ``rows`` rows and ``size`` bytes (or one row).
+
+    Sets the session's Arrow batch limits, unless they are lower already:
+    with long texts the default of 10,000 rows does not bound memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        digits = (now or "").lower().removesuffix("b")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import heapq
 import pickle
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -15,10 +16,13 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: pre-tokens resolved at once, and the most that a worker remembers
-PIECES, MEMO = 200_000, 300_000
+from ..session import pin
+from ._common import bound_batches
+
+#: pre-tokens resolved at once, and the most that a worker remembers (in each of two generations)
+PIECES, MEMO = 200_000, 250_000
 #: longer pre-tokens are not remembered
 MEMO_BYTES = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -81,42 +85,64 @@ class PerfectHash:
         return np.where(shift < 0, -1 - shift, moved)
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Repeatedly merge the adjacent pair of lowest rank, the leftmost first."""
+#: ids fit in so many bits; a pair of ids is one whole number, as is a heap entry (rank, place)
+_ID, _PLACE = 20, 40
+_NONE = 1 << _ID
+
+
+def merge(piece: bytes, byte_id: list[int], pair_rank: dict[int, int]) -> list[int]:
+    """Repeatedly merge the adjacent pair of lowest rank, the leftmost first.
+
+    Bytes form a linked list; a heap holds the ranks of adjacent pairs, and an
+    entry counts only while it is the rank of the pair at its place."""
     n = len(piece)
-    part = [piece[i:i + 1] for i in range(n)]
+    ids = [byte_id[c] for c in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(piece[i:i + 2])
-        if r is not None:
-            heap.append((r, i, i + 1, 2))
+    now = [pair_rank.get(a << _ID | b, _NONE) for a, b in zip(ids, ids[1:])]
+    now.append(_NONE)
+    heap = [r << _PLACE | i for i, r in enumerate(now) if r != _NONE]
     heapq.heapify(heap)
+    pop, push, rank = heapq.heappop, heapq.heappush, pair_rank.get
     while heap:
-        r, i, j, size = heapq.heappop(heap)
-        if not part[i] or after[i] != j or j >= n or len(part[i]) + len(part[j]) != size:
+        entry = pop(heap)
+        r = entry >> _PLACE
+        i = entry & ((1 << _PLACE) - 1)
+        if now[i] != r:
             continue  # one side has been merged since
-        part[i] += part[j]
-        part[j] = b""
+        j = after[i]
         k = after[i] = after[j]
+        ids[i], ids[j], now[j] = r, -1, _NONE
         if k < n:
             before[k] = i
-            r = ranks.get(part[i] + part[k])
-            if r is not None:
-                heapq.heappush(heap, (r, i, k, size + len(part[k])))
+            t = now[i] = rank(r << _ID | ids[k], _NONE)
+            if t != _NONE:
+                push(heap, t << _PLACE | i)
+        else:
+            now[i] = _NONE
         h = before[i]
         if h >= 0:
-            r = ranks.get(part[h] + part[i])
-            if r is not None:
-                heapq.heappush(heap, (r, h, i, len(part[h]) + size))
-    return [ranks[p] for p in part if p]
+            t = now[h] = rank(ids[h] << _ID | r, _NONE)
+            if t != _NONE:
+                push(heap, t << _PLACE | h)
+    return [x for x in ids if x >= 0]
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """(left id, right id) -> id of the token that both make."""
+    out = {}
+    for token, r in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                out[a << _ID | b] = r
+    return out
 
 
 class Codec:
     """Encodes and decodes with a rank file's vocabulary (bytes -> rank)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.ranks = pattern, ranks
+        self.pattern = pattern
         tokens = list(ranks)
         self.hash = PerfectHash(tokens)
         slot = self.hash.slots(tokens)
@@ -125,15 +151,18 @@ class Codec:
         for s, t in zip(slot.tolist(), tokens):
             self.slot_token[s], self.slot_rank[s] = t, ranks[t]
         self.by_rank = {r: t for t, r in ranks.items()}
+        self.byte_id = [ranks[bytes([c])] for c in range(256)]
+        self.pair_rank = pair_ranks(ranks)
         self._start()
 
     def _start(self) -> None:
         self.find = regex.compile(self.pattern).finditer
         self.find_all = regex.compile(self.pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_all", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_all", "memo", "older")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -150,7 +179,8 @@ class Codec:
             if self.slot_token[s] == b:
                 out[t] = packed[4 * i:4 * i + 4]
             else:
-                out[t] = np.array(merge(b, self.ranks), "<u4").tobytes()
+                ids = merge(b, self.byte_id, self.pair_rank)
+                out[t] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
@@ -165,20 +195,25 @@ class Codec:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         out = []
         for pieces in self._pieces(text or ""):
-            memo = self.memo
             try:
-                out.append(b"".join([memo[p] for p in pieces]))
+                out.append(b"".join([self.memo[p] for p in pieces]))
+                continue
             except KeyError:
-                new = self._resolve({p for p in pieces if p not in memo})
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = self._resolve(set(pieces))
-                both = memo | new if len(new) > MEMO else memo
-                for p, b in new.items():
-                    if len(p) <= MEMO_BYTES:
-                        memo[p] = b
-                out.append(b"".join([memo[p] if p in memo else new[p] for p in pieces]) if both is memo
-                           else b"".join([new[p] for p in pieces]))
+                pass
+            new = set(pieces).difference(self.memo)
+            if len(self.memo) + len(new) > MEMO:  # two generations: what is in use moves to the younger one
+                self.memo, self.older = {}, self.memo
+                new = set(pieces)
+            known = {p: self.older[p] for p in new.intersection(self.older)}
+            known.update(self._resolve(new.difference(known)))
+            if len(known) > MEMO or any(len(p) > MEMO_BYTES for p in known):
+                keep = {p: b for p, b in list(known.items())[:MEMO] if len(p) <= MEMO_BYTES}
+                known.update((p, self.memo[p]) for p in set(pieces).difference(known))
+                out.append(b"".join([known[p] for p in pieces]))
+                self.memo.update(keep)
+            else:
+                self.memo.update(known)
+                out.append(b"".join([self.memo[p] for p in pieces]))
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> bytes:
@@ -203,6 +238,14 @@ def _codec(shared) -> Codec:
     return _codecs[shared.value["id"]]
 
 
+def recode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and, decoded from them, ``decoded`` (replacing such columns).
+
+    The ids are pinned between the two, so that encoding runs once."""
+    ids = docs.drop("ids", "decoded").withColumn("ids", tokenizer.encode(F.col(text)))
+    return pin(ids, ids=F.col("ids")).withColumn("decoded", tokenizer.decode(F.col("ids")))
+
+
 class Tokenizer:
     """Column functions over a vocabulary that is read once on the driver and broadcast (about 2 MB for 50k tokens).
 
@@ -211,6 +254,7 @@ class Tokenizer:
     gives the bytes (binary), exactly those that were encoded."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        bound_batches(spark)
         codec = pickle.dumps(Codec(load_ranks(path), pattern))
         shared = spark.sparkContext.broadcast({"id": xxhash.xxh64_intdigest(codec), "codec": codec})
 

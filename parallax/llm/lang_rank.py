@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ._common import bound_batches
+
 #: n-grams kept in a profile, and so the most that one can be out of place
 PROFILE = 400
 #: expected number of documents a language's profile is learned from
@@ -93,6 +95,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     rows chosen by the hash of their id, ``per_lang`` expected (all, if
     fewer).  The labels' counts and the profiles (``size`` keys a language)
     are what reaches the driver."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id")).where(
         "lang is not null and text is not null and id is not null")
     share = {r["lang"]: per_lang / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lang_rank, line_runs, mixing, simhash_mih
+from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, secret_scan, simhash_mih, topk_norm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +26,16 @@ def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
     return bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register
+def op1_topk(spark, sf_dir):
+    return topk_norm.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+@register
+def op2_html(spark, sf_dir):
+    return html_lstm.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @register
 def op3_mixing(spark, sf_dir):
     mixed = mixing.repetitions(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -37,12 +47,16 @@ def op4_simhash(spark, sf_dir):
     return simhash_mih.near_dedup(table(spark, sf_dir, "documents"), k=3, max_bits=3)
 
 
+@register
+def op5_embeddings(spark, sf_dir):
+    return cover_tree.near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @register
 def op6_bpe(spark, sf_dir):
-    coder = tokenizer(spark)
-    ids = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                      F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    coded = bpe.recode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(spark))
+    return coded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register
@@ -51,6 +65,25 @@ def op7_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register
+def op8_chat(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_chats(turns))
+
+
+@register
+def op9_secrets(spark, sf_dir):
+    found = secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"] != "entropy")
+    count = secret_scan.count_kind
+    return found.select("doc_id", count(spans, "assign").alias("n_assign"), count(spans, "access").alias("n_access"),
+                        count(spans, "hex").alias("n_hex"), F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+                        secret_scan.spans_text(spans).alias("spans"))
+
+
 @register
 def op10_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -107,3 +140,27 @@ LEFT JOIN left{len(rounds)} l ON l.doc_id = d.doc_id AND l.h = d.h AND l.size =
 
 
 ORACLE_SQL["op3_mixing"] = _mixing_sql()
+
+ORACLE_SQL["op1_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL["op5_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+         AND coalesce(list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))), false)
+         AND coalesce(list_bool_or(list_transform(e, lambda x: x <> 0)), false)),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.n * b.n) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+part AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN part ON v.vec_id = part.x LEFT JOIN n ON v.vec_id = n.x
+"""

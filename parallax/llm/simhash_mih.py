@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import remove, save
+from ._common import bound_batches, remove, save
 from .components import connected_components
 
 SEED = 42
@@ -172,6 +172,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     fingerprint zero and links like any other.  Rows with a null id get a
     component but never name it (null where all its ids are null).  Repeated
     rows repeat; an empty table gives an empty one."""
+    bound_batches(docs.sparkSession)
     marked, _ = save(docs.select(F.col(id_col).alias("doc"), fingerprint_udf(k)(F.col(text)).alias("fp")), "fingerprints")
     groups, _ = save(marked.groupBy("fp").agg(F.min("doc").alias("least")), "groups")
     parts = connected_components(near_links(groups.select("fp"), max_bits, max_table))
