@@ -172,7 +172,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _cells(classes: DataFrame, pivots: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """``classes`` with its nearest pivot of the same dimension (``cell``) and the distance to it (``away``).
 
-    Pivots are a bounded sample by hash; they and nothing else reach the driver."""
+    Pivots are a bounded sample by hash; they and nothing else reach the
+    driver.  A group is dealt to the first ``cells`` of them (0: not dealt)."""
     found = classes.orderBy(F.xxhash64("h1", "h2")).select("dim", "v").limit(pivots).collect()
     by_dim: dict[int, np.ndarray] = {}
     first: dict[int, int] = {}
@@ -183,18 +184,21 @@ def _cells(classes: DataFrame, pivots: int) -> tuple[DataFrame, dict[int, np.nda
     by_dim = {dim: _unit(np.array(rows, np.float64)) for dim, rows in by_dim.items()}
 
     @F.pandas_udf("cell int, away double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
+    def nearest(v: pd.Series, cells: pd.Series) -> pd.DataFrame:
         cell, away = np.full(len(v), -1), np.full(len(v), 2.0)
         dims = v.map(len).to_numpy() if len(v) else np.empty(0, int)
         for dim in np.unique(dims):
             if dim in by_dim:
-                at = np.flatnonzero(dims == dim)
+                at = np.flatnonzero((dims == dim) & (cells.to_numpy() > 0))
+                if not len(at):
+                    continue
                 cos = _matrix(v.iloc[at]) @ by_dim[dim].T
+                cos[np.arange(cos.shape[1]) >= cells.iloc[at].to_numpy()[:, None]] = -2.0
                 cell[at] = cos.argmax(axis=1) + first[dim]
                 away[at] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1)))
         return pd.DataFrame({"cell": cell, "away": away})
 
-    return classes.withColumn("_n", nearest("v")).withColumns({"cell": F.col("_n.cell"), "away": F.col("_n.away")}).drop("_n"), {
+    return classes.withColumn("_n", nearest("v", "cells")).withColumns({"cell": F.col("_n.cell"), "away": F.col("_n.away")}).drop("_n"), {
         i + first[dim]: row for dim, rows in by_dim.items() for i, row in enumerate(rows)}
 
 
@@ -234,11 +238,11 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     classes = (rows.where("ok").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"))
                .withColumn("dim", F.size("v")))
     classes, c_path = save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    marked, centres = _cells(classes, pivots)
-    # groups that fit in one block stay whole, larger ones are dealt by cell, large cells by hash
+    # groups that fit in one block stay whole, larger ones are dealt to as many cells as blocks, large cells by hash
     group = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    marked = marked.join(group, ["label", "dim"]).withColumn("cell", F.when(F.col("n") > block, F.col("cell")).otherwise(-1))
-    marked, m_path = save(marked.drop("n"), "cells")
+    cells = F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(0).cast("long")
+    marked, centres = _cells(classes.join(group, ["label", "dim"]).withColumn("cells", cells), pivots)
+    marked, m_path = save(marked.drop("n", "cells"), "cells")
     sizes = marked.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
     dealt = (marked.join(sizes.drop("n"), ["label", "dim", "cell"])
              .withColumn("block", F.struct("cell", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))))

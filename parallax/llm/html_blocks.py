@@ -18,9 +18,9 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
                    "h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 ENDS_SELF = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
 
-#: sizes of the hashed path and word vectors; a few plain measures follow them
-PATH_DIM, WORD_DIM, PLAIN_DIM = 192, 48, 5
-DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
+#: sizes of the hashed path, innermost tag and word vectors; a few plain measures follow them
+PATH_DIM, TAG_DIM, WORD_DIM, PLAIN_DIM = 512, 64, 48, 5
+DIM = PATH_DIM + TAG_DIM + WORD_DIM + PLAIN_DIM
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -130,15 +130,15 @@ _paths: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names on the path; the innermost tag counts once more in the upper part."""
+    """Hashed names on the path, then the innermost tag."""
     v = _paths.get(path)
     if v is None:
-        v = np.zeros(PATH_DIM, np.float32)
+        v = np.zeros(PATH_DIM + TAG_DIM, np.float32)
         for name in path:
-            v[_slot(name, PATH_DIM - 32)] = 1.0
+            v[_slot(name, PATH_DIM)] = 1.0
         tags = [n for n in path if n[0] != "."]
         if tags:
-            v[PATH_DIM - 32 + _slot(tags[-1], 32)] = 1.0
+            v[PATH_DIM + _slot(tags[-1], TAG_DIM)] = 1.0
         if len(_paths) < 20_000:
             _paths[path] = v
     return v
@@ -147,11 +147,12 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 def features(blocks: list[Block]) -> np.ndarray:
     """One row for each block: path vector, hashed words, plain measures."""
     x = np.zeros((len(blocks), DIM), np.float32)
+    at = PATH_DIM + TAG_DIM
     for row, b in zip(x, blocks):
-        row[:PATH_DIM] = path_vector(b.path)
+        row[:at] = path_vector(b.path)
         words = b.text.lower().split()
         slots = np.fromiter((_slot(w, WORD_DIM) for w in words), np.int64, len(words))
-        row[PATH_DIM:PATH_DIM + WORD_DIM] = np.sqrt(np.bincount(slots, minlength=WORD_DIM) / max(len(words), 1))
-        row[PATH_DIM + WORD_DIM:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), b.text[-1] in ".!?:", np.log1p(len(words)) / 6,
-                                     len(b.path) / 16)
+        row[at:at + WORD_DIM] = np.sqrt(np.bincount(slots, minlength=WORD_DIM) / max(len(words), 1))
+        row[at + WORD_DIM:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), b.text[-1] in ".!?:", np.log1p(len(words)) / 6,
+                               len(b.path) / 16)
     return x

@@ -20,7 +20,7 @@ from .html_blocks import DIM, Block, features, read_blocks
 
 #: expected pages in the training sample; longer pages teach nothing
 SAMPLE_PAGES, SAMPLE_CHARS = 150, 100_000
-HIDDEN, STEPS, BATCH, RATE = 24, 260, 24, 0.01
+HIDDEN, STEPS, BATCH, RATE = 24, 400, 24, 0.01
 #: block slots that are labelled at once
 SLOTS = 16_384
 
@@ -62,7 +62,7 @@ def _page_designs(texts: list[str], links: list[str], rng: random.Random) -> lis
             if kind < 0.4:
                 put((*path, "ul", "li"), rng.choice(links) if links else short(), 0, True)
             else:
-                put((*path, *rng.choice((("p",), (), ("div",), ("h3",), ("ol", "li")))), any_text(), 0, rng.random() < 0.2)
+                put((*path, *rng.choice((("p",), (), ("div",), ("h3",), ("h2",), ("h1",), ("ol", "li")))), any_text(), 0, rng.random() < 0.2)
 
     before = ("nav", "header", ".nav", ".menu", ".header", ".masthead", ".breadcrumb", ".notice", ".cookie", ".banner", ".ad", ".advert",
               ".navigation", ".alert", ".search", "form", ".promo", ".consent", ".navbar", "aside", ".sidebar")
@@ -72,18 +72,21 @@ def _page_designs(texts: list[str], links: list[str], rng: random.Random) -> lis
     main = rng.choice((("article",), ("main",), ("main", "article"), ("div", ".article"), ("article", ".post"), ("div", ".post"),
                        ("div", ".entry"), ("section", ".story"), ("div", ".main", "article"), ("div", ".content", "article"),
                        ("main", ".content"), ("article", ".content")))
-    put((*main, rng.choice(("h1", "h1", "h2"))), short(), 1)
+    title = rng.choice((("h1",), ("h1",), ("h2",), ("header", "h1")))  # a header inside the article may hold its title
+    put((*main, *title), short(), 1)
     for _ in range(rng.randint(1, 14)):
         put((*main, *rng.choice((("p",),) * 8 + (("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("blockquote",), ("pre",),
                                                 (), ("div", "p"), ("section", "p"), ("figure", "figcaption"), ("table", "tr", "td")))),
             any_text(), 1, rng.random() < 0.02)
-        if rng.random() < 0.12:  # parts that do not belong, inside the article
+        if rng.random() < 0.2:  # parts that do not belong, inside the article
             name = rng.choice(REST_NAMES)
             for _ in range(rng.randint(1, 3)):
                 put((*main, *((name,) if name[0] != "." else (rng.choice(("div", "aside", "section")), name)), *rng.choice((("p",), (), ("ul", "li")))),
                     any_text(), 0, rng.random() < 0.3)
     for _ in range(rng.randint(0, 4)):
         rest(after)
+    if rng.random() < 0.3:  # a stray line beside the article
+        put(rng.choice((("p",), ("div",), ("div", "p"))), any_text(), 0)
     return page
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -79,10 +80,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow=ALLOW, classes=CLASSES) -> list[tuple[int, int, int]]:
     """Windows of high entropy that no allowed string and no base span holds."""
     found: list[tuple[int, int, int]] = []
     for pattern, width, least, needs in classes:
+        taken = _merged(base + found)  # windows of one class do not overlap each other
+        starts = [a for a, _ in taken]
         for m in pattern.finditer(text):
             s, at = m.group(), m.start()
             if not all(any(c in need for c in s) for need in needs):
@@ -92,7 +105,8 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], allow=ALLOW, clas
             for a, b in hot_windows(s, width, least):
                 window = s[a:b]
                 if all(any(c in need for c in window) for need in needs):
-                    if not any(x <= at + a and at + b <= y or at + a <= x < at + b or at + a < y <= at + b for x, _, y in base + found):
+                    before = bisect_left(starts, at + b)  # the last one that starts before this ends
+                    if not before or taken[before - 1][1] <= at + a:
                         found.append((at + a, 3, at + b))
     return found
 

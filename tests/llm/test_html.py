@@ -78,6 +78,28 @@ def test_page_with_everything(model):
         "Title & more\n\nFirst paragraph of the text.\n\nSecond paragraph, longer than the first one was.")
 
 
+ART = "<h1>T of it</h1><p>Some first words.</p><p>And a longer second paragraph of words.</p><h2>Sub</h2><p>The end.</p>"
+LAYOUTS = [
+    "<article>{}</article>",
+    "<div id='header'>x y</div><div id='content'><article>{}</article><div id='comments'><p>Nice one.</p><p>Thanks for this.</p></div></div>",
+    "<main>{}</main><section class='user-comments'><article class='comment'><p>Nice one.</p></article></section>",
+    "<div class='sidebar-widget'><p>Read this.</p></div><article>{}</article>",
+    "<header><h2>Site</h2></header><article>{}<footer>Posted by x</footer></article>",
+    "<div role='banner'>Site</div><div role='navigation'><a href=x>a</a></div><div role='main'>{}</div><div role='complementary'><p>More</p></div>",
+    "<div class='top-menu'><ul><li><a>x</a></li></ul></div><div class='article-body'>{}</div><div class='promo-box'>Buy</div>",
+    "<div id='cookie-banner'><p>We use them.</p></div><main><article>{}<aside class='advert'>Buy now</aside></article></main>",
+    "<dialog>Sign up</dialog><article>{}<form><label>Your mail</label><input></form></article>",
+    "<article>{}<div class='notice'>Take care of this.</div></article><div class='ad-slot'>Buy this thing today.</div>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(model, layout):
+    blocks = B.read_blocks(f"<html><body>{layout.format(ART)}</body></html>")
+    assert L.text_of(blocks, model.label([blocks])[0]) == "\n\n".join(
+        ["T of it", "Some first words.", "And a longer second paragraph of words.", "Sub", "The end."])
+
+
 def test_query(spark):
     pages = spark.read.parquet(f"{SF_MID}/pages.parquet").collect()
     got = {r["page_id"]: r for r in QUERIES["op2_html"](spark, SF_MID).collect()}
