@@ -204,7 +204,7 @@ class Codec:
             if len(self.memo) + len(new) > MEMO:  # two generations: what is in use moves to the younger one
                 self.memo, self.older = {}, self.memo
                 new = set(pieces)
-            known = {p: self.older[p] for p in new.intersection(self.older)}
+            known = {p: self.older[p] for p in new if p in self.older}
             known.update(self._resolve(new.difference(known)))
             if len(known) > MEMO or any(len(p) > MEMO_BYTES for p in known):
                 keep = {p: b for p, b in list(known.items())[:MEMO] if len(p) <= MEMO_BYTES}
