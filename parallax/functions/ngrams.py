@@ -141,32 +141,47 @@ def char_ngram_stats_batch(h_strs, r_strs, order: int = 6) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
+#: symbols of both sides that are counted at once (or one segment's)
+SLICE_SYMBOLS = 1 << 21
+
+
+def _in_slices(stats, h: list, r: list) -> pd.Series:
+    """Statistics of a batch, in slices of bounded total length."""
+    out, at, size = [], 0, 0
+    for i in range(len(h) + 1):
+        more = len(h[i]) + len(r[i]) if i < len(h) else 0
+        if i > at and (i == len(h) or size + more > SLICE_SYMBOLS):
+            out.extend(stats(h[at:i], r[at:i]))
+            at, size = i, 0
+        size += more
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def word_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    st = word_ngram_stats_batch([x if x is not None else [] for x in h], [x if x is not None else [] for x in r])
-    return pd.Series(list(st))
+    return _in_slices(word_ngram_stats_batch, [x if x is not None else [] for x in h], [x if x is not None else [] for x in r])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def char_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    st = char_ngram_stats_batch([x or "" for x in h], [x or "" for x in r])
-    return pd.Series(list(st))
+    return _in_slices(char_ngram_stats_batch, [x or "" for x in h], [x or "" for x in r])
 
 
 # ---------------------------------------------------------------------------
 # TER (A10): edit distance with block shifts, per segment
 # ---------------------------------------------------------------------------
-MAX_SHIFT_SIZE = 10
-MAX_SHIFT_DIST = 50
+#: longest phrase that is moved, and how far: part of the metric's usual definition
+MAX_SHIFT_SIZE, MAX_SHIFT_DIST = 10, 50
 
 
-def ter_edits_py(hyp_words, ref_words) -> tuple[int, int]:
+def ter_edits_py(hyp_words, ref_words, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIFT_DIST) -> tuple[int, int]:
     """(edits, reference length) for one segment.
 
     Greedy shifting in the manner of tercom: repeatedly move the phrase (at
-    most 10 words, present in the reference) whose move to a position next
-    to one of its reference occurrences (at most 50 words away) lowers the
-    word edit distance the most; each move costs one edit.  Edit distances
+    most ``max_size`` words, present in the reference) whose move to a
+    position next to one of its reference occurrences (at most ``max_dist``
+    words away) lowers the word edit distance the most; each move costs one
+    edit.  Edit distances
     are exact (no beam), so results can differ from tools that use a beam."""
     from .similarity import edit_distance
     hyp, ref = list(hyp_words), list(ref_words)
@@ -174,14 +189,14 @@ def ter_edits_py(hyp_words, ref_words) -> tuple[int, int]:
         return len(hyp), 0
     ref_pos: dict = {}
     for i in range(len(ref)):
-        for size in range(1, min(MAX_SHIFT_SIZE, len(ref) - i) + 1):
+        for size in range(1, min(max_size, len(ref) - i) + 1):
             ref_pos.setdefault(tuple(ref[i:i + size]), []).append(i)
     shifts = 0
     best_ed = edit_distance(hyp, ref)
     while best_ed > 0:
         best = None
         for i in range(len(hyp)):
-            for size in range(1, min(MAX_SHIFT_SIZE, len(hyp) - i) + 1):
+            for size in range(1, min(max_size, len(hyp) - i) + 1):
                 phrase = tuple(hyp[i:i + size])
                 occ = ref_pos.get(phrase)
                 if occ is None:
@@ -189,7 +204,7 @@ def ter_edits_py(hyp_words, ref_words) -> tuple[int, int]:
                 rest = hyp[:i] + hyp[i + size:]
                 for r in occ:
                     for j in {r - 1, r, r + 1}:
-                        if j < 0 or j > len(rest) or j == i or abs(j - i) > MAX_SHIFT_DIST:
+                        if j < 0 or j > len(rest) or j == i or abs(j - i) > max_dist:
                             continue
                         cand = rest[:j] + list(phrase) + rest[j:]
                         ed = edit_distance(cand, ref)

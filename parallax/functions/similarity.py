@@ -3,13 +3,12 @@
 * ``indel_ratio`` is 2*LCS/(m+n) (1.0 when both strings are empty), the
   "ratio" of the common Levenshtein libraries: insertions and deletions cost
   1, a substitution costs 2.  Spark has no LCS expression, so it runs as an
-  Arrow (pandas) UDF: a bit-parallel LCS that is vectorised with numpy over
-  the whole Arrow batch when one side has at most 64 code points, and uses
-  Python integers as bit vectors for longer strings.
+  Arrow (pandas) UDF: a bit-parallel LCS over bit sets of as many 64-bit
+  words as the shorter string needs, vectorised with numpy over slices of
+  the Arrow batch whose size is bounded.
 * Character edit distance is Spark's built-in ``levenshtein``.
-* Word edit distance maps the distinct words of one pair to single
-  characters and reuses the built-in ``levenshtein``; pairs with more than
-  255 distinct words go to an Arrow UDF (bit-parallel Levenshtein).
+* Word edit distance maps the distinct words of one pair to single code
+  points and reuses the built-in ``levenshtein``.
 """
 
 from __future__ import annotations
@@ -82,61 +81,70 @@ def edit_distance(a, b) -> int:
 
 
 # --------------------------------------------------------------------------
-# vectorised LCS for short strings
+# vectorised LCS
 # --------------------------------------------------------------------------
-_POW2 = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
-
-
-def _codepoints(strings, width: int, pad: int) -> np.ndarray:
-    out = np.full((len(strings), max(width, 1)), pad, dtype=np.int64)
-    for r, s in enumerate(strings):
-        if s:
-            cp = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-            out[r, : len(cp)] = cp
-    return out
-
-
-def _lcs_batch_short(a_list, b_list, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """LCS for rows where every a has <= 64 code points (numpy, uint64 bit sets)."""
-    n = len(a_list)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    wa = int(la.max()) if n else 0
-    wb = int(lb.max()) if n else 0
-    A = _codepoints(a_list, wa, -1)
-    B = _codepoints(b_list, wb, -2)
-    pw = _POW2[: A.shape[1]]
-    full = np.where(la >= 64, np.uint64(0xFFFFFFFFFFFFFFFF),
-                    (np.uint64(1) << la.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
-    s = full.copy()
+#: most 64-bit words of match tables, and most code points of the other side, held at once (or one pair's)
+TABLE_WORDS, SLICE_CHARS = 1 << 21, 1 << 21
+
+
+def _codes(strings) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _lcs_slice(short, long, ls: np.ndarray, ll: np.ndarray) -> np.ndarray:
+    """LCS of a slice of pairs; ``short`` sides become bit sets."""
+    n, words = len(short), (int(ls.max()) + 63) // 64
+    alphabet, code = np.unique(_codes(short), return_inverse=True)
+    k = len(alphabet) + 1  # the last symbol matches nothing
+    row = np.repeat(np.arange(n), ls)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(ls) - ls, ls)
+    table = np.zeros(n * k * words, np.uint64)
+    np.add.at(table, (row * k + code) * words + at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    table = table.reshape(n * k, words)
+    other = _codes(long)
+    where = np.minimum(np.searchsorted(alphabet, other), len(alphabet) - 1)
+    symbol = np.where(alphabet[where] == other, where, k - 1)
+    grid = np.full((int(ll.max()), n), k - 1, np.int64)
+    grid[np.arange(len(other)) - np.repeat(np.cumsum(ll) - ll, ll), np.repeat(np.arange(n), ll)] = symbol
+    grid += np.arange(n) * k
+    bits = np.clip(ls[:, None] - 64 * np.arange(words), 0, 64).astype(np.uint64)
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    full = np.where(bits == 64, ones, (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
+    full, state = full.T.copy(), full.T.copy()
     with np.errstate(over="ignore"):
-        for j in range(wb):
-            eq = A == B[:, j:j + 1]
-            m = (eq * pw).sum(axis=1, dtype=np.uint64)
-            u = s & m
-            s = ((s + u) | (s - u)) & full
-    ones = np.bitwise_count(s).astype(np.int64)
-    return la.astype(np.int64) - ones
+        for line in grid:
+            match = table[line].T
+            carry = np.zeros(n, np.uint64)
+            for w in range(words):
+                s, m = state[w], match[w]
+                total = s + (s & m)
+                more = total + carry
+                carry = ((total < s) | (more < total)).astype(np.uint64)
+                state[w] = (more | (s & ~m)) & full[w]
+    return ls - np.bitwise_count(state).sum(axis=0).astype(np.int64)
 
 
 def lcs_lengths(a: pd.Series, b: pd.Series) -> np.ndarray:
-    a_list = a.fillna("").tolist()
-    b_list = b.fillna("").tolist()
-    la = np.fromiter((len(x) for x in a_list), dtype=np.int64, count=len(a_list))
-    lb = np.fromiter((len(x) for x in b_list), dtype=np.int64, count=len(b_list))
-    out = np.zeros(len(a_list), dtype=np.int64)
-    # put the shorter string in the bit set
-    swap = lb < la
-    sa = [b_list[i] if swap[i] else a_list[i] for i in range(len(a_list))]
-    sb = [a_list[i] if swap[i] else b_list[i] for i in range(len(a_list))]
-    sla = np.where(swap, lb, la)
-    slb = np.where(swap, la, lb)
-    short = (sla <= 64) & (sla > 0) & (slb > 0)
-    idx = np.nonzero(short)[0]
-    if len(idx):
-        out[idx] = _lcs_batch_short([sa[i] for i in idx], [sb[i] for i in idx], sla[idx], slb[idx])
-    for i in np.nonzero((sla > 64) & (slb > 0))[0]:
-        out[i] = lcs_length(sa[i], sb[i])
+    """LCS lengths of a batch; pairs of like size run together."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a.fillna("").tolist(), b.fillna("").tolist())]
+    ls = np.fromiter((len(x) for x, _ in pairs), np.int64, len(pairs))
+    ll = np.fromiter((len(y) for _, y in pairs), np.int64, len(pairs))
+    out = np.zeros(len(pairs), np.int64)
+    order = np.lexsort((ll, (ls + 63) // 64))
+    order = order[ls[order] > 0]
+    at = 0
+    while at < len(order):
+        stop, chars, letters = at, 0, set()
+        while stop < len(order):
+            i = order[stop]
+            more = letters | set(pairs[i][0])
+            rows = stop + 1 - at
+            if rows > 1 and (rows * (len(more) + 1) * ((ls[i] + 63) // 64) > TABLE_WORDS or rows * ll[i] > SLICE_CHARS):
+                break
+            letters, stop = more, stop + 1
+        some = order[at:stop]
+        out[some] = _lcs_slice([pairs[i][0] for i in some], [pairs[i][1] for i in some], ls[some], ll[some])
+        at = stop
     return out
 
 
@@ -186,30 +194,19 @@ def wer_words(c) -> Column:
     return F.filter(F.split(s, " ", -1), lambda w: w != "")
 
 
-@F.pandas_udf(T.LongType())
-def _word_edit_udf(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(h, r)], dtype="int64")
-
-
-MAX_NATIVE_VOCAB = 255
-
-
-def _native_word_distance(hw: Column, rw: Column) -> Column:
-    v = F.array_distinct(F.concat(hw, rw))
-    enc = lambda arr: F.array_join(F.transform(arr, lambda w: F.chr(F.array_position(v, w))), "")
-    return F.levenshtein(enc(hw), enc(rw))
-
+def _code_point(i: Column) -> Column:
+    """The character numbered ``i`` (from 1), for any number of words: code
+    points from U+0100 on, without the surrogate range."""
+    c = i + F.lit(0xFF)
+    c = F.when(c >= 0xD800, c + 0x800).otherwise(c)
+    return F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
 
-def with_word_edit_distance(df, hyp_words: str, ref_words: str, out: str = "word_edits"):
-    """Adds the word-level Levenshtein distance between two array<string> columns.
 
-    Pairs with at most 255 distinct words are scored with built-ins; the rest
-    (long segments) go through the Arrow UDF.  The two branches are a union
-    of disjoint filters, so each row is scored exactly once.
-    """
-    nv = F.size(F.array_distinct(F.concat(F.col(hyp_words), F.col(ref_words))))
-    short = df.where(nv <= MAX_NATIVE_VOCAB).withColumn(
-        out, _native_word_distance(F.col(hyp_words), F.col(ref_words)).cast("long"))
-    long_ = df.where(nv > MAX_NATIVE_VOCAB).withColumn(
-        out, _word_edit_udf(F.col(hyp_words), F.col(ref_words)))
-    return short.unionByName(long_)
+def word_edit_distance(hyp_words: str, ref_words: str) -> Column:
+    """Word-level Levenshtein distance between two array<string> columns: the
+    pair's distinct words become single characters for the built-in
+    ``levenshtein``."""
+    hw, rw = F.col(hyp_words), F.col(ref_words)
+    vocab = F.array_distinct(F.concat(hw, rw))
+    text = lambda ws: F.array_join(F.transform(ws, lambda w: _code_point(F.array_position(vocab, w))), "")
+    return F.levenshtein(text(hw), text(rw)).cast("long")

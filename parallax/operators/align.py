@@ -20,35 +20,19 @@ def zip_truncate(src: DataFrame, tgt: DataFrame, keys=(), line_col: str = "line_
     return src.join(tgt, [*keys, line_col], "inner")
 
 
-def line_counts(df: DataFrame, keys=()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
-def check_equal_counts(src: DataFrame, tgt: DataFrame, keys=(), names=("source", "target"),
-                       show: int = 5) -> None:
-    """Raise when the two sides have different line counts for any key.
-
-    Only the (at most ``show``) mismatching keys reach the driver.
-    """
-    a = line_counts(src, keys).withColumnRenamed("n", "n_src")
-    b = line_counts(tgt, keys).withColumnRenamed("n", "n_tgt")
-    if not keys:  # one global count per side: join them on a constant
-        a, b = a.withColumn("__all", F.lit(1)), b.withColumn("__all", F.lit(1))
-    j = a.join(b, list(keys) or ["__all"], "full_outer")
-    bad = j.where(~F.coalesce(F.col("n_src"), F.lit(0)).eqNullSafe(F.coalesce(F.col("n_tgt"), F.lit(0))))
-    rows = bad.limit(show).collect()
-    if rows:
-        detail = "; ".join(
-            f"{dict((k, r[k]) for k in keys)}: {names[0]}={r['n_src'] or 0} {names[1]}={r['n_tgt'] or 0}"
-            for r in rows)
-        raise AlignmentError(f"{names[0]} and {names[1]} differ in line count: {detail}")
-
-
 def zip_strict(src: DataFrame, tgt: DataFrame, keys=(), line_col: str = "line_no",
                names=("source", "target")) -> DataFrame:
-    """Pair by position; unequal counts raise an error naming both sides."""
-    check_equal_counts(src, tgt, keys, names)
-    return src.join(tgt, [*keys, line_col], "inner")
+    """Pair by position; a line without a partner raises an error that
+    names both sides, when the result is computed.
+
+    One full outer join is both the pairing and the check, so nothing is
+    read twice."""
+    at = [*keys, line_col]
+    both = src.withColumn("__l", F.lit(1)).join(tgt.withColumn("__r", F.lit(1)), at, "full_outer")
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in at])
+    message = F.concat(F.lit(f"{names[0]} and {names[1]} differ in line count: no partner at "), place)
+    paired = F.col("__l").isNotNull() & F.col("__r").isNotNull()
+    return both.where(F.when(paired, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("__l", "__r")
 
 
 def paste(frames: list[DataFrame], columns: list[str], keys=(), line_col: str = "line_no") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ def concat_corpora(frames: dict[str, DataFrame] | list[DataFrame], corpus_col: s
     origin of every row kept in ``corpus_col``."""
     if isinstance(frames, dict):
         frames = [df.withColumn(corpus_col, F.lit(name)) for name, df in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(DataFrame.unionByName, frames)  # differing columns are an error
 
 
 MANIFEST_TYPE = T.MapType(T.StringType(), T.ArrayType(
@@ -81,10 +81,15 @@ def build_mixture(pairs: DataFrame, manifest: DataFrame, corpus_col: str = "corp
     """X4 core: attach every manifest entry to the corpus it names.
 
     A corpus listed twice is included twice (upsampling), exactly like
-    concatenating it twice.  The manifest side is a handful of rows, so it is
-    broadcast; the pair side is never shuffled."""
+    concatenating it twice.  An entry whose corpus has no pair is an error,
+    raised when the result is computed.  The manifest side is a handful of
+    rows, so it is broadcast; the pair side is never shuffled."""
     m = manifest.select("tag", "ord", F.col(entry_col).alias(corpus_col))
-    return pairs.join(F.broadcast(m), corpus_col, "inner")
+    there = pairs.select(corpus_col).distinct()
+    gone = F.concat(F.lit("the manifest names a corpus without pairs: "), F.col(corpus_col))
+    checked = m.join(there.withColumn("__there", F.lit(True)), corpus_col, "left").withColumn(
+        "tag", F.when(F.col("__there"), F.col("tag")).otherwise(F.raise_error(gone).cast("string"))).drop("__there")
+    return pairs.join(F.broadcast(checked), corpus_col)
 
 
 # ---------------------------------------------------------------------------
@@ -108,10 +113,12 @@ def with_group_size(df: DataFrame, group=("corpus",)) -> DataFrame:
     return df.join(group_sizes(df, group), keys)
 
 
-def split_head_percent(df: DataFrame, pct: float = 5.0, group=("corpus",), pos: str = "pos") -> DataFrame:
+def split_head_percent(df: DataFrame, pct: float = 5.0, group=("corpus",), pos: str = "pos",
+                       size: str | None = None) -> DataFrame:
     """B1: the first ``pct`` % of every group (by position) is validation,
-    the rest train.  The cut is round-half-even(n * pct / 100)."""
-    j = with_group_size(df, group)
+    the rest train.  The cut is round-half-even(n * pct / 100).  ``size``
+    names a column that already holds the group's row count."""
+    j = df.withColumn("__n", F.col(size)) if size else with_group_size(df, group)
     cut = F.bround(F.col("__n") * F.lit(pct) / 100.0, 0)
     return j.withColumn("split", F.when(F.col(pos) <= cut, F.lit("validation")).otherwise(F.lit("train"))).drop("__n")
 
@@ -183,9 +190,23 @@ def sample_rows(df: DataFrame, k: int, seed, key_cols, group=("corpus",)) -> Dat
     return df.withColumn("__key", key).orderBy("__key").limit(k).drop("__key")
 
 
-def random_subset(df: DataFrame, n: int, seed, key_cols, group=("corpus",)) -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle of every group."""
-    return shuffle_rank(df, seed, key_cols, group, "__rank").where(F.col("__rank") <= n).drop("__rank")
+def random_subset(df: DataFrame, n: int, seed, key_cols, group=("corpus",), bucket_hex: int = 4) -> DataFrame:
+    """The first ``n`` rows of the seeded shuffle of every group.
+
+    Counts per md5 bucket (its first ``bucket_hex`` digits) give the bucket
+    in which the n-th row lies: earlier buckets are taken whole, and only the
+    rows of that one are ranked."""
+    group, key_cols = _cols(group), _cols(key_cols)
+    d = df.withColumn("__key", shuffle_key(seed, *group, *key_cols)).withColumn("__bk", F.substring("__key", 1, bucket_hex))
+    sums = d.groupBy(*group, "__bk").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__bk").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).where(F.col("__before") < n)
+    taken = d.join(sums, [*group, "__bk"])
+    whole = taken.where(F.col("__before") + F.col("__n") <= n)
+    rank = F.row_number().over(Window.partitionBy(*group, "__bk").orderBy("__key", *key_cols))
+    cut = taken.where(F.col("__before") + F.col("__n") > n).withColumn("__rk", rank).where(F.col("__before") + F.col("__rk") <= n)
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 # ---------------------------------------------------------------------------

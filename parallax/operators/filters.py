@@ -60,7 +60,8 @@ def filter_similarity(df: DataFrame, lo: float = 0.25, hi: float = 0.99, src: st
     a, b = F.lower(F.col(src)), F.lower(F.col(tgt))
     pre = df.where(similarity_prefilter(a, b, lo, hi))
     name = ratio_col or "__ratio"
-    scored = pre.withColumn(name, indel_ratio(a, b))
+    # the band is applied to the pinned result, else the filter would run the UDF once more
+    scored = pin(pre.withColumn(name, indel_ratio(a, b)), **{name: F.col(name)})
     out = scored.where(F.col(name).between(lo, hi))
     return out if ratio_col else out.drop(name)
 

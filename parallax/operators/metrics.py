@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import char_edit_distance, wer_words, with_word_edit_distance
+from ..functions.similarity import char_edit_distance, wer_words, word_edit_distance
 from ..functions.text import alnum_tokens, remove_whitespace, words
 
 
@@ -52,10 +52,8 @@ def word_counts(df: DataFrame, text: str = "text", keys=()) -> DataFrame:
 
 def vocab_size(df: DataFrame, sides=("source", "target"), approx: bool = False) -> DataFrame:
     """Distinct alphanumeric tokens per side."""
-    parts = [df.select(F.lit(s).alias("side"), F.explode(alnum_tokens(s)).alias("tok")) for s in sides]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    by_side = F.array(*[F.struct(F.lit(s).alias("side"), alnum_tokens(s).alias("toks")) for s in sides])
+    u = df.select(F.inline(by_side)).select("side", F.explode("toks").alias("tok"))  # one pass over the pairs
     agg = F.approx_count_distinct("tok") if approx else F.count_distinct("tok")
     return u.groupBy("side").agg(agg.cast("long").alias("n_vocab"))
 
@@ -63,21 +61,27 @@ def vocab_size(df: DataFrame, sides=("source", "target"), approx: bool = False)
 # ---------------------------------------------------------------------------
 # accuracy, edit distance, WER (A1-A3)
 # ---------------------------------------------------------------------------
-def accuracy(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=(), n_predictions=None) -> DataFrame:
-    """A1: exact-match count / number of predictions.  ``n_predictions``
-    overrides the denominator (the reference divides by the prediction count
-    even when the reference file is shorter); an empty input gives NULL."""
-    denom = F.count(F.lit(1)) if n_predictions is None else F.lit(n_predictions)
+def pair_predictions(hyps: DataFrame, refs: DataFrame, keys=(), line_col: str = "line_no") -> DataFrame:
+    """Every prediction with its reference by position, null where the
+    reference file is shorter; surplus references are dropped."""
+    return hyps.join(refs, [*_cols(keys), line_col], "left")
+
+
+def accuracy(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=()) -> DataFrame:
+    """A1: exact-match count / number of predictions.  A prediction without
+    a reference (null) is counted and not correct; an empty input gives
+    NULL."""
     return seg.groupBy(*_cols(keys)).agg(
-        F.sum((F.col(hyp) == F.col(ref)).cast("long")).alias("n_correct"),
-        denom.cast("long").alias("n"),
+        F.sum(F.coalesce(F.col(hyp) == F.col(ref), F.lit(False)).cast("long")).alias("n_correct"),
+        F.count(F.lit(1)).alias("n"),
     ).withColumn("accuracy", F.round(F.try_divide(F.col("n_correct").cast("double"), F.col("n")), 6))
 
 
 def mean_edit_distance(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=()) -> DataFrame:
-    """A3: mean character Levenshtein distance per prediction."""
+    """A3: summed character Levenshtein distance over the number of
+    predictions; one without a reference (null) is counted and adds nothing."""
     return seg.groupBy(*_cols(keys)).agg(
-        F.sum(char_edit_distance(hyp, ref)).cast("long").alias("total_distance"),
+        F.sum(F.coalesce(char_edit_distance(hyp, ref), F.lit(0))).cast("long").alias("total_distance"),
         F.count(F.lit(1)).alias("n"),
     ).withColumn("mean_distance", F.round(F.try_divide(F.col("total_distance").cast("double"), F.col("n")), 6))
 
@@ -85,10 +89,10 @@ def mean_edit_distance(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=
 def wer(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=()) -> DataFrame:
     """A2: corpus word error rate = sum of word edits / sum of reference words."""
     w = seg.select(*_cols(keys), wer_words(hyp).alias("__hw"), wer_words(ref).alias("__rw"))
-    w = with_word_edit_distance(w, "__hw", "__rw", "__edits")
+    w = w.select(*_cols(keys), F.size("__rw").alias("__nr"), word_edit_distance("__hw", "__rw").alias("__edits"))
     return w.groupBy(*_cols(keys)).agg(
         F.sum("__edits").cast("long").alias("edits"),
-        F.sum(F.size("__rw")).cast("long").alias("ref_words"),
+        F.sum("__nr").cast("long").alias("ref_words"),
     ).withColumn("wer", F.round(F.try_divide(F.col("edits").cast("double"), F.col("ref_words")), 6))
 
 
@@ -186,7 +190,7 @@ def bleu_from_stats(prefix: str = "") -> Column:
     return F.when(any_match, score).otherwise(F.lit(0.0))
 
 
-def _bleu_udf_stats(h_toks: str, r_toks: str) -> list[Column]:
+def _bleu_udf_stats(h_toks: str, r_toks: str) -> list:
     from ..functions.ngrams import word_ngram_stats
     a = word_ngram_stats(F.col(h_toks), F.col(r_toks))
     names = ["sys_len", "ref_len"] + [f"{x}_{n}" for n in range(1, BLEU_ORDER + 1) for x in ("total", "match")]
@@ -306,7 +310,7 @@ def evaluate(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=("system",
                      wer_words(hyp).alias("__hw"), wer_words(ref).alias("__rw"),
                      tokenize_13a(hyp).alias("__h"), tokenize_13a(ref).alias("__r"),
                      _no_ws(hyp).alias("__hc"), _no_ws(ref).alias("__rc"))
-    pre = with_word_edit_distance(pre, "__hw", "__rw", "__we")
+    pre = pre.withColumn("__we", word_edit_distance("__hw", "__rw"))
     barr, bnames = _bleu_udf_stats("__h", "__r")
     carr, cnames = _chrf_udf_stats("__hc", "__rc")
     st = pre.select(*k, "__eq", "__ed", "__we", F.size("__rw").cast("long").alias("__nr"),
@@ -360,33 +364,97 @@ def coin_word(seed: int, seg: Column, block: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def paired_randomization(stats: DataFrame, a: str, b: str, seg: str = "seg_id",
-                         trials: int = 10000, seed: int = 12345) -> DataFrame:
-    """Paired approximate randomisation on an additive statistic.
-
-    In trial t (1..trials) segment s swaps its two system scores when bit
-    (t-1) mod 60 of coin_word(seed, s, (t-1) div 60) is set; the trial
-    statistic is |sum(A') - sum(B')|, the observed one |sum(A) - sum(B)|.
-    p = (#trials with statistic >= observed + 1) / (trials + 1).
-
-    Trials are generated per segment with ``explode(sequence)`` (one md5 per
-    60 trials) and folded by a partial aggregate in the same pipeline, so
-    only (tasks x trials) small rows are shuffled; no cross join.
-    """
-    from ..session import spread
+def _swapped_sums(rows: DataFrame, width: int, trials: int, seed: int) -> DataFrame:
+    """``rows(seg string, a array<double>, b array<double>)`` -> a row per
+    trial with the summed differences ``b - a`` of the segments it swaps.
+
+    Folded by numpy inside each task: a slice of segments gives a matrix of
+    coins, whose product with the differences is added to one (trials x
+    width) table; only that table leaves the task."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
     blocks = -(-trials // COIN_BITS)
-    base = spread(stats).select(F.col(seg).alias("__s"), F.col(a).cast("double").alias("a"),
-                                F.col(b).cast("double").alias("b"))
-    observed = base.agg(F.abs(F.sum(F.col("a") - F.col("b")))).scalar()  # scalar subquery
-    words = base.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), "__s") \
-        .withColumn("w", coin_word(seed, F.col("__s"), F.col("blk")))
-    ex = words.select("a", "b", "w", "blk", F.explode(F.sequence(F.lit(0), F.lit(COIN_BITS - 1))).alias("bit"))
-    ex = ex.withColumn("trial", F.col("blk") * COIN_BITS + F.col("bit") + 1).where(F.col("trial") <= trials)
-    swap = F.expr("shiftright(w, bit) & 1") == 1
-    diff = F.when(swap, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
-    per_trial = ex.groupBy("trial").agg(F.abs(F.sum(diff)).alias("d"))
-    j = per_trial.withColumn("observed", observed)
-    return j.agg(F.lit(trials).cast("long").alias("trials"),
-                 F.max("observed").alias("observed"),
-                 F.sum((F.col("d") >= F.col("observed") - 1e-9).cast("long")).alias("n_extreme")) \
+    shifts = np.arange(COIN_BITS, dtype=np.int64)
+
+    def fold(batches):
+        total = np.zeros((trials, width))
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                diff = np.stack(part["b"].to_numpy()) - np.stack(part["a"].to_numpy())
+                words = np.array([[int(hashlib.md5(f"{seed}-{s}-{k}".encode()).hexdigest()[:15], 16) for k in range(blocks)]
+                                  for s in part["seg"]], np.int64)
+                coins = ((words[:, :, None] >> shifts) & 1).reshape(len(part), -1)[:, :trials]
+                total += coins.T.astype(np.float64) @ diff
+        yield pd.DataFrame({"trial": np.arange(1, trials + 1), **{f"d{i}": total[:, i] for i in range(width)}})
+
+    cols = [f"d{i}" for i in range(width)]
+    parts = rows.mapInPandas(fold, "trial int, " + ", ".join(f"{c} double" for c in cols))
+    return parts.groupBy("trial").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def significance(segments: DataFrame, names: list[str], score, a: str = "a", b: str = "b", seg: str = "seg_id",
+                 trials: int = 10000, seed: int = 12345, rounded: int | None = None) -> DataFrame:
+    """A15 on any metric of summed statistics: paired approximate randomisation.
+
+    ``segments`` has a row per segment with the statistics of both systems
+    as arrays ``a`` and ``b`` in the order of ``names``; ``score(prefix)`` is
+    the metric over summed columns ``prefix + name``.  In trial t segment s
+    swaps its two vectors when bit (t-1) mod 60 of coin_word(seed, s, (t-1)
+    div 60) is set; the trial statistic is |score(A') - score(B')|, the
+    observed one |score(A) - score(B)|, and p = (#trials with a statistic >=
+    the observed one + 1) / (trials + 1).  Sums of whole numbers are exact
+    below 2^53.  ``rounded`` rounds ``observed`` in the result."""
+    rows = segments.select(F.col(seg).cast("string").alias("seg"), F.col(a).cast("array<double>").alias("a"),
+                           F.col(b).cast("array<double>").alias("b"))
+    sums = rows.agg(*[F.sum(F.col(x)[i]).alias(f"{x}_{n}") for x in "ab" for i, n in enumerate(names)])
+    observed = sums.select(F.abs(score("a_") - score("b_")).alias("o"), *sums.columns)
+    whole = observed.select(F.struct(*observed.columns)).scalar()  # scalar subquery
+    per = _swapped_sums(rows, len(names), trials, seed).withColumn("__t", whole)
+    per = per.select("__t", *[(F.col(f"__t.a_{n}") + F.col(f"d{i}")).alias(f"a_{n}") for i, n in enumerate(names)],
+                     *[(F.col(f"__t.b_{n}") - F.col(f"d{i}")).alias(f"b_{n}") for i, n in enumerate(names)])
+    per = per.select(F.col("__t.o").alias("observed"), F.abs(score("a_") - score("b_")).alias("d"))
+    shown = F.max("observed") if rounded is None else F.round(F.max("observed"), rounded)
+    return per.agg(F.lit(trials).cast("long").alias("trials"), shown.alias("observed"),
+                   F.sum((F.col("d") >= F.col("observed") - 1e-9).cast("long")).alias("n_extreme")) \
         .withColumn("p_value", F.round((F.col("n_extreme") + 1) / F.lit(trials + 1), 6))
+
+
+def paired_randomization(stats: DataFrame, a: str, b: str, seg: str = "seg_id",
+                         trials: int = 10000, seed: int = 12345) -> DataFrame:
+    """A15 on an additive statistic: one number per segment and system."""
+    rows = stats.select(F.col(seg).alias("seg"), F.array(F.col(a)).alias("a"), F.array(F.col(b)).alias("b"))
+    return significance(rows, ["sum"], lambda p: F.col(p + "sum"), seg="seg", trials=trials, seed=seed)
+
+
+def _system_stats(seg: DataFrame, hyp_a: str, hyp_b: str, ref: str, key: str, prepare, stats) -> tuple[DataFrame, list[str]]:
+    """Statistic arrays of two systems against one reference."""
+    pre = seg.select(F.col(key).alias("seg"), *[prepare(c).alias(n) for c, n in ((hyp_a, "__x"), (hyp_b, "__y"), (ref, "__r"))])
+    (x, names), (y, _) = stats("__x", "__r"), stats("__y", "__r")
+    return pre.select("seg", x.alias("a"), y.alias("b")), names
+
+
+def significance_bleu(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b", ref: str = "ref", key: str = "seg_id",
+                      trials: int = 10000, seed: int = 12345) -> DataFrame:
+    """A15 on BLEU."""
+    rows, names = _system_stats(seg, hyp_a, hyp_b, ref, key, tokenize_13a, _bleu_udf_stats)
+    return significance(rows, names, bleu_from_stats, seg="seg", trials=trials, seed=seed, rounded=6)
+
+
+def significance_chrf(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b", ref: str = "ref", key: str = "seg_id",
+                      trials: int = 10000, seed: int = 12345) -> DataFrame:
+    """A15 on chrF."""
+    rows, names = _system_stats(seg, hyp_a, hyp_b, ref, key, _no_ws, _chrf_udf_stats)
+    return significance(rows, names, chrf_from_stats, seg="seg", trials=trials, seed=seed, rounded=6)
+
+
+def significance_ter(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b", ref: str = "ref", key: str = "seg_id",
+                     trials: int = 10000, seed: int = 12345) -> DataFrame:
+    """A15 on TER."""
+    from ..functions.ngrams import ter_stats
+    rows = seg.select(F.col(key).alias("seg"), ter_stats(F.col(hyp_a), F.col(ref)).alias("a"), ter_stats(F.col(hyp_b), F.col(ref)).alias("b"))
+    score = lambda p: F.when(F.col(p + "ref") > 0, 100.0 * F.col(p + "edits") / F.col(p + "ref")).otherwise(
+        F.when(F.col(p + "edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
+    return significance(rows, ["edits", "ref"], score, seg="seg", trials=trials, seed=seed, rounded=6)

@@ -8,24 +8,27 @@ holding a third of all rows still spreads over many tasks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import prefix_scan
+from .scan import chunk_by_count, prefix_scan
 
 KEYS = ("run", "task")
-STEPS_PER_CHUNK = 4096
 
 
-def _chunk(step: str):
-    return F.floor(F.col(step) / STEPS_PER_CHUNK)
+def _scan(vlog: DataFrame, keys, step: str, specs) -> DataFrame:
+    """Running aggregates by step, in chunks of measured width."""
+    out = chunk_by_count(vlog, list(keys), step)
+    return prefix_scan(out, list(keys), F.col("__by_count"), [step], specs).drop("__by_count")
 
 
 def running_best(vlog: DataFrame, metric: str = "bleu", keys=KEYS, step: str = "step",
                  seed_best: float = 0.0) -> DataFrame:
     """Best-so-far before and after each evaluation, starting at
     ``seed_best`` (0.0); an evaluation improves when strictly greater."""
-    out = prefix_scan(vlog, list(keys), _chunk(step), [step],
+    out = _scan(vlog, keys, step,
                       [("__pos", "count", None, True), ("__prev", "max", F.col(metric), False)])
     before = F.greatest(F.coalesce(F.col("__prev"), F.lit(seed_best)), F.lit(seed_best))
     return (out.withColumn("best_before", before)
@@ -40,7 +43,7 @@ def stall_counter(vlog: DataFrame, metric: str = "bleu", keys=KEYS, step: str =
     (the reference resets to 0 and then adds 1).  Before any improvement the
     count continues from ``seed_stall``."""
     rb = running_best(vlog, metric, keys, step, seed_best)
-    out = prefix_scan(rb, list(keys), _chunk(step), [step],
+    out = _scan(rb, keys, step,
                       [("__last", "max", F.when(F.col("improved"), F.col("eval_no")), True)])
     stall = F.when(F.col("__last").isNull(), F.lit(seed_stall) + F.col("eval_no")) \
         .otherwise(F.col("eval_no") - F.col("__last") + 1)
@@ -77,29 +80,43 @@ def lm_patience(vlog: DataFrame, patience: int = 5, metric: str = "loss", keys=K
                 step: str = "step") -> DataFrame:
     """Early stopping on a minimised metric (eval loss): the counter is
     0 after an improvement and +1 otherwise; stop when it reaches ``patience``."""
-    out = prefix_scan(vlog, list(keys), _chunk(step), [step],
+    out = _scan(vlog, keys, step,
                       [("__pos", "count", None, True), ("__prev", "max", -F.col(metric), False)])
     improved = F.col("__prev").isNull() | (-F.col(metric) > F.col("__prev"))
     out = out.withColumn("__imp", improved)
-    out = prefix_scan(out, list(keys), _chunk(step), [step],
+    out = _scan(out, keys, step,
                       [("__last", "max", F.when(F.col("__imp"), F.col("__pos")), True)])
     counter = F.col("__pos") - F.col("__last")
     return out.groupBy(*keys).agg(F.min(F.when(counter == patience, F.col(step))).alias("stop_step"))
 
 
 def running_cost(vlog: DataFrame, loss: str = "loss", keys=KEYS, step: str = "step",
-                 decimals: int | None = None) -> DataFrame:
+                 decimals: int | None = None, epoch: str | None = None) -> DataFrame:
     """Cumulative loss divided by the number of batches so far.
 
-    With ``decimals`` the losses are summed as exact integers in units of
-    10^-decimals and divided once, so the result does not depend on the
-    order in which partial sums were combined."""
+    ``epoch`` names the column whose change starts the sum and the count
+    anew; ``epoch_cost`` is then also given.  With ``decimals`` the losses
+    are summed as exact integers in units of 10^-decimals and divided once,
+    so the result does not depend on the order in which partial sums were
+    combined."""
+    keys = [*keys, epoch] if epoch else list(keys)
+    value = F.col(loss) if decimals is None else F.round(F.col(loss) * 10 ** decimals).cast("long")
+    out = _scan(vlog, keys, step, [("__n", "count", None, True), ("__sum", "sum", value, True)])
+    scale = F.lit(float(1 if decimals is None else 10 ** decimals))
+    out = out.withColumn("running_cost", F.col("__sum").cast("double") / (F.col("__n") * scale)).drop("__n", "__sum")
+    if not epoch:
+        return out
+    return out.join(epoch_cost(vlog, loss, keys[:-1], epoch, decimals), keys)
+
+
+def epoch_cost(vlog: DataFrame, loss: str = "loss", keys=KEYS, epoch: str = "epoch",
+               decimals: int | None = None) -> DataFrame:
+    """A14 at the end of an epoch: all its losses over its number of batches."""
     value = F.col(loss) if decimals is None else F.round(F.col(loss) * 10 ** decimals).cast("long")
-    out = prefix_scan(vlog, list(keys), _chunk(step), [step],
-                      [("__n", "count", None, True), ("__sum", "sum", value, True)])
-    scale = 1 if decimals is None else 10 ** decimals
-    cost = F.col("__sum").cast("double") / (F.col("__n") * F.lit(float(scale)))
-    return out.withColumn("running_cost", cost).drop("__n", "__sum")
+    scale = F.lit(float(1 if decimals is None else 10 ** decimals))
+    return vlog.groupBy(*keys, epoch).agg(
+        F.count(F.lit(1)).alias("batches"),
+        (F.sum(value).cast("double") / (F.count(F.lit(1)) * scale)).alias("epoch_cost"))
 
 
 def keep_last_k(ckpt: DataFrame, k: int = 1, keys=("run", "kind"), ctime: str = "ctime",
@@ -114,10 +131,19 @@ def keep_last_k(ckpt: DataFrame, k: int = 1, keys=("run", "kind"), ctime: str =
     return ckpt.join(top, [*keys, step], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
 
-def latest_checkpoint(ckpt: DataFrame, keys=("run", "kind"), ctime: str = "ctime", step: str = "step",
-                      explicit: str | None = None) -> DataFrame:
-    """Newest checkpoint per kind by ctime; an explicit path wins."""
-    out = ckpt.groupBy(*keys).agg(F.max_by(F.col(step), F.struct(F.col(ctime), F.col(step))).alias("latest_step"))
-    if explicit is not None:
-        out = out.withColumn("latest_step", F.lit(explicit))
-    return out
+#: kinds of checkpoint that a run can be resumed from (an end-of-epoch one is not)
+RESUMABLE = ("step", "bestmodel")
+
+
+def latest_checkpoint(ckpt: DataFrame, keys=("run",), kind: str = "kind", ctime: str = "ctime", step: str = "step",
+                      kinds=RESUMABLE, explicit: str | None = None) -> DataFrame:
+    """The newest checkpoint of a run over all resumable kinds, by
+    ctime (ties: larger step, then kind).  An ``explicit`` name wins if it
+    is named like a checkpoint (a resumable kind and a step number);
+    otherwise it is ignored."""
+    m = re.fullmatch(rf"(?:.*/)?({'|'.join(map(re.escape, kinds))})[_-]?(\d+)/?", explicit or "")
+    newest = F.max_by(F.struct(F.col(kind).alias("k"), F.col(step).alias("s")), F.struct(ctime, step, kind))
+    out = ckpt.where(F.col(kind).isin(*kinds)).groupBy(*keys).agg(newest.alias("__l"))
+    if m:
+        return out.select(*keys, F.lit(m[1]).alias("latest_kind"), F.lit(int(m[2])).cast("long").alias("latest_step"))
+    return out.select(*keys, F.col("__l.k").alias("latest_kind"), F.col("__l.s").alias("latest_step"))

@@ -4,8 +4,8 @@ A window ``PARTITION BY g ORDER BY o`` sends a whole group to one task; when
 one corpus or run holds a third of all rows that task does a third of the
 job.  These helpers compute the same prefix values in two levels:
 
-1. every row gets a *chunk* number (a monotone, bounded bucket of the order
-   key, e.g. ``doc_id div 4096`` or a file split);
+1. every row gets a *chunk* number (a monotone bucket of the order key,
+   ``chunk_by_count``, or a file split);
 2. one aggregate row per ``(group, chunk)`` -- a table ~chunk-size times
    smaller than the input -- gets the exclusive prefix over earlier chunks;
 3. a window partitioned by ``(group, chunk)`` finishes the prefix inside the
@@ -28,6 +28,30 @@ def _cols(x):
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+#: rows that a chunk is meant to hold
+ROWS_PER_CHUNK = 4096
+
+
+def chunk_by_count(df: DataFrame, group_cols, order_col: str, name: str = "__by_count",
+                   rows: int | None = None) -> DataFrame:
+    """Adds the chunk number ``name``: each group's range of the (numeric)
+    order key is cut into count / ``rows`` (``ROWS_PER_CHUNK``) equal parts.  Widths follow the
+    measured count and range, so a run with steps far apart, or hashed ids,
+    gets chunks of about ``rows`` rows like a dense one."""
+    group_cols = _cols(group_cols)
+    x = F.col(order_col).cast("double")
+    stats = df.groupBy(*group_cols).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(F.lit(1)).alias("__cnt"))
+    if group_cols:
+        j = df.join(stats, group_cols)
+    else:  # one row of scalars
+        j = (df.withColumn("__st", stats.select(F.struct("__lo", "__hi", "__cnt")).scalar())
+             .select(*df.columns, "__st.*"))
+    parts = F.ceil(F.col("__cnt") / (rows or ROWS_PER_CHUNK))
+    at = F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * parts)
+    chunk = F.when(F.col("__hi") > F.col("__lo"), F.least(at, parts - 1)).otherwise(F.lit(0))
+    return j.withColumn(name, F.coalesce(chunk, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__cnt")
+
+
 def prefix_scan(df: DataFrame, group_cols, chunk: Column, order_cols, specs) -> DataFrame:
     """Add running aggregates to ``df``.
 
@@ -86,8 +110,17 @@ def weighted_offsets(df: DataFrame, group_cols, chunk: Column, order_cols, weigh
     return out.withColumn(name, F.col(name).cast("long"))
 
 
+def document_offsets(docs: DataFrame, group_cols, doc_col: str = "doc_id", count: str = "__n",
+                     name: str = "__doc_off") -> DataFrame:
+    """Lines before each document in its group, from one row per document
+    with its line ``count``."""
+    group_cols = _cols(group_cols)
+    docs = chunk_by_count(docs, group_cols, doc_col)
+    return weighted_offsets(docs, group_cols, F.col("__by_count"), [doc_col], F.col(count), name).drop("__by_count")
+
+
 def line_positions(lines: DataFrame, group_cols, doc_col: str = "doc_id", line_col: str = "line_no",
-                   name: str = "pos", docs_per_chunk: int = 4096, dense: bool = False) -> DataFrame:
+                   name: str = "pos", dense: bool = False) -> DataFrame:
     """Position of every line in its group when lines are ordered by
     ``(doc, line)``: an offset per document (two-level scan over one row per
     document) plus the rank of the line inside the document.  With
@@ -95,11 +128,31 @@ def line_positions(lines: DataFrame, group_cols, doc_col: str = "doc_id", line_c
     (e.g. straight from ``posexplode``) and are used as the rank directly."""
     group_cols = _cols(group_cols)
     per_doc = lines.groupBy(*group_cols, doc_col).agg(F.count(F.lit(1)).alias("__n"))
-    per_doc = weighted_offsets(per_doc, group_cols, F.floor(F.col(doc_col) / docs_per_chunk),
-                               [doc_col], F.col("__n"), "__doc_off")
+    per_doc = document_offsets(per_doc, group_cols, doc_col)
     out = lines.join(per_doc.select(*group_cols, doc_col, "__doc_off"), on=[*group_cols, doc_col])
     if dense:
         return out.withColumn(name, (F.col("__doc_off") + F.col(line_col)).cast("long")).drop("__doc_off")
     # one window per document: a document is a single input row, so bounded
     inner = F.row_number().over(Window.partitionBy(*group_cols, doc_col).orderBy(line_col))
     return out.withColumn(name, (F.col("__doc_off") + inner).cast("long")).drop("__doc_off")
+
+
+def positioned_lines(docs: DataFrame, group_cols, parts: str, doc_col: str = "doc_id", line_col: str = "line_no",
+                     item: str = "text", name: str = "pos", total: str | None = None) -> DataFrame:
+    """The items of the array column ``parts`` as rows, with their number in
+    the document (``line_no``) and their position in the group ordered by
+    (document, item).
+
+    The offset is found for the document rows, from their counts alone, and
+    the items are exploded afterwards: no exploded row is ever moved.
+    ``total`` names a column for the group's number of items."""
+    group_cols = _cols(group_cols)
+    counts = docs.select(*group_cols, doc_col, F.size(parts).cast("long").alias("__n"))
+    offsets = document_offsets(counts, group_cols, doc_col).drop("__n")
+    if total:
+        offsets = offsets.join(counts.groupBy(*group_cols).agg(F.sum("__n").alias(total)), group_cols)
+    out = docs.join(offsets, [*group_cols, doc_col])
+    keep = [c for c in out.columns if c != parts]
+    out = out.select(*keep, F.posexplode(parts).alias("__i", item))
+    return (out.withColumn(line_col, (F.col("__i") + 1).cast("long"))
+            .withColumn(name, (F.col("__doc_off") + F.col("__i") + 1).cast("long")).drop("__i", "__doc_off"))

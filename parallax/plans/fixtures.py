@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE, WS_CLASS, py_strip, words
 from ..operators.nbest import group_nbest
+from ..operators.scan import positioned_lines
 from ..session import spread
 
 
@@ -40,6 +41,14 @@ def lines(spark, d) -> DataFrame:
                     py_strip("raw").alias("text")))
 
 
+def positioned(spark, d, total=None) -> DataFrame:
+    """FX1 with each line's position in its corpus (and the corpus's line count)."""
+    docs = table(spark, d, "documents", ["source", "lang", "doc_id", "text"])
+    docs = docs.select(F.col("source").alias("corpus"), "lang", "doc_id", F.split("text", "\n", -1).alias("parts"))
+    out = positioned_lines(docs, ["corpus"], "parts", item="raw", total=total)
+    return out.withColumn("text", py_strip("raw")).drop("raw")
+
+
 def pairs_parts(spark, d) -> DataFrame:
     """FX2: part p aligned with part p+1: hyp = p_name, ref = next p_name."""
     p = table(spark, d, "part")

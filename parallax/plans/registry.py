@@ -8,11 +8,10 @@ from .fixtures import with_fixtures
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-BENCH: list[str] = []
 
 
 def register(name: str, sql: str | None = None, ctes: list[tuple[str, str]] | None = None,
-             bench: bool = False, recursive: bool = False):
+             recursive: bool = False):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
     ``sql`` is the oracle (DuckDB) query over the test tables; fixture views
@@ -25,8 +24,6 @@ def register(name: str, sql: str | None = None, ctes: list[tuple[str, str]] | No
         QUERIES[name] = fn
         if sql is not None:
             ORACLE_SQL[name] = with_fixtures(sql, ctes, recursive)
-        if bench:
-            BENCH.append(name)
         return fn
     return deco
 

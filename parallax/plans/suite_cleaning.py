@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
-from ..functions.text import normalize_punct
+from ..functions.text import normalize_punct, normalize_punct_rules
 from ..operators.align import paste, zip_strict
 from ..operators.filters import (clean_pairs, drop_empty, filter_language, filter_max_tokens,
                                  filter_similarity)
@@ -57,13 +57,20 @@ def q_indel_ratio(spark, d):
            round(CASE WHEN l.m + l.n = 0 THEN 1.0 ELSE 2.0 * l.lcs / (l.m + l.n) END, 6) AS ratio,
            CASE WHEN l.m + l.n = 0 THEN 1.0 ELSE 2.0 * l.lcs / (l.m + l.n) END AS r
     FROM pairs_parts p JOIN lcs l ON l.seg_id = p.seg_id)
-  WHERE r BETWEEN 0.25 AND 0.99""", ctes=_ratio_sql("pairs_parts"), bench=True, recursive=True)
+  WHERE r BETWEEN 0.25 AND 0.99""", ctes=_ratio_sql("pairs_parts"), recursive=True)
 def q_similarity_band(spark, d):
     p = fx.pairs_parts(spark, d)
     out = filter_similarity(p, 0.25, 0.99, src="hyp", tgt="ref", ratio_col="ratio")
     return out.select("seg_id", "hyp", "ref", F.round("ratio", 6).alias("ratio"))
 
 
+@register("similarity_band_docs")
+def q_similarity_band_docs(spark, d):
+    """F2 on whole lines (beyond what the SQL bit sets hold; tested by brute force)."""
+    p = fx.pairs_docs(spark, d).select("doc_id", "line_no", "source", "target")
+    return filter_similarity(p, 0.25, 0.99).withColumn("ratio", F.round("ratio", 6))
+
+
 # ---------------------------------------------------------------------------
 # Line table with a skew-safe position inside each corpus
 # ---------------------------------------------------------------------------
@@ -72,9 +79,7 @@ def q_similarity_band(spark, d):
          CAST(row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_no) AS BIGINT) AS pos
   FROM lines""")
 def q_line_index(spark, d):
-    from ..operators.scan import line_positions
-    ln = fx.lines(spark, d).select("corpus", "doc_id", "line_no", "text")
-    return line_positions(ln, ["corpus"], "doc_id", "line_no", "pos", dense=True)
+    return fx.positioned(spark, d).select("corpus", "doc_id", "line_no", "text", "pos")
 
 
 @register("zip_truncate", sql="""
@@ -83,7 +88,7 @@ def q_zip_truncate(spark, d):
     return fx.pairs_docs(spark, d).select("corpus", "lang", "doc_id", "line_no", "source", "target")
 
 
-NP_EN = fx.sql_regex_chain("text", __import__("parallax.functions.text", fromlist=["x"]).normalize_punct_rules("en"))
+NP_EN = fx.sql_regex_chain("text", normalize_punct_rules("en"))
 
 
 @register("zip_strict", sql=f"""
@@ -121,7 +126,7 @@ def _squeeze_sql(x):
   WHERE source <> '' AND target <> ''
     AND len(string_split(source, ' ')) BETWEEN 1 AND 60 AND len(string_split(target, ' ')) BETWEEN 1 AND 60
     AND len(string_split(source, ' ')) <= 9 * len(string_split(target, ' '))
-    AND len(string_split(target, ' ')) <= 9 * len(string_split(source, ' '))""", bench=True)
+    AND len(string_split(target, ' ')) <= 9 * len(string_split(source, ' '))""")
 def q_clean_pairs(spark, d):
     p = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
     return clean_pairs(p, 1, 60, 9.0)

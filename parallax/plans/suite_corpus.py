@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import corpus as C
 from . import fixtures as fx
+from .workflows import mixture_report
 from .registry import register
 
 POS = "row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_no)"
@@ -29,13 +30,8 @@ def _arr(c):
     return F.array_join(F.col(c).cast("array<string>"), " ")
 
 
-def _pos_lines(spark, d):
-    # FX1 line numbers come from posexplode: dense inside every document
-    return C.with_positions(fx.lines(spark, d), dense=True)
-
-
 def _pos_tokens(spark, d):
-    return C.with_positions(fx.tokens(spark, d), dense=True)
+    return fx.positioned(spark, d).select("corpus", "doc_id", "line_no", "pos", tk.word_length_ids("text").alias("ids"))
 
 
 @register("concat_corpora", sql="""
@@ -67,17 +63,30 @@ def q_mixture(spark, d):
          round(sum(len({fx.sql_words('p.source')})) / sum(sum(len({fx.sql_words('p.source')}))) OVER (), 6) AS src_share
   FROM pairs_docs p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus GROUP BY tag""")
 def q_mixture_report(spark, d):
-    from ..plans.workflows import mixture_report
     pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
     return mixture_report(C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON)))
 
 
+@register("mixture_report_origin", sql=f"""
+  SELECT tag, origin, n_pairs, src_tokens, tgt_tokens, round(src_tokens / sum(src_tokens) OVER (), 6) AS src_share,
+         round(n_pairs / sum(n_pairs) OVER (PARTITION BY tag), 6) AS pair_share
+  FROM (SELECT tag, CASE WHEN p.line_no % 2 = 0 THEN 'synthetic' ELSE 'real' END AS origin, count(*) AS n_pairs,
+               CAST(sum(len({fx.sql_words('p.source')})) AS BIGINT) AS src_tokens,
+               CAST(sum(len({fx.sql_words('p.target')})) AS BIGINT) AS tgt_tokens
+        FROM pairs_docs p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus GROUP BY ALL)""")
+def q_mixture_report_origin(spark, d):
+    """X11 by tag and origin (even lines stand for synthetic ones)."""
+    pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    mix = C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON))
+    return mixture_report(mix.withColumn("origin", F.when(F.col("line_no") % 2 == 0, "synthetic").otherwise("real")), "origin")
+
+
 @register("split_head", sql=f"""
   SELECT corpus, doc_id, line_no,
          CASE WHEN pos <= round_even(n * 5 / 100.0, 0) THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT *, {POS} AS pos, count(*) OVER (PARTITION BY corpus) AS n FROM lines)""")
 def q_split_head(spark, d):
-    return C.split_head_percent(_pos_lines(spark, d), 5.0).select("corpus", "doc_id", "line_no", "split")
+    return C.split_head_percent(fx.positioned(spark, d, total="n"), 5.0, size="n").select("corpus", "doc_id", "line_no", "split")
 
 
 @register("sample_counts", sql=f"""
@@ -86,20 +95,20 @@ def q_split_head(spark, d):
     FROM (SELECT *, {POS} AS pos, count(*) OVER (PARTITION BY corpus) AS n FROM lines))
   GROUP BY corpus, split""")
 def q_sample_counts(spark, d):
-    s = C.split_head_percent(_pos_lines(spark, d), 5.0)
+    s = C.split_head_percent(fx.positioned(spark, d, total="n"), 5.0, size="n")
     return C.sample_counts(s, 200, ["corpus", "split"])
 
 
 @register("limit_head", sql=f"""
   SELECT corpus, doc_id, line_no FROM (SELECT *, {POS} AS pos FROM lines) WHERE pos <= 100""")
 def q_limit_head(spark, d):
-    return C.limit_head(_pos_lines(spark, d), 100).select("corpus", "doc_id", "line_no")
+    return C.limit_head(fx.positioned(spark, d), 100).select("corpus", "doc_id", "line_no")
 
 
 @register("batches", sql=f"""
   SELECT corpus, doc_id, line_no, CAST(({POS} - 1) // 16 AS BIGINT) AS batch_id FROM lines""")
 def q_batches(spark, d):
-    return C.assign_batches(_pos_lines(spark, d), 16).select("corpus", "doc_id", "line_no", "batch_id")
+    return C.assign_batches(fx.positioned(spark, d), 16).select("corpus", "doc_id", "line_no", "batch_id")
 
 
 @register("batch_shapes", sql=f"""
@@ -116,7 +125,7 @@ def q_batch_shapes(spark, d):
     SELECT corpus, doc_id, line_no, CAST(({POS} - 1) // 16 AS BIGINT) AS batch_id FROM lines)
   WHERE batch_id >= 10""")
 def q_skip_batches(spark, d):
-    b = C.assign_batches(_pos_lines(spark, d), 16)
+    b = C.assign_batches(fx.positioned(spark, d), 16)
     return C.skip_batches(b, 10).select("corpus", "doc_id", "line_no", "batch_id")
 
 
@@ -161,8 +170,7 @@ def q_random_subset(spark, d):
          FROM (SELECT *, {POS} AS pos FROM tokens) GROUP BY ALL),
   b AS (SELECT corpus, group_id, a, unnest(generate_series(0, len(a) // 128 - 1)) AS block_idx FROM g)
   SELECT corpus, group_id, CAST(block_idx AS BIGINT) AS block_idx,
-         array_to_string(a[block_idx * 128 + 1 : (block_idx + 1) * 128], ' ') AS input_ids FROM b""",
-          ctes=[("v0", "SELECT 1")], bench=True)
+         array_to_string(a[block_idx * 128 + 1 : (block_idx + 1) * 128], ' ') AS input_ids FROM b""")
 def q_pack_blocks(spark, d):
     p = C.pack_blocks(_pos_tokens(spark, d), 128, 1000)
     return p.select("corpus", "group_id", "block_idx", _arr("input_ids").alias("input_ids"))

@@ -1,5 +1,5 @@
-"""Queries: text sources and sinks, streaming, plug-in inference
-(S1-S4, S7-S9, K1-K3, P12, U2-U6).
+"""Queries: text sources and sinks, streaming, the bigram LM
+(S1-S9, K1-K6, X5, U5).
 
 The I/O queries write data that Spark derives from the test tables into
 the shared checkpoint folder and read it back through the readers, so the
@@ -8,18 +8,24 @@ numbering, alignment and streaming code paths are what the oracle checks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.text import squeeze_spaces
 from ..operators import corpus as C
 from ..operators import inference as I
+from ..operators import nbest as NB
 from ..session import scratch_path
 from ..sources import sinks as K
 from ..sources import text as S
 from ..streaming.lines import read_lines_stream, run_available
 from . import fixtures as fx
 from .registry import register
+from .suite_cleaning import _squeeze_sql
+from .suite_corpus import MANIFEST, MANIFEST_SQL
+from .workflows import lm_dataset
 
 
 @register("read_lines_roundtrip", sql="""
@@ -38,10 +44,6 @@ def q_read_parallel_roundtrip(spark, d):
     return S.read_parallel(spark, src, tgt, "strict").select("line_no", "source", "target")
 
 
-def _squeeze_sql(x):
-    return f"regexp_replace(regexp_replace({x}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '^ | $', '', 'g')"
-
-
 @register("stream_clean", sql=f"""
   SELECT text FROM (SELECT {_squeeze_sql('text')} AS text FROM lines)
   WHERE text <> '' AND len(string_split(text, ' ')) BETWEEN 1 AND 60""")
@@ -57,75 +59,175 @@ def q_stream_clean(spark, d):
     return run_available(spark, read_lines_stream(spark, root, max_files_per_trigger=8), clean)
 
 
-@register("lm_dataset", sql=f"""
-  , t AS (SELECT *, row_number() OVER (ORDER BY corpus, doc_id, line_no) AS pos, count(*) OVER () AS n FROM tokens),
-  tr AS (SELECT ids, pos - CAST(round_even(n * 5 / 100.0, 0) AS BIGINT) AS tpos FROM t
-         WHERE pos > round_even(n * 5 / 100.0, 0)),
-  g AS (SELECT CAST((tpos - 1) // 1000 AS BIGINT) AS group_id, flatten(list(ids ORDER BY tpos)) AS a FROM tr GROUP BY ALL),
-  b AS (SELECT group_id, a, unnest(generate_series(0, len(a) // 128 - 1)) AS block_idx FROM g),
-  bp AS (SELECT *, row_number() OVER (ORDER BY group_id, block_idx) AS bpos FROM b)
-  SELECT group_id, CAST(block_idx AS BIGINT) AS block_idx,
-         array_to_string(a[block_idx * 128 + 1 : (block_idx + 1) * 128], ' ') AS input_ids
-  FROM bp WHERE bpos <= 200""", ctes=[("v0", "SELECT 1")], bench=True)
-def q_lm_dataset(spark, d):
-    from .workflows import lm_dataset
-    root = scratch_path(spark, "lm") + ".txt"
-    K.write_lines(fx.lines(spark, d), root, "text", ["corpus", "doc_id", "line_no"])
-    blocks = lm_dataset(spark, root, block=128, validation_pct=5.0, max_train_samples=200)
-    return blocks.select("group_id", "block_idx",
-                         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
-
-
-@register("encode")
-def q_encode(spark, d):
-    """P12 with a real subword plug-in: a WordLevel vocabulary of the 5,000
-    most frequent tokens (a distributed count; only the top-k list reaches
-    the driver) is shipped to the workers as JSON; encoding runs in an
-    iterator Arrow UDF that builds the tokenizer once per task, truncated
-    to 100 ids."""
-    from .workflows import build_vocab, wordlevel_tokenizer_json
-    ln = fx.lines(spark, d)
-    vocab_json = wordlevel_tokenizer_json(build_vocab(ln, "text", 5000))
-
-    def factory(js=vocab_json):
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_str(js)
-        return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-
-    return ln.select("doc_id", "line_no", tk.subword_encode("text", factory, max_len=100).alias("ids"))
-
-
-@register("translate_stub")
-def q_translate_stub(spark, d):
-    ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
-    return I.translate(ln, I.RotateWordsTranslator, "text", n_best=5, max_input_words=150,
-                       keys=["doc_id", "line_no"])
-
+LM_ORDER = "row_number() OVER (ORDER BY corpus, doc_id, line_no)"
 
-@register("generate_stub")
-def q_generate_stub(spark, d):
-    ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
-    prompts = C.expand_prefixes(ln, 3)
-    return I.generate(prompts, I.EchoGenerator, "prompt", 111, ["doc_id", "line_no", "i"]) \
-        .select("i", "doc_id", "line_no", "prompt", "generated")
 
-
-@register("rule_stub")
-def q_rule_stub(spark, d):
-    conv = fx.pairs_conv(spark, d)
-    return I.rule_translate(conv, I.MarkingRules, "source").select("conv_id", "turn", "translation")
+def _lm_text(spark, d):
+    root = scratch_path(spark, "lm") + ".txt"
+    K.write_lines(fx.lines(spark, d), root, "text", ["corpus", "doc_id", "line_no"])
+    return root
 
 
-@register("batched_map")
-def q_batched_map(spark, d):
-    """A vectorised pandas function that changes the row count (one
-    output row per word of every line)."""
-    def fn(pdf):
-        ex = pdf.assign(word=pdf["text"].str.split()).explode("word")
-        ex = ex[ex["word"].notna()]
-        return ex[["doc_id", "line_no", "word"]]
-    ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
-    return I.batched_map(ln, fn, "doc_id long, line_no long, word string")
+@register("lm_dataset", sql=f"""
+  , t AS (SELECT ids, {LM_ORDER} AS pos, CAST(round_even(count(*) OVER () * 5 / 100.0, 0) AS BIGINT) AS cut FROM tokens),
+  s AS (SELECT ids, CASE WHEN pos <= cut THEN 'validation' ELSE 'train' END AS split,
+               CASE WHEN pos <= cut THEN pos ELSE pos - cut END AS p FROM t),
+  g AS (SELECT split, CAST((p - 1) // 1000 AS BIGINT) AS group_id, flatten(list(ids ORDER BY p)) AS a FROM s GROUP BY ALL),
+  b AS (SELECT split, group_id, a, unnest(generate_series(0, len(a) // 128 - 1)) AS block_idx FROM g)
+  SELECT split, group_id, CAST(block_idx AS BIGINT) AS block_idx,
+         array_to_string(a[block_idx * 128 + 1 : (block_idx + 1) * 128], ' ') AS input_ids FROM b""")
+def q_lm_dataset(spark, d):
+    """X5, both splits."""
+    parts = lm_dataset(spark, _lm_text(spark, d), tk.word_length_ids, block=128, validation_pct=5.0)
+    return C.concat_corpora(parts, "split").select(
+        "split", "group_id", "block_idx", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
+
+
+@register("lm_lines", sql=f"SELECT {LM_ORDER} AS line_no, text || chr(10) AS text FROM lines")
+def q_lm_lines(spark, d):
+    """S7 on a text file, line breaks kept."""
+    return S.read_lm(spark, _lm_text(spark, d), keep_linebreaks=True)
+
+
+def _ordered_lines(spark, d):
+    keys = ["corpus", "doc_id", "line_no"]
+    return fx.lines(spark, d).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+@register("read_lm_json", sql=f"SELECT {LM_ORDER} AS line_no, text FROM lines")
+def q_read_lm_json(spark, d):
+    """S7 on JSON lines without a ``text`` field: the first field of the file."""
+    path = scratch_path(spark, "lm") + ".json"
+    _ordered_lines(spark, d).select(F.col("text").alias("sentence"), F.col("corpus").alias("author")).write.json(path)
+    return S.read_lm(spark, path)
+
+
+@register("read_lm_csv", sql=f"""
+  SELECT {LM_ORDER} AS line_no, '"' || text || '", ' || corpus || chr(10) || 'x' AS text FROM lines""")
+def q_read_lm_csv(spark, d):
+    """S7 on CSV: quotes, commas and line breaks inside the first field."""
+    path = scratch_path(spark, "lm") + ".csv"
+    body = F.concat(F.lit('"'), "text", F.lit('", '), "corpus", F.lit("\nx")).alias("body")
+    _ordered_lines(spark, d).select(body, "doc_id").write.option("header", True).option("escape", '"').csv(path)
+    return S.read_lm(spark, path)
+
+
+def _side_files(spark, d):
+    """Each side of the pairs as text, a folder for every corpus."""
+    pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    root = scratch_path(spark, "sides")
+    for side in ("source", "target"):
+        K.write_lines(pairs, f"{root}/{side}", side, ["doc_id", "line_no"], partition_by=["corpus"])
+    corpora = sorted(r[0] for r in pairs.select("corpus").distinct().collect())  # one row per corpus
+    return root, corpora
+
+
+@register("read_parallel_files", sql="""
+  SELECT row_number() OVER (ORDER BY corpus DESC, doc_id, line_no) AS line_no, source, target FROM pairs_docs""")
+def q_read_parallel_files(spark, d):
+    """S2 on lists of files, in an order that is not that of their names."""
+    root, corpora = _side_files(spark, d)
+    at = lambda side: [f"{root}/{side}/corpus={c}" for c in reversed(corpora)]
+    return S.read_parallel(spark, at("source"), at("target"), "strict")
+
+
+POS_PAIRS = "row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_no)"
+
+
+@register("read_truncate", sql=f"""
+  SELECT line_no, source, target FROM (
+    SELECT row_number() OVER (ORDER BY doc_id, line_no) AS line_no, text AS source FROM lines) s
+  JOIN (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS line_no, target FROM pairs_docs) t USING (line_no)""")
+def q_read_truncate(spark, d):
+    """S3: a longer source file, its tail dropped."""
+    src, tgt = scratch_path(spark, "long"), scratch_path(spark, "short")
+    K.write_lines(fx.lines(spark, d), src, "text", ["doc_id", "line_no"])
+    K.write_lines(fx.pairs_docs(spark, d), tgt, "target", ["doc_id", "line_no"])
+    return S.read_parallel(spark, src, tgt, "truncate")
+
+
+@register("read_corpora", sql=f"""
+  SELECT 'name=' || corpus AS corpus, {POS_PAIRS} AS line_no, source, target FROM pairs_docs""")
+def q_read_corpora(spark, d):
+    """Every corpus as a pair of files named by corpus and language."""
+    pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    root = scratch_path(spark, "family")
+    sides = C.concat_corpora({lang: pairs.select("corpus", "doc_id", "line_no", F.col(c).alias("text"))
+                              for lang, c in (("es", "source"), ("arg", "target"))}, "lang")
+    named = sides.withColumn("name", F.concat("corpus", F.lit(".es-arg."), "lang"))
+    K.write_lines(named, root, "text", ["doc_id", "line_no"], partition_by=["name"])
+    names = [f"name={r[0]}" for r in pairs.select("corpus").distinct().orderBy("corpus").collect()]  # one row per corpus
+    return S.read_corpora(spark, root, names, "es-arg", "es", "arg")
+
+
+@register("read_manifest", sql=f"""
+  SELECT m.tag, CAST(m.ord AS INTEGER) AS ord, p.line_no, p.source, p.target
+  FROM (SELECT corpus, {POS_PAIRS} AS line_no, source, target FROM pairs_docs) p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus""")
+def q_read_manifest(spark, d):
+    """All file pairs of a manifest, one of them listed twice."""
+    root, _ = _side_files(spark, d)
+    files = {tag: [{k: f"{k}/corpus={e[k]}" for k in ("source", "target")} for e in es] for tag, es in MANIFEST.items()}
+    return S.read_manifest(spark, json.dumps(files), root)
+
+
+@register("read_validation_manifest", sql=f"""
+  SELECT corpus AS task, {POS_PAIRS} AS line_no, source, target FROM pairs_docs""")
+def q_read_validation_manifest(spark, d):
+    """One file pair for each task."""
+    root, corpora = _side_files(spark, d)
+    files = {c: {k: f"{k}/corpus={c}" for k in ("source", "target")} for c in corpora}
+    return S.read_validation_manifest(spark, json.dumps(files), root)
+
+
+@register("write_parallel_breaks", sql="""
+  SELECT row_number() OVER (ORDER BY doc_id, line_no) AS line_no, trim(source || ' x') AS source, trim('y ' || target) AS target
+  FROM pairs_docs""")
+def q_write_parallel_breaks(spark, d):
+    """K2 with line breaks inside the texts."""
+    pairs = fx.pairs_docs(spark, d).select("doc_id", "line_no", F.concat("source", F.lit("\rx")).alias("source"),
+                                           F.concat(F.lit("y\r\n"), "target").alias("target"))
+    src, tgt = scratch_path(spark, "par-src"), scratch_path(spark, "par-tgt")
+    K.write_parallel(pairs, src, tgt, ["doc_id", "line_no"])
+    return S.read_parallel(spark, src, tgt, "strict")
+
+
+@register("predictions_roundtrip", sql="""
+  SELECT metric, lang AS task, row_number() OVER (PARTITION BY metric, lang ORDER BY doc_id, line_no) AS line_no, text
+  FROM lines, (VALUES ('bleu'), ('chrf')) m(metric)""")
+def q_predictions_roundtrip(spark, d):
+    """K4: a file for every metric and task, read back."""
+    rows = fx.lines(spark, d).select("lang", "doc_id", "line_no", "text")
+    rows = C.concat_corpora({m: rows.withColumnRenamed("lang", "task") for m in ("bleu", "chrf")}, "metric")
+    root = scratch_path(spark, "predictions")
+    K.write_predictions(rows, root, "text", ["doc_id", "line_no"])
+    return S.read_partitioned_lines(spark, root, ["metric", "task"])
+
+
+@register("cache_tokenized", sql="""
+  SELECT 'spa_Latn' AS src_tag, corpus AS tgt_tag, CASE WHEN line_no = 1 THEN 'validation' ELSE 'train' END AS split,
+         doc_id, line_no, array_to_string(ids, ' ') AS ids FROM tokens""")
+def q_cache_tokenized(spark, d):
+    """K5: tokenised rows by language pair and split, read back."""
+    t = fx.tokens(spark, d).select(F.lit("spa_Latn").alias("src_tag"), F.col("corpus").alias("tgt_tag"),
+                                   F.when(F.col("line_no") == 1, "validation").otherwise("train").alias("split"),
+                                   "doc_id", "line_no", "ids")
+    back = K.cache_tokenized(t, scratch_path(spark, "tokenized"))
+    return back.select("src_tag", "tgt_tag", "split", "doc_id", "line_no",
+                       F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@register("run_metrics", sql="""
+  SELECT round(avg(b), 6) AS eval_bleu, count(*) AS n_tasks,
+         (SELECT count(*) FROM lines WHERE line_no > 1) AS train_samples, (SELECT count(*) FROM lines WHERE line_no = 1) AS validation_samples
+  FROM (SELECT task, avg(bleu) AS b FROM vlog GROUP BY task)""")
+def q_run_metrics(spark, d):
+    """K6: the run's mean score over tasks and its sample counts (A16), as JSON, read back."""
+    scores = fx.vlog(spark, d).groupBy("task").agg(F.avg("bleu").alias("bleu"))
+    split = F.when(F.col("line_no") == 1, "validation").otherwise("train").alias("split")
+    counts = C.sample_counts(fx.lines(spark, d).select(split), None, ["split"])
+    path = scratch_path(spark, "metrics")
+    K.write_metrics(K.run_metrics(scores, counts), path)
+    return spark.read.json(path)
 
 
 def _lm_sql():
@@ -145,10 +247,30 @@ def _lm_sql():
   hb AS (SELECT sent_id, hyp_idx, b.prev, b.cur FROM (SELECT sent_id, hyp_idx, unnest({_lm_sql()('text')}) AS b FROM nbest))
   SELECT hb.sent_id, hb.hyp_idx,
          round(-avg(ln((coalesce(c_bg, 0) + 0.1) / (coalesce(c_h, 0) + 0.1 * vv))), 6) AS loss
-  FROM hb LEFT JOIN bc USING (prev, cur) LEFT JOIN hc USING (prev), v GROUP BY hb.sent_id, hb.hyp_idx""",
-          ctes=[("v0", "SELECT 1")])
+  FROM hb LEFT JOIN bc USING (prev, cur) LEFT JOIN hc USING (prev), v GROUP BY hb.sent_id, hb.hyp_idx""")
 def q_score_ngram(spark, d):
     lm = I.train_bigram_lm(fx.lines(spark, d), "text")
     hyp = fx.nbest(spark, d).select("sent_id", "hyp_idx", "text")
     out = I.score_loss(hyp, lm, "text")
     return out.select("sent_id", "hyp_idx", F.round("loss", 6).alias("loss"))
+
+
+@register("score_rerank", sql=f"""
+  , tb AS (SELECT b.prev, b.cur FROM (SELECT unnest({_lm_sql()('text')}) AS b FROM lines)),
+  bc AS (SELECT prev, cur, count(*) AS c_bg FROM tb GROUP BY ALL),
+  hc AS (SELECT prev, count(*) AS c_h FROM tb GROUP BY ALL),
+  v AS (SELECT count(DISTINCT cur) + 1 AS vv FROM tb),
+  hy AS (SELECT doc_id, (line_no - 1) // 5 AS sent_id, CAST((line_no - 1) % 5 AS INTEGER) AS hyp_idx, text FROM lines),
+  hb AS (SELECT doc_id, sent_id, hyp_idx, text, b.prev, b.cur FROM (SELECT doc_id, sent_id, hyp_idx, text, unnest({_lm_sql()('text')}) AS b FROM hy)),
+  ls AS (SELECT doc_id, sent_id, hyp_idx, text, round(-avg(ln((coalesce(c_bg, 0) + 0.1) / (coalesce(c_h, 0) + 0.1 * vv))), 6) AS loss
+         FROM hb LEFT JOIN bc USING (prev, cur) LEFT JOIN hc USING (prev), v GROUP BY ALL)
+  SELECT doc_id, sent_id, hyp_idx, text, loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY loss DESC, hyp_idx) AS rk FROM ls) WHERE rk = 1""")
+def q_score_rerank(spark, d):
+    """U5 -> W3 on real lines: five lines of a document in a row are the hypotheses."""
+    ln = fx.lines(spark, d)
+    hyp = ln.select("doc_id", F.floor((F.col("line_no") - 1) / 5).alias("sent_id"),
+                    ((F.col("line_no") - 1) % 5).cast("int").alias("hyp_idx"), "text")
+    lm = I.train_bigram_lm(ln, "text")
+    scored = I.score_loss(hyp, lm, "text", ("doc_id", "sent_id", "hyp_idx")).withColumn("loss", F.round("loss", 6))
+    return NB.rerank(scored, "loss", "max", ("doc_id", "sent_id")).select("doc_id", "sent_id", "hyp_idx", "text", "loss")

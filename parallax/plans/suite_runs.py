@@ -51,25 +51,23 @@ def q_rerank_min(spark, d):
 
 
 @register("running_best", sql=f""", {SCAN_SQL.strip()}
-  SELECT run, task, step, bleu, best_before, improved, best FROM st""", ctes=[("v0", "SELECT 1")])
+  SELECT run, task, step, bleu, best_before, improved, best FROM st""")
 def q_running_best(spark, d):
     return R.running_best(fx.vlog(spark, d)).select("run", "task", "step", "bleu", "best_before",
                                                     "improved", "best")
 
 
 @register("stall_counter", sql=f""", {SCAN_SQL.strip()}
-  SELECT run, task, step, best, stall FROM st""", ctes=[("v0", "SELECT 1")])
+  SELECT run, task, step, best, stall FROM st""")
 def q_stall_counter(spark, d):
     return R.stall_counter(fx.vlog(spark, d)).select("run", "task", "step", "best", "stall")
 
 
 @register("stop_step", sql=f""", {SCAN_SQL.strip()}
-  SELECT * FROM (SELECT run, task, min(CASE WHEN stall = 10 THEN step END) AS stop_step FROM st GROUP BY run, task)
-  WHERE stop_step IS NOT NULL""",
-          ctes=[("v0", "SELECT 1")])
+  SELECT run, task, min(CASE WHEN stall = 10 THEN step END) AS stop_step FROM st GROUP BY run, task""")
 def q_stop_step(spark, d):
-    """Stopping points: the runs/tasks that reach patience 10, and where."""
-    return R.stop_step(fx.vlog(spark, d), patience=10).where(F.col("stop_step").isNotNull())
+    """Where each run and task reaches patience 10; NULL if never."""
+    return R.stop_step(fx.vlog(spark, d), patience=10)
 
 
 @register("best_checkpoint", sql="""
@@ -80,11 +78,12 @@ def q_best_checkpoint(spark, d):
     return R.best_checkpoint(fx.vlog(spark, d))
 
 
-@register("resume_state", sql=f""", {SCAN_SQL.strip().replace('FROM vlog WINDOW', 'FROM vlog WHERE step <= 5000 WINDOW')}
-  SELECT run, task, arg_max(best, step) AS best, arg_max(stall, step) AS stalled FROM st GROUP BY run, task""",
-          ctes=[("v0", "SELECT 1")])
+@register("resume_state", sql=f""", {SCAN_SQL.strip().replace('FROM vlog WINDOW', 'FROM vlog WHERE step <= (SELECT max(step) // 2 FROM vlog) WINDOW')}
+  SELECT run, task, arg_max(best, step) AS best, arg_max(stall, step) AS stalled FROM st GROUP BY run, task""")
 def q_resume_state(spark, d):
-    return R.resume_state(fx.vlog(spark, d), at_step=5000)
+    """State at the middle of the log."""
+    log = fx.vlog(spark, d)
+    return R.resume_state(log, at_step=log.agg(F.max("step")).first()[0] // 2)
 
 
 @register("lm_patience", sql="""
@@ -94,11 +93,9 @@ def q_resume_state(spark, d):
   b AS (SELECT *, (prev IS NULL OR -loss > prev) AS imp FROM a),
   c AS (SELECT *, pos - max(CASE WHEN imp THEN pos END)
                     OVER (PARTITION BY run, task ORDER BY step ROWS UNBOUNDED PRECEDING) AS counter FROM b)
-  SELECT * FROM (SELECT run, task, min(CASE WHEN counter = 5 THEN step END) AS stop_step FROM c GROUP BY run, task)
-  WHERE stop_step IS NOT NULL""",
-          ctes=[("v0", "SELECT 1")])
+  SELECT run, task, min(CASE WHEN counter = 5 THEN step END) AS stop_step FROM c GROUP BY run, task""")
 def q_lm_patience(spark, d):
-    return R.lm_patience(fx.vlog(spark, d), patience=5).where(F.col("stop_step").isNotNull())
+    return R.lm_patience(fx.vlog(spark, d), patience=5)
 
 
 @register("running_cost", sql="""
@@ -117,7 +114,26 @@ def q_keep_last_k(spark, d):
     return R.keep_last_k(fx.ckpt(spark, d), k=2).select("run", "kind", "step", "keep")
 
 
-@register("latest_checkpoint", sql="""
-  SELECT run, kind, arg_max(step, ctime) AS latest_step FROM ckpt GROUP BY run, kind""")
+KIND_SQL = "CASE step % 3 WHEN 0 THEN 'step' WHEN 1 THEN 'bestmodel' ELSE 'epoch' END"
+
+
+@register("latest_checkpoint", sql=f"""
+  SELECT run, arg_max(kind, (ctime, step)) AS latest_kind, arg_max(step, (ctime, step)) AS latest_step
+  FROM (SELECT run, {KIND_SQL} AS kind, step, ctime FROM ckpt) WHERE kind <> 'epoch' GROUP BY run""")
 def q_latest_checkpoint(spark, d):
-    return R.latest_checkpoint(fx.ckpt(spark, d))
+    """W10 over three kinds of checkpoint, of which one is not resumable."""
+    return R.latest_checkpoint(fx.ckpt(spark, d).withColumn("kind", F.expr(KIND_SQL)))
+
+
+@register("running_cost_epochs", sql="""
+  SELECT run, task, epoch, step, batches,
+         CAST(sum(l) OVER w AS DOUBLE) / (count(*) OVER w * 10000.0) AS running_cost, epoch_cost
+  FROM (SELECT *, count(*) OVER e AS batches, CAST(sum(l) OVER e AS DOUBLE) / (count(*) OVER e * 10000.0) AS epoch_cost
+        FROM (SELECT run, task, step // 2000 AS epoch, step, CAST(round(loss * 10000) AS BIGINT) AS l FROM vlog)
+        WINDOW e AS (PARTITION BY run, task, epoch))
+  WINDOW w AS (PARTITION BY run, task, epoch ORDER BY step ROWS UNBOUNDED PRECEDING)""")
+def q_running_cost_epochs(spark, d):
+    """A14 with the sum started anew each epoch, and at the epoch's end."""
+    log = fx.vlog(spark, d).withColumn("epoch", F.floor(F.col("step") / 2000))
+    out = R.running_cost(log, decimals=4, epoch="epoch")
+    return out.select("run", "task", "epoch", "step", "batches", "running_cost", "epoch_cost")

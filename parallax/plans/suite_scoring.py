@@ -53,6 +53,10 @@ def bleu_ctes(base: str, keys: list[str], p: str = "b") -> list[tuple[str, str]]
 
 
 def bleu_expr(p: str = "") -> str:
+    return f"round({bleu_raw(p)}, 6)"
+
+
+def bleu_raw(p: str = "") -> str:
     parts = []
     for n in range(1, 5):
         z = " + ".join(f"(CASE WHEN {p}m{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, n + 1))
@@ -61,8 +65,8 @@ def bleu_expr(p: str = "") -> str:
         parts.append(f"(CASE WHEN {prec} = 0 THEN -9999999999.0 ELSE ln({prec}) END)")
     bp = (f"(CASE WHEN {p}sys_len >= {p}ref_len THEN 1.0 WHEN {p}sys_len = 0 THEN 0.0 "
           f"ELSE exp(1.0 - {p}ref_len / {p}sys_len) END)")
-    return (f"round(CASE WHEN {p}m1 + {p}m2 + {p}m3 + {p}m4 = 0 THEN 0.0 "
-            f"ELSE {bp} * exp(({' + '.join(parts)}) / 4.0) END, 6)")
+    return (f"(CASE WHEN {p}m1 + {p}m2 + {p}m3 + {p}m4 = 0 THEN 0.0 "
+            f"ELSE {bp} * exp(({' + '.join(parts)}) / 4.0) END)")
 
 
 def chrf_ctes(base: str, keys: list[str], p: str = "c") -> list[tuple[str, str]]:
@@ -131,13 +135,13 @@ def q_wer(spark, d):
 
 
 @register("bleu", sql=f"SELECT sys_len, ref_len, {bleu_expr()} AS bleu FROM b_stats",
-          ctes=[CONV_BASE] + bleu_ctes("seg_base", []), bench=True)
+          ctes=[CONV_BASE] + bleu_ctes("seg_base", []))
 def q_bleu(spark, d):
     return M.bleu(_conv_seg(spark, d))
 
 
 @register("chrf", sql=f"SELECT {CHRF_EXPR} AS chrf FROM c_pr",
-          ctes=[CONV_BASE] + chrf_ctes("seg_base", []), bench=True)
+          ctes=[CONV_BASE] + chrf_ctes("seg_base", []))
 def q_chrf(spark, d):
     return M.chrf(_conv_seg(spark, d))
 
@@ -145,7 +149,7 @@ def q_chrf(spark, d):
 @register("metrics_by_task", sql=f"""
   SELECT b.task, b.sys_len, b.ref_len, {bleu_expr('b.')} AS bleu, {CHRF_EXPR} AS chrf
   FROM b_stats b JOIN c_pr c USING (task)""",
-          ctes=[DOCS_BASE] + bleu_ctes("task_base", ["task"]) + chrf_ctes("task_base", ["task"]), bench=True)
+          ctes=[DOCS_BASE] + bleu_ctes("task_base", ["task"]) + chrf_ctes("task_base", ["task"]))
 def q_metrics_by_task(spark, d):
     p = fx.pairs_docs(spark, d).select(F.col("lang").alias("task"), F.col("source").alias("hyp"),
                                        F.col("target").alias("ref"))
@@ -183,10 +187,84 @@ def q_token_accuracy(spark, d):
   SELECT CAST(10000 AS BIGINT) AS trials, max(ob.o) AS observed,
          CAST(sum(CASE WHEN p.d >= ob.o - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS n_extreme,
          round((sum(CASE WHEN p.d >= ob.o - 1e-9 THEN 1 ELSE 0 END) + 1) / 10001.0, 6) AS p_value
-  FROM pt p, ob""",
-          ctes=[("two_sys", "SELECT * FROM two_systems")])
+  FROM pt p, ob""")
 def q_paired_randomization(spark, d):
     s = fx.two_systems(spark, d)
     st = s.select("seg_id", char_edit_distance("hyp_a", "ref").alias("a"),
                   char_edit_distance("hyp_b", "ref").alias("b"))
     return M.paired_randomization(st, "a", "b", "seg_id", trials=10000, seed=12345)
+
+
+@register("scores_unequal", sql="""
+  SELECT n_correct, n, round(n_correct / n, 6) AS accuracy, total_distance, round(total_distance / n, 6) AS mean_distance
+  FROM (SELECT CAST(sum(CASE WHEN h.p_type = r.p_type THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, count(*) AS n,
+               CAST(sum(coalesce(levenshtein(h.p_type, r.p_type), 0)) AS BIGINT) AS total_distance
+        FROM part h LEFT JOIN part r ON h.p_partkey = 2 * r.p_partkey)""")
+def q_scores_unequal(spark, d):
+    """A1 and A3 where some predictions have no reference: part 2k against part k."""
+    hyp = fx.table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), F.col("p_type").alias("hyp"))
+    ref = hyp.select((F.col("line_no") * 2).alias("line_no"), F.col("hyp").alias("ref"))
+    seg = M.pair_predictions(hyp, ref)
+    both = M.mean_edit_distance(seg).withColumn("acc", M.accuracy(seg).select(F.struct("n_correct", "accuracy")).scalar())
+    return both.select("acc.n_correct", "n", "acc.accuracy", "total_distance", "mean_distance")
+
+
+SIG_BASE = ("sig_base", "SELECT 'A' AS system, seg_id AS sid, seg_id AS seg, hyp_a AS hyp, ref FROM two_systems "
+                        "UNION ALL SELECT 'B' AS system, seg_id AS sid, seg_id AS seg, hyp_b AS hyp, ref FROM two_systems")
+
+
+def _significance_sql(stats: str, names: list[str], score, trials: int, seed: int = 12345) -> str:
+    """A15 over a relation ``stats`` with (system, sid, names...)."""
+    blocks = -(-trials // 60)
+    cols = lambda f: ", ".join(f(n) for n in names)
+    side = lambda s, sign: ", ".join(f"max(t.{s}_{n}) {sign} sum(p.s_{n}) AS {n}" for n in names)
+    return f"""
+  , sd AS (SELECT a.sid, {cols(lambda n: f"a.{n} AS a_{n}, b.{n} AS b_{n}, b.{n} - a.{n} AS d_{n}")}
+           FROM (SELECT * FROM ({stats}) WHERE system = 'A') a JOIN (SELECT * FROM ({stats}) WHERE system = 'B') b USING (sid)),
+  tot AS (SELECT {cols(lambda n: f"sum(a_{n}) AS a_{n}, sum(b_{n}) AS b_{n}")} FROM sd),
+  cw AS (SELECT sd.*, blk, ('0x' || substr(md5('{seed}-' || sid || '-' || blk), 1, 15))::BIGINT AS w FROM sd, range(0, {blocks}) r(blk)),
+  sw AS (SELECT blk * 60 + bit + 1 AS trial, {cols(lambda n: f"sum(CASE WHEN (w >> bit) & 1 = 1 THEN d_{n} ELSE 0 END) AS s_{n}")}
+         FROM cw, range(0, 60) q(bit) WHERE blk * 60 + bit + 1 <= {trials} GROUP BY ALL),
+  ta AS (SELECT trial, {side('a', '+')} FROM sw p, tot t GROUP BY trial),
+  tb AS (SELECT trial, {side('b', '-')} FROM sw p, tot t GROUP BY trial),
+  oa AS (SELECT {cols(lambda n: f"a_{n} AS {n}")} FROM tot), ob AS (SELECT {cols(lambda n: f"b_{n} AS {n}")} FROM tot),
+  o AS (SELECT abs((SELECT {score()} FROM oa) - (SELECT {score()} FROM ob)) AS observed),
+  ds AS (SELECT abs(x.v - y.v) AS d FROM (SELECT trial, {score()} AS v FROM ta) x JOIN (SELECT trial, {score()} AS v FROM tb) y USING (trial))
+  SELECT CAST({trials} AS BIGINT) AS trials, round(max(observed), 6) AS observed,
+         CAST(sum(CASE WHEN d >= observed - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS n_extreme,
+         round((sum(CASE WHEN d >= observed - 1e-9 THEN 1 ELSE 0 END) + 1) / ({trials} + 1), 6) AS p_value FROM ds, o"""
+
+
+def _chrf_raw() -> str:
+    ok = lambda n: f"(h{n} > 0 AND r{n} > 0)"
+    eff = "(" + " + ".join(f"CASE WHEN {ok(n)} THEN 1 ELSE 0 END" for n in range(1, 7)) + ")"
+    mean = lambda x: "(" + " + ".join(f"CASE WHEN {ok(n)} THEN m{n} / {x}{n} ELSE 0.0 END" for n in range(1, 7)) + f") / {eff}"
+    p, r = mean("h"), mean("r")
+    return f"(CASE WHEN {eff} = 0 OR ({p}) + ({r}) = 0 THEN 0.0 ELSE 100.0 * 5.0 * ({p}) * ({r}) / (4.0 * ({p}) + ({r})) END)"
+
+
+BLEU_NAMES = ["sys_len", "ref_len"] + [f"{x}{n}" for n in range(1, 5) for x in "tm"]
+CHRF_NAMES = [f"{x}{n}" for n in range(1, 7) for x in "hrm"]
+CHRF_ROWS = "SELECT system, sid, " + ", ".join(
+    f"CAST(max(CASE WHEN n = {n} THEN {c} END) AS DOUBLE) AS {x}{n}" for n in range(1, 7) for x, c in (("h", "th"), ("r", "tr"), ("m", "mm"))
+) + " FROM c_o GROUP BY system, sid"
+
+
+@register("significance_bleu", sql=_significance_sql("SELECT * FROM b_stats", BLEU_NAMES, bleu_raw, 1000),
+          ctes=[SIG_BASE] + bleu_ctes("sig_base", ["system", "sid"]))
+def q_significance_bleu(spark, d):
+    """A15 on BLEU."""
+    return M.significance_bleu(fx.two_systems(spark, d), trials=1000)
+
+
+@register("significance_chrf", sql=_significance_sql(CHRF_ROWS, CHRF_NAMES, _chrf_raw, 1000),
+          ctes=[SIG_BASE] + chrf_ctes("sig_base", ["system", "sid"]))
+def q_significance_chrf(spark, d):
+    """A15 on chrF."""
+    return M.significance_chrf(fx.two_systems(spark, d), trials=1000)
+
+
+@register("significance_ter")
+def q_significance_ter(spark, d):
+    """A15 on TER (no SQL form of the shift search; tested by brute force)."""
+    return M.significance_ter(fx.two_systems(spark, d), trials=1000)

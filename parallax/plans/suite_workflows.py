@@ -1,21 +1,15 @@
-"""Queries: workflows composed from the operators (X1-X10) and TER (A10)."""
+"""Queries: workflows composed from the operators (X1-X4, X8, X10) and TER (A10)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import corpus as C
-from ..operators import inference as I
 from ..operators import metrics as M
-from ..operators import nbest as NB
-from ..operators import runs as R
-from ..operators.filters import clean_pairs, filter_language, filter_similarity
-from ..session import materialize, scratch_path
-from ..sources import sinks as K
-from ..sources import text as S
+from ..session import scratch_path
 from . import fixtures as fx
+from . import workflows as W
 from .registry import register
 from .suite_cleaning import LCS_SQL, _squeeze_sql
 from .suite_corpus import MANIFEST_JSON, MANIFEST_SQL
@@ -37,9 +31,7 @@ def _clean_sql(lo, hi, view="pairs_docs", cols="corpus, doc_id, line_no"):
 def q_prepare(spark, d):
     """Family -> clean (2, 70) -> append per corpus (K3) -> training table."""
     fam = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
-    root = scratch_path(spark, "train")
-    K.append_corpus(clean_pairs(fam, 2, 70), root, first=True)
-    return spark.read.parquet(root).select("corpus", "doc_id", "line_no", "source", "target")
+    return W.prepare(fam, scratch_path(spark, "train")).select("corpus", "doc_id", "line_no", "source", "target")
 
 
 @register("prepare_similar", sql=f"""
@@ -51,29 +43,17 @@ def q_prepare(spark, d):
   WHERE CASE WHEN l.m + l.n = 0 THEN 1.0 ELSE 2.0 * l.lcs / (l.m + l.n) END BETWEEN 0.25 AND 0.99""",
           ctes=[("pp", "SELECT seg_id, lower(hyp) AS a, lower(ref) AS b FROM pairs_parts")], recursive=True)
 def q_prepare_similar(spark, d):
-    """Clean (1, 60) -> 'original'; then the similarity band -> 'levenshtein'."""
-    p = fx.pairs_parts(spark, d)
-    cl = clean_pairs(p, 1, 60, src="hyp", tgt="ref")
-    sim = filter_similarity(cl, 0.25, 0.99, src="hyp", tgt="ref", ratio_col=None)
-    return C.concat_corpora({"original": cl, "levenshtein": sim}, "dataset").select("dataset", "seg_id", "hyp", "ref")
+    """Clean (1, 60) -> 'original'; then the similarity band -> 'levenshtein'; both written (K3)."""
+    out = W.prepare_similar(fx.pairs_parts(spark, d), scratch_path(spark, "similar"), src="hyp", tgt="ref")
+    return out.select("dataset", "seg_id", "hyp", "ref")
 
 
 @register("prepare_filtered")
 def q_prepare_filtered(spark, d):
     """X3 (dormant in the reference): normalise -> tokenise -> clean (1, 80)
     -> source language = es -> similarity band; the three published variants
-    are returned with a ``dataset`` column."""
-    fam = fx.pairs_docs(spark, d).select("corpus", "lang", "doc_id", "line_no", "source", "target")
-    norm = fam.select("corpus", "doc_id", "line_no",
-                      tx.word_tokenize(tx.normalize_punct("source", "es")).alias("source"),
-                      tx.word_tokenize(tx.normalize_punct("target", "es")).alias("target"))
-    cl = clean_pairs(norm, 1, 80)
-    # published and also filtered further: save it once instead of running
-    # the normalisation chain for both branches of the union
-    lang = materialize(filter_language(cl, fx.line_labels(spark, d), "__label__es"), "filtered")
-    sim = filter_similarity(lang, 0.25, 0.99, ratio_col=None)
-    return C.concat_corpora({"original": fam.drop("lang"), "filtered": lang, "levenshtein": sim}, "dataset") \
-        .select("dataset", "corpus", "doc_id", "line_no")
+    with their text."""
+    return W.prepare_filtered(fx.pairs_docs(spark, d), fx.line_labels(spark, d), ["corpus", "doc_id", "line_no"])
 
 
 MIX_KEY = "md5('42-' || tag || '-' || ord || '-' || corpus || '-' || doc_id || '-' || line_no)"
@@ -85,49 +65,17 @@ MIX_KEY = "md5('42-' || tag || '-' || ord || '-' || corpus || '-' || doc_id || '
          CAST(least(len({fx.sql_words("'<2' || tag || '> ' || source")}), 100) AS BIGINT) AS n_src,
          CAST(least(len({fx.sql_words("tag || ' ' || target")}), 100) AS BIGINT) AS n_tgt
   FROM (SELECT p.*, m.tag, m.ord, row_number() OVER (ORDER BY {MIX_KEY.replace('corpus', 'p.corpus')}, m.tag, m.ord, p.corpus, p.doc_id, p.line_no) AS rank
-        FROM pairs_docs p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus)""", bench=True)
+        FROM pairs_docs p JOIN ({MANIFEST_SQL}) m ON m.corpus = p.corpus)""")
 def q_build_mixture(spark, d):
     """Manifest (S5) -> tags (P5) -> prefix / tag (P3, P4) -> encode and
     truncate (P12) -> union (U-ALL, in the join) -> seeded shuffle (B3) ->
     batches (B6)."""
     pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
-    mix = C.assign_tags(C.build_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON)), "spa_Latn", F.col("tag"))
-    mix = mix.select("tag", "ord", "corpus", "doc_id", "line_no", "src_tag", "tgt_tag",
-                     tk.truncate(tk.word_length_ids(F.concat(F.lit("<2"), "tag", F.lit("> "), "source")), 100).alias("src_ids"),
-                     tk.truncate(tk.word_length_ids(tx.tag_target("target", F.col("tag"))), 100).alias("tgt_ids"))
-    ranked = C.shuffle_rank(mix, 42, ["tag", "ord", "corpus", "doc_id", "line_no"], group=())
-    out = C.assign_batches(ranked, 16, pos="rank")
+    out = W.training_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON), tk.word_length_ids, ["corpus", "doc_id", "line_no"], "spa_Latn")
     return out.select("tag", "ord", "corpus", "doc_id", "line_no", "src_tag", "tgt_tag", "rank", "batch_id",
                       F.size("src_ids").cast("long").alias("n_src"), F.size("tgt_ids").cast("long").alias("n_tgt"))
 
 
-@register("synthesize")
-def q_synthesize(spark, d):
-    """Lines -> prefixes 3..5 (B11) -> generation plug-in (U4, P8) ->
-    ordered line file (K1), read back numbered (S1)."""
-    ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
-    gen = I.generate(C.expand_prefixes(ln, 3), I.EchoGenerator, "prompt", 111, ["doc_id", "line_no", "i"])
-    root = scratch_path(spark, "synthetic")
-    K.write_lines(gen, root, "generated", ["i", "doc_id", "line_no"])
-    return S.read_lines(spark, root)
-
-
-@register("translate_rerank")
-def q_translate_rerank(spark, d):
-    """Translate with 5 hypotheses (U3) -> top-1 (W1) and the hypothesis
-    chosen by the LM loss (U5, W3 in the reference's max mode)."""
-    ln = fx.lines(spark, d).select("doc_id", "line_no", "text")
-    hyps = I.translate(ln, I.RotateWordsTranslator, "text", n_best=5, max_input_words=150,
-                       keys=["doc_id", "line_no"]).withColumnRenamed("hyp", "text")
-    hyps = materialize(hyps, "nbest")  # inference runs once; three branches read it
-    lm = I.train_bigram_lm(ln, "text")
-    scored = I.score_loss(hyps, lm, "text", keys=("doc_id", "line_no", "hyp_idx"), broadcast_max_rows=2_000_000)
-    best = NB.rerank(scored, "loss", "max", keys=("doc_id", "line_no")).select(
-        "doc_id", "line_no", F.col("text").alias("best_lm"))
-    top = NB.top1(hyps).select("doc_id", "line_no", F.col("text").alias("top1"))
-    return top.join(best, ["doc_id", "line_no"])
-
-
 SYS_BASE = ("sys_base", "SELECT 'A' AS system, seg_id AS seg, hyp_a AS hyp, ref FROM two_systems "
                         "UNION ALL SELECT 'B' AS system, seg_id AS seg, hyp_b AS hyp, ref FROM two_systems")
 
@@ -146,13 +94,13 @@ SYS_BASE = ("sys_base", "SELECT 'A' AS system, seg_id AS seg, hyp_a AS hyp, ref
          round(ev.total_distance / ev.n, 6) AS mean_distance, wr.edits, wr.ref_words,
          round(wr.edits / wr.ref_words, 6) AS wer, b.sys_len, b.ref_len, {bleu_expr('b.')} AS bleu, {CHRF_EXPR} AS chrf
   FROM ev JOIN wr USING (system) JOIN b_stats b USING (system) JOIN c_pr c USING (system)""",
-          ctes=[SYS_BASE] + bleu_ctes("sys_base", ["system"]) + chrf_ctes("sys_base", ["system"]), bench=True)
+          ctes=[SYS_BASE] + bleu_ctes("sys_base", ["system"]) + chrf_ctes("sys_base", ["system"]))
 def q_evaluate(spark, d):
-    """Every metric per system in one pass."""
+    """Strip, then every metric per system in one pass (TER, which has no SQL form, is the query ``ter``)."""
     s = fx.two_systems(spark, d)
     seg = C.concat_corpora({"A": s.select("seg_id", F.col("hyp_a").alias("hyp"), "ref"),
                             "B": s.select("seg_id", F.col("hyp_b").alias("hyp"), "ref")}, "system")
-    return M.evaluate(seg, keys=["system"])
+    return W.evaluate_systems(seg, keys=["system"], with_ter=False)
 
 
 @register("ter")
@@ -164,32 +112,13 @@ def q_ter(spark, d):
     return M.ter(seg, keys=["system"])
 
 
-@register("post_edit_pairs", sql="""
-  SELECT conv_id, turn, 'post_edit' AS task, replace(target, '*', '') AS source, target FROM pairs_conv""")
-def q_post_edit_pairs(spark, d):
-    """source = rule-based output in the target language (U6 + P7),
-    target = the human text, tagged as its own task."""
-    conv = fx.pairs_conv(spark, d)
-    rb = I.rule_translate(conv, I.MarkingRules, "target", "rule_out")
-    return rb.select("conv_id", "turn", F.lit("post_edit").alias("task"), F.col("rule_out").alias("source"), "target")
-
-
 @register("analyze_run", sql=f""", {SCAN_SQL.strip()}
   SELECT run, task, count(*) AS n_evals, greatest(max(bleu), 0.0) AS best,
          min(CASE WHEN improved AND best = (SELECT max(s2.best) FROM st s2 WHERE s2.run = st.run AND s2.task = st.task)
              THEN step END) AS best_step,
          coalesce(min(CASE WHEN stall = 10 THEN step END), -1) AS stop_step,
          arg_max(stall, step) AS final_stall
-  FROM st GROUP BY run, task""", ctes=[("v0", "SELECT 1")])
+  FROM st GROUP BY run, task""")
 def q_analyze_run(spark, d):
-    """Running best (W4) -> stall counter (W5) -> stop step (W6; -1 when
-    patience 10 is never reached) -> best checkpoint (W7), per run and task,
-    in one aggregation."""
-    s = R.stall_counter(fx.vlog(spark, d))
-    # one aggregation: the best checkpoint is the last improving evaluation
-    return s.groupBy("run", "task").agg(
-        F.count(F.lit(1)).alias("n_evals"),
-        F.max("best").alias("best"),
-        F.max(F.when(F.col("improved"), F.col("step"))).alias("best_step"),
-        F.coalesce(F.min(F.when(F.col("stall") == 10, F.col("step"))), F.lit(-1)).alias("stop_step"),
-        F.max_by("stall", "step").alias("final_stall"))
+    """-1 stands for a patience of 10 that is never reached."""
+    return W.analyze_run(fx.vlog(spark, d), patience=10).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))

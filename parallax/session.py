@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -44,13 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when the setting is absent (local tests) do we make
-    our own folder and register it.
-    """
+    file system); without it a cluster job cannot share intermediate tables,
+    so that is an error.  Only a local session makes its own folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="parallax-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,12 +60,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch_roots: set[str] = set()
+
+
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+    gateway = SparkContext._gateway
+    if gateway is not None:
+        p = gateway.jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+def remove_scratch() -> None:
+    """Delete the folders that :func:`scratch_path` handed out (also run when the driver exits)."""
+    while _scratch_roots:
+        try:
+            _delete(_scratch_roots.pop())
+        except Exception:  # the driver is going down: a folder that stays is only untidy
+            pass
+
+
+atexit.register(remove_scratch)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder below the shared checkpoint folder, in this
+    application's own sub-folder, which goes when the driver exits."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/parallax-{spark.sparkContext.applicationId}"
+    _scratch_roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df, name: str = "table"):
@@ -76,20 +101,18 @@ def materialize(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df, factor: int = 2):
+def spread(scan, factor: int = 2):
     """Make sure CPU-bound per-row work can use every core.
 
-    When ``df`` arrives in fewer partitions than ``factor`` x the cluster's
-    default parallelism (a small table stored as one Parquet row group), it
-    is round-robin repartitioned; otherwise it is returned unchanged, so on
-    a large input this costs nothing.  Round-robin repartitioning sorts
-    first, so a retried task reproduces the same split."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * factor
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave it to Spark
-        return df
-    return df.repartition(target) if current < target else df
+    For a *file scan* only (asking a derived frame for its partitions would
+    run its exchanges): when it arrives in fewer partitions than ``factor``
+    x the cluster's default parallelism (a small table stored as one Parquet
+    row group), it is round-robin repartitioned; otherwise it is returned
+    unchanged, so on a large input this costs nothing.  Round-robin
+    repartitioning sorts first, so a retried task reproduces the same
+    split."""
+    target = scan.sparkSession.sparkContext.defaultParallelism * factor
+    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan
 
 
 def pin(df, **exprs):
@@ -107,11 +130,15 @@ def pin(df, **exprs):
     return df.select(*keep, F.inline(packed))
 
 
-def broadcast_if_small(df, max_rows: int = 2_000_000):
-    """Broadcast a *materialised* table when its row count (a Parquet
-    metadata read, no scan of the data) is at most ``max_rows``; otherwise
-    return it unchanged so the join stays a shuffle join (with AQE skew
-    handling).  Use only on tables read back from storage."""
+#: largest table, in bytes of its Parquet files, that is broadcast
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df, max_bytes: int = BROADCAST_BYTES):
+    """Broadcast a *materialised* table whose files hold at most
+    ``max_bytes`` (the scan's own size statistic, no job); a larger one is
+    returned unchanged, so that the join stays a shuffle join with AQE skew
+    handling.  Use only on tables read back from storage."""
     from pyspark.sql import functions as F
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df

@@ -4,16 +4,31 @@ Parquet with explicit key columns is the default everywhere: it keeps row
 identity without relying on file order.  Ordered text output is available
 where a line-per-row file is the point (K1, K2, K4); it is produced by a
 range-partitioned sort, so part files concatenated in name order are in
-line order and no single task has to hold the whole output.
+line order and no single task has to hold the whole output.  A line break
+inside a text would shift every later line, so it is replaced by a blank (or,
+with ``breaks="error"``, raises).
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: what a line reader takes for the end of a line
+LINE_BREAK = "\r\n|\r|\n"
+
+
+def one_line(c: str, breaks: str = "replace"):
+    """A text column as one line of a file; null is an empty line."""
+    x = F.coalesce(F.col(c), F.lit(""))
+    if breaks == "replace":
+        return F.regexp_replace(x, LINE_BREAK, " ")
+    if breaks == "error":
+        return F.when(x.rlike(LINE_BREAK), F.raise_error(F.lit(f"line break inside {c}"))).otherwise(x)
+    raise ValueError("breaks must be 'replace' or 'error'")
+
 
 def _ordered(df: DataFrame, order_cols, partition_cols=()) -> DataFrame:
     keys = [*partition_cols, *order_cols]
@@ -21,29 +36,34 @@ def _ordered(df: DataFrame, order_cols, partition_cols=()) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str, text: str = "text", order_cols=("line_no",),
-                partition_by=(), mode: str = "overwrite") -> None:
+                partition_by=(), mode: str = "overwrite", breaks: str = "replace") -> None:
     """K1: ordered text output, one line per row (no BOM).  With
     ``partition_by`` every value gets its own folder of part files."""
-    out = _ordered(df.select(*partition_by, *order_cols, text), list(order_cols), list(partition_by))
-    w = out.select(*partition_by, F.col(text).alias("value")).write.mode(mode)
+    out = _ordered(df.select(*partition_by, *order_cols, text), [*order_cols, text], list(partition_by))
+    w = out.select(*partition_by, one_line(text, breaks).alias("value")).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.text(path)
 
 
 def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("line_no",),
-                   src: str = "source", tgt: str = "target", table_path: str | None = None) -> None:
-    """K2: the two sides as line files kept in step.  Both files are written
-    from one persisted, sorted frame, so they cannot disagree on order.  The
-    keyed Parquet ``pair`` table is written too when ``table_path`` is given."""
-    sorted_df = _ordered(df.select(*order_cols, src, tgt), list(order_cols)).persist()
-    try:
-        if table_path:
-            sorted_df.write.mode("overwrite").parquet(table_path)
-        sorted_df.select(F.col(src).alias("value")).write.mode("overwrite").text(src_path)
-        sorted_df.select(F.col(tgt).alias("value")).write.mode("overwrite").text(tgt_path)
-    finally:
-        sorted_df.unpersist()
+                   src: str = "source", tgt: str = "target", table_path: str | None = None,
+                   breaks: str = "replace") -> None:
+    """K2: the two sides as line files kept in step.
+
+    The pairs are first written once as a keyed Parquet table (kept at
+    ``table_path`` if given, else a scratch table), and each side is sorted
+    from it by the same key; both texts belong to the key, so that ties
+    cannot come out in different orders."""
+    keyed = df.select(*order_cols, src, tgt)
+    if table_path:
+        keyed.write.mode("overwrite").parquet(table_path)
+        keyed = df.sparkSession.read.parquet(table_path)
+    else:
+        keyed = materialize(keyed, "pair")
+    for side, path in ((src, src_path), (tgt, tgt_path)):
+        ordered = _ordered(keyed, [*order_cols, src, tgt])
+        ordered.select(one_line(side, breaks).alias("value")).write.mode("overwrite").text(path)
 
 
 def append_corpus(df: DataFrame, path: str, corpus_col: str = "corpus", first: bool = False) -> None:
@@ -84,6 +104,10 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def metrics_json(row: dict) -> str:
-    """A one-line metrics record, e.g. {"eval_bleu": 31.2}."""
-    return json.dumps(row)
+def run_metrics(scores: DataFrame, counts: DataFrame, score: str = "bleu", task: str = "task") -> DataFrame:
+    """K6 record of a run: ``eval_<score>`` (the mean over its tasks), and
+    ``<split>_samples`` from ``counts(split, samples)`` (A16), one row."""
+    mean = scores.agg(F.round(F.avg(score), 6).alias(f"eval_{score}"), F.count_distinct(task).alias("n_tasks"))
+    samples = counts.agg(*[F.sum(F.when(F.col("split") == s, F.col("samples"))).cast("long").alias(f"{s}_samples")
+                           for s in ("train", "validation")])
+    return mean.withColumns({c: samples.select(c).scalar() for c in samples.columns})

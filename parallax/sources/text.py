@@ -1,73 +1,81 @@
-"""Line-aligned text sources.
+"""Line-aligned text sources (S1-S4, S7, S8) and manifests.
 
 Row identity of a text line is its position, which a partitioned read does
-not keep.  ``read_lines`` rebuilds it without a global sort, an RDD or a
-shuffle of the text: each input split gets its line count and first row id
-(one small row per split), an exclusive running sum over the splits gives
-every split its offset, and the line's rank inside its split comes from
-``monotonically_increasing_id`` taken in the same projection as the scan.
+not keep.  The readers rebuild it without a global sort, an RDD or a shuffle
+of the text: one scan writes the lines with their file, split and read order
+to a keyed Parquet table in the shared folder; one small row per split (line
+count and first row id) and an exclusive running sum over the splits give
+every split its offset.  Text is read once, so the numbering cannot depend
+on two scans being split alike.
 """
 
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, strip_bom
-from ..operators.align import zip_strict, zip_truncate
+from ..operators.align import AlignmentError, zip_strict, zip_truncate
+from ..operators.corpus import manifest_rows, validation_manifest_rows
+from ..session import broadcast_if_small, materialize
 
+#: columns that carry a line's place: path in the order given, file, split
+_PLACE = ["__o", "__d", "__p", "__f", "__b"]
 
-MAX_BROADCAST_SPLITS = 500_000
 
+def _place(path_no: int):
+    """Place columns of a file scan.  Files of one path are ordered by
+    folder, then by the number in a part file's name (``part-100000`` comes
+    after ``part-10001``), then by name."""
+    f = F.col("_metadata.file_path")
+    number = F.regexp_extract(f, r"/part-(\d+)[^/]*$", 1)
+    return [F.lit(path_no).alias("__o"), F.regexp_extract(f, r"^(.*)/", 1).alias("__d"),
+            F.when(number != "", number.cast("long")).otherwise(-1).alias("__p"), f.alias("__f"),
+            F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")]
 
-def _split_bound(raw: DataFrame) -> int | None:
-    """Upper bound of the number of input splits: every split is a whole
-    file or a piece of one partition, so splits <= files + partitions."""
-    try:
-        return len(raw.inputFiles()) + raw.rdd.getNumPartitions()
-    except Exception:  # no file listing available (e.g. a remote session)
-        return None
 
+def _paths(path) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
 
-def _numbered(raw: DataFrame, group_cols: list[str]) -> DataFrame:
-    """``raw`` has value, __f (file path), __b (split start), __m (read order).
+
+def _text_scan(spark: SparkSession, path, cols=()) -> DataFrame:
+    scans = [spark.read.text(p).select("value", *cols, *_place(i)) for i, p in enumerate(_paths(path))]
+    return reduce(DataFrame.unionByName, scans)
+
+
+class Numbered:
+    """Lines with their position in a group, and the line counts of the groups.
 
     A split is read in order by one task and ``monotonically_increasing_id``
-    advances by one per row inside a partition, so a line's rank in its
-    split is ``__m - min(__m over the split)``.  One aggregate row per split
-    (count and first id) and a running sum over the splits give the
-    numbering without shuffling the text rows: the split table is joined
-    back by broadcast when its size bound (files + partitions) is small."""
-    per_split = raw.groupBy(*group_cols, "__f", "__b").agg(F.count(F.lit(1)).alias("__n"),
-                                                           F.min("__m").alias("__m0"))
-    w = Window.partitionBy(*group_cols).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.select(*group_cols, "__f", "__b", "__m0",
-                               F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
-    bound = _split_bound(raw)
-    if bound is not None and bound <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    return (raw.join(offsets, [*group_cols, "__f", "__b"])
-            .withColumn("line_no", (F.col("__o") + F.col("__m") - F.col("__m0") + 1).cast("long"))
-            .drop("__o", "__m", "__m0", "__b"))
-
-
-def _raw_text(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("__f"),
-        F.col("_metadata.file_block_start").alias("__b"),
-        F.monotonically_increasing_id().alias("__m"))
+    advances by one per row inside a partition, so a line's rank in its split
+    is ``__m - min(__m over the split)``."""
+
+    def __init__(self, scan: DataFrame, group=()):
+        group = list(group)
+        stored = materialize(scan, "lines")
+        splits = stored.groupBy(*dict.fromkeys([*group, *_PLACE])).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
+        w = Window.partitionBy(*group).orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = splits.select(F.xxhash64("__o", "__f").alias("__h"), F.col("__b"), "__m0",
+                                F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"), *group, "__n")
+        offsets = materialize(offsets, "splits")
+        self.counts = offsets.groupBy(*group).agg(F.sum("__n").cast("long").alias("n"))
+        # four numbers a split: broadcast while that is small, a shuffle join beyond
+        small = broadcast_if_small(offsets.select("__h", "__b", "__m0", "__off"))
+        self.lines = (stored.withColumn("__h", F.xxhash64("__o", "__f")).join(small, ["__h", "__b"])
+                      .withColumn("line_no", (F.col("__off") + F.col("__m") - F.col("__m0") + 1).cast("long")))
 
 
 def read_lines(spark: SparkSession, path, corpus: str | None = None, lang: str | None = None,
                per_file: bool = False, strip: bool = True) -> DataFrame:
     """One row per line, both ends stripped (Python ``strip``), numbered
-    from 1 in file order.  ``path`` may be a file, a folder or a list; lines
-    are numbered across all files in path order unless ``per_file``."""
-    raw = _raw_text(spark, path)
-    group = ["__f"] if per_file else []
-    out = _numbered(raw, group)
+    from 1.  ``path`` may be a file, a folder or a list; lines are numbered
+    across all files, paths in the order given and files of a folder in part
+    order, unless ``per_file``."""
+    out = Numbered(_text_scan(spark, path), ["__f"] if per_file else []).lines
     text = strip_bom(F.col("value"))
     if strip:
         text = py_strip(text)
@@ -78,72 +86,133 @@ def read_lines(spark: SparkSession, path, corpus: str | None = None, lang: str |
     return out.select(*cols, "line_no", text.alias("text"))
 
 
+def _stripped(lines: DataFrame, name: str, keys=()) -> DataFrame:
+    return lines.select(*keys, "line_no", py_strip(strip_bom(F.col("value"))).alias(name))
+
+
+def _same_counts(s: Numbered, t: Numbered, key: str, names) -> None:
+    """Raise unless both sides have as many lines for every key; ``names``
+    gives the two names to show for a key.  Reads the split tables only."""
+    a, b = s.counts.withColumnRenamed("n", "a"), t.counts.withColumnRenamed("n", "b")
+    bad = a.join(b, key, "full_outer").where(~F.coalesce(F.col("a"), F.lit(0)).eqNullSafe(F.coalesce(F.col("b"), F.lit(0))))
+    rows = bad.orderBy(key).limit(5).collect()
+    if rows:
+        raise AlignmentError("; ".join("{0} and {1} differ in line count: {2} and {3}".format(
+            *names(r[key]), r["a"] or 0, r["b"] or 0) for r in rows))
+
+
 def read_parallel(spark: SparkSession, src_path, tgt_path, alignment: str = "strict",
                   corpus: str | None = None) -> DataFrame:
-    """Pair two line files by position (``strict`` raises on
-    unequal counts, naming both files; ``truncate`` drops the longer tail)."""
-    s = read_lines(spark, src_path).withColumnRenamed("text", "source")
-    t = read_lines(spark, tgt_path).withColumnRenamed("text", "target")
-    if alignment == "strict":
-        out = zip_strict(s, t, names=(str(src_path), str(tgt_path)))
-    elif alignment == "truncate":
-        out = zip_truncate(s, t)
-    else:
+    """Pair the lines of two files, or of two lists of files pair by
+    pair in the order given.  ``strict`` raises when a pair differs in line
+    count, naming both files; ``truncate`` drops the longer one's tail.
+    ``line_no`` counts the pairs over all files."""
+    if alignment not in ("strict", "truncate"):
         raise ValueError("alignment must be 'strict' or 'truncate'")
+    left, right = _paths(src_path), _paths(tgt_path)
+    if len(left) != len(right):
+        raise AlignmentError(f"{len(left)} source files but {len(right)} target files")
+    s, t = Numbered(_text_scan(spark, left), ["__o"]), Numbered(_text_scan(spark, right), ["__o"])
+    if alignment == "strict":
+        _same_counts(s, t, "__o", lambda i: (left[i], right[i]))
+    pairs = zip_truncate(_stripped(s.lines, "source", ["__o"]), _stripped(t.lines, "target", ["__o"]), ["__o"])
+    # a list of files is configuration: one row per pair of files, a window over them is small
+    sizes = s.counts.join(t.counts.withColumnRenamed("n", "m"), "__o").select("__o", F.least("n", "m").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = broadcast_if_small(materialize(sizes.select("__o", before.cast("long").alias("__first")), "files"))
+    out = pairs.join(first, "__o").select((F.col("__first") + F.col("line_no")).alias("line_no"), "source", "target")
     return out.withColumn("corpus", F.lit(corpus)) if corpus is not None else out
 
 
 def read_corpora(spark: SparkSession, root: str, names: list[str], pair: str, src: str, tgt: str,
-                 alignment: str = "truncate") -> DataFrame:
-    """A family of sub-corpora named ``{name}.{pair}.{lang}`` read in one
-    multi-path scan per side; ``corpus`` comes from the file name and lines
-    are numbered per corpus."""
+                 alignment: str = "strict") -> DataFrame:
+    """A family of sub-corpora named ``{name}.{pair}.{lang}``; lines are
+    numbered per corpus.  ``strict`` (the default) raises when the sides of
+    a corpus differ in line count, ``truncate`` drops the longer one's tail."""
+    if alignment not in ("strict", "truncate"):
+        raise ValueError("alignment must be 'strict' or 'truncate'")
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__o") + 1)
+
     def side(lang):
-        paths = [os.path.join(root, f"{n}.{pair}.{lang}") for n in names]
-        raw = _raw_text(spark, paths)
-        raw = raw.withColumn("corpus", F.regexp_extract("__f", r"([^/]+)\." + pair.replace(".", r"\.") + r"\.[^./]+$", 1))
-        out = _numbered(raw, ["corpus"])
-        return out.select("corpus", "line_no", py_strip(strip_bom(F.col("value"))).alias("text"))
-
-    s = side(src).withColumnRenamed("text", "source")
-    t = side(tgt).withColumnRenamed("text", "target")
+        scan = _text_scan(spark, [os.path.join(root, f"{n}.{pair}.{lang}") for n in names])
+        return Numbered(scan.withColumn("corpus", named), ["corpus"])
+
+    s, t = side(src), side(tgt)
     if alignment == "strict":
-        return zip_strict(s, t, ["corpus"])
-    return zip_truncate(s, t, ["corpus"])
+        _same_counts(s, t, "corpus", lambda n: (f"{n}.{pair}.{src}", f"{n}.{pair}.{tgt}"))
+    return zip_truncate(_stripped(s.lines, "source", ["corpus"]), _stripped(t.lines, "target", ["corpus"]), ["corpus"])
+
+
+def read_manifest(spark: SparkSession, manifest_json: str, root: str = "", alignment: str = "strict") -> DataFrame:
+    """Every file pair that the manifest ``{tag: [{source, target}, ...]}``
+    lists, as rows (tag, ord, line_no, source, target); an entry listed twice
+    is there twice.  A missing file is an error."""
+    entries = manifest_rows(spark, manifest_json).orderBy("tag", "ord").collect()  # configuration
+    return _read_entries(spark, [(r["source"], r["target"]) for r in entries], root, alignment,
+                         {"tag": [r["tag"] for r in entries], "ord": [r["ord"] for r in entries]})
 
 
-def read_partitioned_lines(spark: SparkSession, root: str, partition_col: str = "corpus") -> DataFrame:
+def read_validation_manifest(spark: SparkSession, manifest_json: str, root: str = "", alignment: str = "strict") -> DataFrame:
+    """The one file pair of each task, as rows (task, line_no, source, target)."""
+    entries = validation_manifest_rows(spark, manifest_json).orderBy("task").collect()  # configuration
+    return _read_entries(spark, [(r["source"], r["target"]) for r in entries], root, alignment,
+                         {"task": [r["task"] for r in entries]})
+
+
+def _read_entries(spark: SparkSession, pairs: list[tuple[str, str]], root: str, alignment: str, labels: dict) -> DataFrame:
+    """Reads each distinct file pair once and gives its lines to every entry that names it."""
+    if alignment not in ("strict", "truncate"):
+        raise ValueError("alignment must be 'strict' or 'truncate'")
+    files = list(dict.fromkeys(pairs))
+    at = lambda p: os.path.join(root, p) if root else p
+    s = Numbered(_text_scan(spark, [at(a) for a, _ in files]), ["__o"])
+    t = Numbered(_text_scan(spark, [at(b) for _, b in files]), ["__o"])
+    if alignment == "strict":
+        _same_counts(s, t, "__o", lambda i: files[i])
+    lines = zip_truncate(_stripped(s.lines, "source", ["__o"]), _stripped(t.lines, "target", ["__o"]), ["__o"])
+    rows = [(files.index(p), *v) for p, v in zip(pairs, zip(*labels.values()))]
+    kinds = ", ".join(f"{k} {'int' if isinstance(v[0], int) else 'string'}" for k, v in labels.items())
+    entries = F.broadcast(spark.createDataFrame(rows, f"__o int, {kinds}"))  # a row per manifest entry
+    return lines.join(entries, "__o").select(*labels, "line_no", "source", "target")
+
+
+def read_partitioned_lines(spark: SparkSession, root: str, partition_by="corpus") -> DataFrame:
     """Lines written by ``write_lines(..., partition_by=...)``: numbered per
-    partition directory, in file order."""
-    raw = spark.read.text(root).select(
-        "value", partition_col, F.col("_metadata.file_path").alias("__f"),
-        F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
-    out = _numbered(raw, [partition_col])
-    return out.select(partition_col, "line_no", py_strip(strip_bom(F.col("value"))).alias("text"))
+    partition folder, in file order."""
+    cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    return _stripped(Numbered(_text_scan(spark, root, cols), cols).lines, "text", cols)
 
 
 class UnsupportedFormat(ValueError):
     pass
 
 
+def _first_field(spark: SparkSession, path: str) -> str:
+    """The first field of the first record of a JSON lines file (Spark sorts inferred fields by name)."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.json_object_keys("value").alias("k")).first()
+    if first is None or not first["k"]:
+        raise UnsupportedFormat(f"no JSON object with a field in {path}")
+    return first["k"][0]
+
+
 def read_lm(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
     """Csv / json / txt chosen by extension (anything else is an
-    error); the text column is ``text`` if present, else the first column.
-    Text files keep each line's trailing newline when ``keep_linebreaks``."""
+    error); the text column is ``text`` if present, else the first column of
+    the file.  Text files keep each line's trailing newline when
+    ``keep_linebreaks``.  CSV fields may be quoted, with doubled quotes and
+    line breaks inside."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in os.path.basename(path.rstrip("/")) else ""
     if ext == "txt":
-        df = read_lines(spark, path, strip=False).withColumnRenamed("text", "text")
-        if keep_linebreaks:
-            df = df.withColumn("text", F.concat("text", F.lit("\n")))
-        return df.select("line_no", "text")
+        df = read_lines(spark, path, strip=False)
+        return df.withColumn("text", F.concat("text", F.lit("\n"))) if keep_linebreaks else df
     if ext == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).csv(path)
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        first = df.columns[0]
     elif ext in ("json", "jsonl"):
         df = spark.read.json(path)
+        first = "text" if "text" in df.columns else _first_field(spark, path)
     else:
-        raise UnsupportedFormat(f"`train_file` should be a csv, a json or a txt file: {path}")
-    col = "text" if "text" in df.columns else df.columns[0]
-    raw = df.select(F.col(col).cast("string").alias("value"), F.col("_metadata.file_path").alias("__f"),
-                    F.col("_metadata.file_block_start").alias("__b"),
-                    F.monotonically_increasing_id().alias("__m"))
-    return _numbered(raw, []).select("line_no", F.col("value").alias("text"))
+        raise UnsupportedFormat(f"read_lm reads .csv, .json, .jsonl and .txt files, not {path!r}")
+    col = "text" if "text" in df.columns else first
+    scan = df.select(F.col(f"`{col}`").cast("string").alias("value"), *_place(0))
+    return Numbered(scan).lines.select("line_no", F.col("value").alias("text"))

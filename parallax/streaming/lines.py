@@ -30,17 +30,19 @@ def read_lines_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 
 def run_available(spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
-                  sink: str | None = None, checkpoint: str | None = None, timeout_s: int = 600) -> DataFrame:
+                  sink: str | None = None, checkpoint: str | None = None, timeout_s: int | None = None) -> DataFrame:
     """Apply a stateless ``transform`` to everything available, append it to
-    a Parquet sink, stop, and return the sink as a batch DataFrame."""
+    a Parquet sink, stop, and return the sink as a batch DataFrame.  It runs
+    until all is done; ``timeout_s`` sets a limit for callers that want one."""
     sink = sink or scratch_path(spark, "stream-sink")
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
     q = (transform(stream).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     try:
-        finished = q.awaitTermination(timeout_s)
-        if not finished:
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             raise TimeoutError(f"streaming query did not finish within {timeout_s}s")
         if q.exception() is not None:
             raise q.exception()

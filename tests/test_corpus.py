@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parallax.functions import tokens as tk
 from parallax.operators import corpus as C
+from parallax.operators import scan
 from parallax.operators.scan import line_positions
 
 
@@ -12,13 +13,18 @@ def _lines(spark, docs):
     return spark.createDataFrame(rows, "corpus string, doc_id long, line_no long, text string")
 
 
-def test_positions_and_split(spark):
+def test_positions_and_split(spark, monkeypatch):
     ln = _lines(spark, [3, 4, 5, 2, 1, 6])
     pos = {(r.doc_id, r.line_no): r.pos for r in C.with_positions(ln).collect()}
     # corpus c0 = docs 0, 2, 4 (3 + 5 + 1 lines)
     assert pos[(0, 1)] == 1 and pos[(2, 1)] == 4 and pos[(4, 1)] == 9
-    small_chunks = line_positions(ln.repartition(5), ["corpus"], docs_per_chunk=1)
+    monkeypatch.setattr(scan, "ROWS_PER_CHUNK", 1)
+    small_chunks = line_positions(ln.repartition(5), ["corpus"])
     assert {(r.doc_id, r.line_no): r.pos for r in small_chunks.collect()} == pos
+    docs = ln.groupBy("corpus", "doc_id").agg(F.sort_array(F.collect_list("text")).alias("parts"))
+    direct = scan.positioned_lines(docs, ["corpus"], "parts", total="n").collect()
+    assert {(r.doc_id, r.line_no): r.pos for r in direct} == pos
+    assert {(r.corpus, r.n) for r in direct} == {("c0", 9), ("c1", 12)}
     sp = C.split_head_percent(C.with_positions(ln), 25.0).where("split = 'validation'")
     # c0 has 9 lines -> round_half_even(2.25) = 2; c1 has 12 -> 3
     assert sorted(r.corpus for r in sp.collect()) == ["c0", "c0", "c1", "c1", "c1"]
@@ -40,7 +46,10 @@ def test_shuffle_is_a_partition_independent_permutation(spark):
         assert ranks == list(range(1, 201))
     other = {(r.doc_id, r.line_no): r.rank for r in C.shuffle_rank(ln, 8, ["doc_id", "line_no"]).collect()}
     assert other != a
-    assert C.random_subset(ln, 10, 7, ["doc_id", "line_no"]).count() == 20
+    for digits in (1, 4):  # the cut may fall inside a bucket or between two
+        some = C.random_subset(ln, 10, 7, ["doc_id", "line_no"], bucket_hex=digits).collect()
+        assert {(r.doc_id, r.line_no) for r in some} == {k for k, v in a.items() if v <= 10}
+    assert C.random_subset(ln, 500, 7, ["doc_id", "line_no"]).count() == 400
     assert C.sample_rows(ln, 3, 7, ["doc_id", "line_no"]).count() == 3
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from parallax.operators.align import AlignmentError
+from parallax.operators.align import AlignmentError, zip_strict
 from parallax.operators.corpus import ManifestError, manifest_rows, validation_manifest_rows
 from parallax.sources import sinks as K
 from parallax.sources import text as S
@@ -113,6 +113,82 @@ def test_read_lm_formats(spark, tmp_dir):
         S.read_lm(spark, f"{tmp_dir}/d.parquet")
 
 
+def test_json_and_csv_columns(spark, tmp_dir):
+    with open(f"{tmp_dir}/a.json", "w") as f:
+        f.write('{"sentence": "s1", "author": "a1"}\n{"sentence": "s2", "author": "a2"}\n')
+    assert [r.text for r in S.read_lm(spark, f"{tmp_dir}/a.json").orderBy("line_no").collect()] == ["s1", "s2"]
+    with open(f"{tmp_dir}/b.csv", "w") as f:
+        f.write('body,id\n"he said ""hi"" to, me",1\n"two\nlines",2\n')
+    assert [r.text for r in S.read_lm(spark, f"{tmp_dir}/b.csv").orderBy("line_no").collect()] == ['he said "hi" to, me', "two\nlines"]
+
+
+def test_lists_pair_in_the_order_given(spark, tmp_dir):
+    for name, lines in (("b.es", ["s1", "s2"]), ("a.es", ["s3"]), ("x.an", ["t1", "t2"]), ("y.an", ["t3"])):
+        _write(f"{tmp_dir}/{name}", lines)
+    at = lambda *names: [f"{tmp_dir}/{n}" for n in names]
+    got = S.read_parallel(spark, at("b.es", "a.es"), at("x.an", "y.an")).orderBy("line_no").collect()
+    assert [(r.line_no, r.source, r.target) for r in got] == [(1, "s1", "t1"), (2, "s2", "t2"), (3, "s3", "t3")]
+    with pytest.raises(AlignmentError) as e:  # totals agree, the files do not
+        S.read_parallel(spark, at("b.es", "a.es"), at("y.an", "x.an"))
+    assert "b.es" in str(e.value) and "y.an" in str(e.value)
+    with pytest.raises(AlignmentError):
+        S.read_parallel(spark, at("b.es"), at("x.an", "y.an"))
+
+
+def test_part_files_are_in_numeric_order(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/in")
+    for n in (100000, 10001, 9):
+        _write(f"{tmp_dir}/in/part-{n:05d}-x.txt", [str(n)])
+    assert [r.text for r in S.read_lines(spark, f"{tmp_dir}/in").orderBy("line_no").collect()] == ["9", "10001", "100000"]
+
+
+def test_line_breaks_do_not_shift_pairs(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "a\rb", "x"), (2, "c", "y\nz"), (3, None, "w")], "line_no long, source string, target string")
+    K.write_parallel(df, f"{tmp_dir}/s", f"{tmp_dir}/t")
+    got = S.read_parallel(spark, f"{tmp_dir}/s", f"{tmp_dir}/t").orderBy("line_no").collect()
+    assert [(r.source, r.target) for r in got] == [("a b", "x"), ("c", "y z"), ("", "w")]
+    with pytest.raises(Exception, match="line break inside source"):
+        K.write_parallel(df, f"{tmp_dir}/s", f"{tmp_dir}/t", breaks="error")
+
+
+def test_corpora_are_strict_by_default(spark, tmp_dir):
+    _write(f"{tmp_dir}/Q.es-arg.es", ["1", "2", "3"])
+    _write(f"{tmp_dir}/Q.es-arg.arg", ["1", "2"])
+    with pytest.raises(AlignmentError) as e:
+        S.read_corpora(spark, tmp_dir, ["Q"], "es-arg", "es", "arg")
+    assert "Q.es-arg.es" in str(e.value)
+    assert S.read_corpora(spark, tmp_dir, ["Q"], "es-arg", "es", "arg", alignment="truncate").count() == 2
+
+
+def test_zip_strict_raises_on_a_line_without_partner(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "line_no long, source string")
+    b = spark.createDataFrame([(1, "A")], "line_no long, target string")
+    assert zip_strict(a.where("line_no = 1"), b).collect()[0].target == "A"
+    with pytest.raises(Exception, match="x.es and x.arg differ in line count: no partner at line_no=2"):
+        zip_strict(a, b, names=("x.es", "x.arg")).collect()
+
+
+def test_manifests_read_their_files(spark, tmp_dir):
+    for name, lines in (("a.es", ["1", "2"]), ("a.arg", ["I", "II"]), ("b.es", ["3"]), ("b.arg", ["III"])):
+        _write(f"{tmp_dir}/{name}", lines)
+    a, b = {"source": "a.es", "target": "a.arg"}, {"source": "b.es", "target": "b.arg"}
+    got = S.read_manifest(spark, json.dumps({"x": [a, b, a], "y": [b]}), tmp_dir).collect()
+    assert sorted((r.tag, r.ord, r.line_no, r.source, r.target) for r in got) == [
+        ("x", 0, 1, "1", "I"), ("x", 0, 2, "2", "II"), ("x", 1, 1, "3", "III"), ("x", 2, 1, "1", "I"), ("x", 2, 2, "2", "II"), ("y", 0, 1, "3", "III")]
+    v = S.read_validation_manifest(spark, json.dumps({"t": b}), tmp_dir).collect()
+    assert [(r.task, r.line_no, r.source, r.target) for r in v] == [("t", 1, "3", "III")]
+    with pytest.raises(Exception, match="nope.es"):
+        S.read_manifest(spark, json.dumps({"x": [{"source": "nope.es", "target": "a.arg"}]}), tmp_dir)
+
+
+def test_mixture_with_a_missing_corpus_raises(spark):
+    from parallax.operators.corpus import build_mixture
+    pairs = spark.createDataFrame([("a", "s", "t")], "corpus string, source string, target string")
+    rows = manifest_rows(spark, json.dumps({"x": [{"source": "a", "target": "a"}, {"source": "nope", "target": "nope"}]}))
+    with pytest.raises(Exception, match="corpus without pairs: nope"):
+        build_mixture(pairs, rows).collect()
+
+
 def test_manifests(spark):
     rows = manifest_rows(spark, json.dumps({"fra_Latn": [{"source": "a.es", "target": "a.arg"},
                                                          {"source": "a.es", "target": "a.arg"}]})).collect()

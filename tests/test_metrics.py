@@ -107,12 +107,49 @@ def test_wer_accuracy_distance(spark):
     assert w.ref_words == 4 + 2 + 1 + 2
     a = M.accuracy(df).first()
     assert (a.n_correct, a.n) == (1, 4)
-    assert M.accuracy(df, n_predictions=5).first().accuracy == 0.2
     d = M.mean_edit_distance(df).first()
     assert d.total_distance == sum(dp_lev(h, r) for h, r in segs)
 
 
-def test_long_segments_use_the_udf_path(spark):
+def test_predictions_without_a_reference_count(spark):
+    hyp = spark.createDataFrame([(1, "a"), (2, "b"), (3, "cc")], "line_no long, hyp string")
+    ref = spark.createDataFrame([(1, "a"), (2, "x"), (9, "y")], "line_no long, ref string")
+    seg = M.pair_predictions(hyp, ref)
+    a, d = M.accuracy(seg).first(), M.mean_edit_distance(seg).first()
+    assert (a.n_correct, a.n, a.accuracy) == (1, 3, 0.333333)
+    assert (d.total_distance, d.n, d.mean_distance) == (1, 3, 0.333333)
+
+
+def test_significance_of_ter_by_brute_force(spark):
+    import hashlib
+
+    from parallax.functions.ngrams import ter_edits_py, ter_words
+    rnd = random.Random(3)
+    words = "a b c d e".split()
+    segs = [(i, *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(3)]) for i in range(30)]
+    df = spark.createDataFrame(segs, "seg_id long, hyp_a string, hyp_b string, ref string")
+    got = M.significance_ter(df.repartition(3), trials=150, seed=7).first()
+    stats = {i: [ter_edits_py(ter_words(h), ter_words(r)) for h in (a, b)] for i, a, b, r in segs}
+
+    def diff(swapped):
+        sums = [[0, 0], [0, 0]]
+        for i, pair in stats.items():
+            for side in (0, 1):
+                e, n = pair[side ^ swapped(i)]
+                sums[side][0] += e
+                sums[side][1] += n
+        return abs(100 * sums[0][0] / sums[0][1] - 100 * sums[1][0] / sums[1][1])
+
+    def coin(i, t):
+        word = int(hashlib.md5(f"7-{i}-{t // 60}".encode()).hexdigest()[:15], 16)
+        return word >> (t % 60) & 1
+
+    observed = diff(lambda i: 0)
+    extreme = sum(diff(lambda i, t=t: coin(i, t)) >= observed - 1e-9 for t in range(150))
+    assert (got.n_extreme, round(got.observed, 6)) == (extreme, round(observed, 6))
+
+
+def test_long_segments(spark):
     rnd = random.Random(2)
     h = " ".join(f"w{rnd.randint(0, 400)}" for _ in range(600))
     r = " ".join(f"w{rnd.randint(0, 400)}" for _ in range(500))

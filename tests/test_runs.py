@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parallax.operators import nbest as NB
 from parallax.operators import runs as R
+from parallax.operators.scan import chunk_by_count
 
 
 def _vlog(spark, scores, run="r", task="t"):
@@ -44,7 +45,8 @@ def test_scans_do_not_depend_on_chunking(spark, monkeypatch):
     scores = [round(rnd.random() * 50, 2) for _ in range(400)]
     v = _vlog(spark, scores).union(_vlog(spark, scores[:37], run="q"))
     base = {(r.run, r.step): (r.best, r.stall) for r in R.stall_counter(v).collect()}
-    monkeypatch.setattr(R, "STEPS_PER_CHUNK", 7)  # many chunks per run
+    many = lambda *a: chunk_by_count(*a, rows=7)  # noqa: E731  many chunks per run
+    monkeypatch.setattr(R, "chunk_by_count", many)
     small = {(r.run, r.step): (r.best, r.stall) for r in R.stall_counter(v.repartition(13)).collect()}
     assert base == small
     # brute force
@@ -65,8 +67,30 @@ def test_running_cost_and_checkpoints(spark):
                                "run string, kind string, step long, ctime string").withColumn("ctime", F.to_timestamp("ctime"))
     keep = {(r.kind, r.step): r.keep for r in R.keep_last_k(ck, 2).collect()}
     assert keep == {("step", 2): True, ("step", 3): True, ("step", 1): False, ("bestmodel", 2): True}
-    latest = {r.kind: r.latest_step for r in R.latest_checkpoint(ck).collect()}
-    assert latest == {"step": 2, "bestmodel": 2}
+    newer = ck.union(spark.createDataFrame([("r", "epoch", 9, "2025-01-01 00:00:00")], "run string, kind string, step long, ctime string")
+                     .withColumn("ctime", F.to_timestamp("ctime")))
+    r = R.latest_checkpoint(newer).first()
+    assert (r.latest_kind, r.latest_step) == ("step", 2)  # one over all kinds, end-of-epoch ones ignored
+    r = R.latest_checkpoint(newer, explicit="/models/bestmodel-1").first()
+    assert (r.latest_kind, r.latest_step) == ("bestmodel", 1)
+    assert R.latest_checkpoint(newer, explicit="final").first().latest_step == 2  # not named like a checkpoint
+
+
+def test_running_cost_starts_anew_each_epoch(spark):
+    v = spark.createDataFrame([("r", "t", i, i // 2, float(x)) for i, x in enumerate([1, 2, 3, 5, 7])],
+                              "run string, task string, step long, epoch long, loss double")
+    got = [(r.running_cost, r.batches, r.epoch_cost) for r in R.running_cost(v, epoch="epoch").orderBy("step").collect()]
+    assert got == [(1.0, 2, 1.5), (1.5, 2, 1.5), (3.0, 2, 4.0), (4.0, 2, 4.0), (7.0, 1, 7.0)]
+
+
+@pytest.mark.parametrize("key", ["id", "id * 30000", "xxhash64(id)", "cast(pow(1.01, id % 500) * 1000 as bigint) + id"])
+def test_chunks_follow_the_measured_range(spark, key):
+    df = spark.range(20_000).selectExpr("'g' AS g", f"{key} AS k")
+    chunks = chunk_by_count(df, ["g"], "k", rows=1000).groupBy("__by_count").agg(F.count("*").alias("n"), F.min("k"), F.max("k"))
+    rows = chunks.orderBy("__by_count").collect()
+    assert all(a[3] < b[2] for a, b in zip(rows, rows[1:]))  # in order
+    if "pow" not in key:
+        assert max(r["n"] for r in rows) <= 2000 and len(rows) == 20
 
 
 def test_rerank_ties_and_nan(spark):

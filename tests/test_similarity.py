@@ -21,6 +21,51 @@ def test_udf_equals_python(spark):
         assert abs(row.r - indel_ratio_py(a, b)) < 1e-12
 
 
+def test_slices_and_word_boundaries(monkeypatch):
+    import pandas as pd
+
+    from parallax.functions import similarity as S
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcdé😀") for _ in range(n))
+    pairs = [(make(n), make(m)) for n in (0, 1, 63, 64, 65, 127, 128, 129, 300) for m in (0, 1, 64, 65, 200, 700)]
+    want = [S.lcs_length(a, b) for a, b in pairs]
+    a, b = pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs])
+    assert S.lcs_lengths(a, b).tolist() == want
+    monkeypatch.setattr(S, "TABLE_WORDS", 50)
+    monkeypatch.setattr(S, "SLICE_CHARS", 300)
+    assert S.lcs_lengths(a, b).tolist() == want
+
+
+def test_band_on_whole_lines(spark):
+    from parallax.plans import fixtures as fx
+    from parallax.plans.registry import QUERIES, load_all
+    from tests.conftest import SF_SMALL
+    load_all()
+    got = {(r.doc_id, r.line_no): r.ratio for r in QUERIES["similarity_band_docs"](spark, SF_SMALL).collect()}
+    want = {}
+    for r in fx.pairs_docs(spark, SF_SMALL).collect():
+        ratio = indel_ratio_py(r.source.lower(), r.target.lower())
+        if 0.25 <= ratio <= 0.99:
+            want[(r.doc_id, r.line_no)] = round(ratio, 6)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_filtered_preparation(spark):
+    """X3 against its steps: variants, text and the band."""
+    from parallax.plans.registry import QUERIES, load_all
+    from tests.conftest import SF_SMALL
+    load_all()
+    rows = QUERIES["prepare_filtered"](spark, SF_SMALL).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.dataset, {})[(r.corpus, r.doc_id, r.line_no)] = (r.source, r.target)
+    assert set(by) == {"original", "filtered", "levenshtein"}
+    assert set(by["filtered"]) <= set(by["original"])
+    band = {k: v for k, v in by["filtered"].items() if 0.25 <= indel_ratio_py(v[0].lower(), v[1].lower()) <= 0.99}
+    assert by["levenshtein"] == band
+    assert all(1 <= len(x.split(" ")) <= 80 for v in by["filtered"].values() for x in v)
+
+
 def test_band_is_exact_with_prefilters(spark):
     rnd = random.Random(9)
     pairs = [("", ""), ("Casa", "casa"), ("a", ""), ("abc", "abd"), ("x" * 3, "y" * 30)]

@@ -19,7 +19,7 @@ def test_stream_equals_batch(spark, tmp_dir):
         return df.select(squeeze_spaces("text").alias("text")).where(F.col("text") != "")
 
     streamed = run_available(spark, read_lines_stream(spark, f"{tmp_dir}/in", 1), clean,
-                             sink=f"{tmp_dir}/sink", checkpoint=f"{tmp_dir}/ckpt", timeout_s=300)
+                             sink=f"{tmp_dir}/sink", checkpoint=f"{tmp_dir}/ckpt")
     batch = clean(read_lines(spark, f"{tmp_dir}/in"))
     assert sorted(r.text for r in streamed.collect()) == sorted(r.text for r in batch.collect())
     # a restart finds nothing new (the checkpoint remembers the files)
