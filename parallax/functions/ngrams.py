@@ -183,7 +183,7 @@ def ter_edits_py(hyp_words, ref_words, max_size: int = MAX_SHIFT_SIZE, max_dist:
     words away) lowers the word edit distance the most; each move costs one
     edit.  Edit distances
     are exact (no beam), so results can differ from tools that use a beam."""
-    from .similarity import edit_distance
+    from .similarity import edits_to, match_bits
     hyp, ref = list(hyp_words), list(ref_words)
     if not ref:
         return len(hyp), 0
@@ -191,10 +191,10 @@ def ter_edits_py(hyp_words, ref_words, max_size: int = MAX_SHIFT_SIZE, max_dist:
     for i in range(len(ref)):
         for size in range(1, min(max_size, len(ref) - i) + 1):
             ref_pos.setdefault(tuple(ref[i:i + size]), []).append(i)
-    shifts = 0
-    best_ed = edit_distance(hyp, ref)
+    places, shifts = match_bits(ref), 0
+    best_ed = edits_to(places, len(ref), hyp)
     while best_ed > 0:
-        best = None
+        best, tried = None, set()  # many moves give the same words
         for i in range(len(hyp)):
             for size in range(1, min(max_size, len(hyp) - i) + 1):
                 phrase = tuple(hyp[i:i + size])
@@ -206,13 +206,16 @@ def ter_edits_py(hyp_words, ref_words, max_size: int = MAX_SHIFT_SIZE, max_dist:
                     for j in {r - 1, r, r + 1}:
                         if j < 0 or j > len(rest) or j == i or abs(j - i) > max_dist:
                             continue
-                        cand = rest[:j] + list(phrase) + rest[j:]
-                        ed = edit_distance(cand, ref)
+                        cand = (*rest[:j], *phrase, *rest[j:])
+                        if cand in tried:
+                            continue
+                        tried.add(cand)
+                        ed = edits_to(places, len(ref), cand)
                         if ed < best_ed and (best is None or ed < best[0]):
                             best = (ed, cand)
         if best is None:
             break
-        best_ed, hyp = best
+        best_ed, hyp = best[0], list(best[1])
         shifts += 1
     return shifts + best_ed, len(ref)
 

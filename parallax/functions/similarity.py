@@ -50,16 +50,25 @@ def indel_ratio_py(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / total
 
 
+def match_bits(a) -> dict:
+    """For each symbol of a sequence the set of its places, as bits."""
+    peq: dict = {}
+    for i, x in enumerate(a):
+        peq[x] = peq.get(x, 0) | (1 << i)
+    return peq
+
+
 def edit_distance(a, b) -> int:
     """Levenshtein distance (unit costs) over any two sequences, bit-parallel."""
     if len(a) < len(b):
         a, b = b, a
-    m = len(a)
-    if len(b) == 0:
-        return m
-    peq: dict = {}
-    for i, x in enumerate(a):
-        peq[x] = peq.get(x, 0) | (1 << i)
+    return edits_to(match_bits(a), len(a), b)
+
+
+def edits_to(peq: dict, m: int, b) -> int:
+    """Levenshtein distance of ``b`` to the sequence of ``m`` symbols whose places are ``peq``."""
+    if m == 0 or len(b) == 0:
+        return max(m, len(b))
     full = (1 << m) - 1
     top = 1 << (m - 1)
     pv, mv, score = full, 0, m

@@ -1,9 +1,7 @@
 """Token-id arrays: encode, truncate, count, mask, pad, shift.
 
-Encoding is pluggable.  Two tokenizers are native Spark expressions (no
-Python): ``word_length_ids`` (the portable stand-in used by the fixtures)
-and ``hashed_word_ids`` (feature hashing into a fixed vocabulary).  Real
-subword models (a ``tokenizers`` JSON file or a sentencepiece model) run in
+Encoding is pluggable.  ``word_length_ids`` is a native Spark expression
+(the portable stand-in used by the fixtures).  Real subword models (a ``tokenizers`` JSON file or a sentencepiece model) run in
 an iterator Arrow UDF that loads the model once per Python worker.
 """
 
@@ -30,11 +28,6 @@ def word_length_ids(c) -> Column:
 encode_words = word_length_ids
 
 
-def hashed_word_ids(c, vocab_size: int = 1 << 20, offset: int = 4) -> Column:
-    """Whitespace words hashed into ``[offset, offset + vocab_size)``."""
-    return F.transform(words(c), lambda w: (F.pmod(F.xxhash64(w), F.lit(vocab_size)) + offset).cast("int"))
-
-
 def _load_tokenizer(spec: str):
     if spec.endswith(".model"):
         import sentencepiece as spm

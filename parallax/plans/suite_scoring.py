@@ -146,6 +146,20 @@ def q_chrf(spark, d):
     return M.chrf(_conv_seg(spark, d))
 
 
+@register("bleu_native", sql=f"SELECT sys_len, ref_len, {bleu_expr()} AS bleu FROM b_stats",
+          ctes=[CONV_BASE] + bleu_ctes("seg_base", []))
+def q_bleu_native(spark, d):
+    """A8 with built-in expressions only."""
+    return M.bleu(_conv_seg(spark, d), method="native")
+
+
+@register("chrf_native", sql=f"SELECT {CHRF_EXPR} AS chrf FROM c_pr",
+          ctes=[CONV_BASE] + chrf_ctes("seg_base", []))
+def q_chrf_native(spark, d):
+    """A9 with built-in expressions only."""
+    return M.chrf(_conv_seg(spark, d), method="native")
+
+
 @register("metrics_by_task", sql=f"""
   SELECT b.task, b.sys_len, b.ref_len, {bleu_expr('b.')} AS bleu, {CHRF_EXPR} AS chrf
   FROM b_stats b JOIN c_pr c USING (task)""",
