@@ -56,12 +56,12 @@ def _sections(turns: DataFrame, budget: int, history: int, section: int) -> Data
 
     Rows are dealt by range over (conversation, turn); the sums of each
     range's share of a conversation give every row its prefix sum without a
-    window over a whole conversation."""
+    window over a whole conversation (texts stay out of the range's key, whose
+    sample goes to the driver)."""
     spark = turns.sparkSession
-    order = ["conv", "turn", "role", "text"]
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"\S+")), F.lit(0)) + MARKERS
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = save(turns.withColumn("tokens", words.cast("long")).repartitionByRange(n, *order)
+    dealt, _ = save(turns.withColumn("tokens", words.cast("long")).repartitionByRange(n, "conv", "turn")
                     .withColumn("chunk", F.spark_partition_id()), "turns")
     sums = dealt.groupBy("conv", "chunk").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
