@@ -21,8 +21,8 @@ from ._common import bound_batches, save
 
 #: tokens a window may hold, how many of them may be history, windows' worth of tokens in a section
 BUDGET, HISTORY, SECTION = 2048, 256, 64
-#: tokens that a turn's markers count as
-MARKERS = 4
+#: tokens that a turn's markers count as, characters of windows that a task hands back at once
+MARKERS, CHARS = 4, 1 << 20
 
 _SPECIAL = re.compile(r'[\\<"]')
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -72,15 +72,14 @@ def _sections(turns: DataFrame, budget: int, history: int, section: int) -> Data
               .withColumn("start", F.col("own") + F.col("offset")))
     size = section * budget
     at = F.floor(F.col("start") / size)
-    row = ["conv", "section", "kind", "turn", "role", "text", "tokens"]
-    own = placed.withColumn("section", at).withColumn("kind", F.lit(2)).select(row)
-    lead = (placed.withColumn("section", at + 1).where(F.col("section") * size - F.col("start") <= history)
-            .withColumn("kind", F.lit(1)).select(row))
-    first = dealt.groupBy("conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("f")).where("f.role = 'system'")
-    later = own.where("section > 0").select("conv", "section").distinct()
-    system = (later.join(first.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")))
-              .select("conv", "section", F.lit(0).alias("kind"), "f.turn", "f.role", "f.text", "f.tokens"))
-    return own.unionByName(lead).unionByName(system)
+    spots = F.array(F.struct(at.alias("section"), F.lit(2).alias("kind")),
+                    F.when((at + 1) * size - F.col("start") <= history, F.struct((at + 1).alias("section"), F.lit(1).alias("kind"))))
+    own = placed.select("conv", F.inline(F.array_compact(spots)), "turn", "role", "text", "tokens")
+    first = dealt.groupBy("conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("f"),
+                                      F.floor((F.sum("tokens") - 1) / size).alias("last")).where("f.role = 'system' and last > 0")
+    system = first.select("conv", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("section"), F.lit(0).alias("kind"),
+                          "f.turn", "f.role", "f.text", "f.tokens")
+    return own.unionByName(system)
 
 
 def _windows(turns: list[tuple], budget: int, history: int) -> Iterator[tuple]:
@@ -149,11 +148,18 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     parts = parts.select(F.col("conv").cast("string"), "section", "kind", "role", "text", "tokens")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["conv", "section", "window", "formatted", "loss", "n_turns", "tokens"]
+        done, chars = [], 0
         for (c, s), group in _grouped(batches, 2):
             found = _windows([x[2:] for x in group], budget, history)
             for number, formatted, loss, n, tokens in found:
-                yield pd.DataFrame({"conv": pd.Series([c], dtype=object), "section": [s], "window": [number], "formatted": [formatted],
-                                    "loss": [loss], "n_turns": [n], "tokens": [tokens]})
+                done.append((c, s, number, formatted, loss, n, tokens))
+                chars += len(formatted)
+                if chars > CHARS:
+                    yield pd.DataFrame(done, columns=columns)
+                    done, chars = [], 0
+        if done:
+            yield pd.DataFrame(done, columns=columns)
 
     kind = rows.schema["conv"].dataType.simpleString()
     out = parts.mapInPandas(run, "conv string, section long, window long, formatted string, "
