@@ -1,8 +1,9 @@
 """Exact top-k inner-product search over norm buckets.
 
-Candidates are grouped by length into buckets.  A query's threshold is the
-k-th best product it has found among the longest vectors; with a bucket's
-largest length it becomes a local cosine threshold.  Above 1 the bucket is
+Candidates are grouped by length into buckets, searched in rounds from the
+longest to the shortest.  A query's threshold is the k-th best product of the
+rounds before; with a bucket's largest length it becomes a local cosine
+threshold.  Above 1 the bucket is
 skipped; a high one prunes by the coordinates that a candidate must have, a
 low one by length alone.  What is left is verified by exact products."""
 
@@ -102,10 +103,10 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndar
     return out
 
 
-def _search(queries: DataFrame, candidates: DataFrame, meet: DataFrame, k: int) -> DataFrame:
-    """Searches each ``(qblock, bucket)`` of ``meet(qblock, bucket)`` in a task of its own."""
-    left = queries.join(meet, "qblock" if "bucket" not in queries.columns else ["qblock", "bucket"]).select(
-        "qblock", "bucket", F.lit(True).alias("asks"), "id", "floor", "v")
+def _search(due: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Searches each ``(qblock, bucket)`` of ``due(qblock, bucket, id, floor, v)`` in a task of its own."""
+    meet = due.select("qblock", "bucket").distinct()
+    left = due.select("qblock", "bucket", F.lit(True).alias("asks"), "id", "floor", "v")
     right = candidates.join(meet, "bucket").select("qblock", "bucket", F.lit(False).alias("asks"), "id", F.lit(None).cast("double").alias("floor"), "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,6 +120,11 @@ def _search(queries: DataFrame, candidates: DataFrame, meet: DataFrame, k: int)
     return left.unionByName(right).groupBy("qblock", "bucket").applyInPandas(run, "query_id long, vec_id long, score long")
 
 
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: float = 64.0, every: int = 20,
           bucket: int = BUCKET, block: int = QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` its k best other rows.
@@ -156,25 +162,23 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str =
     asks = (asks.drop("bucket").join(blocks, "dim")
             .withColumn("qblock", F.struct("dim", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).alias("part"))).drop("blocks"))
 
-    # the longest bucket that can fill a result gives each query its first threshold
-    enough = F.when(F.col("n") > k, F.struct("longest", "bucket"))
-    start = buckets.groupBy("dim").agg(F.coalesce(F.max(enough), F.max(F.struct("longest", "bucket")))["bucket"].alias("bucket"))
-    begin = asks.withColumn("floor", F.lit(None).cast("double")).join(start, "dim")
-    meet = begin.select("qblock", "bucket").distinct()
-    seen, s_path = save(_search(begin, placed, meet, k), "first")
-    floor = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")).withColumnRenamed("query_id", "id")
-
-    # every other bucket that is long enough for the query's threshold
-    reach = F.col("floor").isNull() | (F.col("len") * F.col("longest") >= F.col("floor") * F.lit(1 - 1e-9))
-    # the table of buckets has a row for each few thousand vectors
-    due = (asks.join(floor.withColumn("floor", F.col("floor").cast("double")), "id", "left")
-           .join(buckets.select("dim", "bucket", "longest"), "dim").where(reach)
-           .join(start.select(F.col("bucket")), "bucket", "left_anti"))
-    due, d_path = save(due.select("qblock", "bucket", "id", "floor", "v"), "due")
-    meet = due.select("qblock", "bucket").distinct()
-    more = _search(due, placed, meet, k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = seen.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    out, _ = save(out.select("query_id", "rank", "vec_id", "score"), "top")
-    remove(spark, r_path, p_path, s_path, d_path)
-    return out
+    # rounds over ever more buckets, the longest first: what a round finds raises the thresholds of the next,
+    # so a round hands back a few times k rows for a query, not k for each bucket
+    by_length = Window.partitionBy("dim").orderBy(F.desc("longest"), "bucket")
+    buckets, b_path = save(buckets.withColumn("place", F.row_number().over(by_length) - 1), "buckets")
+    last = buckets.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    best, paths, low, high = None, [r_path, p_path, b_path], 0, 1
+    while best is None or low <= last:
+        now = buckets.where((F.col("place") >= low) & (F.col("place") < high)).select("dim", "bucket", "longest")
+        due = asks.withColumn("floor", F.lit(None).cast("double")) if best is None else asks.join(
+            best.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")),
+            "id", "left")
+        reach = F.col("floor").isNull() | (F.col("len") * F.col("longest") >= F.col("floor") * F.lit(1 - 1e-9))
+        due, d_path = save(due.join(now, "dim").where(reach).select("qblock", "bucket", "id", "floor", "v"), "due")
+        found = _search(due, placed, k)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best, path = save(_best_of(found, k).select("query_id", "rank", "vec_id", "score"), "top")
+        paths += [d_path, path]
+        low, high = high, 4 * high
+    remove(spark, *paths[:-1])
+    return best
