@@ -39,10 +39,12 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """``batch(h1, h2, doc)``: keys that no run has are kept by the batch's largest doc."""
-        new = batch.groupBy(*HASH).agg(F.max("doc").alias("keeper"))
+        # saved, for the optimizer would move the anti-joins below the aggregation, onto every line of a common key
+        new, path = save(batch.groupBy(*HASH).agg(F.max("doc").alias("keeper")), "batch")
         for run in self.runs():
             new = new.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
         self._put(0, new)
+        remove(self.spark, path)
 
     def _put(self, level: int, rows: DataFrame) -> None:
         run = save(rows.repartition(*HASH).sortWithinPartitions(*HASH), f"run{level}")
@@ -82,6 +84,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     spark = docs.sparkSession
     seen, seen_path = save(_sightings(docs, id_col, text, min_chars), "lines")
     often = seen.groupBy(*HASH).agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select(*HASH)
+    # saved, for a join right above its own aggregation could not split the lines of one very common key
+    often, often_path = save(often, "often")
     hot, hot_path = save(seen.join(often, HASH, "left_semi"), "frequent")
     at = [F.lit(i / batches) for i in range(1, batches)] or [F.lit(1.0)]
     cuts = sorted(set(hot.agg(F.percentile_approx("doc", F.array(*at), F.lit(1000))).first()[0] or []))
@@ -94,7 +98,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     kept = runs.keepers().select(*HASH, F.col("keeper").alias("doc"))
     gone = hot.join(kept, [*HASH, "doc"], "left_anti")
     cut, _ = save(gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias("cut")), "cut")
-    remove(spark, seen_path, hot_path, *[path for level in runs.levels for _, path in level])
+    remove(spark, seen_path, often_path, hot_path, *[path for level in runs.levels for _, path in level])
     return cut
 
 
