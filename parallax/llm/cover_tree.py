@@ -18,8 +18,8 @@ from .components import connected_components
 
 #: vectors in a block at most (expected), pivots in the sample, points in a leaf
 BLOCK, PIVOTS, LEAF = 2048, 128, 24
-#: products computed at once inside a task
-PRODUCTS = 1 << 22
+#: products computed at once inside a task, candidates for centres tried at once
+PRODUCTS, CENTRES = 1 << 22, 64
 _SLACK = 1e-7
 
 
@@ -61,10 +61,15 @@ class CoverTree:
         own = self.x[points]
         left, groups = np.arange(len(points)), []
         while len(left):
-            d2 = ((own[left] - own[left[0]]) ** 2).sum(axis=1)
-            near = d2 <= level * level
-            groups.append((left[near], float(np.sqrt(d2[near].max()))))
-            left = left[~near]
+            # distances to some candidates at once; those that an earlier one covers are no centres
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * (own[left] @ own[left[:CENTRES]].T)))
+            free = np.ones(len(left), bool)
+            for k in range(d.shape[1]):
+                if free[k]:
+                    near = np.flatnonzero(free & (d[:, k] <= level))
+                    groups.append((left[near], float(d[near, k].max())))
+                    free[near] = False
+            left = left[free]
         moved = np.concatenate([g for g, _ in groups])
         self.order[node.start:node.stop] = self.order[points][moved]
         self.x[node.start:node.stop] = own[moved]
@@ -106,14 +111,19 @@ class Links:
         if not self.same:
             self.count[1][b] += self.wa[a] @ linked
         if linked.all():  # one star connects all
-            for i in a:
+            for i in (*a[1:], *(b + shift)):
                 self.join(a[0], i)
-            for j in b:
-                self.join(a[0], j + shift)
             return
-        for i, row in zip(a, linked):
-            for j in b[row]:
-                self.join(i, j + shift)
+        left = np.array([self.find(i) for i in a])
+        right = np.array([self.find(j + shift) for j in b])
+        for i in np.flatnonzero(linked.any(axis=1)):  # joins as often as components meet, not as often as points do
+            met = np.unique(right[linked[i] & (right != left[i])])
+            if len(met):
+                for root in met:
+                    self.join(left[i], root)
+                all_roots = np.append(met, left[i])
+                for roots in (left, right):
+                    roots[np.isin(roots, all_roots)] = all_roots.min()
 
 
 def dual_traversal(a: CoverTree, b: CoverTree, threshold: float, links: Links) -> None:
@@ -140,11 +150,21 @@ def dual_traversal(a: CoverTree, b: CoverTree, threshold: float, links: Links) -
                 links.add(ia, ib, linked)
             continue
         step = max(1, PRODUCTS // len(kids_q))
+        n_p, n_q = (np.array([k.stop - k.start for k in kids]) for kids in (kids_p, kids_q))
         for s in range(0, len(kids_p), step):
             d = np.sqrt(np.maximum(0.0, 2 - 2 * (cp[s:s + step] @ cq.T)))
             bound = rp[s:s + step, None] + rq[None, :]
             alive = d <= reach + bound + _SLACK
             whole = alive & (d + bound <= reach - _SLACK)
+            one_p, one_q = np.flatnonzero(n_p[s:s + step] == 1), np.flatnonzero(n_q == 1)
+            if len(one_p) and len(one_q):  # single points need no opening
+                at = np.ix_(one_p, one_q)
+                linked = alive[at] & (cp[s + one_p] @ cq[one_q].T >= threshold)
+                if same and p is q:
+                    linked &= (s + one_p)[:, None] != one_q
+                if linked.any():
+                    links.add(a.order[[kids_p[s + i].start for i in one_p]], b.order[[kids_q[j].start for j in one_q]], linked)
+                alive[at] = False
             for i, j in zip(*np.nonzero(alive)):
                 kp, kq = kids_p[s + i], kids_q[j]
                 if whole[i, j] and not (same and kp is kq):

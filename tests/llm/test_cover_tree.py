@@ -56,9 +56,9 @@ def test_tree_bounds():
     while todo:
         n = todo.pop()
         d = np.sqrt(((tree.x[n.start:n.stop] - n.centre) ** 2).sum(axis=1))
-        assert d.max() <= n.radius + 1e-12 and d.min() < 1e-12  # covered, and the centre is one of the points
+        assert d.max() <= n.radius + T._SLACK and d.min() < 1e-12  # covered, and the centre is one of the points
         for c in n.children:
-            assert c.radius <= n.radius
+            assert c.radius <= n.radius + T._SLACK
         if n.children:
             assert [c.start for c in n.children] == [n.start, *[c.stop for c in n.children][:-1]]
         todo += n.children
