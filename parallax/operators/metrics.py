@@ -391,6 +391,8 @@ def _swapped_sums(rows: DataFrame, width: int, trials: int, seed: int) -> DataFr
         yield pd.DataFrame({"trial": np.arange(1, trials + 1), **{f"d{i}": total[:, i] for i in range(width)}})
 
     cols = [f"d{i}" for i in range(width)]
+    # small rows, dear work (a hash for every 60 trials): dealt evenly, not coalesced by size
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = rows.mapInPandas(fold, "trial int, " + ", ".join(f"{c} double" for c in cols))
     return parts.groupBy("trial").agg(*[F.sum(c).alias(c) for c in cols])
 
