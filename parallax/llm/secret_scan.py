@@ -19,17 +19,21 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: a text without any of these (lower case) has no assignment
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: character classes: candidate strings, window length, least bits a character, what a window must hold
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+STRINGS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
+#: character classes: candidate strings, window length, least bits a character, what a window must hold, the parts of a
+#: candidate that windows lie in (None: anywhere); letters of one case count in runs without separators, which words seldom fill
 CLASSES = (
-    (re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-F]{32,}|[0-9a-f]{32,})(?![0-9A-Fa-f])"), 32, 3.0, ("0123456789", "abcdefABCDEF")),
-    (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"), 24, 3.9,
-     ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+    (re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-F]{32,}|[0-9a-f]{32,})(?![0-9A-Fa-f])"), 32, 3.0, (DIGITS, "abcdefABCDEF"), None),
+    (STRINGS, 24, 3.9, (DIGITS, LOWER, UPPER), None),
+    (STRINGS, 24, 3.5, (DIGITS, LOWER), re.compile(r"[a-z0-9]{24,}")),
+    (STRINGS, 24, 3.5, (DIGITS, UPPER), re.compile(r"[A-Z0-9]{24,}")),
 )
-#: candidates that are no secrets: UUIDs, integrity hashes, embedded media, paths of words, file names
+#: candidates that are no secrets: UUIDs, integrity hashes, paths that are words throughout, file names
 ALLOW = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",
     r"sha(?:256|384|512)-",
-    r"(?:/?[A-Za-z][a-z]*(?:[-_][a-z]+)*/)+",
+    r"(?:/?[A-Za-z][a-z]*(?:[-_][a-z]+)*/)+(?:[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{0,4})?\Z",
     r"[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{0,4}\Z",
 ))
 #: text before a candidate that makes it none
@@ -91,24 +95,28 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow=ALLOW, classes=CLASSES) -> list[tuple[int, int, int]]:
-    """Windows of high entropy that no allowed string and no base span holds."""
+    """Windows of high entropy outside allowed strings and base spans; where those of several classes overlap, their union."""
     found: list[tuple[int, int, int]] = []
-    for pattern, width, least, needs in classes:
-        taken = _merged(base + found)  # windows of one class do not overlap each other
-        starts = [a for a, _ in taken]
+    taken = _merged(base)
+    starts = [a for a, _ in taken]
+    for pattern, width, least, needs, part in classes:
         for m in pattern.finditer(text):
             s, at = m.group(), m.start()
             if not all(any(c in need for c in s) for need in needs):
                 continue
             if any(p.match(s) for p in allow) or ALLOW_BEFORE.search(text[max(0, at - 24):at]):
                 continue
-            for a, b in hot_windows(s, width, least):
-                window = s[a:b]
-                if all(any(c in need for c in window) for need in needs):
-                    before = bisect_left(starts, at + b)  # the last one that starts before this ends
-                    if not before or taken[before - 1][1] <= at + a:
-                        found.append((at + a, 3, at + b))
-    return found
+            for x in part.finditer(text, at, m.end()) if part else (m,):
+                s, at = x.group(), x.start()
+                if x is not m and any(p.match(s) for p in allow):
+                    continue
+                for a, b in hot_windows(s, width, least):
+                    window = s[a:b]
+                    if all(any(c in need for c in window) for need in needs):
+                        before = bisect_left(starts, at + b)  # the last one that starts before this ends
+                        if not before or taken[before - 1][1] <= at + a:
+                            found.append((at + a, 3, at + b))
+    return [(a, 3, b) for a, b in _merged(found)]
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:

@@ -65,6 +65,28 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert S.redact(f"a {secret} b") == "a [SECRET] b" and S.redact(None) is None
 
 
+def test_a_plain_segment_hides_no_secret():
+    hook, config, base64 = ("com/services/T024BE7LD/B02JH8K3L/a8Fq0ZpT3vWx9LmN2cRy7KdE", "config/q7RtY2uIoP9aSdF4gHjK1lZxCvB8nM0wE",
+                            "Kd/9aB3xQ7mZ2pL8vT4wY6cR1sN5dF0gH")
+    for s, secret in ((hook, "a8Fq0ZpT3vWx9LmN2cRy7KdE"), (config, "q7RtY2uIoP9aSdF4gHjK1lZxCvB8nM0wE"), (base64, base64)):
+        assert [k for _, k, _ in S.scan(f"see {s} here")] == [3]
+        assert secret not in S.redact(f"see {s} here") and S.redact(f"see {s} here").endswith("[SECRET] here")
+    for clean in ("/usr/share/doc/some-thing/other_thing/notes", "The/long/path/of/plain/Words/file-name_12", "the/long/path/of/plain/words/"):
+        assert S.scan(clean) == []
+
+
+def test_single_case_letters_with_digits():
+    rng = random.Random(4)
+    for letters in (S.LOWER, S.UPPER):
+        made = ["".join(rng.choice(letters + S.DIGITS) for _ in range(32)) for _ in range(300)]
+        for before in ("", "com/live/", "key_"):
+            found = [S.redact(f"x {before}{s} y") for s in made]
+            assert sum(s not in f and f.endswith("[SECRET] y") for s, f in zip(made, found)) > 290
+    for clean in ("donaudampfschifffahrtsgesellschaft2024", "data:x;base64,q7rty2uiop9asdf4ghjk1lzxcvb8nm0we", "sha256-q7rty2uiop9asdf4ghjk1lzxcvb8nm0we",
+                  "the-long-path-of-2-words/and-3-more/than-4-before", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        assert S.scan(clean) == []
+
+
 def test_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()}
     got = QUERIES["op9_secrets"](spark, SF_MID).collect()
