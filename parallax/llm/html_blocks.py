@@ -8,12 +8,18 @@ from html.parser import HTMLParser
 
 import numpy as np
 
-# Fixed values of the HTML language: tags without content, tags inside a line of text, tags whose text is not shown,
-# tags that end an open paragraph, tags that end an open tag of their own kind.
+# Fixed values of the HTML language: tags without content, tags of formulas, tags inside a line of text, tags whose text is not
+# shown, those of them that only formulas hold, tags that leave an open head open, tags that end an open paragraph, tags that
+# end an open tag of their own kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-                   "time tt u var".split())
-HIDDEN = frozenset("script style noscript template head title svg math object iframe canvas audio video select option textarea".split())
+MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+                 "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none "
+                 "semantics".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub "
+                          "sup time tt u var".split())
+HIDDEN = frozenset("script style noscript template head title svg object iframe canvas audio video select option textarea".split())
+MATH_HIDDEN = frozenset(("annotation", "annotation-xml"))
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 ENDS_SELF = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
@@ -36,14 +42,14 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[tuple[str, tuple[str, ...], bool]] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
         self.at: tuple[str, ...] = ()
 
     def _path(self) -> tuple[str, ...]:
-        return tuple(name for tag, names in self.open if tag not in INLINE for name in names)
+        return tuple(name for tag, names, _ in self.open if tag not in INLINE for name in names)
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -52,8 +58,8 @@ class _Reader(HTMLParser):
         self.parts, self.linked = [], 0
 
     def _pop_to(self, index: int) -> None:
-        for tag, _ in self.open[index:]:
-            self.hidden -= tag in HIDDEN
+        for tag, _, hides in self.open[index:]:
+            self.hidden -= hides
             self.links -= tag == "a"
         del self.open[index:]
 
@@ -65,7 +71,18 @@ class _Reader(HTMLParser):
             if self.open[i][0] in until:
                 return
 
+    def _has(self, tag: str) -> bool:
+        return any(t == tag for t, *_ in self.open)
+
+    def _end_head(self) -> None:
+        for i, (tag, *_) in enumerate(self.open):
+            if tag == "head":
+                self._pop_to(i)
+                return
+
     def handle_starttag(self, tag, attrs):
+        if self.hidden and (tag == "body" and not self._has("template") or self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self._end_head()
         if tag == "br":
             if self.parts:
                 self.parts.append(" ")
@@ -82,19 +99,22 @@ class _Reader(HTMLParser):
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 names += [f".{w}" for w in _NAME.findall(value.lower())]
-        self.open.append((tag, tuple(names)))
-        self.hidden += tag in HIDDEN
+        hides = tag in HIDDEN or tag in MATH_HIDDEN and self._has("math")
+        self.open.append((tag, tuple(names), hides))
+        self.hidden += hides
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML, but ends drawings and formulas and the tags of them
+        if tag not in VOID and (tag in ("svg", "math") or self._has("svg") or tag in MATH and self._has("math")):
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
+        if tag == "p" and not self._has("p"):
             self.end_block()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag not in INLINE or any(t not in INLINE for t, _ in self.open[i:]):
+                if tag not in INLINE or any(t not in INLINE for t, *_ in self.open[i:]):
                     self.end_block()
                 self._pop_to(i)
                 return
@@ -102,6 +122,8 @@ class _Reader(HTMLParser):
                 return  # formatting that a block has already ended
 
     def handle_data(self, data):
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.hidden > 0 or not data:
             return
         if not self.parts:

@@ -24,6 +24,25 @@ def test_blocks():
     assert paths == {"l": ("nav", ".top", ".menu"), "u": ("article", "p"), "v": ("article", "p"), "w": ("footer",)}
 
 
+def test_a_head_ends_without_its_end_tag():
+    rest = "<article><p>x</p><p>y</p></article>"
+    for start in ("<html><head><title>t</title><body>", "<html><head><title>t</title>", "<head><meta charset=u><link rel=x><body class=c>",
+                  "<head><script>var a='<p>';</script><style>p{}</style>", "<head><noscript><img src=i></noscript><title>t</title><body>",
+                  "<head><noscript><p>n</p><body>", "<head><template><p>n</p></template>", "<head><title>t</title></head><body>"):
+        assert texts(start + rest) == ["x", "y"]
+    assert texts("<head><title>t</title> \n said <b>so</b><p>x") == ["said so", "x"]
+    assert texts("<head><title>t</title><br>said<p>x") == ["said", "x"]
+    assert [b.path for b in B.read_blocks("<html><head><title>t</title><body><p>x")] == [("html", "body", "p")]
+
+
+def test_drawings_and_formulas():
+    assert texts("<article><p>a</p><svg/><p>b</p><svg viewBox=x /><p>c</p><math/><p>d</p></article>") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><svg><g/><title>t</title><text>n</text><path d=x /></svg><p>b</p>") == ["a", "b"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> be</p><p>b") == ["let x=1 be", "b"]
+    assert texts("<p><math><semantics><mi>x</mi><annotation encoding=tex>\\x</annotation></semantics></math>, y</p>") == ["x, y"]
+    assert texts("<p><annotation>a</annotation> b</p>") == ["a b"]
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     model = L.Labeller(hidden=3)
