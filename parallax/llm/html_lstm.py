@@ -21,6 +21,8 @@ from .html_blocks import DIM, Block, features, read_blocks
 #: expected pages in the training sample; longer pages teach nothing
 SAMPLE_PAGES, SAMPLE_CHARS = 150, 100_000
 HIDDEN, STEPS, BATCH, RATE = 24, 400, 24, 0.01
+#: blocks of a page that a training step sees, drawn anew from anywhere in the page at each step
+WINDOW = 200
 #: block slots that are labelled at once
 SLOTS = 16_384
 
@@ -188,16 +190,25 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def _window(x: np.ndarray, y: np.ndarray, rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
+    """A whole page, or ``WINDOW`` blocks of it around a drawn one."""
+    if len(x) <= WINDOW:
+        return x, y
+    at = min(max(rng.randrange(len(x)) - WINDOW // 2, 0), len(x) - WINDOW)
+    return x[at:at + WINDOW], y[at:at + WINDOW]
+
+
 def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 2) -> Labeller:
-    """Fit by Adam on real pages with declared labels and on made-up designs, half of each batch."""
+    """Fit by Adam on real pages with declared labels and on made-up designs, half of each batch; of a page with more than
+    ``WINDOW`` blocks a step sees so many in a row, from its start to its end each about as often."""
     rng = random.Random(seed)
     real = []
     for blocks in pages:
         known = [declared(b) for b in blocks]
         if any(k for k in known):  # a page that declares its article: what it leaves open is outside
             real.append((features(blocks), np.array([bool(k) for k in known], np.float32)))
-    texts = [b.text for blocks in pages for b in blocks][:20_000] or ["text"]
-    links = [b.text for blocks in pages for b in blocks if b.linked][:5_000]
+    texts = [b.text for blocks in pages for b in blocks] or ["text"]
+    links = [b.text for blocks in pages for b in blocks if b.linked]
     model = Labeller(seed=seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
@@ -206,7 +217,7 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 2) -> Labell
         while len(batch) < BATCH:
             design = _page_designs(texts, links, rng)
             batch.append((features([b for b, _ in design]), np.array([y for _, y in design], np.float32)))
-        batch = [(x[:200], y[:200]) for x, y in batch]
+        batch = [_window(x, y, rng) for x, y in batch]
         x, mask = _padded([x for x, _ in batch])
         y = np.zeros(mask.shape, np.float32)
         for j, (_, labels) in enumerate(batch):

@@ -142,3 +142,18 @@ def test_long_and_short_pages_agree(model):
     together = model.label(pages)
     alone = [model.label([p])[0] for p in pages]
     assert all(np.array_equal(a, b) for a, b in zip(together, alone))
+
+
+def test_training_sees_long_pages_to_their_end(monkeypatch):
+    page = B.read_blocks("<article>" + "<p>text</p>" * 500 + "</article><footer>" + "<p>end</p>" * 100 + "</footer>")
+    seen, padded = [], L._padded
+
+    def spy(rows):
+        seen.extend(rows[:L.BATCH // 2])
+        return padded(rows)
+
+    monkeypatch.setattr(L, "_padded", spy)
+    L.train([page], steps=8)
+    x = B.features(page)
+    assert all(len(r) <= L.WINDOW for r in seen)
+    assert any((r[-1] == x[-1]).all() for r in seen) and any((r[-1] == x[0]).all() for r in seen)
