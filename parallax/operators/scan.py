@@ -28,6 +28,15 @@ def _cols(x):
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+def _join_same(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Inner join on equal values of ``on``, null equal to null."""
+    for c in on:
+        right = right.withColumnRenamed(c, f"__on_{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    rest = [c for c in [*left.columns, *right.columns] if c not in on and not c.startswith("__on_")]
+    return left.join(right, same).select(*on, *rest)
+
+
 #: rows that a chunk is meant to hold
 ROWS_PER_CHUNK = 4096
 
@@ -42,7 +51,7 @@ def chunk_by_count(df: DataFrame, group_cols, order_col: str, name: str = "__by_
     x = F.col(order_col).cast("double")
     stats = df.groupBy(*group_cols).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(F.lit(1)).alias("__cnt"))
     if group_cols:
-        j = df.join(stats, group_cols)
+        j = _join_same(df, stats, group_cols)
     else:  # one row of scalars
         j = (df.withColumn("__st", stats.select(F.struct("__lo", "__hi", "__cnt")).scalar())
              .select(*df.columns, "__st.*"))
@@ -83,7 +92,7 @@ def prefix_scan(df: DataFrame, group_cols, chunk: Column, order_cols, specs) ->
         carry_cols.append(fn(f"__c_{name}").over(wc).alias(f"__k_{name}"))
     carry = per_chunk.select(*group_cols, _CHUNK, *carry_cols)
 
-    d = d.join(carry, on=[*[c for c in group_cols], _CHUNK], how="inner")
+    d = _join_same(d, carry, [*group_cols, _CHUNK])
     wr = Window.partitionBy(*group_cols, _CHUNK).orderBy(*order_cols)
     for name, kind, _value, inc in specs:
         frame = wr.rowsBetween(Window.unboundedPreceding, 0 if inc else -1)
@@ -113,10 +122,11 @@ def weighted_offsets(df: DataFrame, group_cols, chunk: Column, order_cols, weigh
 def document_offsets(docs: DataFrame, group_cols, doc_col: str = "doc_id", count: str = "__n",
                      name: str = "__doc_off") -> DataFrame:
     """Lines before each document in its group, from one row per document
-    with its line ``count``."""
+    with its line ``count``; a null document comes last, where
+    ``chunk_by_count`` puts it."""
     group_cols = _cols(group_cols)
     docs = chunk_by_count(docs, group_cols, doc_col)
-    return weighted_offsets(docs, group_cols, F.col("__by_count"), [doc_col], F.col(count), name).drop("__by_count")
+    return weighted_offsets(docs, group_cols, F.col("__by_count"), [F.col(doc_col).asc_nulls_last()], F.col(count), name).drop("__by_count")
 
 
 def line_positions(lines: DataFrame, group_cols, doc_col: str = "doc_id", line_col: str = "line_no",
@@ -129,7 +139,7 @@ def line_positions(lines: DataFrame, group_cols, doc_col: str = "doc_id", line_c
     group_cols = _cols(group_cols)
     per_doc = lines.groupBy(*group_cols, doc_col).agg(F.count(F.lit(1)).alias("__n"))
     per_doc = document_offsets(per_doc, group_cols, doc_col)
-    out = lines.join(per_doc.select(*group_cols, doc_col, "__doc_off"), on=[*group_cols, doc_col])
+    out = _join_same(lines, per_doc.select(*group_cols, doc_col, "__doc_off"), [*group_cols, doc_col])
     if dense:
         return out.withColumn(name, (F.col("__doc_off") + F.col(line_col)).cast("long")).drop("__doc_off")
     # one window per document: a document is a single input row, so bounded
@@ -143,16 +153,26 @@ def positioned_lines(docs: DataFrame, group_cols, parts: str, doc_col: str = "do
     the document (``line_no``) and their position in the group ordered by
     (document, item).
 
-    The offset is found for the document rows, from their counts alone, and
+    The offset is found for the documents, from their counts alone, and
     the items are exploded afterwards: no exploded row is ever moved.
+    Null groups and documents count like any other, a null document last.
+    Only where rows share a document are their items ranked by item number,
+    equal numbers by a hash of the row, in chunks of bounded size.
     ``total`` names a column for the group's number of items."""
     group_cols = _cols(group_cols)
-    counts = docs.select(*group_cols, doc_col, F.size(parts).cast("long").alias("__n"))
+    rows = docs.select(*group_cols, doc_col, F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0)).cast("long").alias("__n"))
+    counts = rows.groupBy(*group_cols, doc_col).agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__rows"))
     offsets = document_offsets(counts, group_cols, doc_col).drop("__n")
     if total:
-        offsets = offsets.join(counts.groupBy(*group_cols).agg(F.sum("__n").alias(total)), group_cols)
-    out = docs.join(offsets, [*group_cols, doc_col])
+        offsets = _join_same(offsets, counts.groupBy(*group_cols).agg(F.sum("__n").alias(total)), group_cols)
+    out = _join_same(docs, offsets, [*group_cols, doc_col])
     keep = [c for c in out.columns if c != parts]
-    out = out.select(*keep, F.posexplode(parts).alias("__i", item))
+    single = out.where("__rows = 1").select(*keep, F.posexplode(parts).alias("__i", item)).withColumn("__rank", F.col("__i") + F.lit(1).cast("long"))
+    shared = (out.where("__rows > 1").withColumn("__h", F.xxhash64(*docs.columns))
+              .select(*keep, "__h", F.posexplode(parts).alias("__i", item)))
+    cuts = F.ceil(F.col("__rows") / ROWS_PER_CHUNK)
+    chunk = F.col("__i") * cuts + F.pmod(F.col("__h"), cuts)
+    shared = positions(shared.withColumn("__cut", F.pmod("__h", cuts)), [*group_cols, doc_col], chunk, ["__i", "__cut", "__h"], "__rank")
+    out = single.unionByName(shared.drop("__h", "__cut"))
     return (out.withColumn(line_col, (F.col("__i") + 1).cast("long"))
-            .withColumn(name, (F.col("__doc_off") + F.col("__i") + 1).cast("long")).drop("__i", "__doc_off"))
+            .withColumn(name, (F.col("__doc_off") + F.col("__rank")).cast("long")).drop("__i", "__rank", "__rows", "__doc_off"))

@@ -30,6 +30,26 @@ def test_positions_and_split(spark, monkeypatch):
     assert sorted(r.corpus for r in sp.collect()) == ["c0", "c0", "c1", "c1", "c1"]
 
 
+def test_positions_with_nulls_and_repeated_ids(spark, monkeypatch):
+    rows = [("a", 1, ["p", "q"]), ("a", 2, ["r", "s", "t"]), ("a", 2, ["u"]), ("a", 2, ["r", "s", "t"]), ("a", 3, ["v"]),
+            ("a", None, ["w", "x"]), ("a", None, ["y"]), (None, 2, ["z", "z"]), (None, 1, ["o"]), (None, None, ["n"]), ("b", 1, None)]
+    docs = spark.createDataFrame(rows, "corpus string, doc_id long, parts array<string>")
+    lines = [(c, d, i + 1, x) for c, d, parts in rows for i, x in enumerate(parts or [])]
+    for size in (4096, 1):
+        monkeypatch.setattr(scan, "ROWS_PER_CHUNK", size)
+        got = scan.positioned_lines(docs.repartition(3), ["corpus"], "parts", total="n").collect()
+        assert sorted(map(str, lines)) == sorted(str((r.corpus, r.doc_id, r.line_no, r.text)) for r in got)
+        for c in ("a", None):
+            mine = sorted((r for r in got if r.corpus == c), key=lambda r: r.pos)
+            assert [r.pos for r in mine] == list(range(1, len(mine) + 1)) and {r.n for r in mine} == {len(mine)}
+            keys = [(r.doc_id is None, r.doc_id or 0, r.line_no) for r in mine]
+            assert keys == sorted(keys)
+    table = spark.createDataFrame([(None, 1), (None, 2), ("x", 1)], "g string, k long")
+    chunks = scan.chunk_by_count(table, ["g"], "k")
+    assert {(r.g, r.k): r.pos for r in scan.positions(chunks, ["g"], F.col("__by_count"), ["k"]).collect()} == {
+        (None, 1): 1, (None, 2): 2, ("x", 1): 1}
+
+
 def test_half_even_cut(spark):
     ln = _lines(spark, [10])  # 10 lines, 25 % -> 2.5 -> 2
     assert C.split_head_percent(C.with_positions(ln), 25.0).where("split = 'validation'").count() == 2
