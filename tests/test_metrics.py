@@ -120,6 +120,12 @@ def test_predictions_without_a_reference_count(spark):
     assert (d.total_distance, d.n, d.mean_distance) == (1, 3, 0.333333)
 
 
+def test_significance_of_ter_is_registered_with_all_trials(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    assert E.queries()["significance_ter"](spark, SF_SMALL).first().trials == 10_000
+
+
 def test_significance_of_ter_by_brute_force(spark):
     import hashlib
 
