@@ -185,15 +185,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest id stays.
+    """``docs`` without the near copies: of each component the rows with the smallest id stay.
 
     Rows with a null id stay only if no row of their component has an id.
-    Rows that repeat the kept id all stay."""
+    Rows that repeat the kept id all stay.  Where an id bears several texts,
+    each is judged by its own component."""
     found = near_dedup(docs, id_col, text, k, max_bits)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    print_of = F.lower(F.lpad(F.hex(fingerprint_udf(k)(F.col(text))), 16, "0"))
+    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col, "fingerprint").distinct()
+    both = lost.select(id_col).distinct().join(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi")
     nameless = docs.where(F.col(id_col).isNull())
-    out = docs.join(lost, id_col, "left_anti").where(F.col(id_col).isNotNull()).select(*docs.columns)
+    out = docs.join(lost.select(id_col).distinct(), id_col, "left_anti").where(F.col(id_col).isNotNull()).select(*docs.columns)
+    # only rows of ids that are lost by one text and kept by another need their fingerprint again
+    split = docs.join(both, id_col, "left_semi").withColumn("_f", print_of)
+    split = split.join(lost.withColumnRenamed("fingerprint", "_f"), [id_col, "_f"], "left_anti").select(*docs.columns)
     alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    print_of = F.lower(F.lpad(F.hex(fingerprint_udf(k)(F.col(text))), 16, "0"))
     kept = nameless.withColumn("_f", print_of).join(alone.withColumnRenamed("fingerprint", "_f"), "_f", "left_semi").drop("_f")
-    return out.unionByName(kept.select(*docs.columns))
+    return out.unionByName(split).unionByName(kept.select(*docs.columns))

@@ -112,3 +112,11 @@ def test_small_tables_and_large_tables_agree():
         pairs = {frozenset(x) for f in frames for x in f.itertuples(index=False, name=None)}
         return components([int(x) for x in fp.view(np.int64)], lambda a, b: frozenset((a, b)) in pairs)
     assert parts(100) == parts(4)
+
+
+def test_an_id_with_several_texts_keeps_the_one_that_is_no_copy(spark):
+    a, b, c = ("the first text of its own", "a second text that is a copy of another", "a third text unlike the other two")
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, b), (None, c), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in S.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, b), (5, a), (5, a), (None, c)], key=str)
