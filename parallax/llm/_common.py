@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -34,3 +37,16 @@ def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) ->
         digits = (now or "").lower().removesuffix("b")
         if not digits.isdigit() or not 0 < int(digits) <= most:
             spark.conf.set(key, str(most))
+
+
+@contextmanager
+def batch_limits(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> Iterator[None]:
+    """:func:`bound_batches` for the jobs that run inside the block; the session's own limits come back after it."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k, None) for k in keys]
+    bound_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

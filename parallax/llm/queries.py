@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, secret_scan, simhash_mih, topk_norm
+from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, phrases, secret_scan, simhash_mih, topk_norm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op10_langid(spark, sf_dir):
     return lang_rank.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@register
+def op13_phrases(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"), max_words=3, min_count=10, covered=50, top=2000)
+
+
 ORACLE_SQL["op7_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, i, line, lower_key AS key FROM (
@@ -164,3 +169,27 @@ n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v LEFT JOIN part ON v.vec_id = part.x LEFT JOIN n ON v.vec_id = n.x
 """
+
+ORACLE_SQL["op13_phrases"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(ps) AS p FROM (SELECT lang, doc_id, string_split_regex(
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded WHERE len(w) > 0),
+grams AS (SELECT lang, w[i] AS phrase, 1 AS k FROM spans
+          UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM spans WHERE i + 1 <= len(w)
+          UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM spans WHERE i + 2 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+longer AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, f AS a, 1 AS cut, w[1] AS lhs, array_to_string(w[2:], ' ') AS rhs FROM longer
+         UNION ALL SELECT lang, phrase, f, 2, array_to_string(w[:2], ' '), w[3] FROM longer WHERE k = 3),
+scored AS (SELECT c.*, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON c.lang = x.lang AND c.lhs = x.phrase JOIN f y ON c.lang = y.lang AND c.rhs = y.phrase),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored) WHERE nth = 1),
+inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM longer WHERE k = 3
+           UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM longer WHERE k = 3),
+covering AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+kept AS (SELECT s.* FROM weakest s LEFT JOIN covering c ON s.lang = c.lang AND s.phrase = c.phrase WHERE c.f IS NULL OR 100 * c.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, t.n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
