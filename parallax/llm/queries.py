@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, phrases, secret_scan, simhash_mih, topk_norm
+from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, phrases, secret_scan, simhash_mih, topk_norm, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op10_langid(spark, sf_dir):
     return lang_rank.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@register
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64.0, offset=1_000_000, components=32)
+
+
 @register
 def op13_phrases(spark, sf_dir):
     return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"), max_words=3, min_count=10, covered=50, top=2000)
