@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, phrases, secret_scan, simhash_mih, topk_norm, whitening
+from . import bpe, chat, cover_tree, html_lstm, lang_rank, line_runs, mixing, phrases, secret_scan, simhash_mih, topk_norm, url_rank, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +90,15 @@ def op10_langid(spark, sf_dir):
     return lang_rank.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: the rules of op11
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@register
+def op11_urls(spark, sf_dir):
+    return url_rank.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 @register
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64.0, offset=1_000_000, components=32)
@@ -198,3 +207,35 @@ kept AS (SELECT s.* FROM weakest s LEFT JOIN covering c ON s.lang = c.lang AND s
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT r.lang, rank, phrase, a, l, r, t.n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
 """
+
+
+def _urls_sql(rules=URL_RULES, damping=url_rank.DAMPING, rounds=url_rank.ROUNDS, block_at=url_rank.BLOCK_AT) -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    given = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in rules)
+    link, no_links = url_rank.LINK.replace("'", "''"), url_rank.NO_LINKS.replace("'", "''")
+    return rf"""
+WITH RECURSIVE parts AS (SELECT row_number() OVER () AS nth, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split_ AS (SELECT nth, page_id, html, coalesce({lower.format("regexp_extract(rest, '^[^/?#]*')")}, '') AS host,
+                  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+rules(verdict, rule, rule_host, rule_path) AS (VALUES {given}),
+fits AS (SELECT nth, rule, verdict, row_number() OVER (PARTITION BY nth ORDER BY length(rule) DESC, length(rule_host) DESC) AS place
+         FROM split_ JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+ruled AS (SELECT s.*, f.rule, f.verdict FROM split_ s LEFT JOIN fits f ON s.nth = f.nth AND f.place = 1),
+seeds AS (SELECT host, avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS trust, avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS distrust
+          FROM ruled WHERE host <> '' GROUP BY host),
+named AS (SELECT DISTINCT nth, host AS src, {lower.format("unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '" + no_links + "', ' ', 'g'), '" + link + "', 1))")} AS dst FROM split_),
+links AS (SELECT src, dst, count(*) AS n FROM named WHERE src <> '' AND src <> dst GROUP BY ALL),
+arcs AS (SELECT 'trust' AS kind, src AS host, dst AS dest, n / sum(n) OVER (PARTITION BY src) AS share FROM links
+         UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
+walk AS (SELECT 'trust' AS kind, host, trust::DOUBLE AS score, 0 AS step FROM seeds WHERE trust > 0
+         UNION ALL SELECT 'distrust', host, distrust, 0 FROM seeds WHERE distrust > 0
+         UNION ALL SELECT a.kind, a.dest, {damping} * sum(w.score * a.share), w.step + 1 FROM walk w JOIN arcs a ON w.kind = a.kind AND w.host = a.host
+                   WHERE w.step < {rounds} GROUP BY a.kind, a.dest, w.step),
+scores AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 'trust'), 0), 6) AS trust, round(coalesce(sum(score) FILTER (kind = 'distrust'), 0), 6) AS distrust
+           FROM walk GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN distrust >= {block_at} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN scores s ON r.host = s.host
+"""
+
+
+ORACLE_SQL["op11_urls"] = _urls_sql()
