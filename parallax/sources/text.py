@@ -11,16 +11,19 @@ on two scans being split alike.
 
 from __future__ import annotations
 
+import csv
 import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import py_strip, strip_bom
 from ..operators.align import AlignmentError, zip_strict, zip_truncate
 from ..operators.corpus import manifest_rows, validation_manifest_rows
 from ..session import broadcast_if_small, materialize
+from .csv_records import read_csv_records
 
 #: columns that carry a line's place: path in the order given, file, split
 _PLACE = ["__o", "__d", "__p", "__f", "__b"]
@@ -187,12 +190,42 @@ class UnsupportedFormat(ValueError):
     pass
 
 
-def _first_field(spark: SparkSession, path: str) -> str:
-    """The first field of the first record of a JSON lines file (Spark sorts inferred fields by name)."""
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.json_object_keys("value").alias("k")).first()
-    if first is None or not first["k"]:
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, text)`` of CSV files, each with a header; the first file's header names the columns of all."""
+    scan = spark.read.option("lineSep", "\n").text(path).select("value", *_place(0))
+    records = read_csv_records(spark, scan)
+    files = records.groupBy("__o", "__f").agg((F.max("number") - 1).alias("n"))
+    named = files.select("__o", "__f", "n", F.regexp_extract("__f", r"^(.*)/", 1).alias("__d"),
+                         F.coalesce(F.regexp_extract("__f", r"/part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(-1)).alias("__p"))
+    over = Window.orderBy("__o", "__d", "__p", "__f")
+    # a row a file: as few as the files that a folder listing holds
+    files = materialize(named.select("__o", "__f", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+                                     F.row_number().over(over).alias("file_no")), "csv-files")
+    first = files.where("file_no = 1").select("__o", "__f")
+    head = records.where("number = 1").join(F.broadcast(first), ["__o", "__f"]).select(strip_bom(F.col("record"))).first()
+    if head is None:
+        raise UnsupportedFormat(f"no header in {path}")
+    names = next(csv.reader([head[0]]))
+    at = names.index("text") if "text" in names else 0
+    fields = ", ".join(f"c{i} string" for i in range(at + 1))
+    text = F.from_csv("record", fields, {"escape": '"', "maxCharsPerColumn": "-1"})[f"c{at}"]
+    return (records.where("number > 1").join(broadcast_if_small(files.select("__o", "__f", "before")), ["__o", "__f"])
+            .select((F.col("before") + F.col("number") - 1).cast("long").alias("line_no"), text.alias("text")))
+
+
+def _json_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, text)`` of JSON lines, read once: both columns that may be the text are stored, then one is chosen."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    head = lines.select(F.json_object_keys("value").alias("k")).first()
+    if head is None or not head["k"]:
         raise UnsupportedFormat(f"no JSON object with a field in {path}")
-    return first["k"][0]
+    first = head["k"][0]
+    kind = StructType([StructField(c, StringType()) for c in dict.fromkeys(["text", first])])
+    row = F.from_json("value", kind)
+    scan = lines.select(row["text"].alias("value"), row[first].alias("first"), F.array_contains(F.json_object_keys("value"), "text").alias("has"), *_place(0))
+    numbered = Numbered(scan).lines
+    has = numbered.agg(F.coalesce(F.max("has"), F.lit(False))).first()[0]
+    return numbered.select("line_no", F.col("value" if has else "first").alias("text"))
 
 
 def read_lm(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
@@ -200,19 +233,16 @@ def read_lm(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> Dat
     error); the text column is ``text`` if present, else the first column of
     the file.  Text files keep each line's trailing newline when
     ``keep_linebreaks``.  CSV fields may be quoted, with doubled quotes and
-    line breaks inside."""
+    line breaks inside (records end at ``\\n`` or ``\\r\\n``); an empty field
+    that is not quoted is null.  JSON files hold an object a line; values
+    that are no strings keep their JSON text, lines that are no objects are
+    null.  Files of any size are read in splits, once."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in os.path.basename(path.rstrip("/")) else ""
     if ext == "txt":
         df = read_lines(spark, path, strip=False)
         return df.withColumn("text", F.concat("text", F.lit("\n"))) if keep_linebreaks else df
     if ext == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        first = df.columns[0]
-    elif ext in ("json", "jsonl"):
-        df = spark.read.json(path)
-        first = "text" if "text" in df.columns else _first_field(spark, path)
-    else:
-        raise UnsupportedFormat(f"read_lm reads .csv, .json, .jsonl and .txt files, not {path!r}")
-    col = "text" if "text" in df.columns else first
-    scan = df.select(F.col(f"`{col}`").cast("string").alias("value"), *_place(0))
-    return Numbered(scan).lines.select("line_no", F.col("value").alias("text"))
+        return _csv_text(spark, path)
+    if ext in ("json", "jsonl"):
+        return _json_text(spark, path)
+    raise UnsupportedFormat(f"read_lm reads .csv, .json, .jsonl and .txt files, not {path!r}")
