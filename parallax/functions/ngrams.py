@@ -165,66 +165,3 @@ def word_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def char_ngram_stats(h: pd.Series, r: pd.Series) -> pd.Series:
     return _in_slices(char_ngram_stats_batch, [x or "" for x in h], [x or "" for x in r])
-
-
-# ---------------------------------------------------------------------------
-# TER (A10): edit distance with block shifts, per segment
-# ---------------------------------------------------------------------------
-#: longest phrase that is moved, and how far: part of the metric's usual definition
-MAX_SHIFT_SIZE, MAX_SHIFT_DIST = 10, 50
-
-
-def ter_edits_py(hyp_words, ref_words, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIFT_DIST) -> tuple[int, int]:
-    """(edits, reference length) for one segment.
-
-    Greedy shifting in the manner of tercom: repeatedly move the phrase (at
-    most ``max_size`` words, present in the reference) whose move to a
-    position next to one of its reference occurrences (at most ``max_dist``
-    words away) lowers the word edit distance the most; each move costs one
-    edit.  Edit distances
-    are exact (no beam), so results can differ from tools that use a beam."""
-    from .similarity import edits_to, match_bits
-    hyp, ref = list(hyp_words), list(ref_words)
-    if not ref:
-        return len(hyp), 0
-    ref_pos: dict = {}
-    for i in range(len(ref)):
-        for size in range(1, min(max_size, len(ref) - i) + 1):
-            ref_pos.setdefault(tuple(ref[i:i + size]), []).append(i)
-    places, shifts = match_bits(ref), 0
-    best_ed = edits_to(places, len(ref), hyp)
-    while best_ed > 0:
-        best, tried = None, set()  # many moves give the same words
-        for i in range(len(hyp)):
-            for size in range(1, min(max_size, len(hyp) - i) + 1):
-                phrase = tuple(hyp[i:i + size])
-                occ = ref_pos.get(phrase)
-                if occ is None:
-                    break
-                rest = hyp[:i] + hyp[i + size:]
-                for r in occ:
-                    for j in {r - 1, r, r + 1}:
-                        if j < 0 or j > len(rest) or j == i or abs(j - i) > max_dist:
-                            continue
-                        cand = (*rest[:j], *phrase, *rest[j:])
-                        if cand in tried:
-                            continue
-                        tried.add(cand)
-                        ed = edits_to(places, len(ref), cand)
-                        if ed < best_ed and (best is None or ed < best[0]):
-                            best = (ed, cand)
-        if best is None:
-            break
-        best_ed, hyp = best[0], list(best[1])
-        shifts += 1
-    return shifts + best_ed, len(ref)
-
-
-def ter_words(s: str) -> list[str]:
-    """TER's default normalisation: lower case, whitespace split."""
-    return s.lower().split() if s else []
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def ter_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([list(ter_edits_py(ter_words(a or ""), ter_words(b or ""))) for a, b in zip(h, r)])

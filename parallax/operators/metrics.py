@@ -291,7 +291,7 @@ def metrics_by_task(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=("t
 def ter(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=()) -> DataFrame:
     """A10: translation edit rate = sum(edits incl. shifts) / sum(ref words)
     x 100, per group.  Shift search runs per segment in an Arrow UDF."""
-    from ..functions.ngrams import ter_stats
+    from ..functions.ter import ter_stats
     k = _cols(keys)
     st = seg.select(*k, ter_stats(F.col(hyp), F.col(ref)).alias("__t"))
     agg = st.groupBy(*k).agg(F.sum(F.col("__t")[0]).cast("long").alias("edits"),
@@ -455,7 +455,7 @@ def significance_chrf(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b"
 def significance_ter(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b", ref: str = "ref", key: str = "seg_id",
                      trials: int = 10000, seed: int = 12345) -> DataFrame:
     """A15 on TER."""
-    from ..functions.ngrams import ter_stats
+    from ..functions.ter import ter_stats
     rows = seg.select(F.col(key).alias("seg"), ter_stats(F.col(hyp_a), F.col(ref)).alias("a"), ter_stats(F.col(hyp_b), F.col(ref)).alias("b"))
     score = lambda p: F.when(F.col(p + "ref") > 0, 100.0 * F.col(p + "edits") / F.col(p + "ref")).otherwise(
         F.when(F.col(p + "edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))

@@ -75,6 +75,16 @@ def pairs_docs(spark, d) -> DataFrame:
     return zip_truncate(src, tgt, ["doc_id"])
 
 
+def line_systems(spark, d) -> DataFrame:
+    """Two systems on whole lines: line n of documents d+1 and d+2 as outputs for line n of document d."""
+    from ..operators.align import zip_truncate
+    ln = lines(spark, d)
+    side = lambda k, name: ln.select((F.col("doc_id") - k).alias("doc_id"), "line_no", F.col("text").alias(name))
+    both = zip_truncate(side(1, "hyp_a"), side(2, "hyp_b"), ["doc_id"])
+    out = zip_truncate(both, side(0, "ref"), ["doc_id"])
+    return out.select(F.concat_ws("-", "doc_id", "line_no").alias("seg_id"), "hyp_a", "hyp_b", "ref")
+
+
 def nbest(spark, d) -> DataFrame:
     """FX5: part as a flat n-best list of stride 5."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("flat_pos"),

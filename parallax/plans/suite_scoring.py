@@ -227,7 +227,7 @@ SIG_BASE = ("sig_base", "SELECT 'A' AS system, seg_id AS sid, seg_id AS seg, hyp
                         "UNION ALL SELECT 'B' AS system, seg_id AS sid, seg_id AS seg, hyp_b AS hyp, ref FROM two_systems")
 
 
-def _significance_sql(stats: str, names: list[str], score, trials: int, seed: int = 12345) -> str:
+def _significance_sql(stats: str, names: list[str], score, trials: int = 10_000, seed: int = 12345) -> str:
     """A15 over a relation ``stats`` with (system, sid, names...)."""
     blocks = -(-trials // 60)
     cols = lambda f: ", ".join(f(n) for n in names)
@@ -264,21 +264,27 @@ CHRF_ROWS = "SELECT system, sid, " + ", ".join(
 ) + " FROM c_o GROUP BY system, sid"
 
 
-@register("significance_bleu", sql=_significance_sql("SELECT * FROM b_stats", BLEU_NAMES, bleu_raw, 1000),
+@register("significance_bleu", sql=_significance_sql("SELECT * FROM b_stats", BLEU_NAMES, bleu_raw),
           ctes=[SIG_BASE] + bleu_ctes("sig_base", ["system", "sid"]))
 def q_significance_bleu(spark, d):
     """A15 on BLEU."""
-    return M.significance_bleu(fx.two_systems(spark, d), trials=1000)
+    return M.significance_bleu(fx.two_systems(spark, d))
 
 
-@register("significance_chrf", sql=_significance_sql(CHRF_ROWS, CHRF_NAMES, _chrf_raw, 1000),
+@register("significance_chrf", sql=_significance_sql(CHRF_ROWS, CHRF_NAMES, _chrf_raw),
           ctes=[SIG_BASE] + chrf_ctes("sig_base", ["system", "sid"]))
 def q_significance_chrf(spark, d):
     """A15 on chrF."""
-    return M.significance_chrf(fx.two_systems(spark, d), trials=1000)
+    return M.significance_chrf(fx.two_systems(spark, d))
 
 
 @register("significance_ter")
 def q_significance_ter(spark, d):
     """A15 on TER (no SQL form of the shift search; tested by brute force)."""
     return M.significance_ter(fx.two_systems(spark, d))
+
+
+@register("significance_ter_lines")
+def q_significance_ter_lines(spark, d):
+    """A15 on TER over whole lines: the lines of the next two documents against those of each document."""
+    return M.significance_ter(fx.line_systems(spark, d))

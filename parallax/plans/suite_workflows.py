@@ -112,6 +112,12 @@ def q_ter(spark, d):
     return M.ter(seg, keys=["system"])
 
 
+@register("ter_lines")
+def q_ter_lines(spark, d):
+    """A10 on whole lines, per language."""
+    return M.ter(fx.pairs_docs(spark, d), "source", "target", keys=["lang"])
+
+
 @register("analyze_run", sql=f""", {SCAN_SQL.strip()}
   SELECT run, task, count(*) AS n_evals, greatest(max(bleu), 0.0) AS best,
          min(CASE WHEN improved AND best = (SELECT max(s2.best) FROM st s2 WHERE s2.run = st.run AND s2.task = st.task)

@@ -120,22 +120,23 @@ def test_predictions_without_a_reference_count(spark):
     assert (d.total_distance, d.n, d.mean_distance) == (1, 3, 0.333333)
 
 
-def test_significance_of_ter_is_registered_with_all_trials(spark):
+def test_significance_is_registered_with_all_trials(spark):
     import __spark_entry__ as E
     from tests.conftest import SF_SMALL
-    assert E.queries()["significance_ter"](spark, SF_SMALL).first().trials == 10_000
+    for name in ("significance_ter", "significance_bleu", "significance_chrf"):
+        assert E.queries()[name](spark, SF_SMALL).first().trials == 10_000
 
 
 def test_significance_of_ter_by_brute_force(spark):
     import hashlib
 
-    from parallax.functions.ngrams import ter_edits_py, ter_words
+    from parallax.functions.ter import ter_edits, ter_words
     rnd = random.Random(3)
     words = "a b c d e".split()
     segs = [(i, *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(3)]) for i in range(30)]
     df = spark.createDataFrame(segs, "seg_id long, hyp_a string, hyp_b string, ref string")
     got = M.significance_ter(df.repartition(3), trials=150, seed=7).first()
-    stats = {i: [ter_edits_py(ter_words(h), ter_words(r)) for h in (a, b)] for i, a, b, r in segs}
+    stats = {i: [ter_edits(ter_words(h), ter_words(r)) for h in (a, b)] for i, a, b, r in segs}
 
     def diff(swapped):
         sums = [[0, 0], [0, 0]]
