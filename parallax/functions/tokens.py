@@ -1,18 +1,16 @@
 """Token-id arrays: encode, truncate, count, mask, pad, shift.
 
-Encoding is pluggable.  ``word_length_ids`` is a native Spark expression
-(the portable stand-in used by the fixtures).  Real subword models (a ``tokenizers`` JSON file or a sentencepiece model) run in
-an iterator Arrow UDF that loads the model once per Python worker.
+Encoders are column functions text -> ids: ``pieces.piece_encoder`` (subword
+pieces of a given vocabulary), or ``word_length_ids``, a native Spark
+expression whose ids SQL can give as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._col import as_col
 from .text import words
@@ -28,32 +26,10 @@ def word_length_ids(c) -> Column:
 encode_words = word_length_ids
 
 
-def _load_tokenizer(spec: str):
-    if spec.endswith(".model"):
-        import sentencepiece as spm
-        sp = spm.SentencePieceProcessor(model_file=spec)
-        return lambda texts: sp.encode(list(texts))
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(spec)
-    return lambda texts: [e.ids for e in tok.encode_batch(list(texts), add_special_tokens=False)]
-
-
-def subword_encode(c, model: str | Callable[[], Callable], max_len: int | None = None) -> Column:
-    """Encode text with a subword model, truncated to ``max_len``.
-
-    ``model`` is a path to a ``tokenizers`` JSON / sentencepiece ``.model``
-    file (it must be readable by every executor), or a zero-argument factory
-    returning ``encode(list[str]) -> list[list[int]]``.
-    """
-    factory = (lambda: _load_tokenizer(model)) if isinstance(model, str) else model
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = factory()  # once per worker task, not per row
-        for s in batches:
-            yield pd.Series(enc(s.fillna("").tolist()))
-
-    ids = _encode(as_col(c))
+def subword_encode(c, encoder: Callable[[Column], Column], max_len: int | None = None) -> Column:
+    """Encode text, truncated to ``max_len``; ``encoder`` is a column
+    function text -> ids such as :func:`.pieces.piece_encoder` gives."""
+    ids = encoder(as_col(c))
     return truncate(ids, max_len) if max_len else ids
 
 

@@ -75,6 +75,13 @@ def pairs_docs(spark, d) -> DataFrame:
     return zip_truncate(src, tgt, ["doc_id"])
 
 
+def subwords(spark):
+    """A column function text -> ids with the pieces of a public vocabulary of 32,000."""
+    import public_tokenizers
+    from ..functions.pieces import piece_encoder
+    return piece_encoder(spark, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def line_systems(spark, d) -> DataFrame:
     """Two systems on whole lines: line n of documents d+1 and d+2 as outputs for line n of document d."""
     from ..operators.align import zip_truncate

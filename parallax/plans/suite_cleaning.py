@@ -175,3 +175,18 @@ def q_max_token_filter(spark, d):
 def q_token_stats(spark, d):
     from ..operators.metrics import token_stats
     return token_stats(fx.tokens(spark, d), ["corpus"])
+
+
+@register("subword_max_tokens")
+def q_subword_max_tokens(spark, d):
+    """F4 with subword pieces: pairs with at most 100 tokens a side."""
+    p, encode = fx.pairs_docs(spark, d), fx.subwords(spark)
+    out = filter_max_tokens(p.select("doc_id", "line_no", encode("source").alias("src_ids"), encode("target").alias("tgt_ids")), 100)
+    return out.select("doc_id", "line_no", F.size("src_ids").cast("long").alias("n_src"), F.size("tgt_ids").cast("long").alias("n_tgt"))
+
+
+@register("subword_stats")
+def q_subword_stats(spark, d):
+    """P13 and A4 with subword pieces."""
+    from ..operators.metrics import token_stats
+    return token_stats(fx.lines(spark, d).select("corpus", fx.subwords(spark)("text").alias("ids")), ["corpus"])

@@ -83,6 +83,14 @@ def q_lm_dataset(spark, d):
         "split", "group_id", "block_idx", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
 
 
+@register("lm_dataset_subword")
+def q_lm_dataset_subword(spark, d):
+    """X5 with subword pieces, both splits."""
+    parts = lm_dataset(spark, _lm_text(spark, d), fx.subwords(spark), block=128, validation_pct=5.0)
+    return C.concat_corpora(parts, "split").select(
+        "split", "group_id", "block_idx", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
+
+
 @register("lm_lines", sql=f"SELECT {LM_ORDER} AS line_no, text || chr(10) AS text FROM lines")
 def q_lm_lines(spark, d):
     """S7 on a text file, line breaks kept."""

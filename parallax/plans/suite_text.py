@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tokens import subword_encode
 from . import fixtures as fx
 from .registry import register
 
@@ -115,3 +116,10 @@ def q_word_counts(spark, d):
 def q_corpus_stats(spark, d):
     from ..operators.metrics import corpus_stats
     return corpus_stats(fx.pairs_docs(spark, d), ["corpus"])
+
+
+@register("subword_ids")
+def q_subword_ids(spark, d):
+    """Ids of every line with subword pieces, truncated to 100."""
+    ids = subword_encode("text", fx.subwords(spark), 100)
+    return fx.lines(spark, d).select("doc_id", "line_no", F.array_join(ids.cast("array<string>"), " ").alias("ids"))

@@ -70,8 +70,18 @@ def q_build_mixture(spark, d):
     """Manifest (S5) -> tags (P5) -> prefix / tag (P3, P4) -> encode and
     truncate (P12) -> union (U-ALL, in the join) -> seeded shuffle (B3) ->
     batches (B6)."""
+    return _mixture(spark, d, tk.word_length_ids)
+
+
+@register("build_mixture_subword")
+def q_build_mixture_subword(spark, d):
+    """X4 with subword pieces."""
+    return _mixture(spark, d, fx.subwords(spark))
+
+
+def _mixture(spark, d, encoder):
     pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
-    out = W.training_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON), tk.word_length_ids, ["corpus", "doc_id", "line_no"], "spa_Latn")
+    out = W.training_mixture(pairs, C.manifest_rows(spark, MANIFEST_JSON), encoder, ["corpus", "doc_id", "line_no"], "spa_Latn")
     return out.select("tag", "ord", "corpus", "doc_id", "line_no", "src_tag", "tgt_tag", "rank", "batch_id",
                       F.size("src_ids").cast("long").alias("n_src"), F.size("tgt_ids").cast("long").alias("n_tgt"))
 
