@@ -16,6 +16,7 @@ from ..functions import tokens as tk
 from ..functions.text import squeeze_spaces
 from ..operators import corpus as C
 from ..operators import inference as I
+from ..operators import kneser_ney as KN
 from ..operators import nbest as NB
 from ..session import scratch_path
 from ..sources import sinks as K
@@ -282,3 +283,47 @@ def q_score_rerank(spark, d):
     lm = I.train_bigram_lm(ln, "text")
     scored = I.score_loss(hyp, lm, "text", ("doc_id", "sent_id", "hyp_idx")).withColumn("loss", F.round("loss", 6))
     return NB.rerank(scored, "loss", "max", ("doc_id", "sent_id")).select("doc_id", "sent_id", "hyp_idx", "text", "loss")
+
+
+def _kn_sql(hyps: str, keys: str) -> str:
+    """Losses of ``hyps`` under a Kneser-Ney model of order 3 of the table lines."""
+    ws = fx.sql_words
+    disc = lambda t: f"(SELECT CASE WHEN count(*) FILTER (c = 1) = 0 THEN 0.5 ELSE count(*) FILTER (c = 1) / (count(*) FILTER (c = 1) + 2.0 * count(*) FILTER (c = 2)) END FROM {t})"
+    return f"""
+  , st AS (SELECT ['<s>'] || {ws('text')} || ['</s>'] AS w FROM lines),
+  k3 AS (SELECT w[i - 2] AS a, w[i - 1] AS b, w[i] AS x, count(*) AS c FROM (SELECT w, unnest(generate_series(3, len(w))) AS i FROM st) GROUP BY ALL),
+  k2 AS (SELECT b, x, count(*) AS c FROM k3 GROUP BY ALL UNION ALL SELECT w[1], w[2], count(*) FROM st GROUP BY ALL),
+  k1 AS (SELECT x, count(*) AS c FROM k2 GROUP BY ALL),
+  q1 AS (SELECT {disc('k1')} * count(*) / sum(c) / (count(*) + 1) AS unk, {disc('k1')} AS d, sum(c) AS al FROM k1),
+  p1 AS (SELECT x, (c - d) / al + unk AS p FROM k1, q1),
+  h2 AS (SELECT b, sum(c) AS al, {disc('k2')} * count(*) / sum(c) AS g FROM k2 GROUP BY b),
+  p2 AS (SELECT k2.b, k2.x, (c - {disc('k2')}) / al + g * p AS p FROM k2 JOIN h2 ON k2.b = h2.b JOIN p1 ON k2.x = p1.x),
+  h3 AS (SELECT a, b, sum(c) AS al, {disc('k3')} * count(*) / sum(c) AS g FROM k3 GROUP BY a, b),
+  p3 AS (SELECT k3.a, k3.b, k3.x, (c - {disc('k3')}) / al + g * p AS p
+         FROM k3 JOIN h3 ON k3.a = h3.a AND k3.b = h3.b JOIN p2 ON k3.b = p2.b AND k3.x = p2.x),
+  hw AS (SELECT {keys}, ['<s>'] || {ws('text')} || ['</s>'] AS w FROM {hyps}),
+  hp AS (SELECT {keys}, CASE WHEN i > 2 THEN w[i - 2] END AS a, w[i - 1] AS b, w[i] AS x FROM (SELECT *, unnest(generate_series(2, len(w))) AS i FROM hw)),
+  hl AS (SELECT {keys}, coalesce(p3.p, coalesce(h3.g, 1) * coalesce(p2.p, coalesce(h2.g, 1) * coalesce(p1.p, unk))) AS p
+         FROM hp LEFT JOIN p3 ON hp.a = p3.a AND hp.b = p3.b AND hp.x = p3.x LEFT JOIN h3 ON hp.a = h3.a AND hp.b = h3.b
+         LEFT JOIN p2 ON hp.b = p2.b AND hp.x = p2.x LEFT JOIN h2 ON hp.b = h2.b LEFT JOIN p1 ON hp.x = p1.x, q1),
+  loss AS (SELECT {keys}, round(-avg(ln(p)), 6) AS loss FROM hl GROUP BY ALL)"""
+
+
+@register("score_kneser_ney", sql=_kn_sql("nbest", "sent_id, hyp_idx") + " SELECT sent_id, hyp_idx, loss FROM loss")
+def q_score_kneser_ney(spark, d):
+    """U5 with a Kneser-Ney model of order 3."""
+    lm = KN.train(fx.lines(spark, d), "text", order=3)
+    out = KN.score_loss(fx.nbest(spark, d).select("sent_id", "hyp_idx", "text"), lm)
+    return out.select("sent_id", "hyp_idx", F.round("loss", 6).alias("loss"))
+
+
+@register("rerank_kneser_ney", sql=_kn_sql(
+    "(SELECT doc_id, (line_no - 1) // 5 AS sent_id, CAST((line_no - 1) % 5 AS INTEGER) AS hyp_idx, text FROM lines)", "doc_id, sent_id, hyp_idx, text") + """
+  SELECT doc_id, sent_id, hyp_idx, text, loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY loss, hyp_idx) AS rk FROM loss) WHERE rk = 1""")
+def q_rerank_kneser_ney(spark, d):
+    """U5 -> W3 for the most fluent of five lines in a row, under a Kneser-Ney model of order 3."""
+    ln = fx.lines(spark, d)
+    hyp = ln.select("doc_id", F.floor((F.col("line_no") - 1) / 5).alias("sent_id"), ((F.col("line_no") - 1) % 5).cast("int").alias("hyp_idx"), "text")
+    scored = KN.score_loss(hyp, KN.train(ln, "text", order=3), "text", ("doc_id", "sent_id", "hyp_idx")).withColumn("loss", F.round("loss", 6))
+    return NB.rerank(scored, "loss", "min", ("doc_id", "sent_id")).select("doc_id", "sent_id", "hyp_idx", "text", "loss")
