@@ -20,6 +20,7 @@ from ..operators import kneser_ney as KN
 from ..operators import nbest as NB
 from ..session import scratch_path
 from ..sources import sinks as K
+from ..sources import tables as T
 from ..sources import text as S
 from ..streaming.lines import read_lines_stream, run_available
 from . import fixtures as fx
@@ -143,6 +144,30 @@ def q_read_parallel_files(spark, d):
 POS_PAIRS = "row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_no)"
 
 
+@register("append_stream", sql="SELECT corpus, text FROM lines WHERE text <> ''")
+def q_append_stream(spark, d):
+    """S9 into K3: a stream of lines appended by micro-batch; the second start finds nothing new."""
+    root, out, ckpt = (scratch_path(spark, n) for n in ("append-in", "append-out", "append-ckpt"))
+    K.write_lines(fx.lines(spark, d), root, "text", ["doc_id", "line_no"], partition_by=["corpus"])
+    for _ in range(2):
+        lines = spark.readStream.schema("value string, corpus string").option("maxFilesPerTrigger", 8).text(root)
+        rows = lines.select("corpus", F.col("value").alias("text")).where("text <> ''")
+        T.append_stream(spark, rows, out, "lines", ckpt)
+    return T.read_runs(spark, out).select("corpus", "text")
+
+
+@register("cache_encoded")
+def q_cache_encoded(spark, d):
+    """K5: subword ids kept by language pair and split; the call that returns finds them all kept."""
+    rows = fx.lines(spark, d).select(F.lit("spa_Latn").alias("src_tag"), F.col("corpus").alias("tgt_tag"),
+                                     F.when(F.col("line_no") == 1, "validation").otherwise("train").alias("split"), "doc_id", "line_no", "text")
+    encode, path = fx.subwords(spark), scratch_path(spark, "encoded-cache")
+    ids = lambda df: df.select("src_tag", "tgt_tag", "split", "doc_id", "line_no", encode("text").alias("ids"))
+    for _ in range(2):
+        kept = T.cache_encoded(rows, path, ids, {"pieces": "piece_bpe_32k"})
+    return kept.select("src_tag", "tgt_tag", "split", "doc_id", "line_no", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @register("read_truncate", sql=f"""
   SELECT line_no, source, target FROM (
     SELECT row_number() OVER (ORDER BY doc_id, line_no) AS line_no, text AS source FROM lines) s

@@ -34,6 +34,17 @@ def q_prepare(spark, d):
     return W.prepare(fam, scratch_path(spark, "train")).select("corpus", "doc_id", "line_no", "source", "target")
 
 
+@register("prepare_runs", sql=f"""
+  SELECT r.run, c.* FROM ({_clean_sql(2, 70)}) c, (VALUES ('first'), ('second')) r(run)""")
+def q_prepare_runs(spark, d):
+    """X1 and K3 by run: two runs, the first one repeated."""
+    fam = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    out = scratch_path(spark, "train-runs")
+    for run in ("first", "second", "first"):
+        table = W.prepare(fam, out, run=run)
+    return table.select("run", "corpus", "doc_id", "line_no", "source", "target")
+
+
 @register("prepare_similar", sql=f"""
   , {LCS_SQL.strip()},
   cl AS ({_clean_sql(1, 60, "pairs_parts", "seg_id").replace("source", "hyp").replace("target", "ref")})

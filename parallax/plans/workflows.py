@@ -16,14 +16,22 @@ from ..operators.filters import clean_pairs, filter_language, filter_similarity
 from ..operators.scan import document_offsets
 from ..session import materialize
 from ..sources import sinks as K
+from ..sources.tables import append_run, read_runs
 from ..sources.text import read_lm
 
 
 # ---------------------------------------------------------------------------
 # Training pairs
 # ---------------------------------------------------------------------------
-def prepare(pairs: DataFrame, out: str, min_len: int = 2, max_len: int = 70, first: bool = True) -> DataFrame:
-    """Clean the pairs and add them to the training table at ``out``, by corpus (K3)."""
+def prepare(pairs: DataFrame, out: str, min_len: int = 2, max_len: int = 70, first: bool = True,
+            run: str | None = None) -> DataFrame:
+    """Clean the pairs and add them to the training table at ``out``, by
+    corpus (K3).  With ``run`` the table is kept by run, and the same run
+    again replaces what it added."""
+    if run is not None:
+        clean = clean_pairs(pairs, min_len, max_len)
+        append_run(clean, out, run)
+        return read_runs(pairs.sparkSession, out, clean).drop("batch")
     K.append_corpus(clean_pairs(pairs, min_len, max_len), out, first=first)
     return pairs.sparkSession.read.parquet(out)
 
