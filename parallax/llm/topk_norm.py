@@ -54,7 +54,12 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_bucket(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """``(query, candidate, score)``: per query its k best of one bucket with a score of at least ``floor`` (NaN: any)."""
+    """``(query, candidate, score)``, by ids: per query its k best of one bucket with a score of at least ``floor`` (NaN: any)."""
+    return [(int(q_id[i]), int(v_id[j]), s) for i, j, s in search_rows(q, q_id, floor, v, v_id, k)]
+
+
+def search_rows(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """:func:`search_bucket` by places; a query and a candidate of one id do not meet."""
     q_len = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     v_len = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(-v_len, kind="stable")
@@ -70,7 +75,7 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndar
             fine &= score >= floor[i] - abs(floor[i]) * 1e-12
         at, score = at[fine], score[fine]
         best = _best(score, v_id[at], k)
-        out.extend((int(q_id[i]), int(a), int(s)) for a, s in zip(v_id[at[best]], score[best]))
+        out.extend((i, int(order[a]), int(s)) for a, s in zip(at[best], score[best]))
 
     plain = []
     for i in range(len(q)):
@@ -104,27 +109,38 @@ def search_bucket(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndar
 
 
 def _search(due: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Searches each ``(qblock, bucket)`` of ``due(qblock, bucket, id, floor, v)`` in a task of its own."""
+    """Searches each ``(qblock, bucket)`` of ``due(qblock, bucket, key, id, floor, v)`` in a task of its own."""
     meet = due.select("qblock", "bucket").distinct()
-    left = due.select("qblock", "bucket", F.lit(True).alias("asks"), "id", "floor", "v")
-    right = candidates.join(meet, "bucket").select("qblock", "bucket", F.lit(False).alias("asks"), "id", F.lit(None).cast("double").alias("floor"), "v")
+    left = due.select("qblock", "bucket", F.lit(True).alias("asks"), "key", "id", "floor", "v")
+    right = candidates.join(meet, "bucket").select("qblock", "bucket", F.lit(False).alias("asks"), "key", "id", F.lit(None).cast("double").alias("floor"), "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         rows = []
         if len(q) and len(c):
-            rows = search_bucket(np.stack(q["v"].to_numpy()), q["id"].to_numpy(), q["floor"].to_numpy(np.float64),
-                                 np.stack(c["v"].to_numpy()), c["id"].to_numpy(), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            q_key, c_key, c_id = q["key"].to_numpy(), c["key"].to_numpy(), c["id"].to_numpy()
+            rows = [(q_key[i], c_key[j], c_id[j], s) for i, j, s in search_rows(
+                np.stack(q["v"].to_numpy()), q["id"].to_numpy(), q["floor"].to_numpy(np.float64), np.stack(c["v"].to_numpy()), c_id, k)]
+        return pd.DataFrame(rows, columns=["key", "vec_key", "vec_id", "score"])
 
-    return left.unionByName(right).groupBy("qblock", "bucket").applyInPandas(run, "query_id long, vec_id long, score long")
+    return left.unionByName(right).groupBy("qblock", "bucket").applyInPandas(run, "key long, vec_key long, vec_id long, score long")
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "vec_key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _all_rows(best: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query id: a find counts once for each pair of rows that repeat it."""
+    of = rows.select("key", F.col("id").alias("query_id"), F.col("n").alias("asked"))
+    times = rows.select(F.col("key").alias("vec_key"), F.col("n").alias("found"))
+    each = best.join(of, "key").join(times, "vec_key").select(
+        "query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k).cast("long"), F.col("asked") * F.col("found")))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: float = 64.0, every: int = 20,
           bucket: int = BUCKET, block: int = QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` its k best other rows.
@@ -133,13 +149,14 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str =
     to the smaller id.  Rows with a null id, or a vector that is null or holds
     null or non-finite components, take no part; vectors of different length
     do not compare; a query with fewer than k candidates gets them all.  Rows
-    that repeat an id are candidates (and queries) once, by their greatest
-    vector.  Scores are clamped to the range of long.  Other columns are
+    that repeat an id are each a candidate, though not for queries of that
+    id; as queries they share the k places of their id.  Scores are clamped to the range of long.  Other columns are
     ignored; an empty table gives an empty one."""
     spark = vectors.sparkSession
     rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("raw"))
             .where(F.col("id").isNotNull() & _usable(F.col("raw")))
-            .groupBy("id").agg(F.max("raw").alias("raw")).select("id", whole_numbers(F.col("raw"), scale).alias("v")))
+            .select("id", whole_numbers(F.col("raw"), scale).alias("v")).groupBy("id", "v").agg(F.count("*").alias("n"))
+            .withColumn("key", F.monotonically_increasing_id()))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows, r_path = save(rows.withColumns({"dim": F.size("v"), "len": length}), "vectors")
 
@@ -153,14 +170,14 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str =
     band = rows.join(bounds, "dim").withColumn("band", F.size(F.filter(F.array_distinct("bounds"), lambda b: b <= F.col("len")))).drop("bounds")
     parts = band.groupBy("dim", "band").agg(F.ceil(F.count("*") / bucket).alias("parts"))
     placed = (band.join(parts, ["dim", "band"])
-              .withColumn("bucket", F.struct("dim", "band", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))))
-    placed, p_path = save(placed.select("id", "v", "dim", "len", "bucket"), "placed")
+              .withColumn("bucket", F.struct("dim", "band", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"))))
+    placed, p_path = save(placed.select("key", "id", "v", "dim", "len", "bucket"), "placed")
     buckets = placed.groupBy("bucket", "dim").agg(F.max("len").alias("longest"), F.count("*").alias("n"))
 
     asks = placed.where(F.col("id") % every == 0)
     blocks = asks.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
     asks = (asks.drop("bucket").join(blocks, "dim")
-            .withColumn("qblock", F.struct("dim", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).alias("part"))).drop("blocks"))
+            .withColumn("qblock", F.struct("dim", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("blocks")).alias("part"))).drop("blocks"))
 
     # rounds over ever more buckets, the longest first: what a round finds raises the thresholds of the next,
     # so a round hands back a few times k rows for a query, not k for each bucket
@@ -171,14 +188,14 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str =
     while best is None or low <= last:
         now = buckets.where((F.col("place") >= low) & (F.col("place") < high)).select("dim", "bucket", "longest")
         due = asks.withColumn("floor", F.lit(None).cast("double")) if best is None else asks.join(
-            best.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")),
-            "id", "left")
+            best.groupBy("key").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")), "key", "left")
         reach = F.col("floor").isNull() | (F.col("len") * F.col("longest") >= F.col("floor") * F.lit(1 - 1e-9))
-        due, d_path = save(due.join(now, "dim").where(reach).select("qblock", "bucket", "id", "floor", "v"), "due")
+        due, d_path = save(due.join(now, "dim").where(reach).select("qblock", "bucket", "key", "id", "floor", "v"), "due")
         found = _search(due, placed, k)
         found = found if best is None else best.drop("rank").unionByName(found)
-        best, path = save(_best_of(found, k).select("query_id", "rank", "vec_id", "score"), "top")
+        best, path = save(_best_of(found, k), "top")
         paths += [d_path, path]
         low, high = high, 4 * high
-    remove(spark, *paths[:-1])
-    return best
+    out, _ = save(_all_rows(best, rows, k), "top")
+    remove(spark, *paths)
+    return out

@@ -11,19 +11,14 @@ SCHEMA = "vec_id long, embedding array<double>, score string"
 
 
 def brute(rows, k, every, scale=64.0):
-    vs = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            if i not in vs or v > vs[i]:
-                vs[i] = v
-    ints = {i: [int(np.floor(scale * x)) for x in v] for i, v in vs.items()}
-    out = []
-    for q in ints:
+    ints = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    clamp = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    found = {}
+    for q, u in ints:
         if q % every == 0:
-            clamp = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
-            found = sorted((-clamp(sum(a * b for a, b in zip(ints[q], v))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
-    return sorted(out)
+            found.setdefault(q, []).extend((-clamp(sum(a * b for a, b in zip(u, v))), i) for i, v in ints if i != q and len(v) == len(u))
+    return sorted((q, r + 1, i, -s) for q, rows in found.items() for r, (s, i) in enumerate(sorted(rows)[:k]))
 
 
 def run(spark, rows, **k):
@@ -70,3 +65,23 @@ def test_whole_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in QUERIES["op1_topk"](spark, SF_SMALL).collect())
     assert got == brute(rows, 20, 20)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 0.5])]
+    assert len(run(spark, rows, k=20, every=20)) == 6
+    more = rows + [(20, [-1.0, 0.0]), (1, [0.0, 9.0]), (40, [2.0, 2.0]), (40, [2.0, -2.0])]
+    for k in (1, 2, 5, 20):
+        assert run(spark, more, k=k, every=20) == brute(more, k, 20)
+
+
+def test_query_with_repeated_ids_against_the_sql(spark, tmp_dir):
+    import duckdb
+    from parallax.llm.queries import ORACLE_SQL
+    r = np.random.default_rng(5)
+    rows = [(int(r.integers(0, 60)), [float(x) for x in r.integers(-2, 3, 4)], 1) for _ in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_dir}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE_SQL['op1_topk']})").fetchall())
+    assert sorted(tuple(x) for x in QUERIES["op1_topk"](spark, tmp_dir).select("query_id", "rank", "vec_id", "score").collect()) == want
