@@ -27,6 +27,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns that an operator adds and drops."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Send texts to Python in batches of at most ``rows`` rows and ``size`` bytes (or one row).
 

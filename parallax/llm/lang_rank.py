@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import bound_batches
+from ._common import bound_batches, free_prefix
 
 #: n-grams kept in a profile, and so the most that one can be out of place
 PROFILE = 400
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: st
     empty one."""
     profiles = learn(docs.where(~held_out(id_col)), text, lang, id_col, per_lang, size)
     found = predict_udf(profiles, size)(F.col(text))
-    return (docs.drop("held_out", "lang_pred", "score").withColumn("_p", found)
-            .withColumn("held_out", held_out(id_col))
-            .withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p"))
+    out = docs.drop("held_out", "lang_pred", "score")
+    p = f"{free_prefix(out)}found"
+    return (out.withColumn(p, found).withColumn("held_out", held_out(id_col))
+            .withColumn("lang_pred", F.col(p)["lang_pred"]).withColumn("score", F.col(p)["score"]).drop(p))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import remove, save
+from ._common import free_prefix, remove, save
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,17 +114,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     an id count as one document and are cut alike.  An empty table stays
     empty."""
     cut = dropped_lines(docs, id_col, text, min_chars, min_docs, batches, fanout)
-    cut = cut.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("cut").alias("_cut"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_hash", F.xxhash64(text))
-    rows = rows.join(cut, (rows[id_col] == cut["_doc"]) & (rows["_hash"] == cut["_version"]), "left")
-    lines, n = lines_of(F.col(text)), F.coalesce(F.size("_cut"), F.lit(0))
+    rows = docs.drop("n_lines", "n_dropped")
+    p = free_prefix(rows)
+    cut = cut.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc", "version", "cut")])
+    rows = rows.withColumn(f"{p}hash", F.xxhash64(text))
+    rows = rows.join(cut, (rows[id_col] == cut[f"{p}doc"]) & (rows[f"{p}hash"] == cut[f"{p}version"]), "left")
+    lines, n = lines_of(F.col(text)), F.coalesce(F.size(f"{p}cut"), F.lit(0))
     # the stretches between cut positions, sliced and joined: linear in lines
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda p: p + 1))
-    ends = F.concat(F.col("_cut"), F.array(F.size("_all")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(f"{p}cut", lambda at: at + 1))
+    ends = F.concat(F.col(f"{p}cut"), F.array(F.size(f"{p}all")))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")),
-                                 lambda g: F.slice(F.col("_all"), g["a"] + 1, g["b"] - g["a"])))
+                                 lambda g: F.slice(F.col(f"{p}all"), g["a"] + 1, g["b"] - g["a"])))
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumn("_all", lines)
-    out = F.when(F.col("_cut").isNull(), whole).otherwise(F.array_join(kept, "\n"))
-    return (rows.withColumn("n_lines", F.size("_all").cast("long")).withColumn("n_dropped", n.cast("long"))
-            .withColumn(text, out).drop("_doc", "_version", "_cut", "_hash", "_all"))
+    rows = rows.withColumn(f"{p}all", lines)
+    out = F.when(F.col(f"{p}cut").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    return (rows.withColumn("n_lines", F.size(f"{p}all").cast("long")).withColumn("n_dropped", n.cast("long"))
+            .withColumn(text, out).drop(*[f"{p}{c}" for c in ("doc", "version", "cut", "hash", "all")]))

@@ -7,8 +7,9 @@ taken once more.  Applying it to the documents needs no shuffle of texts."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
-from ._common import remove, save
+from ._common import free_prefix, remove, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: hash digits that make a bucket of the prefix scan (16 ** 3 buckets a source)
@@ -23,9 +24,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(id_col: Column, seed: int) -> Column:
-    """A document's place in its source's order: 16 hex digits of a seeded hash."""
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 16)
+def draw(id_col: Column, text: Column, seed: int, *others: Column) -> Column:
+    """A row's place in its source's order: 16 hex digits of a seeded hash of all that it holds."""
+    parts = [F.coalesce(id_col.cast("string"), F.lit("null")), F.coalesce(F.md5(text.cast("binary")), F.lit("null"))]
+    if others:
+        parts.append(F.xxhash64(*others).cast("string"))
+    return F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *parts)), 1, 16)
 
 
 def water_fill(sources: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
@@ -53,9 +57,11 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, max_epoch
 
 
 def _cut(rows: DataFrame, wants: DataFrame) -> DataFrame:
-    """For each source the longest prefix by hash whose sizes sum to at most ``want``.
+    """For each source the longest prefix by hash whose sizes sum to at most ``want``, and of the equal
+    rows that follow it as many as still fit.
 
-    ``rows(source, h, size)``, ``wants(source, want)`` -> ``(source, limit, got)``.
+    ``rows(source, h, size)``, ``wants(source, want)`` -> ``(source, limit, lump, times, got)``:
+    ``times`` rows of hash ``lump`` are taken beside those up to ``limit``.
     Bucket sums find the bucket where the sum passes ``want``; only rows of
     that bucket are ordered."""
     key = F.substring("h", 1, BUCKET_DIGITS)
@@ -70,13 +76,16 @@ def _cut(rows: DataFrame, wants: DataFrame) -> DataFrame:
     inside = (rows.withColumn("bucket", key).withColumnRenamed("source", "s")
               .join(first.where("bucket is not null").select("source", "bucket", "want", "before").withColumnRenamed("bucket", "b"),
                     (F.col("b") == F.col("bucket")) & F.col("s").eqNullSafe(F.col("source")))
-              .groupBy("source", "want", "before", "h").agg(F.sum("size").alias("n")))
+              .groupBy("source", "want", "before", "h").agg(F.sum("size").alias("n"), F.max("size").alias("one")))
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("h")))
-    fits = (inside.where("upto <= want").groupBy("source").agg(F.max("h").alias("h"), F.max("upto").alias("upto"))
-            .withColumnRenamed("source", "s"))
+    free = F.col("want") - F.col("upto") + F.col("n")
+    past = F.min(F.when(F.col("upto") > F.col("want"), F.struct("h", F.floor(free / F.col("one")).alias("times"), "one")))
+    fits = (inside.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("want"), F.struct("h", "upto"))).alias("full"), past.alias("past"))
+            .select(F.col("source").alias("s"), "full.h", "full.upto", "past"))
     return (first.join(fits, F.col("s").eqNullSafe(F.col("source")), "left")
             .select("source", F.coalesce("h", "bucket", F.lit("g")).alias("limit"),
-                    F.coalesce("upto", "before", "all").cast("double").alias("got")))
+                    F.coalesce("past.h", F.lit("")).alias("lump"), F.coalesce("past.times", F.lit(0)).alias("times"),
+                    (F.coalesce("upto", "before", "all") + F.coalesce(F.col("past.times") * F.col("past.one"), F.lit(0))).cast("double").alias("got")))
 
 
 def mix_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0,
@@ -87,7 +96,9 @@ def mix_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs
     the first round r whose ``limit`` its hash does not pass and whose
     ``largest`` its size does not pass.  Round 1 takes a prefix of the hash
     order, the next ones fill what is left by documents that are a small part
-    of it, then by any that fits."""
+    of it, then by any that fits.  Of equal rows, which share a hash, the one
+    round that reaches them may take ``times`` only; what is left then is less
+    than one of them, so no later round meets them again."""
     spark = sized.sparkSession
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (water_fill(sources, list(weights), share, max_epochs)
@@ -103,9 +114,10 @@ def mix_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs
             left = left.join(done, F.col("s").eqNullSafe(F.col("source"))).where(
                 ~past & (F.col("size") <= F.col(f"largest{r}"))).select("source", "h", "size")
         cut = _cut(left, plan.select("source", "want")).select(
-            F.col("source").alias("s"), F.col("limit").alias(f"limit{r}"), "got")
+            F.col("source").alias("s"), *[F.col(c).alias(f"{c}{r}") for c in ("limit", "lump", "times")], "got")
         plan = (plan.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
-                .withColumn(f"limit{r}", F.coalesce(f"limit{r}", F.lit("")))
+                .withColumns({f"limit{r}": F.coalesce(f"limit{r}", F.lit("")), f"lump{r}": F.coalesce(f"lump{r}", F.lit("")),
+                              f"times{r}": F.coalesce(f"times{r}", F.lit(0))})
                 .withColumn("want", F.col("want") - F.coalesce("got", F.lit(0.0))).drop("got"))
         old = path
         plan, path = save(plan, "mix")
@@ -123,25 +135,41 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     ``share`` times all words by weight, at most ``max_epochs`` times a
     source; a document is taken ``reps`` times, ``floor(target / source_size)``
     or once more.  A null source is a source of its own; rows that share an
-    id and a size are drawn alike, as are rows with a null id; sources
-    without words have target 0; an empty table stays empty."""
-    rows = docs.drop("size", "source_size", "target", "reps")
-    rows = rows.withColumn("size", word_count(F.col(text))).withColumn("_h", draw(F.col(id_col), seed))
-    sized, path = save(rows.select(F.col(source).alias("source"), F.col("_h").alias("h"), "size"), "sized")
+    id are drawn by all they hold, and of wholly equal rows as many as fit
+    are taken once more; sources without words have target 0; an empty table
+    stays empty."""
+    new = ("size", "source_size", "target", "reps")
+    p = free_prefix(docs)
+    others = [F.col(f.name) for f in docs.schema.fields if f.name not in (id_col, text, source) and not isinstance(f.dataType, MapType)]
+    rows = docs.withColumn(f"{p}h", draw(F.col(id_col), F.col(text), seed, *others)).drop(*new).withColumn("size", word_count(F.col(text)))
+    sized, path = save(rows.select(F.col(source).alias("source"), F.col(f"{p}h").alias("h"), "size"), "sized")
     plan = mix_plan(sized, weights, share, max_epochs, rounds)
-    plan = plan.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in plan.columns if c != "source"])
-    bytes_ = plan.agg(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + 40 * len(rounds) + 60)).first()[0] or 0
+    plan = plan.select(*[F.col(c).alias(f"{p}{c}") for c in plan.columns])
+    bytes_ = plan.agg(F.sum(F.coalesce(F.octet_length(f"{p}source"), F.lit(0)) + 80 * len(rounds) + 60)).first()[0] or 0
     remove(docs.sparkSession, path)
     plan = F.broadcast(plan) if bytes_ <= BROADCAST_BYTES else plan
-    extra = F.lit(False)
+    extra, times = F.lit(False), F.lit(0).cast("long")
     for r in range(len(rounds)):
-        extra = extra | ((F.col("_h") <= F.col(f"_limit{r}")) & (F.col("size") <= F.col(f"_largest{r}")))
-    out = (rows.join(plan, rows[source].eqNullSafe(plan["_source"])).withColumn("source_size", F.col("_source_size"))
-           .withColumn("target", F.col("_target")).withColumn("reps", F.col("_whole") + extra.cast("long")))
-    return out.drop("_h", *[c for c in plan.columns])
+        extra = extra | ((F.col(f"{p}h") <= F.col(f"{p}limit{r}")) & (F.col("size") <= F.col(f"{p}largest{r}")))
+        times = F.when((F.col(f"{p}h") == F.col(f"{p}lump{r}")) & (F.col("size") <= F.col(f"{p}largest{r}")), F.col(f"{p}times{r}")).otherwise(times)
+    found = (rows.join(plan, F.col(source).eqNullSafe(F.col(f"{p}source")))
+             .withColumns({"source_size": F.col(f"{p}source_size"), "target": F.col(f"{p}target"), f"{p}times": F.when(~extra, times).otherwise(0)})
+             .withColumn("reps", F.col(f"{p}whole") + extra.cast("long")))
+    columns = [*[c for c in docs.columns if c not in new], *new]
+    plain = found.where(F.col(f"{p}times") == 0).select(*columns)
+    # equal rows of which some are taken once more: counted, which folds them before the shuffle, and written out again
+    maps = {f.name for f in rows.schema.fields if isinstance(f.dataType, MapType)}
+    part = found.where(F.col(f"{p}times") > 0).select(*[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in columns], f"{p}times")
+    part = part.groupBy(*part.columns).agg(F.count(F.lit(1)).alias(f"{p}n"))
+    part = part.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}n"))).alias(f"{p}i"))
+    part = part.withColumn("reps", F.col("reps") + (F.col(f"{p}i") <= F.col(f"{p}times")).cast("long"))
+    return plain.unionByName(part.select(*[F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in columns]))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row ``reps`` times (see :func:`repetitions`)."""
-    return (repetitions(docs, **options).select(*[F.col(c) for c in docs.columns], F.explode(F.expr("array_repeat(0, cast(reps as int))")).alias("_r"))
-            .drop("_r"))
+    """``docs`` as mixed: each row ``reps`` times (see :func:`repetitions`).  Columns of the names that it adds are kept."""
+    p = free_prefix(docs)
+    taken = {c: f"{p}{c}" for c in ("size", "source_size", "target", "reps") if c in docs.columns}
+    mixed = repetitions(docs.withColumnsRenamed(taken), **options)
+    every = mixed.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("reps") > 0, F.col("reps")))).alias(f"{p}r"))
+    return every.drop(f"{p}r")

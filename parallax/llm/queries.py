@@ -126,8 +126,8 @@ FROM marked GROUP BY doc_id
 
 def _mixing_sql(weights=(5, 2, 1), share=1.5, epochs=2.0, seed=3, rounds=mixing.ROUNDS) -> str:
     parts = [f"""
-sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                 left(md5('{seed}-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 16) AS h FROM documents),
+sized AS (SELECT row_number() OVER () AS nth, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                 left(md5('{seed}-' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '-' || coalesce(md5(text), 'null')), 16) AS h FROM documents),
 srcs AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
 weighted AS (SELECT *, list_extract([{', '.join(f'{float(w)}::DOUBLE' for w in weights)}], CAST(place % {len(weights)} + 1 AS INT)) AS weight,
                     source_size * {epochs}::DOUBLE AS cap FROM srcs),
@@ -139,22 +139,20 @@ reached AS (SELECT level FROM levels WHERE level <= clamps_at ORDER BY clamps_at
 plan0 AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM reached) * weight), cap) AS target FROM levels),
 w0 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan0),
 want0 AS (SELECT *, target - whole * source_size AS want, 'infinity'::DOUBLE AS largest FROM w0),
-left0 AS (SELECT doc_id, source, size, h FROM sized)"""]
+left0 AS (SELECT nth, source, size, h FROM sized WHERE size > 0)"""]
     for r in range(len(rounds)):
         parts.append(f"""
-run{r} AS (SELECT d.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto, w.want FROM left{r} d
-           JOIN want{r} w ON d.source IS NOT DISTINCT FROM w.source WHERE d.size > 0 AND d.size <= w.largest),
-got{r} AS (SELECT source, max(h) FILTER (upto <= want) AS lim, coalesce(max(upto) FILTER (upto <= want), 0) AS got FROM run{r} GROUP BY source),
-left{r + 1} AS (SELECT d.* FROM left{r} d JOIN want{r} w ON d.source IS NOT DISTINCT FROM w.source
-           LEFT JOIN got{r} g ON d.source IS NOT DISTINCT FROM g.source
-           WHERE d.size > 0 AND NOT coalesce(d.h <= g.lim AND d.size <= w.largest, false)),
-want{r + 1} AS (SELECT w.source, source_size, target, whole, want - coalesce(got, 0) AS want, (want - coalesce(got, 0)) * {[*rounds, 1.0][r + 1]}::DOUBLE AS largest
-           FROM want{r} w LEFT JOIN got{r} g ON w.source IS NOT DISTINCT FROM g.source)""")
+run{r} AS (SELECT d.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) - d.size * count(*) OVER (PARTITION BY d.source, d.h)
+                  + d.size * row_number() OVER (PARTITION BY d.source, d.h ORDER BY d.nth) AS upto, w.want
+           FROM left{r} d JOIN want{r} w ON d.source IS NOT DISTINCT FROM w.source WHERE d.size <= w.largest),
+got{r} AS MATERIALIZED (SELECT nth, source, size FROM run{r} WHERE upto <= want),
+left{r + 1} AS MATERIALIZED (SELECT * FROM left{r} WHERE nth NOT IN (SELECT nth FROM got{r})),
+want{r + 1} AS MATERIALIZED (SELECT w.source, source_size, target, whole, want - coalesce(got, 0) AS want, (want - coalesce(got, 0)) * {[*rounds, 1.0][r + 1]}::DOUBLE AS largest
+           FROM want{r} w LEFT JOIN (SELECT source, sum(size) AS got FROM got{r} GROUP BY source) g ON w.source IS NOT DISTINCT FROM g.source)""")
     return "WITH " + ",".join(parts) + f"""
 SELECT d.doc_id, d.size, w.source_size, w.target,
-       CAST(d.size * (w.whole + CASE WHEN l.h IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(d.size * (w.whole + CASE WHEN d.size > 0 AND d.nth NOT IN (SELECT nth FROM left{len(rounds)}) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized d JOIN w0 w ON d.source IS NOT DISTINCT FROM w.source
-LEFT JOIN left{len(rounds)} l ON l.doc_id = d.doc_id AND l.h = d.h AND l.size = d.size
 """
 
 

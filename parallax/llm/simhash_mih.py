@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bound_batches, remove, save
+from ._common import bound_batches, free_prefix, remove, save
 from .components import connected_components
 
 SEED = 42
@@ -197,8 +197,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     nameless = docs.where(F.col(id_col).isNull())
     out = docs.join(lost.select(id_col).distinct(), id_col, "left_anti").where(F.col(id_col).isNotNull()).select(*docs.columns)
     # only rows of ids that are lost by one text and kept by another need their fingerprint again
-    split = docs.join(both, id_col, "left_semi").withColumn("_f", print_of)
-    split = split.join(lost.withColumnRenamed("fingerprint", "_f"), [id_col, "_f"], "left_anti").select(*docs.columns)
+    f = f"{free_prefix(docs)}fingerprint"
+    split = docs.join(both, id_col, "left_semi").withColumn(f, print_of)
+    split = split.join(lost.withColumnRenamed("fingerprint", f), [id_col, f], "left_anti").select(*docs.columns)
     alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    kept = nameless.withColumn("_f", print_of).join(alone.withColumnRenamed("fingerprint", "_f"), "_f", "left_semi").drop("_f")
+    kept = nameless.withColumn(f, print_of).join(alone.withColumnRenamed("fingerprint", f), f, "left_semi").drop(f)
     return out.unionByName(split).unionByName(kept.select(*docs.columns))

@@ -79,3 +79,10 @@ def test_nothing_to_learn(spark, rows):
 def test_ties_go_to_the_first_language():
     r = L.Ranker({"b": [5, 6], "a": [5, 6]}, 4)
     assert r.predict("zz")[0] == "a"
+
+
+def test_a_column_of_its_own_names(spark):
+    from parallax.llm import lang_rank
+    df = spark.createDataFrame([(i, "the cat and the dog", "en", "keep") for i in range(20)], "doc_id long, text string, lang string, _p string")
+    out = lang_rank.identify(df)
+    assert set(df.columns) <= set(out.columns) and {r["_p"] for r in out.collect()} == {"keep"}

@@ -70,3 +70,13 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and R.HASH == ["h1", "h2"]
+
+
+def test_columns_with_names_of_its_own(spark):
+    from parallax.llm import line_runs
+    line = "a line that is long enough"
+    rows = [(i, f"{line}\nx{i}", i, "v", "c", "a") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash long, _version string, __cut string, _all string")
+    out = line_runs.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["n_dropped"], r["_hash"], r["__cut"]) for r in out.collect()) == [(0, 1, 0, "c"), (1, 1, 1, "c"), (2, 1, 2, "c"), (3, 0, 3, "c")]

@@ -73,3 +73,53 @@ def test_reps_follow_the_epochs(spark):
                                   F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("source"))
     got = M.repetitions(df).groupBy("source").agg(F.sum(F.col("size") * F.col("reps")).alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r["t"] - r["g"]) <= 3 for r in got)
+
+
+def near(rows, tolerance=0.02):
+    by = {}
+    for r in rows:
+        got = by.setdefault(r["source"], [0, r["target"], 0])
+        got[0] += r["size"] * r["reps"]
+        got[2] = max(got[2], r["size"])
+    return all(abs(taken - target) <= tolerance * target + largest for taken, target, largest in by.values())
+
+
+def test_repeated_and_null_ids_come_near_the_target(spark):
+    texts = [" ".join(["w"] * (20 + i % 30)) + f" {i}" for i in range(1700)]
+    docs = [(i if i < 1000 else None, t, "a") for i, t in enumerate(texts)] + [(5, f"x y {i}", "b") for i in range(300)] + [(i, "p q r", "c") for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert near(M.repetitions(df).collect())
+    assert near(M.repetitions(df, share=0.7).collect())
+
+
+def test_wholly_equal_rows(spark):
+    docs = [(None, "one two three", "a")] * 900 + [(7, "one two", "a")] * 50 + [(i, "z " * 10, "b") for i in range(400)] + [(1, None, "a"), (1, None, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    for share in (1.5, 0.4, 1.1):
+        rows = M.repetitions(df, share=share).collect()
+        assert len(rows) == len(docs) and near(rows) and len({r["reps"] for r in rows if r["doc_id"] is None}) <= 2
+        assert M.mix(df, share=share).count() == sum(r["reps"] for r in rows)
+    same = [sorted(map(str, M.repetitions(df.repartition(n), share=0.4).collect())) for n in (2, 7)]
+    assert same[0] == same[1]
+
+
+def test_names_and_kinds_of_other_columns(spark):
+    docs = [(i, "a b " * (i % 5), "s", "h", i * 2, {"k": i}, i, i) for i in range(60)] + [(1, "a b c", "s", "h", 2, {"k": 1, "j": 2}, 1, 1)] * 40
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, _h string, __limit0 long, m map<string,int>, size int, target int")
+    out = M.mix(df, share=0.5)
+    assert out.columns == df.columns and near(M.repetitions(df, share=0.5).collect())
+    key = lambda r: (r["doc_id"], r["text"], r["_h"], r["__limit0"], tuple(sorted(r["m"].items())), r["size"], r["target"])
+    assert {key(r) for r in out.collect()} <= {key(r) for r in df.collect()}
+
+
+def test_query_against_the_sql_with_equal_rows(spark, tmp_dir):
+    import duckdb
+    from parallax.llm.queries import ORACLE_SQL
+    docs = [(None, "one two three", "a")] * 300 + [(7, "one two", "a")] * 50 + [(i, "z " * (i % 17), ["b", None][i % 2]) for i in range(400)] + [(None, f"u v {i}", "b") for i in range(99)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/documents.parquet/*.parquet')")
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    order = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    want = order(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op3_mixing']})").fetchall())
+    assert order(tuple(r) for r in QUERIES["op3_mixing"](spark, tmp_dir).select(cols).collect()) == want

@@ -120,3 +120,12 @@ def test_an_id_with_several_texts_keeps_the_one_that_is_no_copy(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in S.keep_one(df).collect()]
     assert sorted(got, key=str) == sorted([(3, b), (5, a), (5, a), (None, c)], key=str)
+
+
+def test_keep_one_with_a_column_of_its_own_names(spark):
+    from parallax.llm import simhash_mih
+    rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (2, "other words here now", "z"), (None, "quite different text again", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _f string")
+    out = simhash_mih.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(r["_f"] for r in out.collect()) == ["n", "x", "z"]
