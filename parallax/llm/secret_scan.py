@@ -32,10 +32,12 @@ CLASSES = (
 #: candidates that are no secrets: UUIDs, integrity hashes, paths that are words throughout, file names
 ALLOW = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",
-    r"sha(?:256|384|512)-",
+    r"sha(?:256|384|512)-[A-Za-z0-9+/=_-]{1,88}\Z",
     r"(?:/?[A-Za-z][a-z]*(?:[-_][a-z]+)*/)+(?:[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{0,4})?\Z",
     r"[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{0,4}\Z",
 ))
+#: shortest rest of a string beside a base span that is a span of its own
+REST = 8
 #: text before a candidate that makes it none
 ALLOW_BEFORE = re.compile(r"(?:;base64,|\b(?:commit|sha1|sha256|md5|checksum|integrity|etag)[\s:=\"']{1,3})\Z", re.I | re.A)
 
@@ -94,11 +96,26 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _without(a: int, b: int, taken: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
+    """What is left of ``a`` to ``b`` between the sorted spans ``taken``."""
+    out = []
+    at = max(bisect_left(starts, a) - 1, 0)
+    while a < b and at < len(taken) and taken[at][0] < b:
+        low, high = taken[at]
+        if high > a:
+            out.append((a, low))
+            a = high
+        at += 1
+    out.append((a, b))
+    return [(x, y) for x, y in out if y > x]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow=ALLOW, classes=CLASSES) -> list[tuple[int, int, int]]:
-    """Windows of high entropy outside allowed strings and base spans; where those of several classes overlap, their union."""
+    """Strings that hold a window of high entropy, from the last ``=`` before its middle on, less the base spans; overlapping ones as one.
+
+    A string that an allow rule fits as a whole is left alone.  Beside base
+    spans, rests of ``REST`` characters or more stay."""
     found: list[tuple[int, int, int]] = []
-    taken = _merged(base)
-    starts = [a for a, _ in taken]
     for pattern, width, least, needs, part in classes:
         for m in pattern.finditer(text):
             s, at = m.group(), m.start()
@@ -113,10 +130,12 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], allow=ALLOW, clas
                 for a, b in hot_windows(s, width, least):
                     window = s[a:b]
                     if all(any(c in need for c in window) for need in needs):
-                        before = bisect_left(starts, at + b)  # the last one that starts before this ends
-                        if not before or taken[before - 1][1] <= at + a:
-                            found.append((at + a, 3, at + b))
-    return [(a, 3, b) for a, b in _merged(found)]
+                        found.append((text.rfind("=", m.start(), at + a + width // 2) + 1 or m.start(), 3, m.end()))
+    taken = _merged(base)
+    starts = [a for a, _ in taken]
+    whole = [(a, b) for a, b in _merged(found)]
+    parts = [(x, y, (a, b)) for a, b in whole for x, y in _without(a, b, taken, starts)]
+    return [(x, 3, y) for x, y, all_ in parts if (x, y) == all_ or y - x >= REST]
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
@@ -136,7 +155,8 @@ def find_secrets(texts: pd.Series) -> pd.Series:
 
     A null or empty text has none.  Base kinds (``assign``, ``access``,
     ``hex``) are found leftmost and non-overlapping per kind; ``entropy``
-    spans are added where no base span overlaps."""
+    spans are strings that hold a window of high entropy, without what base
+    spans cover of them."""
     return pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t)] for t in texts], dtype=object)
 
 
