@@ -24,32 +24,80 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
                    "h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 ENDS_SELF = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
 
-#: sizes of the hashed path, innermost tag and word vectors; a few plain measures follow them
-PATH_DIM, TAG_DIM, WORD_DIM, PLAIN_DIM = 512, 64, 48, 5
+#: sizes of the hashed vectors of tags and names on the path, of the innermost tags, and of words; plain measures follow them
+PATH_DIM, TAG_DIM, WORD_DIM, PLAIN_DIM = 512, 64, 32, 24
 DIM = PATH_DIM + TAG_DIM + WORD_DIM + PLAIN_DIM
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-z]+[0-9]*|[0-9]+")
+
+
+def _slot(name: str, size: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
+
+
+class Node:
+    """An open element: its tag and names, and what its path holds, as bits; a page's nodes share their paths."""
+
+    __slots__ = ("parent", "names", "bits", "depth")
+
+    def __init__(self, parent: "Node | None", names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        bits = parent.bits if parent else 0
+        for name in names:
+            bits |= 1 << _slot(name, PATH_DIM)
+        self.bits, self.depth = bits, (parent.depth if parent else 0) + 1
+
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self
+        while node:
+            out.append(node.names)
+            node = node.parent
+        return tuple(name for names in reversed(out) for name in names)
+
+
+_nodes: dict[tuple[str, ...], Node] = {}
+
+
+def node_of(path: tuple[str, ...]) -> Node | None:
+    """The node of a path written as tags, each followed by its names (``.name``); equal paths have one node."""
+    if not path:
+        return None
+    node = _nodes.get(path)
+    if node is None:
+        at = max(i for i, name in enumerate(path) if name[0] != ".")
+        node = Node(node_of(path[:at]), path[at:])
+        if len(_nodes) >= 20_000:
+            _nodes.clear()
+        _nodes[path] = node
+    return node
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: "tuple[str, ...] | Node | None", text: str, linked: int):
+        self.node = node_of(path) if isinstance(path, tuple) else path
+        self.text, self.linked = text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path() if self.node else ()
 
 
 class _Reader(HTMLParser):
-    """Collects blocks; white space inside one is a single space."""
+    """Collects blocks; white space inside one is a single space.
+
+    The places of open tags are kept by tag, so that no tag looks through
+    the whole path: time and memory follow the page's length, however deep."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...], bool]] = []
+        self.open: list[tuple[str, Node | None, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.outside: list[int] = []  # places of open tags that are not inline
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
-        self.at: tuple[str, ...] = ()
-
-    def _path(self) -> tuple[str, ...]:
-        return tuple(name for tag, names, _ in self.open if tag not in INLINE for name in names)
+        self.at: Node | None = None
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -57,28 +105,29 @@ class _Reader(HTMLParser):
             self.blocks.append(Block(self.at, text, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _pop_to(self, index: int) -> None:
-        for tag, _, hides in self.open[index:]:
+        for tag, _, hides in reversed(self.open[index:]):
             self.hidden -= hides
             self.links -= tag == "a"
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.outside.pop()
         del self.open[index:]
 
     def _close(self, tags: tuple[str, ...], until: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self._pop_to(i)
-                return
-            if self.open[i][0] in until:
-                return
+        at = self._last(tags)
+        if at >= 0 and at > self._last(until):
+            self._pop_to(at)
 
     def _has(self, tag: str) -> bool:
-        return any(t == tag for t, *_ in self.open)
+        return bool(self.places.get(tag))
 
     def _end_head(self) -> None:
-        for i, (tag, *_) in enumerate(self.open):
-            if tag == "head":
-                self._pop_to(i)
-                return
+        if self._has("head"):
+            self._pop_to(self.places["head"][0])
 
     def handle_starttag(self, tag, attrs):
         if self.hidden and (tag == "body" and not self._has("template") or self.open[-1][0] == "head" and tag not in IN_HEAD):
@@ -95,12 +144,17 @@ class _Reader(HTMLParser):
             self._close(("p",), ("button", "td", "th", "table", "object"))
         if tag in ENDS_SELF:
             self._close(("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,), ENDS_SELF[tag])
-        names = [tag]
-        for key, value in attrs:
-            if key in ("class", "id", "role") and value:
-                names += [f".{w}" for w in _NAME.findall(value.lower())]
         hides = tag in HIDDEN or tag in MATH_HIDDEN and self._has("math")
-        self.open.append((tag, tuple(names), hides))
+        node = self.open[-1][1] if self.open else None
+        if tag not in INLINE:
+            names = [tag]
+            for key, value in attrs:
+                if key in ("class", "id", "role") and value:
+                    names += [f".{w}" for w in _NAME.findall(value.lower())]
+            node = Node(node, tuple(names))
+            self.outside.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node, hides))
         self.hidden += hides
         self.links += tag == "a"
 
@@ -112,14 +166,15 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "p" and not self._has("p"):
             self.end_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag not in INLINE or any(t not in INLINE for t, *_ in self.open[i:]):
-                    self.end_block()
-                self._pop_to(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
+        if not self._has(tag):
+            return
+        at = self.places[tag][-1]
+        if tag in INLINE:
+            if self.outside and self.outside[-1] > at:
                 return  # formatting that a block has already ended
+        else:
+            self.end_block()
+        self._pop_to(at)
 
     def handle_data(self, data):
         if self.hidden and self.open[-1][0] == "head" and data.strip():
@@ -127,7 +182,7 @@ class _Reader(HTMLParser):
         if self.hidden > 0 or not data:
             return
         if not self.parts:
-            self.at = self._path()
+            self.at = self.open[-1][1] if self.open else None
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -144,37 +199,59 @@ def read_blocks(html: str | None) -> list[Block]:
     return reader.blocks
 
 
-def _slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
-
-
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+def path_vector(node: Node | None) -> np.ndarray:
+    """Hashed names on the path, then the innermost tag and, weaker, the one around it."""
+    v = np.zeros(PATH_DIM + TAG_DIM, np.float32)
+    if node:
+        raw = np.frombuffer(node.bits.to_bytes(PATH_DIM // 8, "little"), np.uint8)
+        v[:PATH_DIM] = np.unpackbits(raw, bitorder="little")
+        if node.parent:
+            v[PATH_DIM + _slot(node.parent.names[0], TAG_DIM)] = 0.5
+        v[PATH_DIM + _slot(node.names[0], TAG_DIM)] = 1.0
+    return v
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed names on the path, then the innermost tag."""
-    v = _paths.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIM + TAG_DIM, np.float32)
-        for name in path:
-            v[_slot(name, PATH_DIM)] = 1.0
-        tags = [n for n in path if n[0] != "."]
-        if tags:
-            v[PATH_DIM + _slot(tags[-1], TAG_DIM)] = 1.0
-        if len(_paths) < 20_000:
-            _paths[path] = v
-    return v
+def _containers(blocks: list[Block], up: int) -> np.ndarray:
+    """For each block how its container, ``up`` elements above its own, stands on the page: its part of the page's text
+    outside of links, its part of text in links, its blocks, whether it is the one with most text, and the block's place before
+    (-1), in (0) or behind (1) the blocks of that one."""
+    keys, number = np.zeros(len(blocks), np.int64), {}
+    for i, b in enumerate(blocks):
+        node = b.node
+        for _ in range(up):
+            node = node.parent if node and node.parent else node
+        keys[i] = number.setdefault(id(node), len(number))
+    chars = np.array([len(b.text) for b in blocks], float)
+    linked = np.array([b.linked for b in blocks], float)
+    plain = np.bincount(keys, chars - linked)
+    all_ = np.bincount(keys, chars)
+    best = int(plain.argmax())
+    inside = np.flatnonzero(keys == best)
+    at = np.arange(len(blocks))
+    where = np.where(at < inside[0], -1.0, np.where(at > inside[-1], 1.0, 0.0))
+    return np.stack([(plain / max(plain.sum(), 1))[keys], 1 - (plain / np.maximum(all_, 1))[keys], np.log1p(np.bincount(keys))[keys] / 5,
+                     keys == best, where], axis=1)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """One row for each block: path vector, hashed words, plain measures."""
+    """One row for each block: path vector, hashed words, and measures of the block and of its place on the page."""
     x = np.zeros((len(blocks), DIM), np.float32)
-    at = PATH_DIM + TAG_DIM
-    for row, b in zip(x, blocks):
-        row[:at] = path_vector(b.path)
+    if not blocks:
+        return x
+    at, words_at = PATH_DIM + TAG_DIM, PATH_DIM + TAG_DIM + WORD_DIM
+    heading = False
+    for i, (row, b) in enumerate(zip(x, blocks)):
+        row[:at] = path_vector(b.node)
         words = b.text.lower().split()
         slots = np.fromiter((_slot(w, WORD_DIM) for w in words), np.int64, len(words))
-        row[at:at + WORD_DIM] = np.sqrt(np.bincount(slots, minlength=WORD_DIM) / max(len(words), 1))
-        row[at + WORD_DIM:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), b.text[-1] in ".!?:", np.log1p(len(words)) / 6,
-                               len(b.path) / 16)
+        row[at:words_at] = np.sqrt(np.bincount(slots, minlength=WORD_DIM) / max(len(words), 1))
+        tag = b.node.names[0] if b.node else ""
+        heading = heading or tag in ("h1", "h2")
+        size = len(b.text)
+        row[words_at:words_at + 9] = (np.log1p(size) / 8, b.linked / size, b.text[-1] in ".!?:", np.log1p(len(words)) / 6,
+                                      min(b.node.depth if b.node else 0, 32) / 16, i / len(blocks), heading, "\u00a9" in b.text or "(c)" in b.text,
+                                      sum(map(str.isdigit, b.text)) / size)
+    for k, up in enumerate((1, 2, 3)):
+        row = words_at + 9 + 5 * k
+        x[:, row:row + 5] = _containers(blocks, up)
     return x

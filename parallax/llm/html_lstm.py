@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from html import escape
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import bound_batches
-from .html_blocks import DIM, Block, features, read_blocks
+from .html_blocks import DIM, Block, Node, features, read_blocks
 
 #: expected pages in the training sample; longer pages teach nothing
 SAMPLE_PAGES, SAMPLE_CHARS = 150, 100_000
@@ -35,12 +36,24 @@ REST_NAMES = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "but
               ".replies", ".respond", ".related", ".recommended", ".share", ".social", ".login", ".search", ".copyright", ".contentinfo",
               ".complementary", ".toolbar", ".disclaimer")
 
+# Words by which made-up pages name their parts.
+PART_WORDS = {"article": ("article", "post", "entry", "story", "post-content", "article-body", "entry-content", "main-text"),
+              "column": ("content", "main", "primary", "site-content"), "title": ("post-header", "article-header", "entry-title"),
+              "menu": ("nav", "menu", "navbar", "top-menu", "navigation"), "header": ("header", "masthead", "site-header"),
+              "crumbs": ("breadcrumb", "breadcrumbs"), "notice": ("notice", "cookie-notice", "consent", "alert", "banner"),
+              "sidebar": ("sidebar", "widget-area", "secondary", "side"), "advert": ("ad", "advert", "ads", "sponsored", "promo"),
+              "share": ("share", "social", "share-links"), "related": ("related", "recommended", "related-posts"),
+              "popular": ("popular", "most-read", "widget"), "newsletter": ("newsletter", "subscribe", "signup"),
+              "comments": ("comments", "responses", "discussion", "replies"), "comment": ("comment", "reply", "response"),
+              "footer": ("footer", "site-footer", "bottom", "contentinfo"), "wrap0": ("wrapper", "container"), "wrap1": ("page", "site")}
+
 
 def declared(block: Block) -> bool | None:
     """What the page itself says of a block: True in the article, False outside, None if it says nothing."""
-    if any(n in REST_NAMES for n in block.path):
+    names = block.path
+    if any(n in REST_NAMES for n in names):
         return False
-    return True if any(n in MAIN_NAMES for n in block.path) else None
+    return True if any(n in MAIN_NAMES for n in names) else None
 
 
 def _page_designs(texts: list[str], links: list[str], rng: random.Random) -> list[tuple[Block, int]]:
@@ -92,6 +105,174 @@ def _page_designs(texts: list[str], links: list[str], rng: random.Random) -> lis
     return page
 
 
+#: how a made-up page names its parts: by the words of its part, by made-up words, by codes, or not at all
+SCHEMES = ("words", "foreign", "codes", "none", "none", "some")
+MAIN, REST = "\ue000", "\ue001"
+
+
+class _Design:
+    """Draws the HTML of one page; every text begins with the mark of its label."""
+
+    def __init__(self, texts: list[str], links: list[str], rng: random.Random):
+        self.texts, self.links, self.rng = texts, links or texts, rng
+        self.scheme = rng.choice(SCHEMES)
+        self.names: dict[str, str] = {}
+
+    def line(self, least: int = 1, most: int = 200) -> str:
+        words = self.rng.choice(self.texts).split()
+        while len(words) < least:
+            words += self.rng.choice(self.texts).split() or ["x"]
+        return escape(" ".join(words[:most]) or "x")
+
+    def _name(self, part: str) -> str:
+        """The class that this page gives to a part, the same each time."""
+        rng = self.rng
+        if part not in self.names:
+            scheme = self.scheme if self.scheme != "some" else rng.choice(("words", "none", "foreign"))
+            made = "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))
+            self.names[part] = {"none": "", "codes": f"{made[:2]}{rng.randint(0, 99)}", "foreign": made,
+                                "words": rng.choice(PART_WORDS.get(part, (part,)))}[scheme]
+        return self.names[part]
+
+    def tag(self, part: str, inner: str, usual: str = "div") -> str:
+        rng = self.rng
+        tag = usual if self.scheme == "words" and rng.random() < 0.7 or self.scheme == "some" and rng.random() < 0.4 else "div"
+        name = self._name(part)
+        named = f' {rng.choice(("class", "class", "id"))}="{name}"' if name else ""
+        return f"<{tag}{named}>{inner}</{tag}>"
+
+    def wrap(self, inner: str, depth: int) -> str:
+        for i in range(depth):
+            inner = self.tag(f"wrap{i}", inner, self.rng.choice(("div", "section")))
+        return inner
+
+    def link_list(self, mark: str = REST) -> str:
+        rng = self.rng
+        items = [f'<a href="/{i}">{mark}{escape(rng.choice(self.links))}</a>' if rng.random() < 0.5 else f'<a href="/{i}">{mark}{self.line(1, 4)}</a>'
+                 for i in range(rng.randint(2, 7))]
+        style = rng.random()
+        if style < 0.6:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        return " | ".join(items) if style < 0.75 else "".join(f"<{t}>{x}</{t}>" for x in items for t in [rng.choice(("div", "p"))])
+
+    def heading(self, text: str) -> str:
+        tag = self.rng.choice(("h2", "h3", "h3", "h4", "div", "p"))
+        return f"<{tag}>{text}</{tag}>"
+
+    def body_part(self) -> str:
+        """A stretch of the article."""
+        rng, kind = self.rng, self.rng.random()
+        tag = self.paragraph
+        if kind < 0.7:
+            return f"<{tag}>{MAIN}{self.line(6)}</{tag}>"
+        if kind < 0.78:
+            return self._sub()
+        if kind < 0.86:
+            return f"<{tag}>{MAIN}{self.line(1, 12)}</{tag}>"
+        if kind < 0.92:
+            of = rng.choice(("ul", "ol"))
+            return f"<{of}>" + "".join(f"<li>{MAIN}{self.line(1, 20)}</li>" for _ in range(rng.randint(1, 5))) + f"</{of}>"
+        if kind < 0.96:
+            return f"<blockquote><p>{MAIN}{self.line(3, 40)}</p></blockquote>"
+        return rng.choice((f"<pre>{MAIN}{self.line(2, 30)}</pre>", f"<figure><figcaption>{MAIN}{self.line(2, 15)}</figcaption></figure>",
+                           f"<table><tr><td>{MAIN}{self.line(1, 8)}</td><td>{MAIN}{self.line(1, 8)}</td></tr></table>"))
+
+    def _sub(self) -> str:
+        tag = self.rng.choice(("h2", "h3"))
+        return f"<{tag}>{MAIN}{self.line(1, 8)}</{tag}>"
+
+    def aside(self, part: str) -> str:
+        """Something that does not belong, inside or outside of the article."""
+        rng = self.rng
+        if part == "share":
+            return self.tag(part, " ".join(f'<a href="#">{REST}{self.line(1, 1)}</a>' for _ in range(rng.randint(2, 5))))
+        if part in ("related", "popular"):
+            return self.tag(part, self.heading(f"{REST}{self.line(1, 5)}") + self.link_list(), "aside")
+        return self.tag(part, rng.choice(("<p>{}</p>", "{}", "<div>{}</div>")).format(f"{REST}{self.line(1, 18)}"), "aside")
+
+    def comments(self) -> str:
+        rng, n = self.rng, self.rng.randint(1, 6)
+        out = self.heading(f"{REST}{rng.choice((f'{n} ', f'({n}) ', ''))}{self.line(1, 3)}") if rng.random() < 0.8 else ""
+        style = rng.random()
+        for _ in range(n):
+            who = f"<{'b' if style < 0.3 else 'div'}>{REST}{self.line(1, 2)}</{'b' if style < 0.3 else 'div'}>" if style < 0.7 else ""
+            when = f"<span> {rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1999, 2026)}</span>" if style < 0.2 else ""
+            said = "".join(f"<p>{REST}{self.line(2, 30)}</p>" for _ in range(1 if rng.random() < 0.8 else 2))
+            one = who + when + (said if style < 0.9 else f"{REST}{self.line(2, 30)}")
+            out += self.tag("comment", one, rng.choice(("li", "article", "div")))
+        if rng.random() < 0.3:
+            out += f"<form><label>{REST}{self.line(1, 3)}</label><input><button>{REST}{self.line(1, 2)}</button></form>"
+        return self.tag("comments", out, "section")
+
+    def footer(self) -> str:
+        rng = self.rng
+        bits = [f"<{t}>{REST}{rng.choice(('© ', '(c) ', '© 2024 ', ''))}{self.line(1, 6)}</{t}>" for t in [rng.choice(("p", "div", "small"))]]
+        bits += [self.link_list()] if rng.random() < 0.6 else [f"<p>{REST}{self.line(2, 20)}</p>"] if rng.random() < 0.6 else []
+        bits += [f"<p><a href='/x'>{REST}{self.line(1, 2)}</a></p>"] if rng.random() < 0.5 else []
+        rng.shuffle(bits)
+        return self.tag("footer", "".join(bits), "footer")
+
+    def html(self) -> str:
+        rng = self.rng
+        self.paragraph = rng.choice(("p", "p", "p", "p", "p", "div"))
+        title = f"<{t}>{MAIN}{self.line(1, 9)}</{t}>" if (t := rng.choice(("h1", "h1", "h1", "h2"))) and rng.random() < 0.9 else ""
+        title = self.tag("title", title, "header") if rng.random() < 0.15 else title
+        parts = [self.body_part() for _ in range(rng.choice((1, 2, 3, 4, 4, 5, 6, 8, 12, 20)))]
+        for _ in range(rng.choice((0, 0, 0, 1, 2))):
+            parts.insert(rng.randrange(len(parts) + 1), self.aside(rng.choice(("advert", "share", "related", "newsletter", "notice"))))
+        text = "".join(parts)
+        text = self.wrap(text, 1) if rng.random() < 0.25 else text
+        article = self.tag("article", title + text, rng.choice(("article", "main", "section", "div")))
+        behind = [self.aside(rng.choice(("share", "related", "popular", "newsletter", "advert"))) for _ in range(rng.choice((0, 0, 1, 2)))]
+        if rng.random() < 0.5:
+            behind.insert(rng.randrange(len(behind) + 1), self.comments())
+        column = article + "".join(behind)
+        column = self.tag("column", column, "main") if rng.random() < 0.5 else column
+        side = [self.aside(rng.choice(("popular", "related", "advert", "newsletter", "notice"))) for _ in range(rng.choice((0, 0, 1, 2, 3)))]
+        side = self.tag("sidebar", "".join(side), "aside") if side and rng.random() < 0.6 else "".join(side)
+        column = side + column if rng.random() < 0.3 else column + side
+        column = self.wrap(column, rng.choice((0, 0, 1, 2)))
+        top = [self.tag("menu", self.link_list(), "nav")] if rng.random() < 0.8 else []
+        top += [self.tag("header", f"<{t}>{REST}{self.line(1, 4)}</{t}>" + (f"<p>{REST}{self.line(2, 10)}</p>" if rng.random() < 0.3 else ""), "header")
+                for t in [rng.choice(("h1", "h2", "div", "p", "a"))]] if rng.random() < 0.5 else []
+        top += [self.aside("notice")] if rng.random() < 0.25 else []
+        top += [self.tag("crumbs", self.link_list(), "nav")] if rng.random() < 0.2 else []
+        rng.shuffle(top)
+        end = self.footer() if rng.random() < 0.85 else ""
+        end += self.aside("notice") if rng.random() < 0.15 else ""
+        return "<html><body>" + self.wrap("".join(top) + column + end, rng.choice((0, 0, 1, 2))) + "</body></html>"
+
+
+def _any_design(texts: list[str], links: list[str], rng: random.Random) -> list[tuple[Block, int]]:
+    """One made-up page that may name its parts in any way or not at all."""
+    out = []
+    for b in read_blocks(_Design(texts, links, rng).html()):
+        label = int(b.text.count(MAIN) > b.text.count(REST))
+        b.text = " ".join(b.text.replace(MAIN, "").replace(REST, "").split()) or "x"
+        b.linked = min(b.linked, len(b.text))
+        out.append((b, label))
+    return out
+
+
+def _renamed(blocks: list[Block], rng: random.Random) -> list[Block]:
+    """The blocks of a page whose parts have lost their names, or bear made-up ones, and whose tags say less."""
+    codes = rng.random() < 0.5
+    known: dict[int, Node] = {}
+    fresh: dict[str, str] = {}
+
+    def anew(node: Node | None) -> Node | None:
+        if node is None:
+            return None
+        if id(node) not in known:
+            tag, *names = node.names
+            plain = "div" if tag in ("article", "main", "nav", "aside", "section", "header", "footer", "form") else tag
+            names = [fresh.setdefault(x, f".{''.join(rng.choice('abcdefghiklmnoprstuvw') for _ in range(5))}") for x in names] if codes else []
+            known[id(node)] = Node(anew(node.parent), (plain, *names))
+        return known[id(node)]
+
+    return [Block(anew(b.node), b.text, b.linked) for b in blocks]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -202,20 +383,22 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 2) -> Labell
     """Fit by Adam on real pages with declared labels and on made-up designs, half of each batch; of a page with more than
     ``WINDOW`` blocks a step sees so many in a row, from its start to its end each about as often."""
     rng = random.Random(seed)
-    real = []
+    real, unnamed = [], []
     for blocks in pages:
         known = [declared(b) for b in blocks]
         if any(k for k in known):  # a page that declares its article: what it leaves open is outside
-            real.append((features(blocks), np.array([bool(k) for k in known], np.float32)))
+            labels = np.array([bool(k) for k in known], np.float32)
+            real.append((features(blocks), labels))
+            unnamed.append((features(_renamed(blocks, rng)), labels))
     texts = [b.text for blocks in pages for b in blocks] or ["text"]
     links = [b.text for blocks in pages for b in blocks if b.linked]
     model = Labeller(seed=seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
     for step in range(1, steps + 1):
-        batch = [rng.choice(real) for _ in range(BATCH // 2)] if real else []
+        batch = [rng.choice(real) for _ in range(BATCH // 4)] + [rng.choice(unnamed) for _ in range(BATCH // 8)] if real else []
         while len(batch) < BATCH:
-            design = _page_designs(texts, links, rng)
+            design = _page_designs(texts, links, rng) if len(batch) % 3 == 0 else _any_design(texts, links, rng)
             batch.append((features([b for b, _ in design]), np.array([y for _, y in design], np.float32)))
         batch = [_window(x, y, rng) for x, y in batch]
         x, mask = _padded([x for x, _ in batch])

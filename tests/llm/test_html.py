@@ -156,4 +156,79 @@ def test_training_sees_long_pages_to_their_end(monkeypatch):
     L.train([page], steps=8)
     x = B.features(page)
     assert all(len(r) <= L.WINDOW for r in seen)
-    assert any((r[-1] == x[-1]).all() for r in seen) and any((r[-1] == x[0]).all() for r in seen)
+    own = slice(0, B.PATH_DIM + B.TAG_DIM + B.WORD_DIM)  # what follows also says where on the page a block stands
+    assert any((r[-1] == x[-1]).all() for r in seen) and any((r[-1][own] == x[0][own]).all() for r in seen)
+
+
+NEWS = """<html><body><div{0}><ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li><li><a href=/c>Sports</a></li></ul></div>
+<div{1}><h1>River floods old town</h1><p>The river rose over night and flooded the old town, where many people had to leave their houses.</p>
+<p>Firefighters worked until the morning, and the mayor thanked them for their help.</p>
+<p>It is the third flood in ten years. The council has promised to build a higher wall.</p><p>Schools stay closed until Monday, said the mayor.</p></div>
+<div{2}><h3>Most read</h3><ul><li><a href=/1>Ten ways to cook rice</a></li><li><a href=/2>Cup final moved</a></li></ul></div>
+<div{3}><h3>2 responses</h3><div><b>Anna</b><p>So sad to see this again, I hope all are safe.</p></div><div><b>Tom</b><p>They promised that wall years ago!</p></div></div>
+<div{4}><p>© 2024 The Daily News</p><p><a href=/p>Privacy</a></p></div></body></html>"""
+
+
+@pytest.mark.parametrize("names", ["nav article sidebar comments footer", "c1 c2 c3 c4 c5", "", "top-bar page-content rail discussion bottom",
+                                   "kopf artikel spalte kommentare fuss", "mw-panel mw-parser-output vector-toc talk printfooter"])
+def test_names_do_not_decide(model, names):
+    given = [f" class='{n}'" for n in names.split()] or [""] * 5
+    blocks = B.read_blocks(NEWS.format(*given))
+    got = [b.text for b, m in zip(blocks, model.label([blocks])[0]) if m]
+    assert got == [b.text for b in blocks if b.path[-1] in ("h1", "p") and "promised that" not in b.text and "So sad" not in b.text][:5]
+
+
+#: skeletons of pages that training does not draw, {t}: the article's text; marked ones must be kept, all other text must not
+SKELETONS = [
+    "<table><tr><td><a href=1>one</a><br><a href=2>two</a></td><td>{t}</td></tr></table><hr><p><a href=x>home</a> | <a href=y>mail</a></p>",
+    "<div{0}><div{1}><a href=/>logo</a></div><div{2}><div{3}>{t}</div></div></div><div{4}><ul><li><a href=1>one more</a></li><li><a href=2>two more</a></li></ul></div>",
+    "<div{0}><ol><li><a href=#1>part one</a></li><li><a href=#2>part two</a></li></ol></div><div{1}>{t}</div><div{2}><p>This page was last changed in May.</p><ul><li><a href=a>privacy</a></li><li><a href=b>about</a></li></ul></div>",
+    "<div{0}>{t}</div><div{1}><h3>4 thoughts</h3><ol><li><div>Ann</div><p>I like it a lot.</p></li><li><div>Bob</div><p>Me too, thank you.</p></li></ol></div>",
+    "<div{0}><p>We use small files to make the page work. <a href=z>more</a></p><button>ok</button></div><div{1}><div{2}>{t}</div><div{3}><a href=1>tweet</a> <a href=2>mail</a></div></div>",
+    "<section{0}><h2><a href=/>The place</a></h2><p>words on things</p></section><section{1}>{t}</section><section{2}><h3>see too</h3><ul><li><a href=1>older text</a></li><li><a href=2>newer text</a></li></ul></section>",
+    "<div{0}><div{1}><ul><li><a href=1>a1</a></li><li><a href=2>a2</a></li><li><a href=3>a3</a></li></ul></div>{t}</div><div{2}>© 2020 by them</div>",
+]
+
+
+def test_unseen_skeletons_and_names(model):
+    rng = random.Random(31)
+    words = "water house river stone when then there about people early never small after before they would could light night north".split()
+    say = lambda n: (" ".join(rng.choice(words) for _ in range(n)) + ".").capitalize()
+    right = total = 0
+    for k in range(28):
+        naming = k % 4
+        names = ["", "", "", "", ""] if naming == 0 else [f" class='{''.join(rng.choice('qwrtzpsdfg') for _ in range(6))}'" for _ in range(5)] if naming == 1 \
+            else [f" id='e{rng.randint(100, 999)}'" for _ in range(5)] if naming == 2 else [f" class='{n}'" for n in ("oben", "inhalt", "kasten", "zeug", "ende")]
+        article = [f"<h1>{say(5)}</h1>", *[f"<p>{say(rng.randint(12, 40))}</p>" for _ in range(rng.randint(3, 9))]]
+        html = SKELETONS[k % len(SKELETONS)].format(*names, t="".join(article))
+        blocks = B.read_blocks(f"<html><body>{html}</body></html>")
+        wanted = {b.text for b in B.read_blocks("".join(article))}
+        got = model.label([blocks])[0]
+        right += sum(bool(g) == (b.text in wanted) for b, g in zip(blocks, got))
+        total += len(blocks)
+    assert right / total >= 0.95, right / total
+
+
+def test_made_up_designs_without_names(model):
+    rng = random.Random(901)
+    lines = [b.text for b in B.read_blocks(NEWS.format(*[""] * 5))] + ["a few words more", "and one that is rather longer than the others, to have some of both"]
+    right = total = 0
+    for _ in range(200):
+        page = L._any_design(lines, lines[:4], rng)
+        right += sum(bool(g) == bool(y) for g, (_, y) in zip(model.label([[b for b, _ in page]])[0], page))
+        total += len(page)
+    assert right / total > 0.95
+
+
+@pytest.mark.parametrize("html,n", [("<div>x" * 100_000, 100_000), ("<p><button>" + "<div>x" * 30_000, 30_000), ("<div>" * 50_000 + "</b>" * 50_000 + "x", 1),
+                                    ("<b>" * 30_000 + "<div>x" * 2_000, 2_000)])
+def test_deep_pages_take_linear_time_and_memory(html, n):
+    import time
+    import tracemalloc
+    start = time.perf_counter()
+    tracemalloc.start()
+    blocks = B.read_blocks(html)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == n and most < 200e6
+    assert time.perf_counter() - start < 20  # under 5 s on a quiet machine
