@@ -145,9 +145,10 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     sized, path = save(rows.select(F.col(source).alias("source"), F.col(f"{p}h").alias("h"), "size"), "sized")
     plan = mix_plan(sized, weights, share, max_epochs, rounds)
     plan = plan.select(*[F.col(c).alias(f"{p}{c}") for c in plan.columns])
-    bytes_ = plan.agg(F.sum(F.coalesce(F.octet_length(f"{p}source"), F.lit(0)) + 80 * len(rounds) + 60)).first()[0] or 0
+    size = plan.agg(F.sum(F.coalesce(F.octet_length(f"{p}source"), F.lit(0)) + 80 * len(rounds) + 60).alias("bytes"),
+                    F.max(F.greatest(F.lit(0), *[F.col(f"{p}times{r}") for r in range(len(rounds))])).alias("times")).first()
     remove(docs.sparkSession, path)
-    plan = F.broadcast(plan) if bytes_ <= BROADCAST_BYTES else plan
+    plan = F.broadcast(plan) if (size["bytes"] or 0) <= BROADCAST_BYTES else plan
     extra, times = F.lit(False), F.lit(0).cast("long")
     for r in range(len(rounds)):
         extra = extra | ((F.col(f"{p}h") <= F.col(f"{p}limit{r}")) & (F.col("size") <= F.col(f"{p}largest{r}")))
@@ -156,6 +157,8 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
              .withColumns({"source_size": F.col(f"{p}source_size"), "target": F.col(f"{p}target"), f"{p}times": F.when(~extra, times).otherwise(0)})
              .withColumn("reps", F.col(f"{p}whole") + extra.cast("long")))
     columns = [*[c for c in docs.columns if c not in new], *new]
+    if not size["times"]:
+        return found.select(*columns)
     plain = found.where(F.col(f"{p}times") == 0).select(*columns)
     # equal rows of which some are taken once more: counted, which folds them before the shuffle, and written out again
     maps = {f.name for f in rows.schema.fields if isinstance(f.dataType, MapType)}
