@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parallax.llm import bpe, lang_rank, line_runs, mixing, queries, simhash_mih
-from parallax.llm._common import save
+from parallax.llm._common import free_prefix, save
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (or text) are rejected; the rest stays."""
+    """Documents without any letter (or text) are rejected; the rest stays, those without a language with the one predicted."""
     profiles = lang_rank.learn(docs.where(~lang_rank.held_out("doc_id")))
-    found = lang_rank.predict_udf(profiles)(F.col("text"))
-    return docs.where(found["lang_pred"] != "und")
+    found = f"{free_prefix(docs)}found"
+    # a generator: the prediction is made once for the filter and the column
+    named = docs.select("*", F.explode(F.array(lang_rank.predict_udf(profiles)(F.col("text")))).alias(found))
+    kept = named.where(F.col(found)["lang_pred"] != "und")
+    return kept.withColumn("lang", F.coalesce("lang", F.col(found)["lang_pred"])).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
