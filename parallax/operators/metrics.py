@@ -452,11 +452,72 @@ def significance_chrf(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b"
     return significance(rows, names, chrf_from_stats, seg="seg", trials=trials, seed=seed, rounded=6)
 
 
+def _ter_from_stats(p: str) -> Column:
+    return F.when(F.col(p + "ref") > 0, 100.0 * F.col(p + "edits") / F.col(p + "ref")).otherwise(
+        F.when(F.col(p + "edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
+
+
 def significance_ter(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b", ref: str = "ref", key: str = "seg_id",
                      trials: int = 10000, seed: int = 12345) -> DataFrame:
     """A15 on TER."""
     from ..functions.ter import ter_stats
     rows = seg.select(F.col(key).alias("seg"), ter_stats(F.col(hyp_a), F.col(ref)).alias("a"), ter_stats(F.col(hyp_b), F.col(ref)).alias("b"))
-    score = lambda p: F.when(F.col(p + "ref") > 0, 100.0 * F.col(p + "edits") / F.col(p + "ref")).otherwise(
-        F.when(F.col(p + "edits") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    return significance(rows, ["edits", "ref"], score, seg="seg", trials=trials, seed=seed, rounded=6)
+    return significance(rows, ["edits", "ref"], _ter_from_stats, seg="seg", trials=trials, seed=seed, rounded=6)
+
+
+#: systems that one comparison holds: all pairs of them are tested
+MAX_SYSTEMS = 20
+
+
+def compare_systems(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", system: str = "system", key: str = "seg_id",
+                    metrics=("bleu", "chrf", "ter"), trials: int = 10000, seed: int = 12345) -> DataFrame:
+    """X8 with A15: every pair of systems on every metric, from one fold.
+
+    ``seg`` has a row for each system and segment.  Rows (metric, system_a,
+    system_b, score_a, score_b, trials, observed, n_extreme, p_value), system_a
+    before system_b.  The coins of a segment and trial serve all pairs and
+    metrics, so each test equals :func:`significance` of that pair.  Segments
+    that a system lacks are left out for all; a segment given twice for a
+    system is an error."""
+    from ..functions.ter import ter_stats
+    names = [r[0] for r in seg.select(system).where(F.col(system).isNotNull()).distinct().orderBy(system).limit(MAX_SYSTEMS + 1).collect()]
+    if len(names) > MAX_SYSTEMS:
+        raise ValueError(f"more than {MAX_SYSTEMS} systems")
+    pre = seg.where(F.col(system).isNotNull()).select(
+        F.col(key).cast("string").alias("seg"), F.col(system).alias("__s"), tokenize_13a(hyp).alias("__h"), tokenize_13a(ref).alias("__r"),
+        _no_ws(hyp).alias("__hc"), _no_ws(ref).alias("__rc"), F.col(hyp).alias("__ht"), F.col(ref).alias("__rt"))
+    of = {"bleu": (*_bleu_udf_stats("__h", "__r"), bleu_from_stats), "chrf": (*_chrf_udf_stats("__hc", "__rc"), chrf_from_stats),
+          "ter": (ter_stats(F.col("__ht"), F.col("__rt")), ["edits", "ref"], _ter_from_stats)}
+    used = [(m, *of[m]) for m in metrics]
+    stats = pre.select("seg", "__s", F.concat(*[F.transform(c, lambda x: x.cast("double")) for _, c, _, _ in used]).alias("v"))
+    per = stats.groupBy("seg").agg(*[F.collect_list(F.when(F.col("__s") == n, F.col("v"))).alias(f"s{i}") for i, n in enumerate(names)])
+    twice = F.greatest(*[F.size(f"s{i}") for i in range(len(names))], F.lit(0)) > 1 if names else F.lit(False)
+    per = per.where(F.least(*[F.size(f"s{i}") for i in range(len(names))], F.lit(1)) == 1) if names else per
+    per = per.select("seg", *[F.when(twice, F.raise_error(F.lit("a segment is there twice for a system")).cast("array<double>")).otherwise(F.col(f"s{i}")[0]).alias(f"s{i}")
+                              for i in range(len(names))])
+    from ..session import materialize
+    per = materialize(per, "systems")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if not pairs:
+        return seg.sparkSession.createDataFrame([], "metric string, system_a string, system_b string, score_a double, score_b double, "
+                                                    "trials long, observed double, n_extreme long, p_value double")
+    flat = [(m, n) for m, _, cols, _ in used for n in cols]
+    side = lambda k: F.concat(*[F.col(f"s{p[k]}") for p in pairs])
+    rows = per.select("seg", side(0).alias("a"), side(1).alias("b"))
+    total = per.agg(*[F.sum(F.col(f"s{i}")[k]).alias(f"t{i}_{m}_{n}") for i in range(len(names)) for k, (m, n) in enumerate(flat)])
+    whole = total.select(F.struct(*total.columns)).scalar()
+    trial = _swapped_sums(rows, len(pairs) * len(flat), trials, seed).withColumn("__t", whole)
+    sums = {}
+    for q, (i, j) in enumerate(pairs):
+        for k, (m, n) in enumerate(flat):
+            d = F.col(f"d{q * len(flat) + k}")
+            sums |= {f"a{q}_{m}_{n}": F.col(f"__t.t{i}_{m}_{n}") + d, f"b{q}_{m}_{n}": F.col(f"__t.t{j}_{m}_{n}") - d}
+    trial = trial.select(*[F.col(f"__t.{c}").alias(c) for c in total.columns], *[e.alias(c) for c, e in sums.items()])
+    tests = [F.struct(F.lit(m).alias("metric"), F.lit(names[i]).alias("system_a"), F.lit(names[j]).alias("system_b"),
+                      score(f"t{i}_{m}_").alias("score_a"), score(f"t{j}_{m}_").alias("score_b"),
+                      F.abs(score(f"a{q}_{m}_") - score(f"b{q}_{m}_")).alias("d")) for q, (i, j) in enumerate(pairs) for m, _, _, score in used]
+    each = trial.select(F.explode(F.array(*tests)).alias("x")).select("x.*").withColumn("observed", F.abs(F.col("score_a") - F.col("score_b")))
+    out = each.groupBy("metric", "system_a", "system_b").agg(
+        F.round(F.max("score_a"), 6).alias("score_a"), F.round(F.max("score_b"), 6).alias("score_b"), F.lit(trials).cast("long").alias("trials"),
+        F.round(F.max("observed"), 6).alias("observed"), F.sum((F.col("d") >= F.col("observed") - 1e-9).cast("long")).alias("n_extreme"))
+    return out.withColumn("p_value", F.round((F.col("n_extreme") + 1) / F.lit(trials + 1), 6))

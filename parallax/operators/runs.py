@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import chunk_by_count, prefix_scan
@@ -68,7 +68,44 @@ def best_checkpoint(vlog: DataFrame, metric: str = "bleu", keys=KEYS, step: str
         F.when(F.col("__b.v") > seed_best, -F.col("__b.s")).alias("best_step"))
 
 
-def resume_state(vlog: DataFrame, at_step: int, metric: str = "bleu", keys=KEYS, step: str = "step") -> DataFrame:
+def run_state(vlog: DataFrame, metric: str = "bleu", keys=KEYS, step: str = "step", seed_best: float = 0.0) -> DataFrame:
+    """``(<keys>, best, stalled, last_step)`` after all evaluations of the
+    log: what a run saves with a checkpoint, one row a run and task."""
+    none = vlog.select(*keys).limit(0).select(*keys, F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("stalled"),
+                                              F.lit(None).cast("long").alias("last_step"))
+    return continue_state(none, vlog, metric, keys, step, seed_best)
+
+
+def continue_state(state: DataFrame, later: DataFrame, metric: str = "bleu", keys=KEYS, step: str = "step", seed_best: float = 0.0) -> DataFrame:
+    """A saved ``state`` (see :func:`run_state`) carried on over later evaluations.
+
+    The old log is not needed: an evaluation improves if it is above the
+    saved best and all later ones before it, so the last improvement is the
+    first evaluation with the highest score, if that is above the saved
+    best.  Evaluations up to ``last_step`` have been counted already and are
+    passed over, so a log delivered twice changes nothing.  Runs without a
+    state begin at ``seed_best``; runs without later evaluations keep theirs;
+    a null score improves nothing."""
+    keys = list(keys)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    known = state.select(*keys, F.col("best").alias("__best"), F.col("stalled").alias("__stalled"), F.col("last_step").alias("__last"))
+    new = later.select(*keys, F.col(step).cast("long").alias("__step"), F.col(metric).cast("double").alias("__m"))
+    new = (new.alias("n").join(known.alias("k"), same("n", "k"), "left").where(F.col("__last").isNull() | (F.col("__step") > F.col("__last")))
+           .select(*[F.col(f"n.{k}").alias(k) for k in keys], "__step", "__m", "__best"))
+    start = F.coalesce("__best", F.lit(float(seed_best)))
+    top = new.groupBy(*keys).agg(F.max(F.when(F.col("__m") > start, F.struct(F.col("__m").alias("v"), (-F.col("__step")).alias("s")))).alias("__top"))
+    after = (new.alias("n").join(top.alias("t"), same("n", "t")).select(*[F.col(f"n.{k}").alias(k) for k in keys], "__step", "__top")
+             .groupBy(*keys).agg(F.max("__top").alias("__top"), F.max("__step").alias("__step"),
+                                 F.count(F.when(F.col("__top").isNull() | (F.col("__step") > -F.col("__top.s")), 1)).alias("__n")))
+    both = known.alias("k").join(after.alias("a"), same("k", "a"), "full_outer")
+    improved = F.col("__top").isNotNull()
+    return both.select(*[F.coalesce(F.col(f"k.{k}"), F.col(f"a.{k}")).alias(k) for k in keys],
+                       F.when(improved, F.col("__top.v")).otherwise(F.coalesce("__best", F.lit(float(seed_best)))).alias("best"),
+                       F.when(improved, F.col("__n")).otherwise(F.coalesce("__stalled", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("long").alias("stalled"),
+                       F.coalesce("__step", "__last").alias("last_step"))
+
+
+def resume_state(vlog: DataFrame, at_step: int | Column, metric: str = "bleu", keys=KEYS, step: str = "step") -> DataFrame:
     """(best, stalled) as saved with the checkpoint at ``at_step``."""
     s = stall_counter(vlog.where(F.col(step) <= at_step), metric, keys, step)
     last = F.max_by(F.struct(F.col("best"), F.col("stall")), F.col(step))

@@ -41,24 +41,42 @@ def _join_same(left: DataFrame, right: DataFrame, on) -> DataFrame:
 ROWS_PER_CHUNK = 4096
 
 
+#: quantiles whose ranges are cut into chunks one by one, denser towards both ends
+QUANTILES = sorted({i / 32 for i in range(33)} | {x for j in range(1, 8) for x in (2.0 ** -j / 32, 1 - 2.0 ** -j / 32)})
+
+
 def chunk_by_count(df: DataFrame, group_cols, order_col: str, name: str = "__by_count",
                    rows: int | None = None) -> DataFrame:
     """Adds the chunk number ``name``: each group's range of the (numeric)
-    order key is cut into count / ``rows`` (``ROWS_PER_CHUNK``) equal parts.  Widths follow the
-    measured count and range, so a run with steps far apart, or hashed ids,
-    gets chunks of about ``rows`` rows like a dense one."""
+    order key is cut into parts of about ``rows`` (``ROWS_PER_CHUNK``) rows.
+
+    Where the keys lie evenly, the parts are count / ``rows`` equal widths.
+    Where any 32nd of the rows lies four times as dense as that (a key far
+    out, steps in bursts), the range is cut at approximate quantiles first and
+    each part between two of them into equal widths, so that a key far out
+    stretches only the part that it ends.  Equal keys share a chunk."""
     group_cols = _cols(group_cols)
     x = F.col(order_col).cast("double")
-    stats = df.groupBy(*group_cols).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(F.lit(1)).alias("__cnt"))
+    cut = F.percentile_approx(x, F.array(*[F.lit(q) for q in QUANTILES]), F.lit(10_000))
+    stats = df.groupBy(*group_cols).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), cut.alias("__cut"), F.count(F.lit(1)).alias("__cnt"))
+    grid = F.array(*[F.lit(QUANTILES.index(i / 32) + 1) for i in range(33)])
+    gaps = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.element_at("__cut", F.element_at(grid, i + 1)) - F.element_at("__cut", F.element_at(grid, i)))
+    even = (F.col("__cnt") <= (rows or ROWS_PER_CHUNK)) | F.coalesce(F.array_min(gaps) >= (F.col("__hi") - F.col("__lo")) / 128, F.lit(True))
+    stats = stats.withColumn("__cut", F.when(~even, F.array_distinct("__cut")))
     if group_cols:
         j = _join_same(df, stats, group_cols)
     else:  # one row of scalars
-        j = (df.withColumn("__st", stats.select(F.struct("__lo", "__hi", "__cnt")).scalar())
+        j = (df.withColumn("__st", stats.select(F.struct("__lo", "__hi", "__cut", "__cnt")).scalar())
              .select(*df.columns, "__st.*"))
     parts = F.ceil(F.col("__cnt") / (rows or ROWS_PER_CHUNK))
     at = F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * parts)
-    chunk = F.when(F.col("__hi") > F.col("__lo"), F.least(at, parts - 1)).otherwise(F.lit(0))
-    return j.withColumn(name, F.coalesce(chunk, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__cnt")
+    wide = F.when(F.col("__hi") > F.col("__lo"), F.least(at, parts - 1)).otherwise(F.lit(0))
+    j = j.withColumn("__q", F.greatest(F.size(F.filter("__cut", lambda b: b <= x)), F.lit(1)))
+    low, high = F.try_element_at("__cut", F.col("__q")), F.try_element_at("__cut", F.col("__q") + 1)
+    fine = F.ceil(F.col("__cnt") / (32 * (rows or ROWS_PER_CHUNK)))
+    inner = F.when(high > low, F.least(F.greatest(F.floor((x - low) / (high - low) * fine), F.lit(0)), fine - 1)).otherwise(F.lit(0))
+    chunk = F.when(F.col("__cut").isNull(), wide).when(x.isNotNull(), F.col("__q") * fine + inner)
+    return j.withColumn(name, F.coalesce(chunk, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__cut", "__cnt", "__q")
 
 
 def prefix_scan(df: DataFrame, group_cols, chunk: Column, order_cols, specs) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nbest as NB
 from ..operators import runs as R
+from ..session import materialize
 from . import fixtures as fx
 from .registry import register
 
@@ -83,7 +84,16 @@ def q_best_checkpoint(spark, d):
 def q_resume_state(spark, d):
     """State at the middle of the log."""
     log = fx.vlog(spark, d)
-    return R.resume_state(log, at_step=log.agg(F.max("step")).first()[0] // 2)
+    return R.resume_state(log, at_step=log.agg(F.expr("max(step) div 2")).scalar())
+
+
+@register("continue_state", sql=f""", {SCAN_SQL.strip()}
+  SELECT run, task, arg_max(best, step) AS best, arg_max(stall, step) AS stalled, max(step) AS last_step FROM st GROUP BY run, task""")
+def q_continue_state(spark, d):
+    """The state of the first half of the log, saved, carried on over the whole of it."""
+    log = fx.vlog(spark, d)
+    first = log.where(F.col("step") <= log.agg(F.expr("max(step) div 2")).scalar())
+    return R.continue_state(materialize(R.run_state(first), "run-state"), log)
 
 
 @register("lm_patience", sql="""

@@ -124,6 +124,15 @@ def q_evaluate(spark, d):
     return W.evaluate_systems(seg, keys=["system"], with_ter=False)
 
 
+@register("compare_systems")
+def q_compare_systems(spark, d):
+    """X8 with A15: three systems on whole lines, all pairs, BLEU, chrF and TER at 10,000 trials."""
+    s = fx.line_systems(spark, d)
+    seg = C.concat_corpora({"A": s.select("seg_id", F.col("hyp_a").alias("hyp"), "ref"), "B": s.select("seg_id", F.col("hyp_b").alias("hyp"), "ref"),
+                            "C": s.select("seg_id", F.concat_ws(" ", "hyp_a", "hyp_b").alias("hyp"), "ref")}, "system")
+    return M.compare_systems(seg)
+
+
 @register("ter")
 def q_ter(spark, d):
     """A10: TER per system (rows-only: no SQL form of the shift search)."""

@@ -30,16 +30,19 @@ def one_line(c: str, breaks: str = "replace"):
     raise ValueError("breaks must be 'replace' or 'error'")
 
 
-def _ordered(df: DataFrame, order_cols, partition_cols=()) -> DataFrame:
-    keys = [*partition_cols, *order_cols]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def _ordered(df: DataFrame, order_cols, texts, partition_cols=()) -> DataFrame:
+    """Rows in order; of equal keys by the texts' hashes.  Range bounds are sampled from keys
+    and hashes, so no text reaches the driver or travels as a key."""
+    keys = [*partition_cols, *order_cols, "__hash"]
+    hashed = df.withColumn("__hash", F.xxhash64(*texts))
+    return hashed.repartitionByRange(*keys).sortWithinPartitions(*keys, *texts).drop("__hash")
 
 
 def write_lines(df: DataFrame, path: str, text: str = "text", order_cols=("line_no",),
                 partition_by=(), mode: str = "overwrite", breaks: str = "replace") -> None:
     """K1: ordered text output, one line per row (no BOM).  With
     ``partition_by`` every value gets its own folder of part files."""
-    out = _ordered(df.select(*partition_by, *order_cols, text), [*order_cols, text], list(partition_by))
+    out = _ordered(df.select(*partition_by, *order_cols, text), order_cols, [text], list(partition_by))
     w = out.select(*partition_by, one_line(text, breaks).alias("value")).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -53,8 +56,8 @@ def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("lin
 
     The pairs are first written once as a keyed Parquet table (kept at
     ``table_path`` if given, else a scratch table), and each side is sorted
-    from it by the same key; both texts belong to the key, so that ties
-    cannot come out in different orders."""
+    from it by the same key; the hash of both texts belongs to the key, so
+    that ties cannot come out in different orders."""
     keyed = df.select(*order_cols, src, tgt)
     if table_path:
         keyed.write.mode("overwrite").parquet(table_path)
@@ -62,7 +65,7 @@ def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("lin
     else:
         keyed = materialize(keyed, "pair")
     for side, path in ((src, src_path), (tgt, tgt_path)):
-        ordered = _ordered(keyed, [*order_cols, src, tgt])
+        ordered = _ordered(keyed, order_cols, [src, tgt])
         ordered.select(one_line(side, breaks).alias("value")).write.mode("overwrite").text(path)
 
 

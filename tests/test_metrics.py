@@ -253,3 +253,30 @@ def test_published_chrf_example(spark):
     assert round(f(tot), 2) == 59.73
     one = spark.createDataFrame(list(zip(DOC_HYPS, DOC_REFS[0])), "hyp string, ref string")
     assert abs(M.chrf(one).first().chrf - py_chrf(DOC_HYPS, DOC_REFS[0])) < 1e-4
+
+
+def test_all_pairs_equal_the_single_tests(spark):
+    rnd = random.Random(5)
+    words = "a b c d e f".split()
+    segs = [(f"s{i}", *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(4)]) for i in range(40)]
+    wide = spark.createDataFrame(segs, "seg_id string, x string, y string, z string, ref string")
+    long_ = wide.selectExpr("seg_id", "ref", "stack(3, 'x', x, 'y', y, 'z', z) as (system, hyp)")
+    got = {(r["metric"], r["system_a"], r["system_b"]): r for r in M.compare_systems(long_.repartition(5), trials=200, seed=4).collect()}
+    assert len(got) == 9
+    for name, test in (("bleu", M.significance_bleu), ("chrf", M.significance_chrf), ("ter", M.significance_ter)):
+        for a, b in ("xy", "xz", "yz"):
+            one = test(wide, a, b, trials=200, seed=4).first()
+            both = got[name, a, b]
+            assert (both["trials"], both["n_extreme"], both["p_value"]) == (one["trials"], one["n_extreme"], one["p_value"])
+            assert both["observed"] == one["observed"]
+    assert got["bleu", "x", "y"]["score_a"] == M.bleu(wide.withColumnRenamed("x", "hyp")).first()["bleu"]
+
+
+def test_comparison_edges(spark):
+    rows = [("s1", "x", "a b", "a b"), ("s1", "y", "a c", "a b"), ("s2", "x", "d", "d"), ("s3", None, "d", "d")]
+    df = spark.createDataFrame(rows, "seg_id string, system string, hyp string, ref string")
+    got = M.compare_systems(df, metrics=("ter",), trials=50).collect()  # s2 is only there for x
+    assert [(r["system_a"], r["system_b"], r["score_a"], r["score_b"]) for r in got] == [("x", "y", 0.0, 50.0)]
+    assert M.compare_systems(df.where("system = 'x'")).collect() == [] and M.compare_systems(df.limit(0)).collect() == []
+    with pytest.raises(Exception, match="twice"):
+        M.compare_systems(df.unionByName(df), trials=10).collect()

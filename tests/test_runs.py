@@ -106,3 +106,59 @@ def test_rerank_ties_and_nan(spark):
     flat = spark.createDataFrame([(i, f"h{i}") for i in range(10)], "p long, text string")
     g = NB.group_nbest(flat, "p", 5).collect()
     assert {(r.sent_id, r.hyp_idx) for r in g} == {(i // 5, i % 5) for i in range(10)}
+
+
+def _log(spark, rows):
+    return spark.createDataFrame(rows, "run string, task string, step long, bleu double")
+
+
+def test_a_state_carried_on_equals_the_scan_of_the_whole_log(spark):
+    import random
+    from parallax.operators import runs as R
+    rng = random.Random(6)
+    rows = [(f"r{i % 7}" if i % 11 else None, "t", i, None if i % 13 == 0 else float(rng.randint(-2, 12))) for i in range(400)]
+    state = lambda df: {(r["run"], r["task"]): (r["best"], r["stalled"], r["last_step"]) for r in df.collect()}
+
+    def plain(rows):
+        out = {}
+        for run, task, step, score in sorted(rows, key=lambda r: r[2]):
+            best, stalled, _ = out.get((run, task), (0.0, 0, None))
+            better = score is not None and score > best
+            out[run, task] = (score if better else best, 0 if better else stalled + 1, step)
+        return out
+
+    assert state(R.run_state(_log(spark, rows))) == plain(rows)
+    for cut in (0, 1, 57, 399, 400):
+        first = R.run_state(_log(spark, rows[:cut])) if cut else R.run_state(_log(spark, rows).limit(0))
+        assert state(R.continue_state(first, _log(spark, rows[cut:]))) == plain(rows)
+        assert state(R.continue_state(first, _log(spark, rows))) == plain(rows)  # what has been counted is passed over
+    third = R.continue_state(R.continue_state(R.run_state(_log(spark, rows[:100])), _log(spark, rows[100:101])), _log(spark, rows[101:]))
+    assert state(third) == plain(rows)
+
+
+def test_state_of_an_empty_log(spark):
+    from parallax.operators import runs as R
+    none = _log(spark, [("r", "t", 1, 1.0)]).limit(0)
+    assert R.run_state(none).collect() == []
+    some = R.run_state(_log(spark, [("r", "t", 1, 1.0)]))
+    assert R.continue_state(some, none).collect() == some.collect()
+
+
+def test_the_resume_query_on_an_empty_log(spark):
+    from pyspark.sql import functions as F
+    from parallax.operators import runs as R
+    none = _log(spark, [("r", "t", 1, 1.0)]).limit(0)
+    assert R.resume_state(none, at_step=none.agg(F.expr("max(step) div 2")).scalar()).collect() == []
+
+
+def test_chunks_stay_small_with_a_key_far_out(spark):
+    from pyspark.sql import functions as F
+    from parallax.operators.scan import chunk_by_count
+    rows = spark.range(200_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 77, F.lit(10 ** 12)).when(F.col("id") == 5, F.lit(-10 ** 14))
+                                       .otherwise(F.col("id")).alias("o"))
+    chunks = chunk_by_count(rows, ["g"], "o", "c", rows=2048)
+    sizes = chunks.groupBy("c").agg(F.count("*").alias("n"), F.min("o").alias("a"), F.max("o").alias("b")).orderBy("c").collect()
+    assert max(r["n"] for r in sizes) <= 3 * 2048 and sum(r["n"] for r in sizes) == 200_000
+    assert all(x["b"] < y["a"] for x, y in zip(sizes, sizes[1:]))
+    lone = chunk_by_count(spark.createDataFrame([("g", 1), ("g", None), (None, 3)], "g string, o long"), ["g"], "o", "c", rows=1).collect()
+    assert len(lone) == 3
