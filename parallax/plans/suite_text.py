@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tokens import subword_encode
+from ..functions.word_tokens import tokenize_words
 from . import fixtures as fx
 from .registry import register
 
@@ -88,6 +89,12 @@ def q_word_tokenize(spark, d):
     return fx.lines(spark, d).select("doc_id", "line_no", tx.word_tokenize("text").alias("tokens"))
 
 
+@register("word_tokenize_lang")
+def q_word_tokenize_lang(spark, d):
+    """P11 by the rules of each line's language."""
+    return fx.lines(spark, d).select("doc_id", "line_no", tokenize_words("text", F.col("lang")).alias("tokens"))
+
+
 @register("vocab_size", sql="""
   SELECT side, count(DISTINCT tok) AS n_vocab FROM (
     SELECT 'source' AS side, unnest(regexp_extract_all(source, '([\\p{L}\\p{N}]+)', 1)) AS tok FROM pairs_docs
