@@ -488,19 +488,19 @@ def compare_systems(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", system:
         _no_ws(hyp).alias("__hc"), _no_ws(ref).alias("__rc"), F.col(hyp).alias("__ht"), F.col(ref).alias("__rt"))
     of = {"bleu": (*_bleu_udf_stats("__h", "__r"), bleu_from_stats), "chrf": (*_chrf_udf_stats("__hc", "__rc"), chrf_from_stats),
           "ter": (ter_stats(F.col("__ht"), F.col("__rt")), ["edits", "ref"], _ter_from_stats)}
+    if len(names) < 2:
+        return seg.sparkSession.createDataFrame([], "metric string, system_a string, system_b string, score_a double, score_b double, "
+                                                    "trials long, observed double, n_extreme long, p_value double")
     used = [(m, *of[m]) for m in metrics]
     stats = pre.select("seg", "__s", F.concat(*[F.transform(c, lambda x: x.cast("double")) for _, c, _, _ in used]).alias("v"))
     per = stats.groupBy("seg").agg(*[F.collect_list(F.when(F.col("__s") == n, F.col("v"))).alias(f"s{i}") for i, n in enumerate(names)])
-    twice = F.greatest(*[F.size(f"s{i}") for i in range(len(names))], F.lit(0)) > 1 if names else F.lit(False)
-    per = per.where(F.least(*[F.size(f"s{i}") for i in range(len(names))], F.lit(1)) == 1) if names else per
+    twice = F.greatest(*[F.size(f"s{i}") for i in range(len(names))]) > 1
+    per = per.where(F.least(*[F.size(f"s{i}") for i in range(len(names))]) >= 1)
     per = per.select("seg", *[F.when(twice, F.raise_error(F.lit("a segment is there twice for a system")).cast("array<double>")).otherwise(F.col(f"s{i}")[0]).alias(f"s{i}")
                               for i in range(len(names))])
     from ..session import materialize
     per = materialize(per, "systems")
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    if not pairs:
-        return seg.sparkSession.createDataFrame([], "metric string, system_a string, system_b string, score_a double, score_b double, "
-                                                    "trials long, observed double, n_extreme long, p_value double")
     flat = [(m, n) for m, _, cols, _ in used for n in cols]
     side = lambda k: F.concat(*[F.col(f"s{p[k]}") for p in pairs])
     rows = per.select("seg", side(0).alias("a"), side(1).alias("b"))

@@ -82,7 +82,7 @@ def continue_state(state: DataFrame, later: DataFrame, metric: str = "bleu", key
     The old log is not needed: an evaluation improves if it is above the
     saved best and all later ones before it, so the last improvement is the
     first evaluation with the highest score, if that is above the saved
-    best.  Evaluations up to ``last_step`` have been counted already and are
+    best, and counts as 1 itself (see :func:`stall_counter`).  Evaluations up to ``last_step`` have been counted already and are
     passed over, so a log delivered twice changes nothing.  Runs without a
     state begin at ``seed_best``; runs without later evaluations keep theirs;
     a null score improves nothing."""
@@ -96,7 +96,7 @@ def continue_state(state: DataFrame, later: DataFrame, metric: str = "bleu", key
     top = new.groupBy(*keys).agg(F.max(F.when(F.col("__m") > start, F.struct(F.col("__m").alias("v"), (-F.col("__step")).alias("s")))).alias("__top"))
     after = (new.alias("n").join(top.alias("t"), same("n", "t")).select(*[F.col(f"n.{k}").alias(k) for k in keys], "__step", "__top")
              .groupBy(*keys).agg(F.max("__top").alias("__top"), F.max("__step").alias("__step"),
-                                 F.count(F.when(F.col("__top").isNull() | (F.col("__step") > -F.col("__top.s")), 1)).alias("__n")))
+                                 F.count(F.when(F.col("__top").isNull() | (F.col("__step") >= -F.col("__top.s")), 1)).alias("__n")))
     both = known.alias("k").join(after.alias("a"), same("k", "a"), "full_outer")
     improved = F.col("__top").isNotNull()
     return both.select(*[F.coalesce(F.col(f"k.{k}"), F.col(f"a.{k}")).alias(k) for k in keys],

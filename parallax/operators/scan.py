@@ -75,7 +75,8 @@ def chunk_by_count(df: DataFrame, group_cols, order_col: str, name: str = "__by_
     low, high = F.try_element_at("__cut", F.col("__q")), F.try_element_at("__cut", F.col("__q") + 1)
     fine = F.ceil(F.col("__cnt") / (32 * (rows or ROWS_PER_CHUNK)))
     inner = F.when(high > low, F.least(F.greatest(F.floor((x - low) / (high - low) * fine), F.lit(0)), fine - 1)).otherwise(F.lit(0))
-    chunk = F.when(F.col("__cut").isNull(), wide).when(x.isNotNull(), F.col("__q") * fine + inner)
+    chunk = (F.when(F.col("__cut").isNull(), wide).when(x.isNotNull(), F.col("__q") * fine + inner)
+             .otherwise((F.size("__cut") + 1) * fine))  # null keys come last, as among equal widths
     return j.withColumn(name, F.coalesce(chunk, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__cut", "__cnt", "__q")
 
 

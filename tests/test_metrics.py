@@ -2,6 +2,8 @@
 
 import math
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F

@@ -124,7 +124,7 @@ def test_a_state_carried_on_equals_the_scan_of_the_whole_log(spark):
         for run, task, step, score in sorted(rows, key=lambda r: r[2]):
             best, stalled, _ = out.get((run, task), (0.0, 0, None))
             better = score is not None and score > best
-            out[run, task] = (score if better else best, 0 if better else stalled + 1, step)
+            out[run, task] = (score if better else best, 1 if better else stalled + 1, step)
         return out
 
     assert state(R.run_state(_log(spark, rows))) == plain(rows)
