@@ -84,3 +84,12 @@ def test_nulls_and_repeats(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # encoded once, decoded once
     assert sorted((bytes(r["decoded"]), r["doc_id"]) for r in out.fillna(0, "doc_id").collect()) == [(b"", 1), (b"", 1), (b"", 2), (b"a b", 0)]
     assert df.limit(0).select(coder.encode(F.col("text"))).count() == 0
+
+
+def test_both_ways_together_give_the_same(spark):
+    coder = tokenizer(spark)
+    df = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "a b", 1), (2, "", 2), (3, "été 中文 \n" * 50, 3)], "doc_id long, text string, _both int")
+    one, two = (sorted((str(r["doc_id"]), r["_both"], bytes(r["ids"]), bytes(r["decoded"])) for r in f(df, coder).collect()) for f in (bpe.recode, bpe.recode_together))
+    assert one == two
+    out = bpe.recode_together(df.withColumn("ids", F.lit("old")), coder)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and out.columns == ["doc_id", "text", "_both", "ids", "decoded"]
