@@ -2,10 +2,9 @@
 
 import math
 import random
-
-import pytest
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from parallax.functions.ngrams import char_ngram_stats_py, word_ngram_stats_py
