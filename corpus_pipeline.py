@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text back."""
-    coded = bpe.recode(docs.select("doc_id", "text"), queries.tokenizer(spark))
+    coded = bpe.recode_together(docs.select("doc_id", "text"), queries.tokenizer(spark))
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == whole).alias("round_trip"))
 
