@@ -34,6 +34,21 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
+_bits: dict[tuple[str, ...], int] = {}
+
+
+def _bits_of(names: tuple[str, ...]) -> int:
+    bits = _bits.get(names)
+    if bits is None:
+        bits = 0
+        for name in names:
+            bits |= 1 << _slot(name, PATH_DIM)
+        if len(_bits) >= 20_000:
+            _bits.clear()
+        _bits[names] = bits
+    return bits
+
+
 class Node:
     """An open element: its tag and names, and what its path holds, as bits; a page's nodes share their paths."""
 
@@ -41,10 +56,8 @@ class Node:
 
     def __init__(self, parent: "Node | None", names: tuple[str, ...]):
         self.parent, self.names = parent, names
-        bits = parent.bits if parent else 0
-        for name in names:
-            bits |= 1 << _slot(name, PATH_DIM)
-        self.bits, self.depth = bits, (parent.depth if parent else 0) + 1
+        self.bits = _bits_of(names) | (parent.bits if parent else 0)
+        self.depth = (parent.depth if parent else 0) + 1
 
     def path(self) -> tuple[str, ...]:
         out, node = [], self
@@ -199,35 +212,37 @@ def read_blocks(html: str | None) -> list[Block]:
     return reader.blocks
 
 
+_vectors: dict[tuple[int, str, str], np.ndarray] = {}
+
+
 def path_vector(node: Node | None) -> np.ndarray:
     """Hashed names on the path, then the innermost tag and, weaker, the one around it."""
-    v = np.zeros(PATH_DIM + TAG_DIM, np.float32)
-    if node:
+    if node is None:
+        return np.zeros(PATH_DIM + TAG_DIM, np.float32)
+    key = node.bits, node.names[0], node.parent.names[0] if node.parent else ""
+    v = _vectors.get(key)
+    if v is None:
+        v = np.zeros(PATH_DIM + TAG_DIM, np.float32)
         raw = np.frombuffer(node.bits.to_bytes(PATH_DIM // 8, "little"), np.uint8)
         v[:PATH_DIM] = np.unpackbits(raw, bitorder="little")
-        if node.parent:
-            v[PATH_DIM + _slot(node.parent.names[0], TAG_DIM)] = 0.5
-        v[PATH_DIM + _slot(node.names[0], TAG_DIM)] = 1.0
+        if key[2]:
+            v[PATH_DIM + _slot(key[2], TAG_DIM)] = 0.5
+        v[PATH_DIM + _slot(key[1], TAG_DIM)] = 1.0
+        if len(_vectors) >= 20_000:
+            _vectors.clear()
+        _vectors[key] = v
     return v
 
 
-def _containers(blocks: list[Block], up: int) -> np.ndarray:
-    """For each block how its container, ``up`` elements above its own, stands on the page: its part of the page's text
+def _containers(keys: np.ndarray, chars: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For each block how its container, ``keys``, stands on the page: its part of the page's text
     outside of links, its part of text in links, its blocks, whether it is the one with most text, and the block's place before
     (-1), in (0) or behind (1) the blocks of that one."""
-    keys, number = np.zeros(len(blocks), np.int64), {}
-    for i, b in enumerate(blocks):
-        node = b.node
-        for _ in range(up):
-            node = node.parent if node and node.parent else node
-        keys[i] = number.setdefault(id(node), len(number))
-    chars = np.array([len(b.text) for b in blocks], float)
-    linked = np.array([b.linked for b in blocks], float)
     plain = np.bincount(keys, chars - linked)
     all_ = np.bincount(keys, chars)
     best = int(plain.argmax())
     inside = np.flatnonzero(keys == best)
-    at = np.arange(len(blocks))
+    at = np.arange(len(keys))
     where = np.where(at < inside[0], -1.0, np.where(at > inside[-1], 1.0, 0.0))
     return np.stack([(plain / max(plain.sum(), 1))[keys], 1 - (plain / np.maximum(all_, 1))[keys], np.log1p(np.bincount(keys))[keys] / 5,
                      keys == best, where], axis=1)
@@ -251,7 +266,11 @@ def features(blocks: list[Block]) -> np.ndarray:
         row[words_at:words_at + 9] = (np.log1p(size) / 8, b.linked / size, b.text[-1] in ".!?:", np.log1p(len(words)) / 6,
                                       min(b.node.depth if b.node else 0, 32) / 16, i / len(blocks), heading, "\u00a9" in b.text or "(c)" in b.text,
                                       sum(map(str.isdigit, b.text)) / size)
-    for k, up in enumerate((1, 2, 3)):
+    chars, linked = np.array([len(b.text) for b in blocks], float), np.array([b.linked for b in blocks], float)
+    around, number = [b.node for b in blocks], {}
+    for k in range(3):  # the elements one, two and three above a block's own
+        around = [node.parent or node if node else None for node in around]
+        keys = np.array([number.setdefault(id(node), len(number)) for node in around])
         row = words_at + 9 + 5 * k
-        x[:, row:row + 5] = _containers(blocks, up)
+        x[:, row:row + 5] = _containers(keys, chars, linked)
     return x

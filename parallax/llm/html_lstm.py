@@ -22,6 +22,8 @@ from .html_blocks import DIM, Block, Node, features, read_blocks
 #: expected pages in the training sample; longer pages teach nothing
 SAMPLE_PAGES, SAMPLE_CHARS = 150, 100_000
 HIDDEN, STEPS, BATCH, RATE = 24, 400, 24, 0.01
+#: made-up pages that may name their parts in any way; each is met several times
+DESIGNS = 1500
 #: blocks of a page that a training step sees, drawn anew from anywhere in the page at each step
 WINDOW = 200
 #: block slots that are labelled at once
@@ -379,6 +381,10 @@ def _window(x: np.ndarray, y: np.ndarray, rng: random.Random) -> tuple[np.ndarra
     return x[at:at + WINDOW], y[at:at + WINDOW]
 
 
+def _learnt(design: list[tuple[Block, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return features([b for b, _ in design]), np.array([y for _, y in design], np.float32)
+
+
 def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 2) -> Labeller:
     """Fit by Adam on real pages with declared labels and on made-up designs, half of each batch; of a page with more than
     ``WINDOW`` blocks a step sees so many in a row, from its start to its end each about as often."""
@@ -392,14 +398,14 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 2) -> Labell
             unnamed.append((features(_renamed(blocks, rng)), labels))
     texts = [b.text for blocks in pages for b in blocks] or ["text"]
     links = [b.text for blocks in pages for b in blocks if b.linked]
+    made = [_learnt(design) for design in (_any_design(texts, links, rng) for _ in range(DESIGNS)) if design]
     model = Labeller(seed=seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
     for step in range(1, steps + 1):
         batch = [rng.choice(real) for _ in range(BATCH // 4)] + [rng.choice(unnamed) for _ in range(BATCH // 8)] if real else []
-        while len(batch) < BATCH:
-            design = _page_designs(texts, links, rng) if len(batch) % 3 == 0 else _any_design(texts, links, rng)
-            batch.append((features([b for b, _ in design]), np.array([y for _, y in design], np.float32)))
+        for i in range(len(batch), BATCH):
+            batch.append(rng.choice(made) if i % 5 > 1 and made else _learnt(_page_designs(texts, links, rng)))
         batch = [_window(x, y, rng) for x, y in batch]
         x, mask = _padded([x for x, _ in batch])
         y = np.zeros(mask.shape, np.float32)
