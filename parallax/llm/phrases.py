@@ -7,7 +7,12 @@ whose bucket and parts may be frequent (the candidates), and once for each
 broadcast of tries, to count the candidates exactly: all word starts of a
 text advance through a double-array trie at once, byte by byte, accepting
 states are bincounted and the counts of all shards summed.  The two hashed
-tables have a fixed size; collisions only add candidates."""
+tables have a fixed size; collisions only add candidates.  Each bucket has an
+owner, one phrase that one class of documents hands on; other phrases of the
+bucket are handed on by all classes.  The finds of the candidates must add up
+to the places they were collected from: where a phrase shares bucket and
+fingerprint with an owner and so many finds are missing that it may be
+frequent, all classes hand on all phrases."""
 
 from __future__ import annotations
 
@@ -36,6 +41,10 @@ SLICE = 1 << 20
 HELD = 300_000
 #: classes of documents: a candidate is collected from those of one class only
 CLASSES = 128
+#: bits of the hash that tell an owner from the other phrases of its bucket
+PRINT = 24
+#: owner of a bucket that is not frequent
+NOBODY = (1 << 32) - 1
 #: buckets a row of the hashed tables holds
 CHUNK = 1 << 15
 
@@ -199,8 +208,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from drain()
 
 
-def _test(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    return table[h >> np.uint64(64 - bits)] != 255
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _print(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of the hash after those of the bucket."""
+    return ((h >> np.uint64(64 - bits - PRINT)) & np.uint64((1 << PRINT) - 1)).astype(np.int64)
+
+
+def _test(flags: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    at = _bucket(h, bits)
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def _possible(words: Words, k: int, parts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,18 +235,18 @@ def _possible(words: Words, k: int, parts: np.ndarray, bits: int) -> tuple[np.nd
     return first, words.phrase_hash(first, k)
 
 
-def _bucket_rows(table: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ``(chunk, sparse, cells)`` of the chunks that are not empty: counts, and the lowest class of each bucket."""
+def _bucket_rows(table: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``(chunk, sparse, cells)`` of the chunks that are not empty: counts, and the lowest owner of each bucket."""
     chunks, sparse, cells = [], [], []
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(sparse, pa.bool_()), pa.array(cells, pa.binary())], ["chunk", "sparse", "cells"])
 
-    parts, lowest = table.reshape(-1, CHUNK), kinds.reshape(-1, CHUNK)
+    parts, lowest = table.reshape(-1, CHUNK), owners.reshape(-1, CHUNK)
     for chunk in np.flatnonzero(parts.any(axis=1)).tolist():
         at = np.flatnonzero(parts[chunk])
         chunks.append(chunk)
-        sparse.append(4 * len(at) < 2 * CHUNK)
+        sparse.append(7 * len(at) < 5 * CHUNK)
         cells.append(at.astype(np.uint16).tobytes() + parts[chunk][at].tobytes() + lowest[chunk][at].tobytes() if sparse[-1]
                      else parts[chunk].tobytes() + lowest[chunk].tobytes())
         if len(chunks) == 64:
@@ -237,22 +256,23 @@ def _bucket_rows(table: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatc
         yield batch()
 
 
-def _add_cells(total: np.ndarray, kinds: np.ndarray, sparse: bool, cells: bytes) -> None:
-    n = len(cells) // 4 if sparse else CHUNK
+def _add_cells(total: np.ndarray, owners: np.ndarray, sparse: bool, cells: bytes) -> None:
+    n = len(cells) // 7 if sparse else CHUNK
     at = np.frombuffer(cells, np.uint16, n) if sparse else slice(None)
     skip = 2 * n if sparse else 0
+    # a sum that stops at 255 is frequent: the least that counts is 255 at most
     total[at] = np.minimum(total[at] + np.frombuffer(cells, np.uint8, n, skip), 255)
-    kinds[at] = np.minimum(kinds[at], np.frombuffer(cells, np.uint8, n, skip + n))
+    owners[at] = np.minimum(owners[at], np.frombuffer(cells, np.uint32, n, skip + n))
 
 
 def _sum_buckets(least: int):
-    """Rows of a chunk next to each other -> ``(chunk, cells)``: for each bucket of at least ``least`` its lowest class, else 255."""
+    """Rows of a chunk next to each other -> ``(chunk, cells)``: the owner of each bucket of at least ``least``, else ``NOBODY``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, kinds = None, np.zeros(CHUNK, np.uint16), np.full(CHUNK, 255, np.uint8)
+        now, total, owners = None, np.zeros(CHUNK, np.uint16), np.full(CHUNK, NOBODY, np.uint32)
 
         def done() -> pa.RecordBatch:
-            cells = zlib.compress(np.where(total >= least, kinds, 255).astype(np.uint8).tobytes(), 1)
+            cells = zlib.compress(np.where(total >= least, owners, np.uint32(NOBODY)).tobytes(), 1)
             return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([cells], pa.binary())], ["chunk", "cells"])
 
         for batch in batches:
@@ -261,8 +281,8 @@ def _sum_buckets(least: int):
                     if now is not None:
                         yield done()
                     now = chunk
-                    total[:], kinds[:] = 0, 255
-                _add_cells(total, kinds, sparse, cells)
+                    total[:], owners[:] = 0, NOBODY
+                _add_cells(total, owners, sparse, cells)
         if now is not None:
             yield done()
 
@@ -270,16 +290,25 @@ def _sum_buckets(least: int):
 
 
 def _buckets(rows: DataFrame, least: int) -> dict[int, bytes]:
-    """The packed chunks that hold a frequent bucket: 2 ** bits bytes at most, whatever the input."""
+    """The packed chunks that hold a frequent bucket: 4 * 2 ** bits bytes at most, whatever the input."""
     summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_buckets(least), "chunk long, cells binary")
     return {r["chunk"]: bytes(r["cells"]) for r in summed.collect()}
 
 
 def _unpack(packed: dict[int, bytes], bits: int) -> np.ndarray:
-    """The class of each bucket, 255 where it is not frequent."""
-    out = np.full(1 << bits, 255, np.uint8)
+    """The owner of each bucket, ``NOBODY`` where it is not frequent."""
+    out = np.full(1 << bits, NOBODY, np.uint32)
+    for chunk, cells in packed.items():
+        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(cells), np.uint32)
+    return out
+
+
+def _unpack_flags(packed: dict[int, bytes], bits: int) -> np.ndarray:
+    """A bit for each bucket: set where it is frequent."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for chunk, cells in packed.items():
-        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(cells), np.uint8)
+        frequent = np.frombuffer(zlib.decompress(cells), np.uint32) != NOBODY
+        out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.packbits(frequent, bitorder="little")
     return out
 
 
@@ -287,7 +316,7 @@ def _frequent_bits(bits: int):
     """Phrases ``(lang, phrase)`` -> buckets of their hashes, each marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint8)
+        table, owners = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             by: dict[bytes, list[bytes]] = {}
             for lang, phrase in zip(*[c.to_pylist() for c in batch.columns]):
@@ -295,57 +324,74 @@ def _frequent_bits(bits: int):
             for lang, phrases in by.items():
                 words = Words(np.frombuffer(b"\n" + b"\n".join(phrases) + b"\n", np.uint8), _seed(lang))
                 k = phrases[0].count(b" ") + 1
-                table[words.phrase_hash(words.whole(k), k) >> np.uint64(64 - bits)] = 1
-        yield from _bucket_rows(table, kinds)
+                table[_bucket(words.phrase_hash(words.whole(k), k), bits)] = 1
+        yield from _bucket_rows(table, owners)
 
     return run
 
 
 def _bucket_counts(k: int, parts, bits: int):
+    """Sums of the buckets of the phrases whose parts may be frequent, and of each bucket the lowest owner: a class and a fingerprint in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds = np.zeros(1 << bits, np.uint8), np.full(1 << bits, 255, np.uint8)
-        good = _unpack(parts.value, bits)
+        table, owners = np.zeros(1 << bits, np.uint8), np.full(1 << bits, NOBODY, np.uint32)
+        good = _unpack_flags(parts.value, bits)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
             first, h = _possible(words, k, good, bits)
             kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
-            both, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64) * CLASSES + kind, return_counts=True)
+            both, n = np.unique((_bucket(h, bits) << 32) + (kind << PRINT) + _print(h, bits), return_counts=True)
             if len(both):
-                at = both // CLASSES
+                at = both >> 32
                 new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 where = at[new]
                 table[where] = np.minimum(table[where] + np.add.reduceat(n, new), 255)
-                kinds[where] = np.minimum(kinds[where], both[new] % CLASSES)
-        yield from _bucket_rows(table, kinds)
+                owners[where] = np.minimum(owners[where], (both[new] & NOBODY).astype(np.uint32))
+        yield from _bucket_rows(table, owners)
 
     return run
 
 
-def _candidates(k: int, parts, often, bits: int):
-    """Distinct phrases of k words whose parts and whose bucket may be frequent.
+def _candidates(k: int, parts, often, bits: int, everywhere: bool = False):
+    """Phrases ``(lang, phrase)`` of k words whose parts and whose bucket may be frequent, and a row of neither with their ``places``.
 
-    Each bucket has one class of documents, the lowest one that holds it, so
-    that few tasks hand on the same phrase."""
+    The owner of a bucket comes from the documents of its class only, so that
+    few tasks hand on the same phrase; all other phrases come from all
+    documents, and so do owners ``everywhere``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "phrase", "places"]
         seen: dict[bytes, set[bytes]] = {}
-        good, owner = _unpack(parts.value, bits), _unpack(often.value, bits)
+        places = 0
+        good, owners = _unpack_flags(parts.value, bits), _unpack(often.value, bits)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
             first, h = _possible(words, k, good, bits)
-            first = first[owner[h >> np.uint64(64 - bits)] == classes[np.searchsorted(begin, words.start[first], "right") - 1]]
+            owner = owners[_bucket(h, bits)].astype(np.int64)
+            often_ = owner != NOBODY
+            first, h, owner = first[often_], h[often_], owner[often_]
+            places += len(first)
+            if not everywhere:
+                kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
+                first = first[(owner >> PRINT == kind) | (owner & ((1 << PRINT) - 1) != _print(h, bits))]
             raw = text.tobytes()
             known = seen.setdefault(lang, set())
             new = {raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first + k - 1].tolist())} - known
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.binary()), pa.array(list(new), pa.binary())], ["lang", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.binary()), pa.array(list(new), pa.binary()), pa.nulls(len(new), pa.int64())], names)
             known |= new
             if sum(map(len, seen.values())) > HELD:
                 seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([places], pa.int64())], names)
 
     return run
 
 
+def _prefix(lang: bytes) -> bytes:
+    """What the keys of a language begin with: no other newline than its last byte."""
+    return lang.replace(b"\\", b"\\\\").replace(b"\n", b"\\n") + b"\n"
+
+
 _TRIES = "trie string, number long, lang binary, phrase binary, arrays binary"
 
 
@@ -358,7 +404,7 @@ def _build_tries(trie_bytes: int):
         name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
 
         def rows(lang: list, phrase: list, part: int) -> Iterator[pa.RecordBatch]:
-            keys = [a + b"\n" + b for a, b in zip(lang, phrase)]
+            keys = [_prefix(a) + b for a, b in zip(lang, phrase)]
             order = sorted(range(len(keys)), key=keys.__getitem__)
             trie = double_array.build([keys[i] for i in order])
             arrays = b"".join(a.astype("<i4").tobytes() for a in trie)
@@ -407,7 +453,7 @@ def _count_phrases(tries, k: int):
             gap = _STOP[text]
             starts = (np.flatnonzero(gap[:-1] & ~gap[1:]) + 1).astype(np.int32)
             for (_, trie), total in zip(built, counts):
-                root = trie.walk(lang + b"\n")
+                root = trie.walk(_prefix(lang))
                 if root >= 0:
                     found = np.bincount(double_array.match(trie, root, text, starts, _STOP))
                     total[:len(found)] += found
@@ -425,14 +471,17 @@ def _count_phrases(tries, k: int):
 
 
 def _sum_counts(least: int):
-    """Rows of a chunk next to each other -> ``(trie, number, n)`` of the phrases found at least ``least`` times."""
+    """Rows of a chunk next to each other -> ``(trie, number, n)`` of the phrases found at least ``least`` times,
+    and a row without number with the finds of them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(CHUNK, np.int64)
 
         def done() -> pa.RecordBatch:
             at = np.flatnonzero(total >= least)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(at), pa.string()), pa.array(at + now[1] * CHUNK), pa.array(total[at])], ["trie", "number", "n"])
+            number = pa.array([None, *(at + now[1] * CHUNK).tolist()], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * (len(at) + 1), pa.string()), number, pa.array([int(total.sum()), *total[at].tolist()], pa.int64())],
+                                              ["trie", "number", "n"])
 
         for batch in batches:
             for trie, chunk, wide, cells in zip(*[c.to_pylist() for c in batch.columns]):
@@ -462,15 +511,9 @@ def _passes(tries: list, limit: int) -> Iterator[list]:
         yield group
 
 
-def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_count: int, bits: int, trie_bytes: int,
-           pass_bytes: int) -> tuple[DataFrame, str]:
-    """``(lang, phrase, n)`` of the frequent phrases of k words, given those of k - 1, saved."""
-    sc, gone = spark.sparkContext, []
-    table = "chunk long, sparse boolean, cells binary"
-    parts = sc.broadcast(_buckets(below.select("lang", "phrase").mapInArrow(_frequent_bits(bits), table), 1))
-    often = sc.broadcast(_buckets(texts.mapInArrow(_bucket_counts(k, parts, bits), table), min(min_count, 255)))
-    found, path = save(texts.mapInArrow(_candidates(k, parts, often, bits), "lang binary, phrase binary").distinct(), "candidates")
-    gone.append(path)
+def _finds(spark: SparkSession, texts: DataFrame, found: DataFrame, k: int, min_count: int, trie_bytes: int, pass_bytes: int,
+           gone: list[str]) -> tuple[DataFrame, int]:
+    """``(lang, phrase, n)`` of the candidates found ``min_count`` times or more, and the finds of all candidates."""
     total = found.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
     spread = max(1, -(-total // trie_bytes))
     dealt = found.repartitionByRange(spread, "lang", "phrase").sortWithinPartitions("lang", "phrase") if spread > 1 else found.coalesce(1).sort("lang", "phrase")
@@ -480,16 +523,41 @@ def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_
     counts = None
     for ids in _passes(sorted(built.select("trie", F.octet_length("arrays").alias("size")).collect()), pass_bytes):
         # one after the other: the driver holds the arrays of one trie at a time
-        sent = [(i, sc.broadcast(bytes(built.where(F.col("trie") == i).select("arrays").first()[0]))) for i in ids]
-        found = texts.mapInArrow(_count_phrases(sent, k), _COUNTS).repartition("trie", "chunk").sortWithinPartitions("trie", "chunk")
-        some, path = save(found.mapInArrow(_sum_counts(min_count), "trie string, number long, n long"), "finds")
+        sent = [(i, spark.sparkContext.broadcast(bytes(built.where(F.col("trie") == i).select("arrays").first()[0]))) for i in ids]
+        finds = texts.mapInArrow(_count_phrases(sent, k), _COUNTS).repartition("trie", "chunk").sortWithinPartitions("trie", "chunk")
+        some, path = save(finds.mapInArrow(_sum_counts(min_count), "trie string, number long, n long"), "finds")
         for _, arrays in sent:
             arrays.destroy()
         gone.append(path)
         counts = some if counts is None else counts.unionByName(some)
     phrases = tries.where("number is not null").select("trie", "number", "lang", "phrase")
-    counts = counts if counts is not None else phrases.select("trie", "number", F.lit(0).cast("long").alias("n")).where("n > 0")
-    out, path = save(phrases.join(counts, ["trie", "number"]).select("lang", "phrase", "n"), f"frequent{k}")
+    if counts is None:
+        return phrases.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("n > 0"), 0
+    return phrases.join(counts, ["trie", "number"]).select("lang", "phrase", "n"), counts.where("number is null").agg(F.sum("n")).first()[0] or 0
+
+
+def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_count: int, bits: int, trie_bytes: int,
+           pass_bytes: int) -> tuple[DataFrame, str]:
+    """``(lang, phrase, n)`` of the frequent phrases of k words, given those of k - 1, saved."""
+    sc, gone = spark.sparkContext, []
+    table = "chunk long, sparse boolean, cells binary"
+    parts = sc.broadcast(_buckets(below.select("lang", "phrase").mapInArrow(_frequent_bits(bits), table), 1))
+    often = sc.broadcast(_buckets(texts.mapInArrow(_bucket_counts(k, parts, bits), table), min(min_count, 255)))
+
+    def collected(everywhere: bool) -> DataFrame:
+        rows = texts.mapInArrow(_candidates(k, parts, often, bits, everywhere), "lang binary, phrase binary, places long")
+        got, path = save(rows.groupBy("lang", "phrase").agg(F.sum("places").alias("places")), "candidates")
+        gone.append(path)
+        return got
+
+    got = collected(False)
+    places = got.where("phrase is null").agg(F.sum("places")).first()[0] or 0
+    found = got.where("phrase is not null").select("lang", "phrase")
+    frequent, finds = _finds(spark, texts, found, k, min_count, trie_bytes, pass_bytes, gone)
+    if places - finds >= min_count:
+        rest = collected(True).where("phrase is not null").select("lang", "phrase").join(found, ["lang", "phrase"], "left_anti")
+        frequent = frequent.unionByName(_finds(spark, texts, rest, k, min_count, trie_bytes, pass_bytes, gone)[0])
+    out, path = save(frequent, f"frequent{k}")
     parts.destroy()
     often.destroy()
     remove(spark, *gone)
@@ -501,7 +569,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", ma
     """``(lang, phrase, k, f)`` of the phrases of 1 to ``max_words`` words found ``min_count`` times or more, and ``(lang, n)``, all words.
 
     The broadcasts do not grow with the input: two packed tables of at most
-    ``2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
+    ``4 * 2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
     candidates mean more passes over the texts."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"),

@@ -119,3 +119,46 @@ def test_match_counts_whole_words():
     stop[[10, 32]] = True
     starts = np.flatnonzero(stop[text[:-1]] & ~stop[text[1:]]) + 1
     assert sorted(double_array.match(trie, 0, text, starts, stop).tolist()) == [0, 0, 1]
+
+
+def test_phrases_that_share_a_bucket_are_all_found(spark):
+    """Nearly all of 32,768 buckets hold several phrases, most of them from documents of other classes."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(250)]
+    docs = [(", ".join(words * 12), "en")]
+    docs += [(". ".join(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(600)), "en") for _ in range(60)]
+    docs += [(". ".join([f"{rng.choice(words)} {rng.choice(words)} z{i}"] * 12), "en") for i in range(80)]
+    options = {"max_words": 3, "min_count": 10, "covered": 101, "top": 2000}
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.mine(df, bits=15, **options).collect()) == plain(docs, **options)
+
+
+def test_owners_with_the_same_fingerprint_are_collected_everywhere(spark, monkeypatch):
+    """No fingerprints: the missing finds show that phrases were left out."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(250)]
+    docs = [(", ".join(words * 12), "en")]
+    docs += [(". ".join(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(600)), "en") for _ in range(60)]
+    docs += [(". ".join([f"{rng.choice(words)} {rng.choice(words)}"] * 12), "en") for _ in range(80)]
+    rounds = []
+
+    def blind(name, *args):
+        def run(batches):
+            from parallax.llm import phrases as here  # the worker's own
+            seen, here._print = here._print, lambda h, bits: np.zeros(len(h), np.int64)
+            yield from getattr(here, name)(*args)(batches)
+            here._print = seen
+        return run
+
+    monkeypatch.setattr(phrases, "_candidates", lambda *args: rounds.append(args[-1]) or blind("_candidates", *args))
+    monkeypatch.setattr(phrases, "_bucket_counts", lambda *args: blind("_bucket_counts", *args))
+    options = {"max_words": 2, "min_count": 10, "covered": 101, "top": 2000}
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.mine(df, bits=15, **options).collect()) == plain(docs, **options)
+    assert rounds == [False, True]
+
+
+def test_a_language_name_with_a_newline_is_no_other_language(spark):
+    docs = [("b\nx y. " * 12, "a"), ("x y. " * 12, "a\nb"), ("c d. " * 12, "a\\nb")]
+    options = {"max_words": 2, "min_count": 10, "covered": 50, "top": 2000}
+    assert mined(spark, docs, **options) == plain(docs, **options)
