@@ -3,10 +3,10 @@
 A phrase of k words can only be frequent if its parts of k - 1 words are.
 For each k the texts are read three times: once to add up hashed buckets of
 the phrases whose parts may be frequent, once to collect the distinct phrases
-whose bucket and parts may be frequent (the candidates), and once for each
+whose buckets and parts may be frequent (the candidates), and once for each
 broadcast of tries, to count the candidates exactly: all word starts of a
 text advance through a double-array trie at once, byte by byte, accepting
-states are bincounted and the counts of all shards summed.  The two hashed
+states are bincounted and the counts of all shards summed.  The hashed
 tables have a fixed size; collisions only add candidates.  Each bucket has an
 owner, one phrase that one class of documents hands on; other phrases of the
 bucket are handed on by all classes.  The finds of the candidates must add up
@@ -217,11 +217,19 @@ def _print(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h >> np.uint64(64 - bits - PRINT)) & np.uint64((1 << PRINT) - 1)).astype(np.int64)
 
 
-def _test(flags: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    at = _bucket(h, bits)
+def _other_bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    """The phrase's bucket in the second table, by the lowest bits of the hash."""
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _flags_at(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+def _test(flags: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    return _flags_at(flags, _bucket(h, bits))
+
+
 def _possible(words: Words, k: int, parts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the phrases of k words whose parts of k - 1 words may be frequent."""
     first = words.whole(k)
@@ -235,8 +243,9 @@ def _possible(words: Words, k: int, parts: np.ndarray, bits: int) -> tuple[np.nd
     return first, words.phrase_hash(first, k)
 
 
-def _bucket_rows(table: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ``(chunk, sparse, cells)`` of the chunks that are not empty: counts, and the lowest owner of each bucket."""
+def _bucket_rows(table: np.ndarray, owners: np.ndarray, base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows ``(chunk, sparse, cells)`` of the chunks that are not empty: counts, and the lowest owner of each bucket.
+    Chunks are numbered from ``base``."""
     chunks, sparse, cells = [], [], []
 
     def batch() -> pa.RecordBatch:
@@ -245,7 +254,7 @@ def _bucket_rows(table: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBat
     parts, lowest = table.reshape(-1, CHUNK), owners.reshape(-1, CHUNK)
     for chunk in np.flatnonzero(parts.any(axis=1)).tolist():
         at = np.flatnonzero(parts[chunk])
-        chunks.append(chunk)
+        chunks.append(base + chunk)
         sparse.append(7 * len(at) < 5 * CHUNK)
         cells.append(at.astype(np.uint16).tobytes() + parts[chunk][at].tobytes() + lowest[chunk][at].tobytes() if sparse[-1]
                      else parts[chunk].tobytes() + lowest[chunk].tobytes())
@@ -290,7 +299,7 @@ def _sum_buckets(least: int):
 
 
 def _buckets(rows: DataFrame, least: int) -> dict[int, bytes]:
-    """The packed chunks that hold a frequent bucket: 4 * 2 ** bits bytes at most, whatever the input."""
+    """The packed chunks that hold a frequent bucket: 4 * 2 ** bits bytes a table at most, whatever the input."""
     summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_buckets(least), "chunk long, cells binary")
     return {r["chunk"]: bytes(r["cells"]) for r in summed.collect()}
 
@@ -298,17 +307,19 @@ def _buckets(rows: DataFrame, least: int) -> dict[int, bytes]:
 def _unpack(packed: dict[int, bytes], bits: int) -> np.ndarray:
     """The owner of each bucket, ``NOBODY`` where it is not frequent."""
     out = np.full(1 << bits, NOBODY, np.uint32)
-    for chunk, cells in packed.items():
-        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(cells), np.uint32)
+    for chunk in range((1 << bits) // CHUNK):
+        if chunk in packed:
+            out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(packed[chunk]), np.uint32)
     return out
 
 
-def _unpack_flags(packed: dict[int, bytes], bits: int) -> np.ndarray:
-    """A bit for each bucket: set where it is frequent."""
+def _unpack_flags(packed: dict[int, bytes], bits: int, base: int = 0) -> np.ndarray:
+    """A bit for each bucket of the table whose chunks begin at ``base``: set where it is frequent."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for chunk, cells in packed.items():
-        frequent = np.frombuffer(zlib.decompress(cells), np.uint32) != NOBODY
-        out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.packbits(frequent, bitorder="little")
+    for chunk in range((1 << bits) // CHUNK):
+        if base + chunk in packed:
+            frequent = np.frombuffer(zlib.decompress(packed[base + chunk]), np.uint32) != NOBODY
+            out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.packbits(frequent, bitorder="little")
     return out
 
 
@@ -331,14 +342,20 @@ def _frequent_bits(bits: int):
 
 
 def _bucket_counts(k: int, parts, bits: int):
-    """Sums of the buckets of the phrases whose parts may be frequent, and of each bucket the lowest owner: a class and a fingerprint in it."""
+    """Sums of the buckets of the phrases whose parts may be frequent, and of each bucket the lowest owner: a class and a fingerprint in it.
+
+    A second table sums other buckets of the same phrases: a rare phrase that
+    shares one bucket with a frequent one seldom shares both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, owners = np.zeros(1 << bits, np.uint8), np.full(1 << bits, NOBODY, np.uint32)
+        other = np.zeros(1 << bits, np.uint8)
         good = _unpack_flags(parts.value, bits)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
             first, h = _possible(words, k, good, bits)
+            at, n = np.unique(_other_bucket(h, bits), return_counts=True)
+            other[at] = np.minimum(other[at] + n, 255)
             kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
             both, n = np.unique((_bucket(h, bits) << 32) + (kind << PRINT) + _print(h, bits), return_counts=True)
             if len(both):
@@ -348,12 +365,14 @@ def _bucket_counts(k: int, parts, bits: int):
                 table[where] = np.minimum(table[where] + np.add.reduceat(n, new), 255)
                 owners[where] = np.minimum(owners[where], (both[new] & NOBODY).astype(np.uint32))
         yield from _bucket_rows(table, owners)
+        del table, owners
+        yield from _bucket_rows(other, np.zeros(1 << bits, np.uint32), (1 << bits) // CHUNK)
 
     return run
 
 
 def _candidates(k: int, parts, often, bits: int, everywhere: bool = False):
-    """Phrases ``(lang, phrase)`` of k words whose parts and whose bucket may be frequent, and a row of neither with their ``places``.
+    """Phrases ``(lang, phrase)`` of k words whose parts and both of whose buckets may be frequent, and a row of neither with their ``places``.
 
     The owner of a bucket comes from the documents of its class only, so that
     few tasks hand on the same phrase; all other phrases come from all
@@ -363,13 +382,13 @@ def _candidates(k: int, parts, often, bits: int, everywhere: bool = False):
         names = ["lang", "phrase", "places"]
         seen: dict[bytes, set[bytes]] = {}
         places = 0
-        good, owners = _unpack_flags(parts.value, bits), _unpack(often.value, bits)
+        good, owners, other = _unpack_flags(parts.value, bits), _unpack(often.value, bits), _unpack_flags(often.value, bits, (1 << bits) // CHUNK)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
             first, h = _possible(words, k, good, bits)
             owner = owners[_bucket(h, bits)].astype(np.int64)
-            often_ = owner != NOBODY
-            first, h, owner = first[often_], h[often_], owner[often_]
+            frequent = (owner != NOBODY) & _flags_at(other, _other_bucket(h, bits))
+            first, h, owner = first[frequent], h[frequent], owner[frequent]
             places += len(first)
             if not everywhere:
                 kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
@@ -568,7 +587,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", ma
                      trie_bytes: int = TRIE_BYTES, pass_bytes: int = PASS_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, k, f)`` of the phrases of 1 to ``max_words`` words found ``min_count`` times or more, and ``(lang, n)``, all words.
 
-    The broadcasts do not grow with the input: two packed tables of at most
+    The broadcasts do not grow with the input: packed tables of at most
     ``4 * 2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
     candidates mean more passes over the texts."""
     spark = docs.sparkSession
