@@ -66,13 +66,30 @@ def pairs_conv(spark, d) -> DataFrame:
     return u.join(a, ["conv_id", "turn"])
 
 
+def _paired_lines(docs: DataFrame, **texts: str) -> DataFrame:
+    """The lines of each column of ``texts`` side by side, named by their keywords, as far as all go."""
+    docs = docs.where(" and ".join(f"{c} is not null" for c in texts.values()))
+    docs = docs.select("*", *[F.split(c, "\n", -1).alias(f"__{name}") for name, c in texts.items()]).drop(*texts.values())
+    n = F.least(*[F.size(f"__{name}") for name in texts])
+    zipped = F.arrays_zip(*[F.slice(f"__{name}", 1, n).alias(name) for name in texts])
+    keep = [c for c in docs.columns if c not in {f"__{name}" for name in texts}]
+    out = docs.select(*keep, F.posexplode(zipped).alias("__pos", "__line"))
+    return out.select(*keep, (F.col("__pos") + 1).cast("long").alias("line_no"), *[py_strip(F.col("__line")[name]).alias(name) for name in texts])
+
+
+def _documents_of(spark, d, back: int, name: str, *more: str) -> DataFrame:
+    """Whole texts as ``name``, under the id of the document ``back`` before; not spread, as the join deals them anew."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("source", "corpus")
+    return docs.select((F.col("doc_id") - back if back else F.col("doc_id")).alias("doc_id"), *more, F.col("text").alias(name))
+
+
 def pairs_docs(spark, d) -> DataFrame:
-    """FX4: lines of document d aligned with lines of document d+1 by line_no."""
+    """FX4: lines of document d aligned with lines of document d+1 by line_no.
+
+    The documents are aligned whole and split after that: no line takes its keys through the shuffle."""
     from ..operators.align import zip_truncate
-    ln = lines(spark, d)
-    src = ln.select("corpus", "lang", "doc_id", "line_no", F.col("text").alias("source"))
-    tgt = ln.select((F.col("doc_id") - 1).alias("doc_id"), "line_no", F.col("text").alias("target"))
-    return zip_truncate(src, tgt, ["doc_id"])
+    both = zip_truncate(_documents_of(spark, d, 0, "a", "corpus", "lang"), _documents_of(spark, d, 1, "b"), line_col="doc_id")
+    return _paired_lines(both, source="a", target="b").select("doc_id", "line_no", "corpus", "lang", "source", "target")
 
 
 def subwords(spark):
@@ -85,10 +102,8 @@ def subwords(spark):
 def line_systems(spark, d) -> DataFrame:
     """Two systems on whole lines: line n of documents d+1 and d+2 as outputs for line n of document d."""
     from ..operators.align import zip_truncate
-    ln = lines(spark, d)
-    side = lambda k, name: ln.select((F.col("doc_id") - k).alias("doc_id"), "line_no", F.col("text").alias(name))
-    both = zip_truncate(side(1, "hyp_a"), side(2, "hyp_b"), ["doc_id"])
-    out = zip_truncate(both, side(0, "ref"), ["doc_id"])
+    both = zip_truncate(_documents_of(spark, d, 1, "a"), _documents_of(spark, d, 2, "b"), line_col="doc_id")
+    out = _paired_lines(zip_truncate(both, _documents_of(spark, d, 0, "r"), line_col="doc_id"), hyp_a="a", hyp_b="b", ref="r")
     return out.select(F.concat_ws("-", "doc_id", "line_no").alias("seg_id"), "hyp_a", "hyp_b", "ref")
 
 
