@@ -112,6 +112,29 @@ def test_long_segments_against_the_plain_search(n, m):
         assert T.ter_edits(hyp, ref) == plain(hyp, ref)
 
 
+def test_segments_side_by_side(monkeypatch):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(300):
+        n, m = rng.choice([(60, 60), (30, 70), (70, 30), (1, 90), (90, 1), (26, 4), (5, 5), (0, 40), (40, 0)])
+        ref = [rng.randrange(rng.choice([3, 30])) for _ in range(m)]
+        hyp = ref[:n] + [rng.randrange(30) for _ in range(n - m)]
+        if hyp:
+            at, to = rng.randrange(len(hyp)), rng.randrange(len(hyp))
+            hyp[to:to] = hyp[at:at + 3]
+        pairs.append((hyp, ref))
+    alone = [T.ter_edits(h, r) for h, r in pairs]
+    assert alone[:60] == [plain(h, r) for h, r in pairs[:60]]
+    rows = []
+    forward = T._Bands.forward
+    monkeypatch.setattr(T._Bands, "forward", lambda self, x, *a: rows.append(len(x)) or forward(self, x, *a))
+    assert T.ter_edits_of(pairs) == alone
+    assert len(rows) * 10 < sum(rows)  # many segments a step
+    monkeypatch.setattr(T, "GROUP", 3)
+    monkeypatch.setattr(T, "ROW_CELLS", 100)
+    assert T.ter_edits_of(pairs) == alone
+
+
 def test_goldens():
     assert T.ter_edits("a b c d".split(), "c d a b".split()) == (1, 4)
     assert T.ter_edits("a b c".split(), "a b c".split()) == (0, 3)
