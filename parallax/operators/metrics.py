@@ -371,24 +371,34 @@ def _swapped_sums(rows: DataFrame, width: int, trials: int, seed: int) -> DataFr
     Folded by numpy inside each task: a slice of segments gives a matrix of
     coins, whose product with the differences is added to one (trials x
     width) table; only that table leaves the task."""
-    import hashlib
+    from hashlib import md5
 
     import numpy as np
     import pandas as pd
     blocks = -(-trials // COIN_BITS)
-    shifts = np.arange(COIN_BITS, dtype=np.int64)
+    names = [str(k).encode() for k in range(blocks)]
+
+    def coins(segments) -> np.ndarray:
+        """A row per segment, a coin per trial: the bits of coin_word from the lowest."""
+        digests = []
+        for s in segments:
+            begun = md5(f"{seed}-{s}-".encode())
+            for k in names:
+                whole = begun.copy()
+                whole.update(k)
+                digests.append(whole.digest()[:8])
+        words = (np.frombuffer(b"".join(digests), ">u8") >> 4).astype("<u8")  # the first 15 hex digits
+        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :COIN_BITS]
+        return bits.reshape(len(segments), -1)[:, :trials]
 
     def fold(batches):
-        total = np.zeros((trials, width))
+        total = np.zeros((width, trials))
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
                 diff = np.stack(part["b"].to_numpy()) - np.stack(part["a"].to_numpy())
-                words = np.array([[int(hashlib.md5(f"{seed}-{s}-{k}".encode()).hexdigest()[:15], 16) for k in range(blocks)]
-                                  for s in part["seg"]], np.int64)
-                coins = ((words[:, :, None] >> shifts) & 1).reshape(len(part), -1)[:, :trials]
-                total += coins.T.astype(np.float64) @ diff
-        yield pd.DataFrame({"trial": np.arange(1, trials + 1), **{f"d{i}": total[:, i] for i in range(width)}})
+                total += diff.T @ coins(part["seg"]).astype(np.float64)
+        yield pd.DataFrame({"trial": np.arange(1, trials + 1), **{f"d{i}": total[i] for i in range(width)}})
 
     cols = [f"d{i}" for i in range(width)]
     # small rows, dear work (a hash for every 60 trials): dealt evenly, not coalesced by size
@@ -461,7 +471,9 @@ def significance_ter(seg: DataFrame, hyp_a: str = "hyp_a", hyp_b: str = "hyp_b",
                      trials: int = 10000, seed: int = 12345) -> DataFrame:
     """A15 on TER."""
     from ..functions.ter import ter_stats
+    from ..session import materialize
     rows = seg.select(F.col(key).alias("seg"), ter_stats(F.col(hyp_a), F.col(ref)).alias("a"), ter_stats(F.col(hyp_b), F.col(ref)).alias("b"))
+    rows = materialize(rows, "segments")  # read for the totals and for the trials, searched once
     return significance(rows, ["edits", "ref"], _ter_from_stats, seg="seg", trials=trials, seed=seed, rounded=6)
 
 
