@@ -141,8 +141,8 @@ def char_ngram_stats_batch(h_strs, r_strs, order: int = 6) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-#: symbols of both sides that are counted at once (or one segment's)
-SLICE_SYMBOLS = 1 << 21
+#: symbols of both sides that are counted at once (or one segment's); each takes some 200 bytes
+SLICE_SYMBOLS = 1 << 18
 
 
 def _in_slices(stats, h: list, r: list) -> pd.Series:

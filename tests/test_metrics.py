@@ -281,3 +281,14 @@ def test_comparison_edges(spark):
     assert M.compare_systems(df.where("system = 'x'")).collect() == [] and M.compare_systems(df.limit(0)).collect() == []
     with pytest.raises(Exception, match="twice"):
         M.compare_systems(df.unionByName(df), trials=10).collect()
+
+
+def test_ngram_slices_are_small(monkeypatch):
+    import pandas as pd
+    from parallax.functions import ngrams as N
+    h, r = ["abcdefgh" * 60] * 2000, ["hgfedcba" * 60] * 2000
+    sizes = []
+    real = N.char_ngram_stats_batch
+    monkeypatch.setattr(N, "char_ngram_stats_batch", lambda a, b: sizes.append(sum(map(len, a)) + sum(map(len, b))) or real(a, b))
+    got = N.char_ngram_stats.func(pd.Series(h), pd.Series(r))
+    assert max(sizes) <= 300_000 and [list(x) for x in got[:2]] == [N.char_ngram_stats_py(h[0], r[0])] * 2
