@@ -30,12 +30,14 @@ def one_line(c: str, breaks: str = "replace"):
     raise ValueError("breaks must be 'replace' or 'error'")
 
 
-def _ordered(df: DataFrame, order_cols, texts, partition_cols=()) -> DataFrame:
+def _ordered(df: DataFrame, order_cols, texts, partition_cols=(), keep=None) -> DataFrame:
     """Rows in order; of equal keys by the texts' hashes.  Range bounds are sampled from keys
-    and hashes, so no text reaches the driver or travels as a key."""
-    keys = [*partition_cols, *order_cols, "__hash"]
-    hashed = df.withColumn("__hash", F.xxhash64(*texts))
-    return hashed.repartitionByRange(*keys).sortWithinPartitions(*keys, *texts).drop("__hash")
+    and hashes, so no text reaches the driver or travels as a key.  ``keep``: the one text that
+    travels with them; rows of equal keys are then told apart by 96 bits of hashes."""
+    hashes = {"__hash": F.xxhash64(*texts)} | ({"__hash2": F.hash(*texts)} if keep else {})
+    keys = [*partition_cols, *order_cols, *hashes]
+    hashed = df.withColumns(hashes).select(*dict.fromkeys([*keys, *([keep] if keep else df.columns)]))
+    return hashed.repartitionByRange(*keys).sortWithinPartitions(*keys, *([keep] if keep else texts)).drop(*hashes)
 
 
 def write_lines(df: DataFrame, path: str, text: str = "text", order_cols=("line_no",),
@@ -56,8 +58,9 @@ def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("lin
 
     The pairs are first written once as a keyed Parquet table (kept at
     ``table_path`` if given, else a scratch table), and each side is sorted
-    from it by the same key; the hash of both texts belongs to the key, so
-    that ties cannot come out in different orders."""
+    from it by the same key, without the other side's text; hashes of both
+    texts belong to the key, so that ties cannot come out in different
+    orders."""
     keyed = df.select(*order_cols, src, tgt)
     if table_path:
         keyed.write.mode("overwrite").parquet(table_path)
@@ -65,7 +68,7 @@ def write_parallel(df: DataFrame, src_path: str, tgt_path: str, order_cols=("lin
     else:
         keyed = materialize(keyed, "pair")
     for side, path in ((src, src_path), (tgt, tgt_path)):
-        ordered = _ordered(keyed, order_cols, [src, tgt])
+        ordered = _ordered(keyed, order_cols, [src, tgt], keep=side)
         ordered.select(one_line(side, breaks).alias("value")).write.mode("overwrite").text(path)
 
 

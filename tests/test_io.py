@@ -197,3 +197,15 @@ def test_manifests(spark):
         manifest_rows(spark, json.dumps({"x": [{"source": "a"}]}))
     v = validation_manifest_rows(spark, json.dumps({"ita_Latn": {"source": "s", "target": "t"}})).collect()
     assert v[0].task == "ita_Latn"
+
+
+def test_sides_travel_alone_and_stay_in_step(spark, tmp_dir):
+    from parallax.sources import sinks
+    rows = [(i % 3, f"s{i * 7 % 50}", f"t{i * 7 % 50}") for i in range(200)] + [(None, "s1", "t1"), (1, "s9", "t9"), (1, "s9", "t9")]
+    df = spark.createDataFrame(rows, "k int, source string, target string").repartition(5)
+    assert sinks._ordered(df, ["k"], ["source", "target"], keep="source").columns == ["k", "source"]
+    src, tgt = f"{tmp_dir}/alone-src", f"{tmp_dir}/alone-tgt"
+    sinks.write_parallel(df, src, tgt, ["k"])
+    from parallax.sources.text import read_parallel
+    got = [(r["source"], r["target"]) for r in read_parallel(spark, src, tgt).collect()]
+    assert sorted(got) == sorted(r[1:] for r in rows)
