@@ -19,10 +19,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import broadcast_if_small
@@ -35,6 +36,8 @@ BITS = 25
 TRIE_BYTES = 4 << 20
 #: bytes of the tries broadcast for one pass over the texts
 PASS_BYTES = 48 << 20
+#: bytes of what the driver fetches and broadcasts at once
+PART_BYTES = 4 << 20
 #: text of one language handled at once
 SLICE = 1 << 20
 #: distinct words or phrases that a task holds before it hands them on
@@ -298,10 +301,40 @@ def _sum_buckets(least: int):
     return run
 
 
-def _buckets(rows: DataFrame, least: int) -> dict[int, bytes]:
+class _Parts:
+    """A value that is broadcast in parts, so that the driver never holds all of it."""
+
+    def __init__(self, sent: list[Broadcast], join: Callable) -> None:
+        self.sent, self.join = sent, join
+
+    @property
+    def value(self):
+        return self.join(b.value for b in self.sent)
+
+    def destroy(self) -> None:
+        for b in self.sent:
+            b.destroy()
+
+
+def _join_chunks(parts: Iterator[dict[int, bytes]]) -> dict[int, bytes]:
+    return {chunk: cells for part in parts for chunk, cells in part.items()}
+
+
+def _join_arrays(parts: Iterator[bytes]) -> bytes:
+    return b"".join(map(zlib.decompress, parts))
+
+
+def _buckets(rows: DataFrame, least: int, part_bytes: int, gone: list[str]) -> _Parts:
     """The packed chunks that hold a frequent bucket: 4 * 2 ** bits bytes a table at most, whatever the input."""
     summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_buckets(least), "chunk long, cells binary")
-    return {r["chunk"]: bytes(r["cells"]) for r in summed.collect()}
+    packed, path = save(summed, "buckets")
+    gone.append(path)
+    sent = []
+    for chunks in _groups(sorted(packed.select("chunk", F.octet_length("cells")).collect()), part_bytes):
+        part = packed.where(F.col("chunk").between(chunks[0], chunks[-1])).collect()
+        sent.append(rows.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["cells"]) for r in part}))
+        del part
+    return _Parts(sent, _join_chunks)
 
 
 def _unpack(packed: dict[int, bytes], bits: int) -> np.ndarray:
@@ -382,7 +415,8 @@ def _candidates(k: int, parts, often, bits: int, everywhere: bool = False):
         names = ["lang", "phrase", "places"]
         seen: dict[bytes, set[bytes]] = {}
         places = 0
-        good, owners, other = _unpack_flags(parts.value, bits), _unpack(often.value, bits), _unpack_flags(often.value, bits, (1 << bits) // CHUNK)
+        good, packed = _unpack_flags(parts.value, bits), often.value
+        owners, other = _unpack(packed, bits), _unpack_flags(packed, bits, (1 << bits) // CHUNK)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
             first, h = _possible(words, k, good, bits)
@@ -411,11 +445,11 @@ def _prefix(lang: bytes) -> bytes:
     return lang.replace(b"\\", b"\\\\").replace(b"\n", b"\\n") + b"\n"
 
 
-_TRIES = "trie string, number long, lang binary, phrase binary, arrays binary"
+_TRIES = "trie string, number long, lang binary, phrase binary, part long, size long, arrays binary"
 
 
-def _build_tries(trie_bytes: int):
-    """Ascending ``(lang, phrase)`` -> the tries, a row each, and a row for each phrase with its number."""
+def _build_tries(trie_bytes: int, part_bytes: int):
+    """Ascending ``(lang, phrase)`` -> the tries, a row for each packed part of ``size`` bytes, and a row for each phrase with its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -429,14 +463,18 @@ def _build_tries(trie_bytes: int):
             arrays = b"".join(a.astype("<i4").tobytes() for a in trie)
             n, trie_id = len(keys), f"{name}-{part}"
 
-            def batch(number, lang, phrase, arrays):
-                cols = [pa.array([trie_id] * len(number)), pa.array(number, pa.int64()), *[pa.array(x, pa.binary()) for x in (lang, phrase, arrays)]]
-                return pa.RecordBatch.from_arrays(cols, ["trie", "number", "lang", "phrase", "arrays"])
+            def batch(number, lang, phrase, piece, size, packed):
+                kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                cols = [pa.array(x, kind) for x, kind in zip(([trie_id] * len(number), number, lang, phrase, piece, size, packed), kinds)]
+                return pa.RecordBatch.from_arrays(cols, ["trie", "number", "lang", "phrase", "part", "size", "arrays"])
 
-            yield batch([None], [None], [None], [arrays])
+            for piece, at in enumerate(range(0, len(arrays), part_bytes)):
+                raw = arrays[at:at + part_bytes]
+                yield batch([None], [None], [None], [piece], [len(raw)], [zlib.compress(raw, 1)])
             for at in range(0, n, 10_000):
                 some = order[at:at + 10_000]
-                yield batch(list(range(at, at + len(some))), [lang[i] for i in some], [phrase[i] for i in some], [None] * len(some))
+                none = [None] * len(some)
+                yield batch(list(range(at, at + len(some))), [lang[i] for i in some], [phrase[i] for i in some], none, none, none)
 
         lang, phrase, size, part = [], [], 0, 0
         for b in batches:
@@ -517,32 +555,37 @@ def _sum_counts(least: int):
     return run
 
 
-def _passes(tries: list, limit: int) -> Iterator[list]:
-    """Groups of ``(trie, bytes)`` that fill a broadcast each."""
+def _groups(sizes: list, limit: int) -> Iterator[list]:
+    """What ``(name, bytes)`` name, in groups of at most ``limit`` bytes (or one)."""
     group, size = [], 0
-    for row in tries:
-        if group and size + row["size"] > limit:
+    for name, n in sizes:
+        if group and size + n > limit:
             yield group
             group, size = [], 0
-        group.append(row["trie"])
-        size += row["size"]
+        group.append(name)
+        size += n
     if group:
         yield group
 
 
 def _finds(spark: SparkSession, texts: DataFrame, found: DataFrame, k: int, min_count: int, trie_bytes: int, pass_bytes: int,
-           gone: list[str]) -> tuple[DataFrame, int]:
+           part_bytes: int, gone: list[str]) -> tuple[DataFrame, int]:
     """``(lang, phrase, n)`` of the candidates found ``min_count`` times or more, and the finds of all candidates."""
     total = found.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
     spread = max(1, -(-total // trie_bytes))
     dealt = found.repartitionByRange(spread, "lang", "phrase").sortWithinPartitions("lang", "phrase") if spread > 1 else found.coalesce(1).sort("lang", "phrase")
-    tries, path = save(dealt.mapInArrow(_build_tries(trie_bytes), _TRIES), "tries")
+    tries, path = save(dealt.mapInArrow(_build_tries(trie_bytes, part_bytes), _TRIES), "tries")
     gone.append(path)
     built = tries.where("arrays is not null")
     counts = None
-    for ids in _passes(sorted(built.select("trie", F.octet_length("arrays").alias("size")).collect()), pass_bytes):
-        # one after the other: the driver holds the arrays of one trie at a time
-        sent = [(i, spark.sparkContext.broadcast(bytes(built.where(F.col("trie") == i).select("arrays").first()[0]))) for i in ids]
+
+    def piece(trie: str, part: int) -> Broadcast:
+        return spark.sparkContext.broadcast(bytes(built.where((F.col("trie") == trie) & (F.col("part") == part)).select("arrays").collect()[0][0]))
+
+    heads = sorted(built.groupBy("trie").agg(F.sum("size").alias("size"), F.count("*").alias("parts")).collect())
+    parts = {r["trie"]: r["parts"] for r in heads}
+    for ids in _groups([(r["trie"], r["size"]) for r in heads], pass_bytes):
+        sent = [(i, _Parts([piece(i, p) for p in range(parts[i])], _join_arrays)) for i in ids]
         finds = texts.mapInArrow(_count_phrases(sent, k), _COUNTS).repartition("trie", "chunk").sortWithinPartitions("trie", "chunk")
         some, path = save(finds.mapInArrow(_sum_counts(min_count), "trie string, number long, n long"), "finds")
         for _, arrays in sent:
@@ -556,12 +599,12 @@ def _finds(spark: SparkSession, texts: DataFrame, found: DataFrame, k: int, min_
 
 
 def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_count: int, bits: int, trie_bytes: int,
-           pass_bytes: int) -> tuple[DataFrame, str]:
+           pass_bytes: int, part_bytes: int) -> tuple[DataFrame, str]:
     """``(lang, phrase, n)`` of the frequent phrases of k words, given those of k - 1, saved."""
-    sc, gone = spark.sparkContext, []
+    gone: list[str] = []
     table = "chunk long, sparse boolean, cells binary"
-    parts = sc.broadcast(_buckets(below.select("lang", "phrase").mapInArrow(_frequent_bits(bits), table), 1))
-    often = sc.broadcast(_buckets(texts.mapInArrow(_bucket_counts(k, parts, bits), table), min(min_count, 255)))
+    parts = _buckets(below.select("lang", "phrase").mapInArrow(_frequent_bits(bits), table), 1, part_bytes, gone)
+    often = _buckets(texts.mapInArrow(_bucket_counts(k, parts, bits), table), min(min_count, 255), part_bytes, gone)
 
     def collected(everywhere: bool) -> DataFrame:
         rows = texts.mapInArrow(_candidates(k, parts, often, bits, everywhere), "lang binary, phrase binary, places long")
@@ -572,10 +615,10 @@ def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_
     got = collected(False)
     places = got.where("phrase is null").agg(F.sum("places")).first()[0] or 0
     found = got.where("phrase is not null").select("lang", "phrase")
-    frequent, finds = _finds(spark, texts, found, k, min_count, trie_bytes, pass_bytes, gone)
+    frequent, finds = _finds(spark, texts, found, k, min_count, trie_bytes, pass_bytes, part_bytes, gone)
     if places - finds >= min_count:
         rest = collected(True).where("phrase is not null").select("lang", "phrase").join(found, ["lang", "phrase"], "left_anti")
-        frequent = frequent.unionByName(_finds(spark, texts, rest, k, min_count, trie_bytes, pass_bytes, gone)[0])
+        frequent = frequent.unionByName(_finds(spark, texts, rest, k, min_count, trie_bytes, pass_bytes, part_bytes, gone)[0])
     out, path = save(frequent, f"frequent{k}")
     parts.destroy()
     often.destroy()
@@ -584,12 +627,13 @@ def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, min_count: int = 10, bits: int = BITS,
-                     trie_bytes: int = TRIE_BYTES, pass_bytes: int = PASS_BYTES) -> tuple[DataFrame, DataFrame]:
+                     trie_bytes: int = TRIE_BYTES, pass_bytes: int = PASS_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, k, f)`` of the phrases of 1 to ``max_words`` words found ``min_count`` times or more, and ``(lang, n)``, all words.
 
     The broadcasts do not grow with the input: packed tables of at most
     ``4 * 2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
-    candidates mean more passes over the texts."""
+    candidates mean more passes over the texts.  The driver fetches and
+    broadcasts them in parts of ``part_bytes``."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -600,7 +644,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", ma
         remove(spark, path)
         levels, paths = [level], [low]
         for k in range(2, max_words + 1):
-            level, path = _level(spark, texts, level, k, min_count, bits, trie_bytes, pass_bytes)
+            level, path = _level(spark, texts, level, k, min_count, bits, trie_bytes, pass_bytes, part_bytes)
             levels.append(level)
             paths.append(path)
     out = None

@@ -68,6 +68,19 @@ def test_many_tries_and_passes_change_nothing(spark):
     assert mined(spark, docs, trie_bytes=200, pass_bytes=60_000) == mined(spark, docs)
 
 
+def test_the_driver_sends_tries_in_small_parts(spark, monkeypatch):
+    docs, sent = made_up(5, 80), []
+    broadcast = type(spark.sparkContext).broadcast
+
+    def seen(self, value):
+        sent.extend([len(value)] if isinstance(value, bytes) else [])
+        return broadcast(self, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", seen)
+    assert mined(spark, docs, part_bytes=1000) == plain(docs, 3, 10, 50, 2000)
+    assert len(sent) > 10 and max(sent) <= 1100
+
+
 def test_no_rows_and_other_columns(spark):
     empty = spark.createDataFrame([], "text string, lang string, phrase string, n long")
     assert phrases.mine(empty, bits=16).collect() == []
