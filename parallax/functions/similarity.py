@@ -94,6 +94,8 @@ def edits_to(peq: dict, m: int, b) -> int:
 # --------------------------------------------------------------------------
 #: most 64-bit words of match tables, and most code points of the other side, held at once (or one pair's)
 TABLE_WORDS, SLICE_CHARS = 1 << 21, 1 << 21
+#: longest shorter side of the pairs that run together; Python's whole numbers hold the bits of longer ones
+LANE = 64
 
 
 def _codes(strings) -> np.ndarray:
@@ -134,13 +136,15 @@ def _lcs_slice(short, long, ls: np.ndarray, ll: np.ndarray) -> np.ndarray:
 
 
 def lcs_lengths(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """LCS lengths of a batch; pairs of like size run together."""
+    """LCS lengths of a batch; pairs of like size run together, each pair of more than ``LANE`` code points a side by itself."""
     pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a.fillna("").tolist(), b.fillna("").tolist())]
     ls = np.fromiter((len(x) for x, _ in pairs), np.int64, len(pairs))
     ll = np.fromiter((len(y) for _, y in pairs), np.int64, len(pairs))
     out = np.zeros(len(pairs), np.int64)
-    order = np.lexsort((ll, (ls + 63) // 64))
-    order = order[ls[order] > 0]
+    for i in np.flatnonzero(ls > LANE).tolist():
+        out[i] = lcs_length(*pairs[i])
+    order = np.argsort(ll, kind="stable")
+    order = order[(ls[order] > 0) & (ls[order] <= LANE)]
     at = 0
     while at < len(order):
         stop, chars, letters = at, 0, set()

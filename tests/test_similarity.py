@@ -36,6 +36,21 @@ def test_slices_and_word_boundaries(monkeypatch):
     assert S.lcs_lengths(a, b).tolist() == want
 
 
+def test_long_pairs_do_not_widen_the_tables_of_others(monkeypatch):
+    """A few long lines among short ones: the table cells stay near what the short pairs need."""
+    import pandas as pd
+
+    from parallax.functions import similarity as S
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choice("abcdé😀") for _ in range(n))
+    pairs = [(make(rnd.randint(1, 60)), make(rnd.randint(1, 90))) for _ in range(60)] + [(make(2000), make(1500)), (make(400), make(3000))]
+    cells, run = [], S._lcs_slice
+    monkeypatch.setattr(S, "_lcs_slice", lambda a, b, n, m: cells.append(len(a) * -(-int(n.max()) // 64) * int(m.max())) or run(a, b, n, m))
+    got = S.lcs_lengths(pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs]))
+    assert got.tolist() == [S.lcs_length(x, y) for x, y in pairs]
+    assert 0 < sum(cells) <= 60 * 90
+
+
 def test_band_on_whole_lines(spark):
     from parallax.plans import fixtures as fx
     from parallax.plans.registry import QUERIES, load_all
