@@ -44,6 +44,25 @@ def test_a_public_vocabulary(library):
     assert encode("x" * 20_000) == library.encode("x" * 20_000)
 
 
+def test_short_stretches_merge_as_the_heap_does(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(400):
+        scores = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))): -float(rng.randint(0, 8)) for _ in range(25)}
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        short = P.merge_short(text, scores)
+        with monkeypatch.context() as m:
+            m.setattr(P, "SHORT", -1)
+            assert P.merge_pieces(text, scores) == short
+
+
+def test_the_token_filter_encodes_once(spark):
+    """Each side is encoded by one evaluation, after the join."""
+    load_all()
+    plan = QUERIES["subword_max_tokens"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    assert plan.rindex("ArrowEvalPython") < plan.index("Join")
+
+
 @pytest.mark.parametrize("kind", [P.UNIGRAM, P.BPE])
 @pytest.mark.parametrize("prefix,squeeze", [(True, False), (False, False), (True, True)])
 def test_made_up_vocabularies(kind, prefix, squeeze):
