@@ -1,16 +1,19 @@
 """P11 with the languages' own rules: abbreviations, apostrophes, protected patterns.
 
-A line is cut at white space once; only words that hold more than letters and
-digits meet the rules, in the JVM, and the final period of a word is judged
-with the word that follows."""
+No rule but that of the final period, which is judged with the word that
+follows, looks across a blank.  So the rules run over whole lines, in the JVM;
+only a line that may hold an address, a tag or a path is cut into words first,
+as such words stay as they are."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._col import as_col
-from .text import words
+from .text import PY_WHITESPACE, words
 
 # Abbreviations whose period stays (a single capital letter always counts as one), and those whose period stays
 # before a number, by language.  Parts of the public lists of non-breaking prefixes.
@@ -39,13 +42,13 @@ def _is(lang: Column, codes) -> Column:
 
 
 def _spaced(w: Column, lang: Column) -> Column:
-    """A word with blanks around its punctuation."""
-    out = F.regexp_replace(w, r"([^\p{L}\p{M}\p{N}.'`,\-])", " $1 ")
+    """A word, or words with blanks between them, with blanks around the punctuation."""
+    out = F.regexp_replace(w, r"([^ \p{L}\p{M}\p{N}.'`,\-])", " $1 ")
     out = F.regexp_replace(out, r"(\.{2,})", " $1 ")
-    out = F.regexp_replace(out, r"(?<!\p{N}),|,(?!\p{N})", " , ")
-    single = F.regexp_replace(out, r"(?<!\p{L})'(?!\p{L})|(?<![\p{L}\p{N}])'(?=\p{L})|(?<=\p{L})'(?!\p{L})", " ' ")
-    return (F.when(lang == "en", F.regexp_replace(single, r"(?<=\p{L})'(?=\p{L})|(?<=\p{N})'(?=s)", " '"))
-            .when(_is(lang, ELIDING), F.regexp_replace(single, r"(?<=\p{L})'(?=\p{L})", "' "))
+    out = F.regexp_replace(out, r",(?:(?<!\p{N},)|(?!\p{N}))", " , ")
+    single = F.regexp_replace(out, r"'(?:(?!\p{L})|(?<![\p{L}\p{N}]'))", " ' ")
+    return (F.when(lang == "en", F.regexp_replace(single, r"'(?:(?<=\p{L}')(?=\p{L})|(?<=\p{N}')(?=s))", " '"))
+            .when(_is(lang, ELIDING), F.regexp_replace(single, r"'(?<=\p{L}')(?=\p{L})", "' "))
             .otherwise(F.replace(out, F.lit("'"), F.lit(" ' "))))
 
 
@@ -66,6 +69,35 @@ def _final_period(t: Column, after: Column, lang: Column) -> Column:
     return F.when(ends & ~stays, F.array(head, F.lit("."))).otherwise(F.array(t))
 
 
+def _by_word(c: Column, code: Column) -> Column:
+    """The tokens of a line cut into words first, protected words whole."""
+    cut = F.transform(words(c), lambda w: F.when(w.rlike(_PLAIN) | w.rlike(f"^{PROTECTED}$"), F.array(w)).otherwise(
+        F.array_remove(F.split(_spaced(w, code), " +"), "")))
+    tokens = F.flatten(cut)
+    pairs = F.arrays_zip(tokens.alias("t"), F.slice(F.concat(tokens, F.array(F.lit(""))), 2, F.size(tokens)).alias("after"))
+    done = F.flatten(F.transform(pairs, lambda p: _final_period(p["t"], p["after"], code)))
+    return F.array_join(done, " ")
+
+
+def _ending(code: str) -> str:
+    """The token whose one final period ends a sentence (``_final_period`` over a line of tokens)."""
+    stays = [r"\p{Lu}\.(?![^ ])", r"(?=[^ ]*\p{L})[^ ]*\.[^ ]*\.(?![^ ])", r"[^ ]++ \p{Ll}"]
+    for table, then in ((ABBREVIATIONS, "(?![^ ])"), (BEFORE_NUMBERS, r" \p{N}")):
+        if code in table:
+            stays.append(rf"(?:{'|'.join(map(re.escape, table[code].split()))})\.{then}")
+    return rf"(?<![^ ])(?=[^ ]++(?<=[^ .]\.))(?!{'|'.join(stays)})([^ ]*)\.(?![^ ])"
+
+
+def _by_line(c: Column, code: Column) -> Column:
+    """The tokens of a line that holds no protected words."""
+    spaced = F.translate(c, PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    tokens = F.trim(F.regexp_replace(_spaced(spaced, code), " {2,}", " "))
+    done = F
+    for lang in sorted({*ABBREVIATIONS, *BEFORE_NUMBERS}):
+        done = done.when(code == lang, F.regexp_replace(tokens, _ending(lang), "$1 ."))
+    return done.otherwise(F.regexp_replace(tokens, _ending(""), "$1 ."))
+
+
 def tokenize_words(c, lang: str | Column = "en") -> Column:
     """The tokens of a line joined by blanks, by the rules of ``lang`` (a code or a column of codes).
 
@@ -76,9 +108,7 @@ def tokenize_words(c, lang: str | Column = "en") -> Column:
     stay whole.  Languages without lists of their own have the general rules
     only; a null line is null."""
     code = F.lit(lang) if isinstance(lang, str) else F.coalesce(lang, F.lit(""))
-    cut = F.transform(words(as_col(c)), lambda w: F.when(w.rlike(_PLAIN) | w.rlike(f"^{PROTECTED}$"), F.array(w)).otherwise(
-        F.array_remove(F.split(_spaced(w, code), " +"), "")))
-    tokens = F.flatten(cut)
-    pairs = F.arrays_zip(tokens.alias("t"), F.slice(F.concat(tokens, F.array(F.lit(""))), 2, F.size(tokens)).alias("after"))
-    done = F.flatten(F.transform(pairs, lambda p: _final_period(p["t"], p["after"], code)))
-    return F.array_join(done, " ")
+    c = as_col(c)
+    # every protected word holds one of these
+    whole = F.contains(c, F.lit("/")) | F.contains(c, F.lit("@")) | F.contains(c, F.lit("<")) | F.contains(c, F.lit("www."))
+    return F.when(whole, _by_word(c, code)).otherwise(_by_line(c, code))

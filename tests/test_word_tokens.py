@@ -1,8 +1,10 @@
 """Word tokens by language: golden lines, and what holds for any line."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from parallax.functions.word_tokens import tokenize_words
+from parallax.functions.word_tokens import _by_line, _by_word, tokenize_words
 
 GOLDEN = [
     ("en", "Mr. Smith doesn't pay $5,300.50, does he?", "Mr. Smith doesn 't pay $ 5,300.50 , does he ?"),
@@ -46,3 +48,13 @@ def test_one_language_for_all_lines(spark):
     df = spark.createDataFrame([("Dr. Who's",)], "text string")
     assert df.select(tokenize_words("text", "en")).first()[0] == "Dr. Who 's"
     assert df.select(tokenize_words("text", "fr")).first()[0] == "Dr. Who' s"
+
+
+def test_rules_over_a_line_give_the_tokens_of_its_words(spark):
+    rng = random.Random(7)
+    parts = [*"aBÉß12..,,''  -`s$(_²́’№\t　\x85", "𝐀", "𝐚", "Mr", "No", "Dr", "S", "Nr", "e.g", "z.B", "art", "..."]
+    rows = [(rng.choice(["en", "de", "es", "fr", "it", "xx", ""]), "".join(rng.choices(parts, k=rng.randint(0, 25)))) for _ in range(4000)]
+    rows += [("en", "1.2." * 2000), ("fr", "a." * 2000 + "x"), ("es", "." * 5000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    both = df.select("text", _by_line(F.col("text"), F.col("lang")).alias("line"), _by_word(F.col("text"), F.col("lang")).alias("word"))
+    assert [r for r in both.collect() if r["line"] != r["word"]] == []
