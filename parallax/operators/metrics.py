@@ -106,17 +106,22 @@ def _word_grams(toks: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def _char_grams(s: Column, n: int) -> Column:
+def _char_grams(s: Column, chars: Column, n: int) -> Column:
+    """n-grams of the characters of ``s``, zipped from their array and its
+    n - 1 next shifts: no character is looked up by its place in a string,
+    which only a walk from its start finds."""
     k = F.char_length(s) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(s, i, n))) \
+    shifts = F.arrays_zip(*[F.slice(chars, j + 1, k).alias(f"c{j}") for j in range(n)])
+    return F.when(k > 0, F.transform(shifts, lambda x: F.concat(*[x[f"c{j}"] for j in range(n)]))) \
         .otherwise(F.array().cast("array<string>"))
 
 
 def clipped_matches(hyp_grams: Column, ref_grams: Column) -> Column:
     """sum over distinct n-grams g of min(count_hyp(g), count_ref(g)).
 
-    Sort-merge inside the row: tag both lists, sort, walk once with
-    ``aggregate``.  O(k log k) per segment, all in the JVM."""
+    Sort-merge inside the row: tag both lists, sort (by ``sort_array``, whose
+    order is compiled, not by a lambda), walk once with ``aggregate``.
+    O(k log k) per segment, all in the JVM."""
     tagged = F.concat(F.transform(hyp_grams, lambda g: F.struct(g.alias("g"), F.lit(1).alias("h"))),
                       F.transform(ref_grams, lambda g: F.struct(g.alias("g"), F.lit(0).alias("h"))))
     zero = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("ch"),
@@ -130,7 +135,7 @@ def clipped_matches(hyp_grams: Column, ref_grams: Column) -> Column:
                                 (1 - x["h"]).cast("long").alias("cr"),
                                 (s["acc"] + F.least(s["ch"], s["cr"])).alias("acc")))
 
-    return F.aggregate(F.array_sort(tagged), zero, step, lambda s: s["acc"] + F.least(s["ch"], s["cr"]))
+    return F.aggregate(F.sort_array(tagged), zero, step, lambda s: s["acc"] + F.least(s["ch"], s["cr"]))
 
 
 # 13a tokenizer of the common BLEU tool (public rules).  Fixed values.
@@ -229,14 +234,15 @@ def _no_ws(c: str) -> Column:
     return remove_whitespace(c)
 
 
-def chrf_segment_stats(h_chars: str, r_chars: str) -> list[Column]:
-    """Statistics from two whitespace-free string columns."""
+def chrf_segment_stats(h_chars: str, r_chars: str, h_array: str, r_array: str) -> list[Column]:
+    """Statistics from two whitespace-free string columns and the arrays of
+    their characters (cut in an earlier projection, once for all orders)."""
     h, r = F.col(h_chars), F.col(r_chars)
     out = []
     for n in range(1, CHRF_ORDER + 1):
         out.append(F.greatest(F.char_length(h) - n + 1, F.lit(0)).cast("long").alias(f"hyp_{n}"))
         out.append(F.greatest(F.char_length(r) - n + 1, F.lit(0)).cast("long").alias(f"ref_{n}"))
-        out.append(clipped_matches(_char_grams(h, n), _char_grams(r, n)).alias(f"match_{n}"))
+        out.append(clipped_matches(_char_grams(h, F.col(h_array), n), _char_grams(r, F.col(r_array), n)).alias(f"match_{n}"))
     return out
 
 
@@ -265,7 +271,8 @@ def chrf(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", keys=(), method: st
         arr, names = _chrf_udf_stats("__h", "__r")
         stats = _expand(chars, _cols(keys), arr, names)
     else:
-        stats = chars.select(*_cols(keys), *chrf_segment_stats("__h", "__r"))
+        cut = chars.withColumns({"__ha": F.split("__h", ""), "__ra": F.split("__r", "")})
+        stats = cut.select(*_cols(keys), *chrf_segment_stats("__h", "__r", "__ha", "__ra"))
     names = [c for c in stats.columns if c not in _cols(keys)]
     agg = stats.groupBy(*_cols(keys)).agg(*[F.sum(n).cast("long").alias(n) for n in names])
     return agg.select(*_cols(keys), F.round(chrf_from_stats(), 6).alias("chrf"))

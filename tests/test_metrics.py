@@ -292,3 +292,12 @@ def test_ngram_slices_are_small(monkeypatch):
     monkeypatch.setattr(N, "char_ngram_stats_batch", lambda a, b: sizes.append(sum(map(len, a)) + sum(map(len, b))) or real(a, b))
     got = N.char_ngram_stats.func(pd.Series(h), pd.Series(r))
     assert max(sizes) <= 300_000 and [list(x) for x in got[:2]] == [N.char_ngram_stats_py(h[0], r[0])] * 2
+
+
+def test_chrf_native_looks_up_no_character_by_its_place_in_a_string(spark):
+    rows = [("né 𝐀bab aba", "abab né𝐀"), (None, "ab"), ("ab", None), ("", "a"), ("a", "a"), ("abcabcabcé" * 300, "bcabcaé" * 300)]
+    df = spark.createDataFrame(rows, "hyp string, ref string")
+    native = M.chrf(df, method="native")
+    assert native.first() == M.chrf(df).first()
+    plan = native._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" not in plan and "array_sort(" not in plan and "arrays_zip(" in plan
