@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFram
 # ---------------------------------------------------------------------------
 # Spark builders
 # ---------------------------------------------------------------------------
-def lines(spark, d) -> DataFrame:
-    """FX1: documents split on newline, position kept; corpus = source."""
-    docs = table(spark, d, "documents", ["source", "lang", "doc_id", "text"])
+def lines(spark, d, even: bool = True) -> DataFrame:
+    """FX1: documents split on newline, position kept; corpus = source.  ``even=False`` leaves
+    the documents in their splits, for work that only sorts the lines."""
+    columns = ["source", "lang", "doc_id", "text"]
+    docs = table(spark, d, "documents", columns) if even else spark.read.parquet(f"{d}/documents.parquet").select(*columns)
     return (docs.select(F.col("source").alias("corpus"), "lang", "doc_id",
                         F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
             .select("corpus", "lang", "doc_id",
@@ -67,12 +69,20 @@ def pairs_conv(spark, d) -> DataFrame:
 
 
 def pairs_docs(spark, d) -> DataFrame:
-    """FX4: lines of document d aligned with lines of document d+1 by line_no."""
-    from ..operators.align import zip_truncate
-    ln = lines(spark, d)
-    src = ln.select("corpus", "lang", "doc_id", "line_no", F.col("text").alias("source"))
-    tgt = ln.select((F.col("doc_id") - 1).alias("doc_id"), "line_no", F.col("text").alias("target"))
-    return zip_truncate(src, tgt, ["doc_id"])
+    """FX4: lines of document d aligned with lines of document d+1 by line_no.
+
+    Whole documents meet, once each way and straight from the scan, and are cut
+    afterwards, so that no line is moved; a side whose text nobody reads
+    travels as its number of lines."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n_lines = F.size(F.split("text", "\n", -1))
+    src = docs.select(F.col("source").alias("corpus"), "lang", "doc_id", n_lines.alias("__n"), F.col("text").alias("__s")).where("__s IS NOT NULL")
+    tgt = docs.select((F.col("doc_id") - 1).alias("doc_id"), n_lines.alias("__m"), F.col("text").alias("__t")).where("__t IS NOT NULL")
+    both = src.repartition("doc_id").join(tgt, "doc_id")
+    cut = both.select("doc_id", "corpus", "lang", F.split("__s", "\n", -1).alias("__s"), F.split("__t", "\n", -1).alias("__t"),
+                      F.explode(F.sequence(F.lit(1), F.least("__n", "__m"))).alias("__i"))
+    at = lambda side: py_strip(F.element_at(side, F.col("__i")))
+    return cut.select("doc_id", F.col("__i").cast("long").alias("line_no"), "corpus", "lang", at("__s").alias("source"), at("__t").alias("target"))
 
 
 def subwords(spark):

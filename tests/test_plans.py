@@ -126,3 +126,24 @@ def test_line_numbering_does_not_shuffle_the_text(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert [r.line_no for r in df.orderBy("line_no").collect()] == list(range(1, 301))
+
+
+def test_pairs_docs_moves_documents_not_lines(spark, tmp_dir):
+    """FX4 on repeated, missing and empty documents, cut into lines after they met."""
+    from collections import Counter
+
+    from parallax.plans import fixtures as fx
+    docs = [(1, "a\n b \nc"), (2, "x\ny"), (2, "z"), (3, None), (3, ""), (4, "p\n"), (None, "n"), (6, "q"), (-1, "m\nm"), (0, "l　\nk")]
+    spark.createDataFrame([(i, t, "en" if k % 2 else None, f"s{k % 3}") for k, (i, t) in enumerate(docs)],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    want = Counter()
+    for k, (i, s) in enumerate(docs):
+        for j, t in docs:
+            if None not in (i, j, s, t) and j == i + 1:
+                want.update((i, n, f"s{k % 3}", "en" if k % 2 else None, a.strip(), b.strip())
+                            for n, (a, b) in enumerate(zip(s.split("\n"), t.split("\n")), 1))
+    pairs = fx.pairs_docs(spark, tmp_dir)
+    assert pairs.columns == ["doc_id", "line_no", "corpus", "lang", "source", "target"]
+    assert Counter(map(tuple, pairs.collect())) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.count("Generate") == 1
