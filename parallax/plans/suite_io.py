@@ -18,7 +18,7 @@ from ..operators import corpus as C
 from ..operators import inference as I
 from ..operators import kneser_ney as KN
 from ..operators import nbest as NB
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import sinks as K
 from ..sources import tables as T
 from ..sources import text as S
@@ -124,7 +124,7 @@ def q_read_lm_csv(spark, d):
 
 def _side_files(spark, d):
     """Each side of the pairs as text, a folder for every corpus."""
-    pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    pairs = materialize(fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target"), "pairs")
     root = scratch_path(spark, "sides")
     for side in ("source", "target"):
         K.write_lines(pairs, f"{root}/{side}", side, ["doc_id", "line_no"], partition_by=["corpus"])
@@ -175,7 +175,7 @@ def q_cache_encoded(spark, d):
 def q_read_truncate(spark, d):
     """S3: a longer source file, its tail dropped."""
     src, tgt = scratch_path(spark, "long"), scratch_path(spark, "short")
-    K.write_lines(fx.lines(spark, d), src, "text", ["doc_id", "line_no"])
+    K.write_lines(fx.lines(spark, d, even=False), src, "text", ["doc_id", "line_no"])
     K.write_lines(fx.pairs_docs(spark, d), tgt, "target", ["doc_id", "line_no"])
     return S.read_parallel(spark, src, tgt, "truncate")
 
@@ -184,7 +184,7 @@ def q_read_truncate(spark, d):
   SELECT 'name=' || corpus AS corpus, {POS_PAIRS} AS line_no, source, target FROM pairs_docs""")
 def q_read_corpora(spark, d):
     """Every corpus as a pair of files named by corpus and language."""
-    pairs = fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target")
+    pairs = materialize(fx.pairs_docs(spark, d).select("corpus", "doc_id", "line_no", "source", "target"), "pairs")
     root = scratch_path(spark, "family")
     sides = C.concat_corpora({lang: pairs.select("corpus", "doc_id", "line_no", F.col(c).alias("text"))
                               for lang, c in (("es", "source"), ("arg", "target"))}, "lang")

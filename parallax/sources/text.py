@@ -104,6 +104,17 @@ def _same_counts(s: Numbered, t: Numbered, key: str, names) -> None:
             *names(r[key]), r["a"] or 0, r["b"] or 0) for r in rows))
 
 
+def _zipped(s: Numbered, t: Numbered, key: str, alignment: str) -> DataFrame:
+    """The lines of both sides by ``key`` and position.  ``truncate`` knows from the split
+    tables where the shorter side ends: lines beyond have no partner and are not moved."""
+    sides = [_stripped(s.lines, "source", [key]), _stripped(t.lines, "target", [key])]
+    if alignment == "truncate":
+        ends = s.counts.join(t.counts.withColumnRenamed("n", "m"), key).select(key, F.least("n", "m").alias("__end"))
+        ends = broadcast_if_small(materialize(ends, "ends"))
+        sides = [x.join(ends, key).where("line_no <= __end").drop("__end") for x in sides]
+    return zip_truncate(*sides, [key])
+
+
 def read_parallel(spark: SparkSession, src_path, tgt_path, alignment: str = "strict",
                   corpus: str | None = None) -> DataFrame:
     """Pair the lines of two files, or of two lists of files pair by
@@ -118,7 +129,7 @@ def read_parallel(spark: SparkSession, src_path, tgt_path, alignment: str = "str
     s, t = Numbered(_text_scan(spark, left), ["__o"]), Numbered(_text_scan(spark, right), ["__o"])
     if alignment == "strict":
         _same_counts(s, t, "__o", lambda i: (left[i], right[i]))
-    pairs = zip_truncate(_stripped(s.lines, "source", ["__o"]), _stripped(t.lines, "target", ["__o"]), ["__o"])
+    pairs = _zipped(s, t, "__o", alignment)
     # a list of files is configuration: one row per pair of files, a window over them is small
     sizes = s.counts.join(t.counts.withColumnRenamed("n", "m"), "__o").select("__o", F.least("n", "m").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -143,7 +154,7 @@ def read_corpora(spark: SparkSession, root: str, names: list[str], pair: str, sr
     s, t = side(src), side(tgt)
     if alignment == "strict":
         _same_counts(s, t, "corpus", lambda n: (f"{n}.{pair}.{src}", f"{n}.{pair}.{tgt}"))
-    return zip_truncate(_stripped(s.lines, "source", ["corpus"]), _stripped(t.lines, "target", ["corpus"]), ["corpus"])
+    return _zipped(s, t, "corpus", alignment)
 
 
 def read_manifest(spark: SparkSession, manifest_json: str, root: str = "", alignment: str = "strict") -> DataFrame:
@@ -172,7 +183,7 @@ def _read_entries(spark: SparkSession, pairs: list[tuple[str, str]], root: str,
     t = Numbered(_text_scan(spark, [at(b) for _, b in files]), ["__o"])
     if alignment == "strict":
         _same_counts(s, t, "__o", lambda i: files[i])
-    lines = zip_truncate(_stripped(s.lines, "source", ["__o"]), _stripped(t.lines, "target", ["__o"]), ["__o"])
+    lines = _zipped(s, t, "__o", alignment)
     rows = [(files.index(p), *v) for p, v in zip(pairs, zip(*labels.values()))]
     kinds = ", ".join(f"{k} {'int' if isinstance(v[0], int) else 'string'}" for k, v in labels.items())
     entries = F.broadcast(spark.createDataFrame(rows, f"__o int, {kinds}"))  # a row per manifest entry

@@ -209,3 +209,12 @@ def test_sides_travel_alone_and_stay_in_step(spark, tmp_dir):
     from parallax.sources.text import read_parallel
     got = [(r["source"], r["target"]) for r in read_parallel(spark, src, tgt).collect()]
     assert sorted(got) == sorted(r[1:] for r in rows)
+
+
+def test_truncate_leaves_the_longer_tail_where_it_is(spark, tmp_dir):
+    a, b = os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "b")
+    spark.range(0, 900, 1, 3).selectExpr("concat('s', id) AS value").write.text(a)
+    spark.range(0, 7, 1, 2).selectExpr("concat('t', id) AS value").write.text(b)
+    out = S.read_parallel(spark, a, b, "truncate")
+    assert sorted(map(tuple, out.collect())) == [(i + 1, f"s{i}", f"t{i}") for i in range(7)]
+    assert "__end" in out._jdf.queryExecution().optimizedPlan().toString()
