@@ -155,7 +155,8 @@ def tokenize_13a(c) -> Column:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pat, rep in TOK13A_REGEX:
-        s = F.regexp_replace(s, pat, rep)
+        # more blanks around a blank would change no token: blanks are left alone
+        s = F.regexp_replace(s, pat.replace(r" -\&", r"!-\&"), rep)
     return words(s)
 
 

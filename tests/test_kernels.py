@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,3 +79,24 @@ def test_ngram_statistics_against_brute_force():
         cs = char_ngram_stats_py(hs, rs)
         for n in range(1, 7):
             assert cs[3 * (n - 1) + 2] == _brute_clip(list(hs), list(rs), n)
+
+
+def test_matches_by_sorted_and_by_hashed_keys(monkeypatch):
+    """Small alphabets fit sorted keys, a large one takes the hashed codes."""
+    import parallax.functions.ngrams as N
+
+    calls, real = [], N._match_sorted
+    monkeypatch.setattr(N, "_match_sorted", lambda *a: calls.append(1) or real(*a))
+    rng = random.Random(3)
+    for alphabet, fits in (("a", 40), ("abcé𐐀 ", 40), ("".join(map(chr, range(40, 5000))), 0)):
+        before = len(calls)
+        for _ in range(40):
+            h, r = (["".join(rng.choices(alphabet, k=rng.choice([0, 1, 5, 300]))) for _ in range(6)] + [alphabet[:2000]] for _ in "hr")
+            assert N.char_ngram_stats_batch(h, r).tolist() == [N.char_ngram_stats_py(a, b) for a, b in zip(h, r)]
+            words = [pa.array([list(x) for x in side], pa.list_(pa.string())) for side in (h, r)]
+            assert N.word_ngram_stats_batch(*words).tolist() == [N.word_ngram_stats_py(a, b) for a, b in zip(h, r)]
+        assert len(calls) - before == fits + 40  # the words' shorter n-grams fit
+    empty = N.word_ngram_stats.func(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.string())))
+    assert empty.to_pylist() == []
+    some = N.word_ngram_stats.func(pa.array([["a", "b"], None, []]), pa.array([["a"], ["x"], None], pa.list_(pa.string())))
+    assert [x[:4] for x in some.to_pylist()] == [[2, 1, 2, 1], [0, 1, 0, 0], [0, 0, 0, 0]]
