@@ -379,25 +379,10 @@ def _swapped_sums(rows: DataFrame, width: int, trials: int, seed: int) -> DataFr
     Folded by numpy inside each task: a slice of segments gives a matrix of
     coins, whose product with the differences is added to one (trials x
     width) table; only that table leaves the task."""
-    from hashlib import md5
-
     import numpy as np
     import pandas as pd
-    blocks = -(-trials // COIN_BITS)
-    names = [str(k).encode() for k in range(blocks)]
-
-    def coins(segments) -> np.ndarray:
-        """A row per segment, a coin per trial: the bits of coin_word from the lowest."""
-        digests = []
-        for s in segments:
-            begun = md5(f"{seed}-{s}-".encode())
-            for k in names:
-                whole = begun.copy()
-                whole.update(k)
-                digests.append(whole.digest()[:8])
-        words = (np.frombuffer(b"".join(digests), ">u8") >> 4).astype("<u8")  # the first 15 hex digits
-        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :COIN_BITS]
-        return bits.reshape(len(segments), -1)[:, :trials]
+
+    from ..functions.coins import coins
 
     def fold(batches):
         total = np.zeros((width, trials))
@@ -405,7 +390,9 @@ def _swapped_sums(rows: DataFrame, width: int, trials: int, seed: int) -> DataFr
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
                 diff = np.stack(part["b"].to_numpy()) - np.stack(part["a"].to_numpy())
-                total += diff.T @ coins(part["seg"]).astype(np.float64)
+                some = np.flatnonzero(diff.any(axis=0))  # such as the reference's counts, which no swap changes, add nothing
+                if len(some):
+                    total[some] += diff[:, some].T @ coins(part["seg"], trials, seed).astype(np.float64)
         yield pd.DataFrame({"trial": np.arange(1, trials + 1), **{f"d{i}": total[i] for i in range(width)}})
 
     cols = [f"d{i}" for i in range(width)]
@@ -522,15 +509,16 @@ def compare_systems(seg: DataFrame, hyp: str = "hyp", ref: str = "ref", system:
     per = materialize(per, "systems")
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     flat = [(m, n) for m, _, cols, _ in used for n in cols]
-    side = lambda k: F.concat(*[F.col(f"s{p[k]}") for p in pairs])
-    rows = per.select("seg", side(0).alias("a"), side(1).alias("b"))
+    # differences from the first system; those of other pairs are theirs, exact for whole numbers
+    rows = per.select("seg", F.concat(*["s0"] * (len(names) - 1)).alias("a"), F.concat(*[f"s{i}" for i in range(1, len(names))]).alias("b"))
     total = per.agg(*[F.sum(F.col(f"s{i}")[k]).alias(f"t{i}_{m}_{n}") for i in range(len(names)) for k, (m, n) in enumerate(flat)])
     whole = total.select(F.struct(*total.columns)).scalar()
-    trial = _swapped_sums(rows, len(pairs) * len(flat), trials, seed).withColumn("__t", whole)
+    trial = _swapped_sums(rows, (len(names) - 1) * len(flat), trials, seed).withColumn("__t", whole)
     sums = {}
+    swapped = lambda i, k: F.col(f"d{(i - 1) * len(flat) + k}")
     for q, (i, j) in enumerate(pairs):
         for k, (m, n) in enumerate(flat):
-            d = F.col(f"d{q * len(flat) + k}")
+            d = swapped(j, k) - swapped(i, k) if i else swapped(j, k)
             sums |= {f"a{q}_{m}_{n}": F.col(f"__t.t{i}_{m}_{n}") + d, f"b{q}_{m}_{n}": F.col(f"__t.t{j}_{m}_{n}") - d}
     trial = trial.select(*[F.col(f"__t.{c}").alias(c) for c in total.columns], *[e.alias(c) for c, e in sums.items()])
     tests = [F.struct(F.lit(m).alias("metric"), F.lit(names[i]).alias("system_a"), F.lit(names[j]).alias("system_b"),

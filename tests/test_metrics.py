@@ -273,6 +273,36 @@ def test_all_pairs_equal_the_single_tests(spark):
     assert got["bleu", "x", "y"]["score_a"] == M.bleu(wide.withColumnRenamed("x", "hyp")).first()["bleu"]
 
 
+def test_coins_are_those_of_md5():
+    from hashlib import md5
+
+    from parallax.functions.coins import coin_words, coins
+    segs = ["1-1", "", "é" * 9, None, "x" * 46, "x" * 47, "x" * 48, "y" * 200, *map(str, range(95, 105))]
+    want = [[int(md5(f"7-{s}-{k}".encode()).hexdigest()[:15], 16) for k in range(120)] for s in segs]
+    assert coin_words(segs, 120, 7).tolist() == want
+    assert coins(segs, 130, 7).tolist() == [[w[t // 60] >> (t % 60) & 1 for t in range(130)] for w in want]
+
+
+def test_a_comparison_folds_no_pairs(spark, monkeypatch):
+    rows = [(f"s{i}", n, " ".join("abcd"[(i * k) % 4] for k in range(1, 5)), "a b c d") for i in range(5) for n in "wxyz"]
+    df = spark.createDataFrame(rows, "seg_id string, system string, hyp string, ref string")
+    widths = []
+    real = M._swapped_sums
+    monkeypatch.setattr(M, "_swapped_sums", lambda rows, width, *a: widths.append(width) or real(rows, width, *a))
+    assert len(M.compare_systems(df, metrics=("ter",), trials=60).collect()) == 6
+    assert widths == [3 * 2]  # three differences from the first system of two numbers each
+
+
+def test_lines_of_systems_are_cut_from_whole_documents(spark, tmp_path):
+    from parallax.plans import fixtures as fx
+    texts = [(1, "a\n b\nc"), (2, "d\ne"), (3, "f\n\ng"), (3, "h"), (4, None), (5, "i"), (None, "j"), (6, "")]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = fx.line_systems(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [("1-1", "d", "f", "a"), ("1-1", "d", "h", "a"), ("1-2", "e", "", "b")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Join")
+
+
 def test_comparison_edges(spark):
     rows = [("s1", "x", "a b", "a b"), ("s1", "y", "a c", "a b"), ("s2", "x", "d", "d"), ("s3", None, "d", "d")]
     df = spark.createDataFrame(rows, "seg_id string, system string, hyp string, ref string")

@@ -135,6 +135,29 @@ def test_segments_side_by_side(monkeypatch):
     assert T.ter_edits_of(pairs) == alone
 
 
+def test_rows_of_bits_and_rows_of_cells(monkeypatch):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(400):
+        n, m = rng.choice([(rng.randint(26, 90), rng.randint(26, 90)), (rng.randint(1, 5), rng.randint(26, 125)), (rng.randint(26, 150), rng.randint(1, 5))])
+        words = rng.choice([2, 20, 200])
+        ref = [rng.randrange(words) for _ in range(m)]
+        hyp = (ref * (n // m + 1))[:n]
+        for _ in range(rng.randint(0, 5)):
+            at, to = rng.randrange(n), rng.randrange(n)
+            hyp[at:at + 5], hyp[to:to] = [], hyp[at:at + 5]
+            hyp[rng.randrange(n)] = rng.randrange(words + 3)
+        pairs.append((hyp, ref))
+    steps = []
+    forward = T._Bands.forward
+    monkeypatch.setattr(T._Bands, "forward", lambda self, plus, *a: steps.append(plus.shape) or forward(self, plus, *a))
+    bits = T.ter_edits_of(pairs)
+    assert steps and all(len(x) == 1 for x in steps)  # a whole number a row, not its cells
+    monkeypatch.setattr(T, "PLACE_WORDS", -1)
+    steps.clear()
+    assert T.ter_edits_of(pairs) == bits and not steps
+
+
 def test_goldens():
     assert T.ter_edits("a b c d".split(), "c d a b".split()) == (1, 4)
     assert T.ter_edits("a b c".split(), "a b c".split()) == (0, 3)
