@@ -1,21 +1,22 @@
 """Phrase collocation mining: counted level by level with tries of Apriori-safe candidates.
 
 A phrase of k words can only be frequent if its parts of k - 1 words are.
-For each k the texts are read three times: once to add up hashed buckets of
-the phrases whose parts may be frequent, once to collect the distinct phrases
-whose buckets and parts may be frequent (the candidates), and once for each
-broadcast of tries, to count the candidates exactly: all word starts of a
-text advance through a double-array trie at once, byte by byte, accepting
-states are bincounted and the counts of all shards summed.  The hashed
-tables have a fixed size; collisions only add candidates.  Each bucket has an
-owner, one phrase that one class of documents hands on; other phrases of the
-bucket are handed on by all classes.  The finds of the candidates must add up
-to the places they were collected from: where a phrase shares bucket and
-fingerprint with an owner and so many finds are missing that it may be
-frequent, all classes hand on all phrases."""
+For each k the texts are read three times: once to add up the hashes of the
+phrases whose parts may be frequent, once to collect the distinct phrases
+whose hashes are frequent (the candidates), and once for each broadcast of
+tries, to count the candidates exactly: all word starts of a text that the
+trie may know advance through a double-array trie at once, byte by byte,
+accepting states are bincounted and the counts of all shards summed.  Hashes
+are shuffled with their counts, so what is added up grows with the input as
+the text does; of the frequent ones a filter of bounded size is broadcast,
+whose errors only add candidates.  Each hash has an owner, one class of
+documents that hands its phrase on.  The finds of the frequent phrases must
+add up to the places of the frequent hashes: where so many are missing that a
+phrase of an owner's hash may be frequent, all classes hand on all phrases."""
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ from ..session import broadcast_if_small
 from . import double_array
 from ._common import batch_limits, remove, save
 
-#: buckets of the hashed tables, as a power of two
+#: bits of a hash's bucket, and bytes of the largest filter, as a power of two
 BITS = 25
 #: bytes of the candidates of one trie; its arrays take about ten times that
 TRIE_BYTES = 4 << 20
@@ -44,11 +45,13 @@ SLICE = 1 << 20
 HELD = 300_000
 #: classes of documents: a candidate is collected from those of one class only
 CLASSES = 128
-#: bits of the hash that tell an owner from the other phrases of its bucket
-PRINT = 24
-#: owner of a bucket that is not frequent
-NOBODY = (1 << 32) - 1
-#: buckets a row of the hashed tables holds
+#: bits of the hash that tell a phrase from the others of its bucket
+PRINT = 32
+#: parts that keys are dealt in, as a power of two, and bits of the filter that a key sets
+CHUNKS, PROBES = 12, 4
+#: keys that a task holds before it hands them on, and the highest count of one cell
+KEYS, MOST = 1 << 22, 4095
+#: phrases of a trie whose counts a row holds
 CHUNK = 1 << 15
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -220,83 +223,141 @@ def _print(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h >> np.uint64(64 - bits - PRINT)) & np.uint64((1 << PRINT) - 1)).astype(np.int64)
 
 
-def _other_bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    """The phrase's bucket in the second table, by the lowest bits of the hash."""
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+def _keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """What a hash is counted by: bucket and fingerprint."""
+    return (_bucket(h, bits).astype(np.uint64) << np.uint64(PRINT)) | _print(h, bits).astype(np.uint64)
+
+
+def _part_keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """What the hash of a phrase's part is looked up by: as many bits."""
+    return h >> np.uint64(64 - bits - PRINT)
+
+
+class _Filter:
+    """Tests keys, or keys and classes, by ``PROBES`` bits in the part of their chunk; lets some others through."""
+
+    def __init__(self, packed: dict[int, bytes], bits: int) -> None:
+        size = np.array([len(packed.get(c, b"")) for c in range(1 << CHUNKS)])
+        self.bits = bits
+        self.first = np.where(size > 0, 1 + np.cumsum(size) - size, 0)  # byte 0 holds nothing
+        self.flags = np.frombuffer(b"".join([b"\0", *(packed[c] for c in sorted(packed))]), np.uint8)
+        self.size = (8 * size).astype(np.uint64)
+
+    def test(self, key: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+        left = np.arange(len(key))
+        chunk = (key >> np.uint64(self.bits + PRINT - CHUNKS)).astype(np.int64)
+        mixed = _probe(key, kind)
+        for i in range(PROBES):
+            at = ((mixed >> np.uint64(16 * i)) & np.uint64(0xFFFF)) * self.size[chunk] >> np.uint64(16)
+            good = _flags_at(self.flags[self.first[chunk] + (at >> np.uint64(3)).astype(np.int64)], at)
+            left, chunk, mixed = left[good], chunk[good], mixed[good]
+        out = np.zeros(len(key), bool)
+        out[left] = True
+        return out
+
+
+def _probe(key: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return _mix(key * np.uint64(CLASSES) + np.asarray(kind).astype(np.uint64) + _ODD)
 
 
 def _flags_at(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return (flags >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _test(flags: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    return _flags_at(flags, _bucket(h, bits))
+def _filter_of(key: np.ndarray, kind: np.ndarray | int, most: int) -> bytes:
+    """The bits of a chunk's keys: 16 for each, as far as ``most`` bytes reach."""
+    flags = np.zeros(max(8, min(2 * len(key), most)), np.uint8)
+    mixed = _probe(key, kind)
+    for i in range(PROBES):
+        at = ((mixed >> np.uint64(16 * i)) & np.uint64(0xFFFF)) * np.uint64(8 * len(flags)) >> np.uint64(16)
+        np.bitwise_or.at(flags, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return flags.tobytes()
 
 
-def _possible(words: Words, k: int, parts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _possible(words: Words, k: int, parts: _Filter) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the phrases of k words whose parts of k - 1 words may be frequent."""
     first = words.whole(k)
     if k == 2:
-        good = _test(parts, words.hash, bits)
+        good = parts.test(_part_keys(words.hash, parts.bits))
         first = first[good[first] & good[first + 1]]
     else:
-        both = _test(parts, words.phrase_hash(first, k - 1), bits)
-        first = first[both]
-        first = first[_test(parts, words.phrase_hash(first + 1, k - 1), bits)]
+        first = first[parts.test(_part_keys(words.phrase_hash(first, k - 1), parts.bits))]
+        first = first[parts.test(_part_keys(words.phrase_hash(first + 1, k - 1), parts.bits))]
     return first, words.phrase_hash(first, k)
 
 
-def _bucket_rows(table: np.ndarray, owners: np.ndarray, base: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows ``(chunk, sparse, cells)`` of the chunks that are not empty: counts, and the lowest owner of each bucket.
-    Chunks are numbered from ``base``."""
-    chunks, sparse, cells = [], [], []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(sparse, pa.bool_()), pa.array(cells, pa.binary())], ["chunk", "sparse", "cells"])
-
-    parts, lowest = table.reshape(-1, CHUNK), owners.reshape(-1, CHUNK)
-    for chunk in np.flatnonzero(parts.any(axis=1)).tolist():
-        at = np.flatnonzero(parts[chunk])
-        chunks.append(base + chunk)
-        sparse.append(7 * len(at) < 5 * CHUNK)
-        cells.append(at.astype(np.uint16).tobytes() + parts[chunk][at].tobytes() + lowest[chunk][at].tobytes() if sparse[-1]
-                     else parts[chunk].tobytes() + lowest[chunk].tobytes())
-        if len(chunks) == 64:
-            yield batch()
-            chunks, sparse, cells = [], [], []
-    if chunks:
-        yield batch()
-
-
-def _add_cells(total: np.ndarray, owners: np.ndarray, sparse: bool, cells: bytes) -> None:
-    n = len(cells) // 7 if sparse else CHUNK
-    at = np.frombuffer(cells, np.uint16, n) if sparse else slice(None)
-    skip = 2 * n if sparse else 0
-    # a sum that stops at 255 is frequent: the least that counts is 255 at most
-    total[at] = np.minimum(total[at] + np.frombuffer(cells, np.uint8, n, skip), 255)
-    owners[at] = np.minimum(owners[at], np.frombuffer(cells, np.uint32, n, skip + n))
-
-
-def _sum_buckets(least: int):
-    """Rows of a chunk next to each other -> ``(chunk, cells)``: the owner of each bucket of at least ``least``, else ``NOBODY``."""
+_KEYED = "chunk long, cells binary"
+
+
+class _Tally:
+    """Keys with their classes, as one number each, handed on in order with their counts."""
+
+    def __init__(self, bits: int) -> None:
+        self.local = np.uint64(bits + PRINT - CHUNKS)
+        self.parts, self.held = [], 0
+
+    def add(self, key: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(key * np.uint64(CLASSES) + kind.astype(np.uint64))
+        self.held += len(key)
+        if self.held >= KEYS:
+            yield from self.drain()
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        """Rows of a chunk's cells: the key's other bits, how often it was there, the lowest class."""
+        if not self.held:
+            return
+        whole = np.concatenate(self.parts)
+        self.parts, self.held = [], 0
+        whole.sort()
+        key = whole // np.uint64(CLASSES)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(new, len(key)))
+        key, kind = key[new], whole[new] % np.uint64(CLASSES)
+        del whole
+        more = -(-n // MOST)  # a count that one cell does not hold takes several
+        if (more > 1).any():
+            last = np.cumsum(more) - 1
+            key, kind, left = np.repeat(key, more), np.repeat(kind, more), n - (more - 1) * MOST
+            n = np.full(len(key), MOST)
+            n[last] = left
+        cells = ((key & ((np.uint64(1) << self.local) - np.uint64(1))) * np.uint64(MOST + 1) + n.astype(np.uint64)) * np.uint64(CLASSES) + kind
+        chunk = (key >> self.local).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])).tolist()
+        for at in range(0, len(begin), 256):
+            some = [*begin[at:at + 257], len(cells)][:257]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[some[:-1]]), pa.array([cells[a:b].tobytes() for a, b in zip(some, some[1:])], pa.binary())], ["chunk", "cells"])
+
+
+def _sum_keys(least: int, bits: int):
+    """Rows of a chunk next to each other -> ``(chunk, places, owned, known)`` of the keys that are there ``least`` times or
+    more: how often they are, and the filters of them with their owners and of them alone."""
+    most, local = max(8, (1 << bits) >> CHUNKS), np.uint64(bits + PRINT - CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, owners = None, np.zeros(CHUNK, np.uint16), np.full(CHUNK, NOBODY, np.uint32)
-
-        def done() -> pa.RecordBatch:
-            cells = zlib.compress(np.where(total >= least, owners, np.uint32(NOBODY)).tobytes(), 1)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([cells], pa.binary())], ["chunk", "cells"])
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            cells = np.frombuffer(b"".join(held), np.uint64).copy()
+            cells.sort()
+            kind, n, key = cells % np.uint64(CLASSES), cells // np.uint64(CLASSES) % np.uint64(MOST + 1), cells // np.uint64(CLASSES * (MOST + 1))
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            total = np.add.reduceat(n, new)
+            often = total >= least
+            key = (np.uint64(now) << local) | key[new][often]
+            if len(key):
+                owned = _filter_of(key, np.minimum.reduceat(kind, new)[often], most)
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([int(total[often].sum())]), pa.array([owned], pa.binary()),
+                                                  pa.array([_filter_of(key, 0, most)], pa.binary())], ["chunk", "places", "owned", "known"])
 
         for batch in batches:
-            for chunk, sparse, cells in zip(*[c.to_pylist() for c in batch.columns]):
+            for chunk, cells in zip(*[c.to_pylist() for c in batch.columns]):
                 if chunk != now:
                     if now is not None:
-                        yield done()
-                    now = chunk
-                    total[:], owners[:] = 0, NOBODY
-                _add_cells(total, owners, sparse, cells)
+                        yield from done()
+                    now, held = chunk, []
+                held.append(cells)
         if now is not None:
-            yield done()
+            yield from done()
 
     return run
 
@@ -324,43 +385,29 @@ def _join_arrays(parts: Iterator[bytes]) -> bytes:
     return b"".join(map(zlib.decompress, parts))
 
 
-def _buckets(rows: DataFrame, least: int, part_bytes: int, gone: list[str]) -> _Parts:
-    """The packed chunks that hold a frequent bucket: 4 * 2 ** bits bytes a table at most, whatever the input."""
-    summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_buckets(least), "chunk long, cells binary")
-    packed, path = save(summed, "buckets")
+def _frequent(rows: DataFrame, least: int, bits: int, gone: list[str]) -> DataFrame:
+    """The filters of the keys that are there ``least`` times, saved."""
+    summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_keys(least, bits), "chunk long, places long, owned binary, known binary")
+    packed, path = save(summed, "keys")
     gone.append(path)
+    return packed
+
+
+def _sent(packed: DataFrame, cells: str, part_bytes: int) -> _Parts:
+    """A filter: 2 ** bits bytes at most, whatever the input."""
     sent = []
-    for chunks in _groups(sorted(packed.select("chunk", F.octet_length("cells")).collect()), part_bytes):
-        part = packed.where(F.col("chunk").between(chunks[0], chunks[-1])).collect()
-        sent.append(rows.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["cells"]) for r in part}))
+    for chunks in _groups(sorted(packed.select("chunk", F.octet_length(cells)).collect()), part_bytes):
+        part = packed.where(F.col("chunk").between(chunks[0], chunks[-1])).select("chunk", cells).collect()
+        sent.append(packed.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r[cells]) for r in part}))
         del part
     return _Parts(sent, _join_chunks)
 
 
-def _unpack(packed: dict[int, bytes], bits: int) -> np.ndarray:
-    """The owner of each bucket, ``NOBODY`` where it is not frequent."""
-    out = np.full(1 << bits, NOBODY, np.uint32)
-    for chunk in range((1 << bits) // CHUNK):
-        if chunk in packed:
-            out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(packed[chunk]), np.uint32)
-    return out
-
-
-def _unpack_flags(packed: dict[int, bytes], bits: int, base: int = 0) -> np.ndarray:
-    """A bit for each bucket of the table whose chunks begin at ``base``: set where it is frequent."""
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for chunk in range((1 << bits) // CHUNK):
-        if base + chunk in packed:
-            frequent = np.frombuffer(zlib.decompress(packed[base + chunk]), np.uint32) != NOBODY
-            out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.packbits(frequent, bitorder="little")
-    return out
-
-
-def _frequent_bits(bits: int):
-    """Phrases ``(lang, phrase)`` -> buckets of their hashes, each marked."""
+def _frequent_keys(bits: int):
+    """Phrases ``(lang, phrase)`` -> their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, owners = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint32)
+        tally = _Tally(bits)
         for batch in batches:
             by: dict[bytes, list[bytes]] = {}
             for lang, phrase in zip(*[c.to_pylist() for c in batch.columns]):
@@ -368,74 +415,48 @@ def _frequent_bits(bits: int):
             for lang, phrases in by.items():
                 words = Words(np.frombuffer(b"\n" + b"\n".join(phrases) + b"\n", np.uint8), _seed(lang))
                 k = phrases[0].count(b" ") + 1
-                table[_bucket(words.phrase_hash(words.whole(k), k), bits)] = 1
-        yield from _bucket_rows(table, owners)
+                key = _part_keys(words.phrase_hash(words.whole(k), k), bits)
+                yield from tally.add(key, np.zeros(len(key), np.int64))
+        yield from tally.drain()
 
     return run
 
 
 def _bucket_counts(k: int, parts, bits: int):
-    """Sums of the buckets of the phrases whose parts may be frequent, and of each bucket the lowest owner: a class and a fingerprint in it.
-
-    A second table sums other buckets of the same phrases: a rare phrase that
-    shares one bucket with a frequent one seldom shares both."""
+    """Counts of the keys of the phrases whose parts may be frequent, and of each key the lowest class of documents that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, owners = np.zeros(1 << bits, np.uint8), np.full(1 << bits, NOBODY, np.uint32)
-        other = np.zeros(1 << bits, np.uint8)
-        good = _unpack_flags(parts.value, bits)
+        tally, good = _Tally(bits), _Filter(parts.value, bits)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
-            first, h = _possible(words, k, good, bits)
-            at, n = np.unique(_other_bucket(h, bits), return_counts=True)
-            other[at] = np.minimum(other[at] + n, 255)
-            kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
-            both, n = np.unique((_bucket(h, bits) << 32) + (kind << PRINT) + _print(h, bits), return_counts=True)
-            if len(both):
-                at = both >> 32
-                new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                where = at[new]
-                table[where] = np.minimum(table[where] + np.add.reduceat(n, new), 255)
-                owners[where] = np.minimum(owners[where], (both[new] & NOBODY).astype(np.uint32))
-        yield from _bucket_rows(table, owners)
-        del table, owners
-        yield from _bucket_rows(other, np.zeros(1 << bits, np.uint32), (1 << bits) // CHUNK)
+            first, h = _possible(words, k, good)
+            yield from tally.add(_keys(h, bits), classes[np.searchsorted(begin, words.start[first], "right") - 1])
+        yield from tally.drain()
 
     return run
 
 
 def _candidates(k: int, parts, often, bits: int, everywhere: bool = False):
-    """Phrases ``(lang, phrase)`` of k words whose parts and both of whose buckets may be frequent, and a row of neither with their ``places``.
+    """Phrases ``(lang, phrase)`` of k words whose parts and whose keys may be frequent.
 
-    The owner of a bucket comes from the documents of its class only, so that
-    few tasks hand on the same phrase; all other phrases come from all
-    documents, and so do owners ``everywhere``."""
+    A phrase comes from the documents of its key's owner only, so that few
+    tasks hand on the same one, or ``everywhere`` from all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "places"]
         seen: dict[bytes, set[bytes]] = {}
-        places = 0
-        good, packed = _unpack_flags(parts.value, bits), often.value
-        owners, other = _unpack(packed, bits), _unpack_flags(packed, bits, (1 << bits) // CHUNK)
+        good, frequent = _Filter(parts.value, bits), _Filter(often.value, bits)
         for lang, text, begin, classes in _texts(batches, k):
             words = Words(text, _seed(lang))
-            first, h = _possible(words, k, good, bits)
-            owner = owners[_bucket(h, bits)].astype(np.int64)
-            frequent = (owner != NOBODY) & _flags_at(other, _other_bucket(h, bits))
-            first, h, owner = first[frequent], h[frequent], owner[frequent]
-            places += len(first)
-            if not everywhere:
-                kind = classes[np.searchsorted(begin, words.start[first], "right") - 1]
-                first = first[(owner >> PRINT == kind) | (owner & ((1 << PRINT) - 1) != _print(h, bits))]
+            first, h = _possible(words, k, good)
+            first = first[frequent.test(_keys(h, bits), 0 if everywhere else classes[np.searchsorted(begin, words.start[first], "right") - 1])]
             raw = text.tobytes()
             known = seen.setdefault(lang, set())
             new = {raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first + k - 1].tolist())} - known
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.binary()), pa.array(list(new), pa.binary()), pa.nulls(len(new), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.binary()), pa.array(list(new), pa.binary())], ["lang", "phrase"])
             known |= new
             if sum(map(len, seen.values())) > HELD:
                 seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([places], pa.int64())], names)
 
     return run
 
@@ -445,7 +466,17 @@ def _prefix(lang: bytes) -> bytes:
     return lang.replace(b"\\", b"\\\\").replace(b"\n", b"\\n") + b"\n"
 
 
-_TRIES = "trie string, number long, lang binary, phrase binary, part long, size long, arrays binary"
+_TRIES = "trie string, number long, lang binary, phrase binary, part long, size long, arrays binary, ranges binary"
+
+
+def _ranges(lang: list[bytes], phrase: list[bytes]) -> bytes:
+    """For each language the lowest and the highest eight bytes that its phrases may begin with, whatever follows them."""
+    out: dict[bytes, tuple[bytes, bytes]] = {}
+    for a, b in zip(lang, phrase):
+        low, high = b[:8].ljust(8, b"\0"), b[:8].ljust(8, b"\xff")
+        was = out.get(a, (low, high))
+        out[a] = min(was[0], low), max(was[1], high)
+    return pickle.dumps({a: tuple(int.from_bytes(x, "big") for x in both) for a, both in out.items()})
 
 
 def _build_tries(trie_bytes: int, part_bytes: int):
@@ -463,18 +494,18 @@ def _build_tries(trie_bytes: int, part_bytes: int):
             arrays = b"".join(a.astype("<i4").tobytes() for a in trie)
             n, trie_id = len(keys), f"{name}-{part}"
 
-            def batch(number, lang, phrase, piece, size, packed):
-                kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                cols = [pa.array(x, kind) for x, kind in zip(([trie_id] * len(number), number, lang, phrase, piece, size, packed), kinds)]
-                return pa.RecordBatch.from_arrays(cols, ["trie", "number", "lang", "phrase", "part", "size", "arrays"])
+            def batch(number, lang, phrase, piece, size, packed, ranges):
+                kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                cols = [pa.array(x, kind) for x, kind in zip(([trie_id] * len(number), number, lang, phrase, piece, size, packed, ranges), kinds)]
+                return pa.RecordBatch.from_arrays(cols, ["trie", "number", "lang", "phrase", "part", "size", "arrays", "ranges"])
 
             for piece, at in enumerate(range(0, len(arrays), part_bytes)):
                 raw = arrays[at:at + part_bytes]
-                yield batch([None], [None], [None], [piece], [len(raw)], [zlib.compress(raw, 1)])
+                yield batch([None], [None], [None], [piece], [len(raw)], [zlib.compress(raw, 1)], [None if piece else _ranges(lang, phrase)])
             for at in range(0, n, 10_000):
                 some = order[at:at + 10_000]
                 none = [None] * len(some)
-                yield batch(list(range(at, at + len(some))), [lang[i] for i in some], [phrase[i] for i in some], none, none, none)
+                yield batch(list(range(at, at + len(some))), [lang[i] for i in some], [phrase[i] for i in some], none, none, none, none)
 
         lang, phrase, size, part = [], [], 0, 0
         for b in batches:
@@ -499,22 +530,26 @@ _COUNTS = "trie string, chunk long, wide long, cells binary"
 
 
 def _count_phrases(tries, k: int):
-    """Finds of every phrase of the tries ``[(id, broadcast arrays)]`` in a task's texts.
+    """Finds of every phrase of the tries ``[(id, broadcast arrays, ranges)]`` in a task's texts.
+
+    A trie is walked from the words whose next eight bytes lie in its range.
 
     A row holds the counts of ``CHUNK`` phrases: places, then numbers of ``wide`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [(name, _trie_of(arrays.value)) for name, arrays in tries]
-        counts = [np.zeros(int(t.accept.max()) + 1, np.int64) for _, t in built]
+        built = [(name, _trie_of(arrays.value), ranges) for name, arrays, ranges in tries]
+        counts = [np.zeros(int(t.accept.max()) + 1, np.int64) for _, t, _ in built]
         for lang, text, _, _ in _texts(batches, k):
             gap = _STOP[text]
             starts = (np.flatnonzero(gap[:-1] & ~gap[1:]) + 1).astype(np.int32)
-            for (_, trie), total in zip(built, counts):
-                root = trie.walk(_prefix(lang))
-                if root >= 0:
-                    found = np.bincount(double_array.match(trie, root, text, starts, _STOP))
+            padded = np.concatenate([text, np.zeros(8, np.uint8)])
+            begin = np.ndarray(len(text), ">u8", padded, strides=(1,))[starts].astype(np.uint64)
+            for (_, trie, ranges), total in zip(built, counts):
+                if lang in ranges:
+                    low, high = map(np.uint64, ranges[lang])
+                    found = np.bincount(double_array.match(trie, trie.walk(_prefix(lang)), text, starts[(begin >= low) & (begin <= high)], _STOP))
                     total[:len(found)] += found
-        for (name, _), total in zip(built, counts):
+        for (name, _, _), total in zip(built, counts):
             for chunk in range(-(-len(total) // CHUNK)):
                 part = total[chunk * CHUNK:(chunk + 1) * CHUNK]
                 at = np.flatnonzero(part)
@@ -528,16 +563,14 @@ def _count_phrases(tries, k: int):
 
 
 def _sum_counts(least: int):
-    """Rows of a chunk next to each other -> ``(trie, number, n)`` of the phrases found at least ``least`` times,
-    and a row without number with the finds of them all."""
+    """Rows of a chunk next to each other -> ``(trie, number, n)`` of the phrases found at least ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(CHUNK, np.int64)
 
         def done() -> pa.RecordBatch:
             at = np.flatnonzero(total >= least)
-            number = pa.array([None, *(at + now[1] * CHUNK).tolist()], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * (len(at) + 1), pa.string()), number, pa.array([int(total.sum()), *total[at].tolist()], pa.int64())],
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(at), pa.string()), pa.array(at + now[1] * CHUNK, pa.int64()), pa.array(total[at], pa.int64())],
                                               ["trie", "number", "n"])
 
         for batch in batches:
@@ -570,7 +603,7 @@ def _groups(sizes: list, limit: int) -> Iterator[list]:
 
 def _finds(spark: SparkSession, texts: DataFrame, found: DataFrame, k: int, min_count: int, trie_bytes: int, pass_bytes: int,
            part_bytes: int, gone: list[str]) -> tuple[DataFrame, int]:
-    """``(lang, phrase, n)`` of the candidates found ``min_count`` times or more, and the finds of all candidates."""
+    """``(lang, phrase, n)`` of the candidates found ``min_count`` times or more, and their finds."""
     total = found.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
     spread = max(1, -(-total // trie_bytes))
     dealt = found.repartitionByRange(spread, "lang", "phrase").sortWithinPartitions("lang", "phrase") if spread > 1 else found.coalesce(1).sort("lang", "phrase")
@@ -584,44 +617,44 @@ def _finds(spark: SparkSession, texts: DataFrame, found: DataFrame, k: int, min_
 
     heads = sorted(built.groupBy("trie").agg(F.sum("size").alias("size"), F.count("*").alias("parts")).collect())
     parts = {r["trie"]: r["parts"] for r in heads}
+    ranges = {r["trie"]: pickle.loads(bytes(r["ranges"])) for r in built.where("ranges is not null").select("trie", "ranges").collect()}
     for ids in _groups([(r["trie"], r["size"]) for r in heads], pass_bytes):
-        sent = [(i, _Parts([piece(i, p) for p in range(parts[i])], _join_arrays)) for i in ids]
+        sent = [(i, _Parts([piece(i, p) for p in range(parts[i])], _join_arrays), ranges[i]) for i in ids]
         finds = texts.mapInArrow(_count_phrases(sent, k), _COUNTS).repartition("trie", "chunk").sortWithinPartitions("trie", "chunk")
         some, path = save(finds.mapInArrow(_sum_counts(min_count), "trie string, number long, n long"), "finds")
-        for _, arrays in sent:
+        for _, arrays, _ in sent:
             arrays.destroy()
         gone.append(path)
         counts = some if counts is None else counts.unionByName(some)
     phrases = tries.where("number is not null").select("trie", "number", "lang", "phrase")
     if counts is None:
         return phrases.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("n > 0"), 0
-    return phrases.join(counts, ["trie", "number"]).select("lang", "phrase", "n"), counts.where("number is null").agg(F.sum("n")).first()[0] or 0
+    return phrases.join(counts, ["trie", "number"]).select("lang", "phrase", "n"), counts.agg(F.sum("n")).first()[0] or 0
 
 
 def _level(spark: SparkSession, texts: DataFrame, below: DataFrame, k: int, min_count: int, bits: int, trie_bytes: int,
            pass_bytes: int, part_bytes: int) -> tuple[DataFrame, str]:
     """``(lang, phrase, n)`` of the frequent phrases of k words, given those of k - 1, saved."""
     gone: list[str] = []
-    table = "chunk long, sparse boolean, cells binary"
-    parts = _buckets(below.select("lang", "phrase").mapInArrow(_frequent_bits(bits), table), 1, part_bytes, gone)
-    often = _buckets(texts.mapInArrow(_bucket_counts(k, parts, bits), table), min(min_count, 255), part_bytes, gone)
+    parts = _sent(_frequent(below.select("lang", "phrase").mapInArrow(_frequent_keys(bits), _KEYED), 1, bits, gone), "known", part_bytes)
+    keys = _frequent(texts.mapInArrow(_bucket_counts(k, parts, bits), _KEYED), min_count, bits, gone)
+    places = keys.agg(F.sum("places")).first()[0] or 0
 
     def collected(everywhere: bool) -> DataFrame:
-        rows = texts.mapInArrow(_candidates(k, parts, often, bits, everywhere), "lang binary, phrase binary, places long")
-        got, path = save(rows.groupBy("lang", "phrase").agg(F.sum("places").alias("places")), "candidates")
+        often = _sent(keys, "known" if everywhere else "owned", part_bytes)
+        rows = texts.mapInArrow(_candidates(k, parts, often, bits, everywhere), "lang binary, phrase binary")
+        got, path = save(rows.distinct(), "candidates")
+        often.destroy()
         gone.append(path)
         return got
 
-    got = collected(False)
-    places = got.where("phrase is null").agg(F.sum("places")).first()[0] or 0
-    found = got.where("phrase is not null").select("lang", "phrase")
+    found = collected(False)
     frequent, finds = _finds(spark, texts, found, k, min_count, trie_bytes, pass_bytes, part_bytes, gone)
     if places - finds >= min_count:
-        rest = collected(True).where("phrase is not null").select("lang", "phrase").join(found, ["lang", "phrase"], "left_anti")
+        rest = collected(True).join(found, ["lang", "phrase"], "left_anti")
         frequent = frequent.unionByName(_finds(spark, texts, rest, k, min_count, trie_bytes, pass_bytes, part_bytes, gone)[0])
     out, path = save(frequent, f"frequent{k}")
     parts.destroy()
-    often.destroy()
     remove(spark, *gone)
     return out, path
 
@@ -630,8 +663,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", ma
                      trie_bytes: int = TRIE_BYTES, pass_bytes: int = PASS_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, k, f)`` of the phrases of 1 to ``max_words`` words found ``min_count`` times or more, and ``(lang, n)``, all words.
 
-    The broadcasts do not grow with the input: packed tables of at most
-    ``4 * 2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
+    The broadcasts do not grow with the input: filters of at most
+    ``2 ** bits`` bytes and tries of ``pass_bytes`` (or one trie); more
     candidates mean more passes over the texts.  The driver fetches and
     broadcasts them in parts of ``part_bytes``."""
     spark = docs.sparkSession

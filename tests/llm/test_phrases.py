@@ -146,6 +146,37 @@ def test_phrases_that_share_a_bucket_are_all_found(spark):
     assert sorted(tuple(r) for r in phrases.mine(df, bits=15, **options).collect()) == plain(docs, **options)
 
 
+def test_rare_phrases_do_not_become_candidates_together(spark, monkeypatch):
+    """A dozen rare phrases a bucket: each is counted by itself, so that only the frequent ones and a few others are looked up."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    docs = [(". ".join(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(10_000)), "en") for _ in range(40)]
+    docs += [(f"{words[i]} {words[-i - 1]}. " * 12, "en") for i in range(50)]
+    found = []
+    finds = phrases._finds
+    monkeypatch.setattr(phrases, "_finds", lambda spark, texts, rows, *a: found.append(rows.count()) or finds(spark, texts, rows, *a))
+    options = {"max_words": 2, "min_count": 12, "covered": 50, "top": 2000}
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in phrases.mine(df, bits=15, **options).collect()) == plain(docs, **options)
+    assert 50 <= found[0] < 2000 and len(found) == 1
+
+
+def test_tries_are_walked_from_words_of_their_range_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(b"en", x) for x in (b"a b", b"a\x1cb c", b"b a")], "lang binary, phrase binary").coalesce(1)
+    built = rows.mapInArrow(phrases._build_tries(1 << 20, 1 << 20), phrases._TRIES).where("arrays is not null").first()
+    ranges = phrases.pickle.loads(bytes(built["ranges"]))
+    assert ranges == {b"en": (int.from_bytes(b"a\x1cb c\0\0\0", "big"), int.from_bytes(b"b a" + b"\xff" * 5, "big"))}
+    walked = []
+    match = double_array.match
+    monkeypatch.setattr(double_array, "match", lambda trie, root, text, starts, stop: walked.append(len(starts)) or match(trie, root, text, starts, stop))
+    tries = [("t", type("Sent", (), {"value": phrases.zlib.decompress(bytes(built["arrays"]))}), ranges)]
+    text = phrases._counted([b"en"], [b"A b a b, zz a\x1cb c 0 b a"], [0]).select(["lang", "phrase"])
+    rows = list(phrases._count_phrases(tries, 2)(iter([text])))
+    assert walked == [6]  # not zz, c, 0 and the last a
+    cells = np.frombuffer(rows[0].column("cells")[0].as_py(), "<u2")
+    assert dict(zip(cells[:3].tolist(), cells[3:].tolist())) == {0: 1, 1: 2, 2: 2}
+
+
 def test_owners_with_the_same_fingerprint_are_collected_everywhere(spark, monkeypatch):
     """No fingerprints: the missing finds show that phrases were left out."""
     rng = random.Random(7)
